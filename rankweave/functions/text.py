@@ -74,8 +74,8 @@ def tidy(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    parts = F.split(text_or_empty(text), _LINE)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return let(F.split(text_or_empty(text), _LINE), whole)
 
 
 def word_count(text: Column) -> Column:
@@ -131,7 +131,8 @@ def segment_sections(text: Column) -> Column:
     """
     rows = lines(normalise_headings(F.translate(text_or_empty(text), _OPEN + _CLOSE, "")))
     marked = F.array_join(F.transform(rows, lambda x: F.coalesce(F.concat(F.lit(_OPEN), heading_of(x), F.lit(_CLOSE)), x)), "\n")
-    first = F.when(F.startswith(marked, F.lit(_OPEN)) | (F.size(rows) == 0), marked).otherwise(F.concat(F.lit(f"{_OPEN}other{_CLOSE}\n"), marked))
+    # An empty text has no lines and no sections.
+    first = let(marked, lambda m: F.when(F.startswith(m, F.lit(_OPEN)) | (m == ""), m).otherwise(F.concat(F.lit(f"{_OPEN}other{_CLOSE}\n"), m)))
     parts = F.filter(F.split(first, _OPEN), lambda p: p != "")
     cut = lambda p: F.struct(F.substring_index(p, _CLOSE, 1).alias("name"), F.regexp_replace(F.regexp_replace(F.substring_index(p, _CLOSE, -1), r"^\n", ""), r"\n$", "").alias("body"))
 
@@ -186,7 +187,8 @@ def experience_years(text: Column, as_of: Column) -> Column:
     spans = F.transform(pairs, lambda p: F.struct(month_index(p.getField("s"), 1, as_of).cast("int").alias("start"), F.least(month_index(p.getField("e"), 12, as_of), as_of).cast("int").alias("end")))
     spans = F.filter(spans, lambda x: x.getField("start").isNotNull() & x.getField("end").isNotNull() & (x.getField("end") >= x.getField("start")))
     claimed = F.coalesce(F.regexp_extract(body, CLAIMED_YEARS, 1).try_cast("double"), F.lit(0.0))
-    return F.when(F.size(spans) > 0, F.round(merged_months(spans) / F.lit(12.0), 2)).otherwise(claimed)
+    dated = let(spans, lambda s: F.when(F.size(s) > 0, F.round(merged_months(s) / F.lit(12.0), 2)))
+    return F.coalesce(dated, claimed)
 
 
 def experience_entries(text: Column, as_of: Column) -> Column:
@@ -241,11 +243,15 @@ def redact(text: Column) -> Column:
 
 def split_required_preferred(text: Column) -> Column:
     """struct(required, preferred): cut at the first short line with a "preferred" marker."""
-    rows = lines(text)
-    marked = F.transform(rows, lambda x, i: F.when((strip(x) != "") & (word_count(strip(x)) <= 8) & strip(x).rlike(PREFERRED), i))
-    at = F.array_min(marked)
-    before, after = F.array_join(F.slice(rows, 1, F.coalesce(at, F.lit(0))), "\n"), F.array_join(F.slice(rows, F.coalesce(at, F.lit(0)) + 1, F.size(rows) + 1), "\n")
-    return F.struct(F.when(at.isNull(), text_or_empty(text)).otherwise(before).alias("required"), F.when(at.isNull(), "").otherwise(after).alias("preferred"))
+    marked = lambda rows: F.array_min(F.transform(rows, lambda x, i: F.when((strip(x) != "") & (word_count(strip(x)) <= 8) & strip(x).rlike(PREFERRED), i)))
+
+    def cut(found: Column) -> Column:
+        rows, at = found.getField("rows"), found.getField("at")
+        start = F.coalesce(at, F.lit(0))
+        before, after = F.array_join(F.slice(rows, F.lit(1), start), "\n"), F.array_join(F.slice(rows, start + 1, F.size(rows) + 1), "\n")
+        return F.struct(F.when(at.isNull(), text_or_empty(text)).otherwise(before).alias("required"), F.when(at.isNull(), "").otherwise(after).alias("preferred"))
+
+    return let(let(lines(text), lambda rows: F.struct(rows.alias("rows"), marked(rows).alias("at"))), cut)
 
 
 def sentences(text: Column) -> Column:
@@ -259,4 +265,5 @@ def narrative(sections: Column, text: Column) -> Column:
     from rankweave.schemas import section
 
     joined = lambda *names: strip(F.concat_ws("\n", *[section(sections, n) for n in names]))
-    return F.coalesce(F.nullif(joined("experience", "projects"), F.lit("")), F.nullif(joined("summary", "certifications", "other"), F.lit("")), text_or_empty(text))
+    filled = lambda value: let(value, lambda v: F.when(v != "", v))
+    return F.coalesce(filled(joined("experience", "projects")), filled(joined("summary", "certifications", "other")), text_or_empty(text))

@@ -56,7 +56,10 @@ def _windows(words: Column, size: int, overlap: int) -> Column:
 
 def chunk_text(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Paragraphs packed up to ``size`` words; a longer one cut to overlapping windows. Blank text has no chunks."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return let(F.regexp_replace(text, r"^\s+|\s+$", ""), lambda trimmed: _chunks(trimmed, size, overlap))
+
+
+def _chunks(trimmed: Column, size: int, overlap: int) -> Column:
     paragraphs = F.filter(F.transform(F.split(trimmed, r"\n\s*\n"), _words), lambda w: F.size(w) > 0)
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("buffer"))
     flushed = lambda a: F.when(F.size(a.getField("buffer")) > 0, F.concat(a.getField("out"), F.array(F.array_join(a.getField("buffer"), " ")))).otherwise(a.getField("out"))
@@ -68,8 +71,8 @@ def chunk_text(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERL
         fits = F.struct(acc.getField("out").alias("out"), F.concat(acc.getField("buffer"), words).alias("buffer"))
         return F.when(F.size(words) > size, long).when(F.size(acc.getField("buffer")) + F.size(words) > size, full).otherwise(fits)
 
-    chunks = F.aggregate(paragraphs, empty, add, flushed)
-    return F.when(trimmed == "", F.array().cast("array<string>")).when(F.size(chunks) == 0, F.array(trimmed)).otherwise(chunks)
+    # A text that isn't blank has a word, and so a chunk.
+    return F.aggregate(paragraphs, empty, add, flushed)
 
 
 def hashed_vector(text: Column, dims: int = 64) -> Column:

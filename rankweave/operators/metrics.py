@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.runtime import ship
+
 RELEVANT = 2
 RESAMPLES = 10_000
 
@@ -90,6 +92,7 @@ def sign_flip_p(differences: np.ndarray, seed: int = 0, resamples: int = RESAMPL
 
 def paired_difference(treatment: DataFrame, baseline: DataFrame, by: list[str], pair: str, value: str, seed: int = 0) -> DataFrame:
     """(by, n, mean, lo, hi, p) over pairs that both have. Each group is one study's pairs, a few hundred values."""
+    ship(treatment.sparkSession)
     both = treatment.select(*by, pair, F.col(value).alias("t")).join(baseline.select(*by, pair, F.col(value).alias("b")), [*by, pair])
     schema = ", ".join([f"{b} {dict(treatment.dtypes)[b]}" for b in by] + ["n long", "mean double", "lo double", "hi double", "p double"])
 
@@ -103,6 +106,7 @@ def paired_difference(treatment: DataFrame, baseline: DataFrame, by: list[str],
 
 def mean_with_ci(gains: DataFrame, by: list[str], pair: str, value: str, seed: int = 0) -> DataFrame:
     """(by, n, mean, lo, hi)."""
+    ship(gains.sparkSession)
     schema = ", ".join([f"{b} {dict(gains.dtypes)[b]}" for b in by] + ["n long", "mean double", "lo double", "hi double"])
 
     def study(frame: pd.DataFrame) -> pd.DataFrame:

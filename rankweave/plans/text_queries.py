@@ -161,9 +161,9 @@ def gaming_penalty(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_PENALTY}, x AS (SELECT flagged, coalesce(toxic = 1, false) AS truth FROM pen LEFT JOIN labels USING (doc_id)),
-k AS (SELECT count(*) FILTER (flagged AND truth) AS tp, count(*) FILTER (flagged AND NOT truth) AS fp, count(*) FILTER (NOT flagged AND truth) AS fn, count(*) FILTER (NOT flagged AND NOT truth) AS tn FROM x)
+cells AS (SELECT count(*) FILTER (flagged AND truth) AS tp, count(*) FILTER (flagged AND NOT truth) AS fp, count(*) FILTER (NOT flagged AND truth) AS fn, count(*) FILTER (NOT flagged AND NOT truth) AS tn FROM x)
 SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall,
-  round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM k""")
+  round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM cells""")
 def detector_confusion(spark: SparkSession, d: str) -> DataFrame:
     truth = table(spark, d, "labels").select("doc_id", (_C("toxic") == 1).alias("truth"))
     out = metrics.detector_scores(_penalties(spark, d).join(truth, "doc_id", "left"))
@@ -190,7 +190,7 @@ def _resumes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(_C("o_orderkey").alias("id"), text.alias("text"), "o_custkey", "o_orderdate")
 
 
-@query(f"""WITH {_RESUME_SQL} SELECT id, 'education,experience,other,skills,summary' AS names, 'Buyer number ' || o_custkey || '.' AS summary, CAST(length(split_part(split_part(text, 'WORK EXPERIENCE:' || chr(10), 2), chr(10) || 'Education', 1)) AS BIGINT) AS experience_chars,
+@query(f"""WITH {_RESUME_SQL} SELECT id, 'education,experience,other,skills,summary' AS names, 'Buyer number ' || o_custkey || '.' AS summary, CAST(length(':' || chr(10) || split_part(split_part(text, 'WORK EXPERIENCE:' || chr(10), 2), chr(10) || 'Education', 1)) AS BIGINT) AS experience_chars,
   'python, docker, sql, c' || (o_custkey % 3) AS skills FROM res""")
 def sections(spark: SparkSession, d: str) -> DataFrame:
     from rankweave.schemas import section
@@ -240,7 +240,8 @@ def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     """How often each word of a dictionary stands alone."""
     hits = F.transform(sk.matches(_C("text"), sk.dictionary_pattern(list(_WORDS))), lambda m: m.getField("surface"))
     rows = table(spark, d, "documents").select("doc_id", hits.alias("h"))
-    return rows.select("doc_id", *[F.size(F.filter("h", lambda x, w=w: x == w)).cast("long").alias(f"n_{w}") for w in _WORDS])
+    count = lambda w: F.size(F.filter("h", lambda x: x == w)).cast("long").alias(f"n_{w}")
+    return rows.select("doc_id", *map(count, _WORDS))
 
 
 _SENT = r"""sent AS (
@@ -483,10 +484,10 @@ def stuffing_advantage(spark: SparkSession, d: str) -> DataFrame:
     return metrics.stuffing_advantage(ranking, meta, ["job_id"]).select(r6("advantage").alias("advantage"))
 
 
-_PAIRED = f"{_BM25}, {_TFIDF}, {_RANKED}, both AS (SELECT b.job_id, b.candidate_id, t.rank - b.rank AS diff FROM rb b JOIN rt t USING (job_id, candidate_id))"
+_PAIRED = f"{_BM25}, {_TFIDF}, {_RANKED}, pr AS (SELECT b.job_id, b.candidate_id, t.rank - b.rank AS diff FROM rb b JOIN rt t USING (job_id, candidate_id))"
 
 
-@query(f"WITH {_PAIRED} SELECT job_id, count(*) AS n, round(avg(diff), 6) AS mean FROM both GROUP BY 1")
+@query(f"WITH {_PAIRED} SELECT job_id, count(*) AS n, round(avg(diff), 6) AS mean FROM pr GROUP BY 1")
 def paired_rank_difference(spark: SparkSession, d: str) -> DataFrame:
     bm25, tfidf = rankers.rank(_bm25(spark, d)), rankers.rank(_tfidf(spark, d)).withColumnRenamed("rank", "other")
     both = bm25.join(tfidf.select("job_id", "candidate_id", "other"), ["job_id", "candidate_id"])
@@ -516,12 +517,11 @@ def name_substitution(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", audit.substitute_name(text, F.lit("Jamal Washington"), F.lit("Emily Baker")).alias("text"))
 
 
-@query(f"WITH {_RESUME_SQL} SELECT id, CAST(length(split_part(text, 'SUMMARY' || chr(10), 2)) - length('WORK EXPERIENCE:') - length('Education') - length('Technical Skills') - 2 AS BIGINT) AS chars, false AS has_email FROM res")
+@query(f"WITH {_RESUME_SQL} SELECT id, replace(replace(replace(rtrim(split_part(text, 'SUMMARY' || chr(10), 2), chr(10)), 'WORK EXPERIENCE:', chr(10) || ':'), 'Education' || chr(10), chr(10)), 'Technical Skills' || chr(10), chr(10)) AS text FROM res")
 def anonymised(spark: SparkSession, d: str) -> DataFrame:
-    """Length of the sections left, with an empty line between them; years are no phone numbers here."""
+    """The sections but the header, with an empty line between them. A colon behind an inline heading stays, as a line of its own."""
     kept = audit.anonymise(tx.segment_sections(_C("text")), _C("text"), F.lit("Customer Name"))
-    rows = _resumes(spark, d).select("id", kept.alias("t"))
-    return rows.select("id", F.length("t").cast("long").alias("chars"), F.contains("t", F.lit("@example.com")).alias("has_email"))
+    return _resumes(spark, d).select("id", kept.alias("text"))
 
 
 @query()

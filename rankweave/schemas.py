@@ -33,16 +33,22 @@ class GapStatus(StrEnum):
 #: What is shown for each tier.
 DEGREE_LABELS = ("None detected", "Associate", "Bachelor's", "Master's", "Doctorate")
 
-SPAN = T._parse_datatype_string("struct<text string, page int, font string, size double, color int, flags int, bbox array<double>>")
-DOCUMENT = T._parse_datatype_string(f"struct<path string, text string, source_format string, spans array<{SPAN.simpleString()}>, page_count int, page_backgrounds array<int>>")
-ENTRY = T._parse_datatype_string("struct<title string, organisation string, start_year int, start_month int, end_year int, end_month int, is_current boolean, text string>")
-RESUME = T._parse_datatype_string(
-    "struct<candidate_id string, name string, email string, phone string, sections map<string,string>, skills array<string>, skills_expanded array<string>, "
-    f"years_experience double, degree int, experience_entries array<{ENTRY.simpleString()}>>"
-)
-JOB = T._parse_datatype_string("struct<job_id string, title string, text string, required array<string>, preferred array<string>, min_years double, min_degree int>")
-SUB_SCORES = T._parse_datatype_string("struct<semantic double, skill double, experience double, education double, penalty double, total double, gate double, required_coverage double>")
-SIGNAL = T._parse_datatype_string("struct<name string, triggered boolean, severity double, evidence string>")
+def _row(**kinds: T.DataType | str) -> T.StructType:
+    simple = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(name, simple[kind] if isinstance(kind, str) else kind) for name, kind in kinds.items()])
+
+
+_STRINGS = T.ArrayType(T.StringType())
+SPAN = _row(text="string", page="int", font="string", size="double", color="int", flags="int", bbox=T.ArrayType(T.DoubleType()))
+DOCUMENT = _row(path="string", text="string", source_format="string", spans=T.ArrayType(SPAN), page_count="int", page_backgrounds=T.ArrayType(T.IntegerType()))
+ENTRY = _row(title="string", organisation="string", start_year="int", start_month="int", end_year="int", end_month="int", is_current="boolean", text="string")
+RESUME = _row(
+    candidate_id="string", name="string", email="string", phone="string", sections=T.MapType(T.StringType(), T.StringType()), skills=_STRINGS, skills_expanded=_STRINGS,
+    years_experience="double", degree="int", experience_entries=T.ArrayType(ENTRY),
+)
+JOB = _row(job_id="string", title="string", text="string", required=_STRINGS, preferred=_STRINGS, min_years="double", min_degree="int")
+SUB_SCORES = _row(semantic="double", skill="double", experience="double", education="double", penalty="double", total="double", gate="double", required_coverage="double")
+SIGNAL = _row(name="string", triggered="boolean", severity="double", evidence="string")
 
 
 def degree_label(degree: Column) -> Column:
