@@ -160,7 +160,7 @@ def _hash_at(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def _judge(item: tuple, words: list[str], shift: int, found: list[tuple[int, int, int]]) -> tuple[int, float, bool] | None:
     """The windows of one diagonal whose slots agree, if they cover enough of the item."""
-    _, own, plain, _ = item
+    _, own, plain, named = item
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     covered = np.zeros(len(own), dtype=bool)
@@ -169,7 +169,7 @@ def _judge(item: tuple, words: list[str], shift: int, found: list[tuple[int, int
         slots = []
         for i in range(place, place + size):
             a, b = own[i].lower(), words[i + shift].lower()
-            if a != b or plain[i] in (_NUMBER, _UNIT):
+            if a != b or plain[i] in (_NUMBER, _UNIT) or named[i] == _NAME:
                 slots.append((a, b))
         if all(there.get(a, b) == b and back.get(b, a) == a for a, b in slots) and _one_to_one(slots):
             there |= dict(slots)
