@@ -31,6 +31,8 @@ from rankweave.runtime import small_batches
 #: Lines of one window, and characters that one must reach outside containers.
 WINDOW = 3
 SURGE = 80
+#: Outside containers a shorter line neither starts a surge nor outlasts a dive.
+SHORT = 20
 
 #: HTML element names and words of class, id and role attributes.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -144,13 +146,15 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :][: len(lines)]  # of a line and those after it
     least = 1 if contained else surge
     if not contained and sums.max() < surge:
-        least = max(1, int(sums.max()))  # a short page: its densest block
+        least = max(1, int(weights.max()))  # a short page: its longest line and what stands about it
     kept, open_block = [], False
-    for (text, _, _), weight, total in zip(lines, weights, sums, strict=True):
+    for i, ((text, _, _), weight, total) in enumerate(zip(lines, weights, sums, strict=True)):
         if not open_block:
-            open_block = weight > 0 and total >= least  # surge
-        elif weight == 0 and total < least:
-            open_block = False  # dive
+            # A surge starts at a line of some length, or at a short one (a heading) right above a long one.
+            heavy = contained or weight >= min(SHORT, least) or (i + 1 < len(weights) and weights[i + 1] >= least)
+            open_block = weight > 0 and total >= least and heavy
+        elif total < least and (contained or weight < SHORT):
+            open_block = weight > 0 and contained  # a dive
         if open_block and weight:
             kept.append(text)
     return " ".join(kept)
