@@ -1,0 +1,45 @@
+"""Every query over the smallest tables; those with SQL against it; the pipeline's stages."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from rankweave.llm import queries
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(DIR).is_dir(), reason="no test tables here")
+
+
+def plain(value):
+    return round(value, 6) if isinstance(value, float) else value
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_query(spark, name):
+    frame = queries.queries()[name](spark, DIR)
+    got = sorted(repr([plain(r[c]) for c in sorted(frame.columns)]) for r in frame.collect())
+    assert got
+    if name in queries.oracle_sql():
+        base = duckdb.connect()
+        for t in ("documents", "pages", "benchmark", "labels"):
+            base.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+        found = base.execute(queries.oracle_sql()[name])
+        names = [c[0] for c in found.description]
+        order = [names.index(c) for c in sorted(names)]
+        assert sorted(names) == sorted(frame.columns)
+        assert got == sorted(repr([plain(r[i]) for i in order]) for r in found.fetchall())
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    ids, columns = {r.doc_id for r in docs.collect()}, docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, DIR)
+        found = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert set(found) <= ids and len(found) == len(set(found))
+        assert i == 3 or docs.columns == columns
+        ids = set(found)
+    out = corpus_pipeline.run(spark, DIR)
+    assert {r.doc_id for r in out.collect()} == ids and "repeats" in out.columns
