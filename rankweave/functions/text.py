@@ -134,7 +134,7 @@ def segment_sections(text: Column) -> Column:
     # An empty text has no lines and no sections.
     first = let(marked, lambda m: F.when(F.startswith(m, F.lit(_OPEN)) | (m == ""), m).otherwise(F.concat(F.lit(f"{_OPEN}other{_CLOSE}\n"), m)))
     parts = F.filter(F.split(first, _OPEN), lambda p: p != "")
-    cut = lambda p: F.struct(F.substring_index(p, _CLOSE, 1).alias("name"), F.regexp_replace(F.regexp_replace(F.substring_index(p, _CLOSE, -1), r"^\n", ""), r"\n$", "").alias("body"))
+    cut = lambda p: F.struct(F.substring_index(p, _CLOSE, 1).alias("name"), F.regexp_replace(F.regexp_replace(F.substring_index(p, _CLOSE, -1), r"^\n", ""), r"\n\z", "").alias("body"))
 
     def collect(bodies: Column) -> Column:
         names = F.array_distinct(F.transform(bodies, lambda b: b.getField("name")))
@@ -180,11 +180,15 @@ def merged_months(intervals: Column) -> Column:
     return F.aggregate(F.array_sort(intervals), start, add, lambda a: a.getField("total") + span(a))
 
 
+def _until(end: Column, as_of: Column) -> Column:
+    return F.when(end > as_of, as_of).otherwise(end)
+
+
 def experience_years(text: Column, as_of: Column) -> Column:
     """Years covered by the text's date ranges; without any, the years that it claims; else 0."""
     body = text_or_empty(text)
     pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(RANGE), F.lit(1)).alias("s"), F.regexp_extract_all(body, F.lit(RANGE), F.lit(2)).alias("e"))
-    spans = F.transform(pairs, lambda p: F.struct(month_index(p.getField("s"), 1, as_of).cast("int").alias("start"), F.least(month_index(p.getField("e"), 12, as_of), as_of).cast("int").alias("end")))
+    spans = F.transform(pairs, lambda p: F.struct(month_index(p.getField("s"), 1, as_of).cast("int").alias("start"), _until(month_index(p.getField("e"), 12, as_of), as_of).cast("int").alias("end")))
     spans = F.filter(spans, lambda x: x.getField("start").isNotNull() & x.getField("end").isNotNull() & (x.getField("end") >= x.getField("start")))
     claimed = F.coalesce(F.regexp_extract(body, CLAIMED_YEARS, 1).try_cast("double"), F.lit(0.0))
     dated = let(spans, lambda s: F.when(F.size(s) > 0, F.round(merged_months(s) / F.lit(12.0), 2)))

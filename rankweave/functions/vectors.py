@@ -26,7 +26,8 @@ def l2_normalise(v: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null: ``least`` and ``greatest`` alone would skip it and give a bound."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def cosine(a: Column, b: Column) -> Column:

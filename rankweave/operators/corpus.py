@@ -147,7 +147,7 @@ def caps_sections(text: Column) -> Column:
     head = lambda x: strip(x).rlike(r"^[^a-z]*[A-Z][^a-z]*$") & (F.regexp_count(strip(x), F.lit(r"\S+")) <= 3)
     marked = F.array_join(F.transform(lines(text), lambda x: F.when(head(x), F.concat(F.lit(mark), strip(x))).otherwise(x)), "\n")
     parts = F.split(F.concat(F.lit(f"{mark}_header\n"), marked), mark)
-    cut = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("name"), F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"\n$", "").alias("body")))
+    cut = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("name"), F.regexp_replace(F.regexp_replace(p, r"^[^\n]*\n?", ""), r"\n\z", "").alias("body")))
     return let(cut, lambda all_parts: F.filter(all_parts, lambda c, i: ~F.exists(F.slice(all_parts, i + 2, F.size(all_parts)), lambda later: later.getField("name") == c.getField("name"))))
 
 

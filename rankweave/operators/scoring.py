@@ -55,7 +55,7 @@ def skill_score(held: Column, required: Column, preferred: Column, method: str =
 
 
 def experience_score(held: Column, required: Column) -> Column:
-    return F.when(required <= 0, 1.0).when(held <= 0, 0.0).otherwise(F.least(F.lit(1.0), held / required))
+    return F.when(required <= 0, 1.0).when(held <= 0, 0.0).when(held >= required, 1.0).otherwise(held / required)
 
 
 def education_score(held: Column, required: Column) -> Column:

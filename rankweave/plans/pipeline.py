@@ -16,6 +16,7 @@ from rankweave.operators.explain import TemplateExplainer
 from rankweave.operators.ontology import SkillOntology
 from rankweave.operators.rankers import _small, rank
 from rankweave.operators.skills import extract_skills, trusted_text
+from rankweave.runtime import materialize
 from rankweave.schemas import section
 from rankweave.sources.files import load_files, load_uploads, stem
 
@@ -103,11 +104,14 @@ class HybridRanker:
         asked = F.size(tx.trigrams(tx.tokens(c("job_text")))) >= cfg.jd_echo_min_trigrams
         rows = pairs.join(signals, "candidate_id").join(echo, ["candidate_id", "job_id"], "left")
         s4 = integrity.jd_echo_signal(F.when(asked, F.coalesce("ratio", F.lit(0.0))), cfg)
+        rows = materialize(rows, "signals")
         return rows.withColumn("integrity", integrity.report([c("s1"), c("s2"), c("s3"), s4, c("s5")], cfg)).drop("s1", "s2", "s3", "s5", "ratio")
 
     def rank_detailed(self, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
         """A row a pair: scores, integrity, gap arrays, rank. Resumes and jobs as ``build_resumes`` and ``build_jobs`` give them; a ``vector`` they carry is used."""
         c = F.col
+        # Both are read many times below; what was extracted from texts is written once.
+        resumes, jobs = materialize(resumes, "resumes"), materialize(jobs, "jobs")
         read = audit.anonymise(c("sections"), c("text"), c("name")) if self.anonymise else c("text")
         if "vector" not in resumes.columns:
             resumes = resumes.join(encode_documents(resumes, "candidate_id", read, self.embedder), "candidate_id", "left")
@@ -124,7 +128,7 @@ class HybridRanker:
         strengths = None
         if self.skill_method == "grounded":
             found, _ = self.evidence(resumes)
-            pairs, strengths = pairs.join(grounding.strengths(found), "candidate_id", "left"), c("strengths")
+            pairs, strengths = pairs.join(materialize(grounding.strengths(found), "strengths"), "candidate_id", "left"), c("strengths")
             strengths = F.coalesce(strengths, F.create_map().cast("map<string,double>"))
         semantic = F.coalesce(cosine(c("vector"), c("job_vector")), F.lit(0.0))
         scored = scoring.score_pairs(pairs, self.weights, self.gate, self.skill_method, self.grounding, semantic, c("integrity.penalty"), strengths)
@@ -178,6 +182,7 @@ def screen(resumes: DataFrame, jobs: DataFrame, ontology: SkillOntology, explain
     ranked = HybridRanker(ontology, **settings).rank_detailed(resumes, jobs)
     if explainer is None or explain_top_k <= 0:
         return ranked
+    ranked = materialize(ranked, "ranked")
     top = explainer.explain(add_gaps(ranked.filter(F.col("rank") <= explain_top_k), ontology)).select("job_id", "candidate_id", "explanation", "facts")
     return ranked.join(top, ["job_id", "candidate_id"], "left")
 

@@ -13,7 +13,7 @@ from rankweave.operators import audit, corpus, grounding, integrity, metrics, ra
 from rankweave.operators import skills as sk
 from rankweave.plans.catalogue import Catalogue, r6
 from rankweave.plans.skill_queries import ONTOLOGY
-from rankweave.runtime import materialize, table
+from rankweave.runtime import table
 
 query = Catalogue()
 
@@ -554,8 +554,8 @@ def screened_corpus(spark: SparkSession, d: str) -> DataFrame:
 
     rows, jobs, _ = corpus.generate(spark)
     docs = rows.select("candidate_id", F.concat("candidate_id", F.lit(".txt")).alias("path"), "text", corpus.spans(_C("text"), _C("hidden")).alias("spans"), F.array(F.lit(0xFFFFFF)).alias("page_backgrounds"))
-    resumes = materialize(pipeline.build_resumes(docs, ONTOLOGY, as_of=2024 * 12 + 12), "resumes")
-    wanted = materialize(pipeline.build_jobs(jobs.select("job_id", "title", "text"), ONTOLOGY), "jobs")
+    resumes = pipeline.build_resumes(docs, ONTOLOGY, as_of=2024 * 12 + 12)
+    wanted = pipeline.build_jobs(jobs.select("job_id", "title", "text"), ONTOLOGY)
     ranked = pipeline.screen(resumes, wanted, ONTOLOGY, TemplateExplainer(), skill_method="grounded")
     return ranked.select("job_id", "candidate_id", "rank", r6("total").alias("total"), _C("integrity.flagged").alias("flagged"), "explanation")
 
