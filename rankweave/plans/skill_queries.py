@@ -79,7 +79,9 @@ def pairs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     req = bitsets.encode(lines, "job_id", "p_name", names, "req", F.col("l_quantity") >= 45)
     pref = bitsets.encode(lines, "job_id", "p_name", names, "pref", (F.col("l_quantity") >= 40) & (F.col("l_quantity") < 45))
     jobs = bitsets.minus(req.join(pref, "job_id"), "pref", "req", k).filter(bitsets.size("req", k) > 0)
-    return held.crossJoin(F.broadcast(jobs) if _small(jobs) else jobs), k
+    # Few bytes a candidate, but each meets every job: adaptive coalescing by bytes would leave one task all the work.
+    tasks = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return held.repartition(tasks).crossJoin(F.broadcast(jobs) if _small(jobs) else jobs), k
 
 
 def customer_years(spark: SparkSession, d: str) -> DataFrame:
