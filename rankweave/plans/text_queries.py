@@ -401,9 +401,10 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return rankers.top_k(fused.withColumn("score", r6("score")), 20)
 
 
-_HYBRID = f"""{_PENALTY}, {_BM25}, {_DENSE.replace('label AS job_id', '(label % 4) AS job_id')},
+_HYBRID = f"""{_PENALTY}, {_BM25}, {_DENSE.replace('label AS job_id', '(label % 4) AS job_id').replace('round(greatest', '(greatest').replace(', 6) AS score FROM embeddings', ') AS score FROM embeddings')},
+bh AS (SELECT job_id, candidate_id, CASE WHEN max(s) OVER (PARTITION BY job_id) > 0 THEN s / max(s) OVER (PARTITION BY job_id) ELSE 0 END AS score FROM braw),
 hyb AS (SELECT b.job_id, b.candidate_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.4::DOUBLE * coalesce(d.score, 0) + 0.3::DOUBLE * b.score + 0.2::DOUBLE * least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) + 0.1::DOUBLE * (q.quality = 1)::INT) - penalty)), 6) AS total
-  FROM bm25 b JOIN documents t ON t.doc_id = b.candidate_id JOIN pen ON pen.doc_id = b.candidate_id LEFT JOIN dense d ON d.candidate_id = b.candidate_id AND d.job_id = b.job_id % 4 LEFT JOIN (SELECT doc_id, quality FROM labels) q ON q.doc_id = b.candidate_id)"""
+  FROM bh b JOIN documents t ON t.doc_id = b.candidate_id JOIN pen ON pen.doc_id = b.candidate_id LEFT JOIN dense d ON d.candidate_id = b.candidate_id AND d.job_id = b.job_id % 4 LEFT JOIN (SELECT doc_id, quality FROM labels) q ON q.doc_id = b.candidate_id)"""
 
 
 @query(f"{_HYBRID.replace('* (q.quality = 1)::INT', '* coalesce((q.quality = 1)::INT, 0)')}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank FROM hyb) SELECT job_id, candidate_id, total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
@@ -411,10 +412,12 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     """Documents for benchmark items: vectors of equal id as the dense part, BM25 for skills, length for experience, quality for education, less the integrity penalty."""
     v = table(spark, d, "embeddings")
     queries = v.groupBy((_C("label") % 4).alias("slot")).agg(F.min_by("embedding", "vec_id").alias("q"))
-    near = v.crossJoin(F.broadcast(queries)).select(_C("vec_id").alias("candidate_id"), "slot", r6(vx.cosine(_C("embedding"), _C("q"))).alias("semantic"))  # four queries
+    near = v.crossJoin(F.broadcast(queries)).select(_C("vec_id").alias("candidate_id"), "slot", vx.cosine(_C("embedding"), _C("q")).alias("semantic"))  # four queries
     docs = table(spark, d, "documents").select(_C("doc_id").alias("candidate_id"), "n_chars").join(_penalties(spark, d).withColumnRenamed("doc_id", "candidate_id"), "candidate_id")
     docs = docs.join(table(spark, d, "labels").select(_C("doc_id").alias("candidate_id"), "quality"), "candidate_id", "left")
-    rows = _bm25(spark, d).join(docs, "candidate_id").withColumn("slot", (_C("job_id") % 4).cast("int")).join(near, ["candidate_id", "slot"], "left")
+    # Parts stay unrounded: sums of rounded ones would often end halfway between two results.
+    lexical = rankers.Bm25Ranker().score_all(_texts(spark, d), _jobs(spark, d))
+    rows = lexical.join(docs, "candidate_id").withColumn("slot", (_C("job_id") % 4).cast("int")).join(near, ["candidate_id", "slot"], "left")
     s = scoring.combine(F.coalesce("semantic", F.lit(0.0)), _C("score"), F.least(F.lit(1.0), _C("n_chars") / F.lit(4000.0)), F.coalesce((_C("quality") == 1).cast("double"), F.lit(0.0)), _C("penalty"))
     return rankers.top_k(rows.select("job_id", "candidate_id", r6(s.getField("total")).alias("total")), 10, "total")
 
