@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rankweave.functions.text import let, rank_tokens
 from rankweave.functions.text import ngrams as text_ngrams
 from rankweave.functions.vectors import cosine
+from rankweave.runtime import materialize
 
 #: English stop words of the TF-IDF ranker; a parameter of it.
 ENGLISH_STOP_WORDS = tuple(
@@ -57,6 +58,11 @@ def _small(jobs: DataFrame, rows: int = 10_000) -> bool:
     return jobs.select("job_id").limit(rows + 1).count() <= rows
 
 
+def _few(terms: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Terms of jobs, broadcast if they are at most so many rows (about 10 MB); checked, not assumed."""
+    return F.broadcast(terms) if terms.limit(rows + 1).count() <= rows else terms
+
+
 @dataclass(frozen=True)
 class Bm25Ranker:
     """Okapi BM25 over the batch; terms that occur twice in a job count twice; negative idf becomes ``epsilon`` times the mean."""
@@ -71,14 +77,15 @@ class Bm25Ranker:
         words = texts.select("candidate_id", self.tokenise(F.col("text")).alias("words")).withColumn("length", F.size("words"))
         stats = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
         tf = words.select("candidate_id", "length", F.explode("words").alias("term")).groupBy("candidate_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+        tf = materialize(tf, "bm25-terms")  # read for the statistics and for the scores
         df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)  # one row of statistics
         df = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = df.agg(F.avg("idf").alias("mean_idf"))
         idf = df.crossJoin(mean).select("term", "mean_length", F.when(F.col("idf") < 0, F.lit(self.epsilon) * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
         query = jobs.select("job_id", F.explode(self.tokenise(F.col("text"))).alias("term")).groupBy("job_id", "term").agg(F.count("*").alias("qtf"))
-        # Job terms first: only candidates' rows of those terms go on.
+        # Job terms first: only candidates' rows of those terms go on, and where these terms are few they alone move.
         weight = F.col("idf") * F.col("qtf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("length") / F.col("mean_length")))
-        scores = query.join(idf, "term").join(tf, "term").groupBy("job_id", "candidate_id").agg(F.sum(weight).alias("score"))
+        scores = tf.join(_few(query.join(idf, "term")), "term").groupBy("job_id", "candidate_id").agg(F.sum(weight).alias("score"))
         return scale_by_max(scores) if self.scale else scores
 
 
@@ -96,22 +103,23 @@ class TfidfRanker:
 
     def terms(self, text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
-        stop = F.array(*[F.lit(w) for w in self.stop_words]) if self.stop_words else F.array().cast("array<string>")
-        return _terms(F.filter(words, lambda w: ~F.array_contains(stop, w)), self.ngram_range)
+        kept = F.filter(words, lambda w: ~w.isin(*self.stop_words)) if self.stop_words else words
+        return _terms(kept, self.ngram_range)
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
         count = lambda df, key: df.select(key, F.explode(self.terms(F.col("text"))).alias("term")).groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-        docs, query = count(texts, "candidate_id"), count(jobs, "job_id")
-        df = docs.groupBy("term").agg(F.count("*").alias("df"))
+        docs, query = materialize(count(texts, "candidate_id"), "tfidf-terms"), count(jobs, "job_id")
         n = texts.agg((F.count("*") + 1).alias("n"))  # the job is in its own corpus
+        df = materialize(docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n), "tfidf-vocabulary")  # one row of statistics
         # idf of a term for a job: its documents, and one more if the job has it.
         idf = lambda has: F.log((1 + F.col("n")) / (1 + F.coalesce(F.col("df"), F.lit(0)) + has)) + 1
-        weighed = docs.join(df, "term").crossJoin(n).withColumn("w0", F.col("tf") * idf(0))
-        norms = weighed.groupBy("candidate_id").agg(F.sum(F.col("w0") * F.col("w0")).alias("base"))
-        asked = query.join(df, "term", "left").crossJoin(n).select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(1).alias("idf1"))
+        own = F.col("tf") * F.col("idf0")
+        norms = docs.join(df.select("term", idf(0).alias("idf0")), "term").groupBy("candidate_id").agg(F.sum(own * own).alias("base"))
+        asked = query.join(df.select("term", "df"), "term", "left").crossJoin(n).select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
+        asked = materialize(asked, "tfidf-jobs")
         job_norm = asked.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
         # A common term weighs less with the job in the corpus; the norm is corrected for those terms alone.
-        common = asked.join(weighed.select("candidate_id", "term", "tf", "w0"), "term").withColumn("w1", F.col("tf") * F.col("idf1"))
+        common = docs.join(_few(asked), "term").withColumn("w0", own).withColumn("w1", F.col("tf") * F.col("idf1"))
         sums = common.groupBy("job_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("w1")).alias("dot"), F.sum(F.col("w1") * F.col("w1") - F.col("w0") * F.col("w0")).alias("change"))
         full = sums.join(norms, "candidate_id").join(job_norm, "job_id")
         return full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))

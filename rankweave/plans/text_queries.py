@@ -13,7 +13,7 @@ from rankweave.operators import audit, corpus, grounding, integrity, metrics, ra
 from rankweave.operators import skills as sk
 from rankweave.plans.catalogue import Catalogue, r6
 from rankweave.plans.skill_queries import ONTOLOGY
-from rankweave.runtime import table
+from rankweave.runtime import spread, table
 
 query = Catalogue()
 
@@ -24,7 +24,11 @@ _C = F.col
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(_C("doc_id").alias("candidate_id"), "text")
+    return _documents(spark, d).withColumnRenamed("doc_id", "candidate_id")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +40,7 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, CAST(len({_RANK_TOKENS}) AS BIGINT) AS n_rank_tokens FROM documents")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(tx.tokens(_C("text"))).cast("long").alias("n_tokens"), F.size(tx.rank_tokens(_C("text"))).cast("long").alias("n_rank_tokens"))
+    return _documents(spark, d).select("doc_id", F.size(tx.tokens(_C("text"))).cast("long").alias("n_tokens"), F.size(tx.rank_tokens(_C("text"))).cast("long").alias("n_rank_tokens"))
 
 
 _GRAMS = f"""dt AS (SELECT doc_id AS candidate_id, {_TOKENS} AS t FROM documents), jt AS (SELECT item_id AS job_id, {_TOKENS} AS t FROM benchmark),
@@ -65,12 +69,12 @@ top AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_content, arg_max(term, (n, -f
 
 @query(f"WITH {_TERMS} SELECT doc_id, n_content, term, n FROM top")
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.top_terms(table(spark, d, "documents"), "doc_id", "text")
+    return integrity.top_terms(_documents(spark, d), "doc_id", "text")
 
 
 @query(f"WITH {_TERMS} SELECT doc_id, term, round(least(1.0::DOUBLE, (n * 1000.0::DOUBLE / n_content - 12) / 12), 6) AS severity FROM top WHERE n_content >= 120 AND n >= 8 AND n * 1000.0::DOUBLE / n_content > 12")
 def repetition_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = integrity.top_terms(table(spark, d, "documents"), "doc_id", "text").withColumn("s", integrity.repetition_signal(_C("n_content"), _C("term"), _C("n")))
+    rows = integrity.top_terms(_documents(spark, d), "doc_id", "text").withColumn("s", integrity.repetition_signal(_C("n_content"), _C("term"), _C("n")))
     return rows.filter("s.triggered").select("doc_id", "term", r6("s.severity").alias("severity"))
 
 
@@ -84,7 +88,7 @@ st AS (SELECT avg(density) AS m, stddev_pop(density) AS sd, count(*) AS c FROM d
 
 def _density(spark: SparkSession, d: str) -> DataFrame:
     words = F.array(*map(F.lit, LEXICON))
-    rows = table(spark, d, "documents").select("doc_id", "text", F.array_intersect(tx.tokens(_C("text")), words).alias("skills"))
+    rows = _documents(spark, d).select("doc_id", "text", F.array_intersect(tx.tokens(_C("text")), words).alias("skills"))
     stats = integrity.corpus_stats(rows, integrity.skill_density(_C("skills"), _C("text")))
     return rows.crossJoin(F.broadcast(stats))  # one row
 
@@ -146,7 +150,7 @@ pen AS (SELECT doc_id, round(least(0.35::DOUBLE, 0.35::DOUBLE * (0.15::DOUBLE *
 def _penalties(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, penalty, flagged: density, repetition and the strongest echo; documents have no spans and no sections."""
     docs = _density(spark, d)
-    terms = integrity.top_terms(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_content", "term", "n")
+    terms = integrity.top_terms(_documents(spark, d), "doc_id", "text").select("doc_id", "n_content", "term", "n")
     echo = integrity.echo_pairs(_texts(spark, d), _jobs(spark, d)).groupBy(_C("candidate_id").alias("doc_id")).agg(F.max("ratio").alias("ratio"))
     density = integrity.skill_density_signal(_C("skills"), _C("text"), _C("density_mean"), _C("density_std"), _C("usable"))
     each = docs.select("doc_id", density.alias("s2")).join(terms, "doc_id", "left").join(echo, "doc_id", "left")
@@ -187,7 +191,7 @@ def _resumes(spark: SparkSession, d: str) -> DataFrame:
         F.lit("Customer Name\nc"), cust, F.lit("@example.com\nSUMMARY\nBuyer number "), cust, F.lit(".\nWORK EXPERIENCE:\nEngineer at Firm "), (_C("o_custkey") % 9).cast("string"), F.lit(", Jan "), year(5), F.lit(" - Dec "), year(3),
         F.lit("\nAnalyst at Shop, "), year(4), F.lit(" to "), year(0), F.lit("\nEducation\n"), school, F.lit("\nTechnical Skills\npython, docker, sql, c"), (_C("o_custkey") % 3).cast("string"), F.lit("\n"),
     )
-    return table(spark, d, "orders").select(_C("o_orderkey").alias("id"), text.alias("text"), "o_custkey", "o_orderdate")
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(_C("o_orderkey").alias("id"), text.alias("text"), "o_custkey", "o_orderdate")
 
 
 @query(f"""WITH {_RESUME_SQL} SELECT id, 'education,experience,other,skills,summary' AS names, 'Buyer number ' || o_custkey || '.' AS summary, CAST(length(':' || chr(10) || split_part(split_part(text, 'WORK EXPERIENCE:' || chr(10), 2), chr(10) || 'Education', 1)) AS BIGINT) AS experience_chars,
@@ -229,7 +233,7 @@ def contact_email(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[\pL\pN_.+-]+@[\pL\pN_-]+\.[\pL\pN_.-]+', '[EMAIL]', 'g'), 'https?://\S+|www\.\S+', '[URL]', 'g'),
   '(?:\+\d{1,3}[\s-]?)?(?:\(\d{3}\)[\s-]?)?\d{3}[\s-]?\d{4}\b', '[PHONE]', 'g')) AS redacted FROM documents""")
 def redaction(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(tx.redact(_C("text")).cast("binary"), 256).alias("redacted"))
+    return _documents(spark, d).select("doc_id", F.sha2(tx.redact(_C("text")).cast("binary"), 256).alias("redacted"))
 
 
 _WORDS = ("sh", "r", "rest", "that", "une", "la")
@@ -239,7 +243,7 @@ _WORDS = ("sh", "r", "rest", "that", "une", "la")
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     """How often each word of a dictionary stands alone."""
     hits = F.transform(sk.matches(_C("text"), sk.dictionary_pattern(list(_WORDS))), lambda m: m.getField("surface"))
-    rows = table(spark, d, "documents").select("doc_id", hits.alias("h"))
+    rows = _documents(spark, d).select("doc_id", hits.alias("h"))
     count = lambda w: F.size(F.filter("h", lambda x: x == w)).cast("long").alias(f"n_{w}")
     return rows.select("doc_id", *map(count, _WORDS))
 
@@ -301,7 +305,7 @@ c AS (SELECT doc_id, len(w) AS n, greatest(0, CAST(ceil((len(w) - 170) / 140.0)
 SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE chunks END AS n_chunks, CASE WHEN n = 0 THEN 0 WHEN n <= 170 THEN n ELSE n - (chunks - 1) * 140 END AS last_words FROM c""")
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     """Documents have no empty lines, so each is one paragraph."""
-    rows = table(spark, d, "documents").select("doc_id", vx.chunk_text(_C("text")).alias("c"))
+    rows = _documents(spark, d).select("doc_id", vx.chunk_text(_C("text")).alias("c"))
     return rows.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.coalesce(tx.word_count(F.try_element_at("c", F.lit(-1))), F.lit(0)).cast("long").alias("last_words"))
 
 
@@ -464,7 +468,7 @@ def _attacked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(BM25 ranking of documents and attacked copies for the first item, pairs)."""
     low = table(spark, d, "labels").filter("quality = 0").select("doc_id")
     job = _jobs(spark, d).orderBy("job_id").limit(1)
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = _documents(spark, d)
     copies = docs.join(low, "doc_id", "left_semi").crossJoin(F.broadcast(job.select(_C("text").alias("job_text"))))  # one row
     copies = copies.select((_C("doc_id") + 1_000_000_000).alias("candidate_id"), F.concat("text", F.lit("\n"), "job_text").alias("text"))
     pool = docs.select(_C("doc_id").alias("candidate_id"), "text").unionByName(copies)
@@ -529,7 +533,7 @@ def anonymised(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def terse_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", audit.terse_rewrite(_C("text")).alias("text"))
+    return _documents(spark, d).select("doc_id", audit.terse_rewrite(_C("text")).alias("text"))
 
 
 @query()

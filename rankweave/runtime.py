@@ -73,3 +73,12 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that arrives in fewer partitions than there are cores, dealt out to all; any other unchanged.
+
+    For costly work a row on files of few row groups. Only for plans without a shuffle, whose partitions are known before they run.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores * 2) if scan.rdd.getNumPartitions() < cores else scan
