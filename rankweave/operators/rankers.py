@@ -58,7 +58,7 @@ def _small(jobs: DataFrame, rows: int = 10_000) -> bool:
     return jobs.select("job_id").limit(rows + 1).count() <= rows
 
 
-def _few(terms: DataFrame, rows: int = 200_000) -> DataFrame:
+def few(terms: DataFrame, rows: int = 200_000) -> DataFrame:
     """Terms of jobs, broadcast if they are at most so many rows (about 10 MB); checked, not assumed."""
     return F.broadcast(terms) if terms.limit(rows + 1).count() <= rows else terms
 
@@ -85,7 +85,7 @@ class Bm25Ranker:
         query = jobs.select("job_id", F.explode(self.tokenise(F.col("text"))).alias("term")).groupBy("job_id", "term").agg(F.count("*").alias("qtf"))
         # Job terms first: only candidates' rows of those terms go on, and where these terms are few they alone move.
         weight = F.col("idf") * F.col("qtf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("length") / F.col("mean_length")))
-        scores = tf.join(_few(query.join(idf, "term")), "term").groupBy("job_id", "candidate_id").agg(F.sum(weight).alias("score"))
+        scores = tf.join(few(query.join(idf, "term")), "term").groupBy("job_id", "candidate_id").agg(F.sum(weight).alias("score"))
         return scale_by_max(scores) if self.scale else scores
 
 
@@ -119,7 +119,7 @@ class TfidfRanker:
         asked = materialize(asked, "tfidf-jobs")
         job_norm = asked.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
         # A common term weighs less with the job in the corpus; the norm is corrected for those terms alone.
-        common = docs.join(_few(asked), "term").withColumn("w0", own).withColumn("w1", F.col("tf") * F.col("idf1"))
+        common = docs.join(few(asked), "term").withColumn("w0", own).withColumn("w1", F.col("tf") * F.col("idf1"))
         sums = common.groupBy("job_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("w1")).alias("dot"), F.sum(F.col("w1") * F.col("w1") - F.col("w0") * F.col("w0")).alias("change"))
         full = sums.join(norms, "candidate_id").join(job_norm, "job_id")
         return full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))

@@ -68,6 +68,11 @@ def _bought(spark: SparkSession, d: str) -> DataFrame:
     return _named_lines(spark, d).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Few bytes a candidate, but each meets every job: adaptive coalescing by bytes would leave one task all the work."""
+    return max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pairs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     """(every customer with every supplier as bit sets held, req, pref; words of a set)."""
     lines = _named_lines(spark, d).select("l_orderkey", F.col("l_suppkey").alias("job_id"), "l_quantity", "p_name")
@@ -79,9 +84,7 @@ def pairs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     req = bitsets.encode(lines, "job_id", "p_name", names, "req", F.col("l_quantity") >= 45)
     pref = bitsets.encode(lines, "job_id", "p_name", names, "pref", (F.col("l_quantity") >= 40) & (F.col("l_quantity") < 45))
     jobs = bitsets.minus(req.join(pref, "job_id"), "pref", "req", k).filter(bitsets.size("req", k) > 0)
-    # Few bytes a candidate, but each meets every job: adaptive coalescing by bytes would leave one task all the work.
-    tasks = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return held.repartition(tasks).crossJoin(F.broadcast(jobs) if _small(jobs) else jobs), k
+    return held.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if _small(jobs) else jobs), k
 
 
 def customer_years(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +156,8 @@ def _grounded(spark: SparkSession, d: str) -> DataFrame:
     lines = _named_lines(spark, d).filter("l_quantity >= 40").groupBy(F.col("l_suppkey").alias("job_id"), F.col("p_name").alias("skill"))
     asked = lines.agg(F.when(F.max("l_quantity") >= 45, 1.0).otherwise(0.5).alias("w"))
     asked = asked.join(asked.filter("w = 1").select("job_id").distinct(), "job_id", "left_semi")
-    met = asked.join(strength, "skill").groupBy("job_id", "candidate_id").agg(F.sum("w").alias("met"), F.sum(F.col("w") * F.col("g")).alias("met_g"))
+    # Strengths lie by candidate, and so do their pairs: where asked skills are few enough to broadcast, pairs are summed without being moved.
+    met = strength.repartition(_tasks(spark), "candidate_id").join(rankers.few(asked), "skill").groupBy("job_id", "candidate_id").agg(F.sum("w").alias("met"), F.sum(F.col("w") * F.col("g")).alias("met_g"))
     return met.join(asked.groupBy("job_id").agg(F.sum("w").alias("w")), "job_id")
 
 
