@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankweave.llm import leaks, mixing, quality, simhash
+from rankweave.llm import leaks, mixing, near_copies, quality
 from rankweave.runtime import materialize, table
 
 
@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-STAGES = [("quality classifier", good_quality), ("simhash near-dedup", one_of_each), ("benchmark decontamination", without_leaks), ("mixing sources", mixed)]
+STAGES = [("quality classifier", good_quality), ("near-dedup", one_of_each), ("benchmark decontamination", without_leaks), ("mixing sources", mixed)]
 
-#: SQL can't express the classifier's vectors or the fingerprints.
+#: SQL can't express the classifier's vectors or the shingles' hashes.
 ORACLE_SQL = None
 
 
