@@ -145,3 +145,10 @@ def test_cascade_without_keys(spark):
     empty = spark.createDataFrame([], "host string")
     (found,) = url_filter.cascades(empty, [])
     assert b"a.org" not in found
+
+
+def test_a_url_in_a_query_is_no_path(spark):
+    urls = ["http://example.net?u=http://x.org/fr/a", "http://example.com#http://y.com/de/1", "https://z.org?next=https://example.com/de/", "http://a.net/?u=http://x.org/fr/a"]
+    out = url_filter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)])).collect()
+    assert {r.page_id: tuple(r)[1:] for r in out} == {i: expected(u) for i, u in enumerate(urls)}
+    assert {r.page_id: r.path for r in out} == {0: "", 1: "", 2: "", 3: "/"}
