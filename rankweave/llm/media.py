@@ -7,7 +7,8 @@ one pass. A tile is the resized grey image in NPY format; the difference hash co
 8 x 9 tile: 64 bits.
 
 The text query stores a text's bytes, padded with zeros to a positive multiple of 64, as a raw grey Netpbm
-image 64 pixels wide, reads it back and computes hash and tile from what it read.
+image 64 pixels wide in a written table of the shared folder, reads the table back, and writes digests, hash and
+NPY tile of what it read as a second one.
 
 Defined cases: null and empty texts are one row of zeros; a binary that isn't such an image, or is cut off,
 gives null features (``media_features``) or ValueError (``decode``); equal inputs give equal values; other
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rankweave.llm.columns import pick, texts
-from rankweave.runtime import small_batches
+from rankweave.runtime import materialize, small_batches
 
 WIDTH = 64
 TILE = 32
@@ -173,25 +174,37 @@ def media_features(frame: DataFrame, id_column: str, media_column: str, side: in
 
 
 def text_media(documents: DataFrame, keep: bool = False) -> DataFrame:
-    """Each text as a grey image and what is read back from it; ``keep`` adds the image (media) and its NPY tile."""
+    """Each text stored as a grey image, and what is read back from the store; ``keep`` adds the image (media) and its NPY tile.
+
+    Two written tables in the shared folder: ``media`` (doc_id, n_bytes, media) and ``media-tiles`` (the digests and NPY tiles
+    of the stored images). The result is read from the second.
+    """
     small_batches(documents.sparkSession)
-    more = ", media binary, tile binary" if keep else ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in texts(batch, "text"):
                 raw = text.encode()
                 padded = raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
-                media = encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
+                rows.append((len(raw), encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))))
+            yield pa.record_batch({"doc_id": batch.column(0), "n_bytes": pa.array([r[0] for r in rows], pa.int64()), "media": pa.array([r[1] for r in rows], pa.binary())})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for media in batch.column(2).to_pylist():
                 image = decode(media)
                 back = image.tobytes()
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image))
-                rows.append((*row, media, tile(image)) if keep else row)
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tile")[: 9 if keep else 7]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), tile(image)))
+            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.record_batch({"doc_id": batch.column(0)} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=False)})
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + more
-    return pick(documents, doc_id="long", text="string").mapInArrow(run, schema)
+            kept = {"media": batch.column(2)} if keep else {}
+            yield pa.record_batch({"doc_id": batch.column(0), "n_bytes": batch.column(1)} | {n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)} | kept)
+
+    stored = materialize(pick(documents, doc_id="long", text="string").mapInArrow(store, "doc_id long, n_bytes long, media binary"), "media", "zstd")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary" + (", media binary" if keep else "")
+    tiles = materialize(stored.mapInArrow(read, schema), "media-tiles", "zstd")
+    shown = [c for c in tiles.columns if c not in ("media", "tile")]
+    return tiles.select(*shown, *(["media", "tile"] if keep else []))

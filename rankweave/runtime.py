@@ -40,10 +40,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rankweave/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(frame: DataFrame, name: str) -> DataFrame:
+def materialize(frame: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``frame`` to the shared folder and read it again: lineage ends, lost executors cost nothing."""
     path = work_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=codec)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

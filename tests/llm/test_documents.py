@@ -1,16 +1,19 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeats, empty tables and odd columns."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankweave.llm import leaks, licenses, media, mixing, quality, simhash, tokens
+from rankweave.llm import leaks, licenses, media, mixing, quality, queries, simhash, tokens
+from rankweave.runtime import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, fp string, `key` string, repeats int, target string, `draw` string, label string, media string"
 
@@ -124,6 +127,20 @@ def test_text_media_round_trip(spark):
     assert out[2][1:] == out[5][1:]
 
 
+def test_query_stores_media_and_tiles(spark, tmp_path):
+    documents(spark, [(i, t, "a") for i, t in enumerate([None, "abc", "long " * 5000])]).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "rankweave"
+    before = set(folder.glob("media*"))
+    out = {r.doc_id: r for r in queries.op5_media_tiles(spark, str(tmp_path)).collect()}
+    stored, tiles = (spark.read.parquet(str(p)) for p in sorted(set(folder.glob("media*")) - before, key=lambda p: p.name.startswith("media-tiles")))
+    images = {r.doc_id: media.decode(bytes(r.media)) for r in stored.collect()}
+    found = {r.doc_id: np.load(io.BytesIO(bytes(r.tile))) for r in tiles.collect()}
+    assert set(images) == set(found) == set(out) == {0, 1, 2}
+    for i, image in images.items():
+        assert out[i].payload_sha256 == hashlib.sha256(image.tobytes()).hexdigest()
+        assert found[i].dtype == np.uint8 and (found[i] == np.rint(media.area_resize(image, 32, 32))).all()
+
+
 def test_decoders():
     rgb = np.random.default_rng(1).integers(0, 256, (5, 7, 3)).astype(np.uint8)
     assert (media.decode(media.encode_bmp(rgb)) == rgb).all()
