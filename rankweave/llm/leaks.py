@@ -4,7 +4,8 @@ Texts become tokens; two templates are read from them. In the plain one numbers
 name units ``<unit>``, and all other words themselves in lower case. In the named one capitalised words are
 ``<name>`` as well. Windows of 8 template tokens (all of a shorter item, of 3 at least) are hashed; a
 document's windows are looked up in the items' windows. Windows of fewer than half plain words say nothing
-and are left out of the named template. Matching windows on one diagonal (position in the document less
+and are left out of the named template; those of fewer than a quarter have placeholders in the plain one for
+too much, and are looked up as they stand instead, numbers and units included (the literal template). Matching windows on one diagonal (position in the document less
 position in the item) are put together, and their slots compared: an item's number, name or unit must stand
 for one value of the document wherever it occurs, and different values for different ones. Windows that break
 that are dropped. What is left leaks if it covers half of the item, or 13 tokens in a row.
@@ -78,8 +79,10 @@ def _sums(flags: np.ndarray, window: int) -> np.ndarray:
 @dataclass
 class Index:
     words: _Vocabulary
-    items: list[tuple[int | None, list[str], np.ndarray, np.ndarray]]  # id, tokens, plain ids, named ids
+    items: list[tuple[int | None, list[str], np.ndarray, np.ndarray, np.ndarray]]  # id, tokens, literal, plain and named ids
     windows: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes, (item, position, template) of each
+    literal: dict[str, int]  # ids of the items' tokens, numbers and units included
+    has_literal: bool
 
 
 def _templates(words: list[str], vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +91,19 @@ def _templates(words: list[str], vocabulary: _Vocabulary) -> tuple[np.ndarray, n
     return plain, np.where(capital, _NAME, plain)
 
 
+def _literal(words: list[str], known: dict[str, int]) -> np.ndarray:
+    return np.fromiter((known.get(w.lower(), _UNKNOWN) for w in words), dtype=np.int64, count=len(words))
+
+
+def _looked_up(plain: np.ndarray, named: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows are looked up in the literal, the plain and the named template: each in one of the first two."""
+    enough = _sums(plain >= _WORDS, size) * 4 >= size
+    return ~enough, enough, _sums(named >= _WORDS, size) * 2 >= size
+
+
 def build_index(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> Index:
     vocabulary = _Vocabulary({u: _UNIT for u in UNITS})
+    literal: dict[str, int] = {}
     cut = {}
     for item, text in items:
         words = tokens(text)
@@ -97,22 +111,23 @@ def build_index(items: list[tuple[int | None, str | None]], window: int = WINDOW
             cut.setdefault((item is None, item, tuple(words)), words)
             for w in words:
                 low = w.lower()
+                literal.setdefault(low, _WORDS + len(literal))
                 if not low[0].isdigit() and low not in vocabulary:
                     vocabulary[low] = _WORDS + len(vocabulary)
     held, rows = [], defaultdict(list)
     for n, ((_, item, _), words) in enumerate(cut.items()):
         plain, named = _templates(words, vocabulary)
-        held.append((item, words, plain, named))
+        ids_of = (_literal(words, literal), plain, named)
+        held.append((item, words, *ids_of))
         size = min(window, len(words))
-        for template, ids in enumerate((plain, named)):
+        for template, (ids, ok) in enumerate(zip(ids_of, _looked_up(plain, named, size), strict=True)):
             keys = _keys(ids, size)
-            enough = _sums(ids >= _WORDS, size) * 2 >= size
-            rows[size] += [(k, n, at, template) for at, (k, ok) in enumerate(zip(keys.tolist(), enough.tolist(), strict=True)) if ok]
+            rows[size] += [(k, n, at, template) for at, (k, taken) in enumerate(zip(keys.tolist(), ok.tolist(), strict=True)) if taken]
     windows = {}
     for size, found in rows.items():
         found.sort()
         windows[size] = (np.array([f[0] for f in found], dtype=np.uint64), np.array([f[1:] for f in found], dtype=np.int64).reshape(-1, 3))
-    return Index(vocabulary, held, windows)
+    return Index(vocabulary, held, windows, literal, any(f[3] == 0 for found in rows.values() for f in found))
 
 
 def find(text: str | None, index: Index) -> list[tuple[int | None, int, float, bool]]:
@@ -121,13 +136,15 @@ def find(text: str | None, index: Index) -> list[tuple[int | None, int, float, b
     if len(words) < LEAST or not index.items:
         return []
     plain, named = _templates(words, index.words)
+    ids_of = (_literal(words, index.literal) if index.has_literal else None, plain, named)
     diagonals: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
     for size, (keys, places) in index.windows.items():
         if plain.size < size:
             continue
-        for template, ids in enumerate((plain, named)):
-            known = _sums(ids >= 0, size) == size
-            at = np.flatnonzero(known & (_sums(ids >= _WORDS, size) * 2 >= size))
+        for template, (ids, ok) in enumerate(zip(ids_of, _looked_up(plain, named, size), strict=True)):
+            if ids is None:
+                continue
+            at = np.flatnonzero((_sums(ids >= 0, size) == size) & ok)
             if not at.size:
                 continue
             mine = _hash_at(ids, at, size)
@@ -160,12 +177,12 @@ def _hash_at(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def _judge(item: tuple, words: list[str], shift: int, found: list[tuple[int, int, int]]) -> tuple[int, float, bool] | None:
     """The windows of one diagonal whose slots agree, if they cover enough of the item."""
-    _, own, plain, named = item
+    _, own, _, plain, named = item
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     covered = np.zeros(len(own), dtype=bool)
     kept, changed = 0, False
-    for place, size, _ in sorted(set(found), key=lambda f: (f[2], f[0])):  # the plain template's slots are set first
+    for place, size, _ in sorted(set(found), key=lambda f: (f[2], f[0])):  # literal slots are set first, then the plain template's
         slots = []
         for i in range(place, place + size):
             a, b = own[i].lower(), words[i + shift].lower()

@@ -339,3 +339,22 @@ def test_leaks_match_brute_force(spark):
                 if sum(covered) >= 10:
                     want.add(k)
         assert {f[0] for f in leaks.find(t, index)} == want
+
+
+SUMS = ("Compute 12 + 7 * 30 - 45 / 9 and 18 * 2 - 6", "Convert 5 km 300 m 20 cm 7 mm to 14 inches", "3 9 27 81 243 729 2187 6561", "If 4 of 9 boxes hold 7 kg and 5 of 9 hold 12 kg, how many kg are in all 9 boxes")
+
+
+def test_number_heavy_items_match_brute_force():
+    rng = random.Random(11)
+    index = leaks.build_index(list(enumerate(SUMS)))
+    for _ in range(120):
+        k = rng.randrange(len(SUMS))
+        own = leaks.tokens(SUMS[k])
+        at, n = rng.randrange(len(own)), rng.randint(3, len(own))
+        words = [f"pad{rng.choice('abc')}" for _ in range(9)] + own[at : at + n] + ["end", "of", "text"]
+        covered = [any(at <= s and s + 8 <= min(at + n, len(own)) for s in range(max(0, i - 7), i + 1)) for i in range(len(own))]
+        assert (k in {f[0] for f in leaks.find(" ".join(words), index)}) == (sum(covered) * 2 >= len(own) or sum(covered) >= 13)
+    for k, item in enumerate(SUMS):
+        assert [f[0] for f in leaks.find(f"x {item} y", index)] == [k]
+    assert leaks.find("1 2 3 4 5 6 7 8 9 10 11 12 and 5 6 7 8", index) == []
+    assert leaks.find(SUMS[3].replace("9", "8").replace("12", "31"), index)[0][::3] == (3, True)
