@@ -1,6 +1,8 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences at line ends and after ``.``, ``!``, ``?`` or ``;`` with white space behind.
+A text is cut into sentences at blank lines and after ``.``, ``!``, ``?``, ``;`` or ``:`` with white space behind; a
+single line end is a space, as license texts are wrapped. A piece that isn't known as a whole is cut at its line
+ends as well, so a notice on a line of its own is found among other lines.
 Each sentence is normalised: lower case, everything but letters, digits and ``+`` one space, copyright years
 and holders dropped with their line. A literal map sends a known sentence to its identifier; unknown
 sentences fall out. Sentences between known ones don't stop a match, their order does: a rule is an ordered
@@ -52,6 +54,12 @@ SENTENCES: dict[str, str] = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
 }
 
+#: Sentences that say what several of SENTENCES do (the GPL notice with a comma), and all their identifiers.
+JOINED: dict[str, str] = {
+    f"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {n} of the license or at your option any later version": f"gpl-terms|gpl{n}-later"
+    for n in (2, 3)
+}
+
 #: Fixed values: (license, rule, identifiers in order, rules it makes needless).
 RULES: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("MIT", "mit-text", ("mit-grant", "mit-keep", "mit-asis"), ("mit-notice", "mit-title")),
@@ -71,20 +79,25 @@ RULES: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
 )
 
 _CUT = r"([.!?;:])[ \t\r\n]+"
-_NOISE = r"[^a-z0-9+\n]+"
+#: The lower-cased text has no capitals, so one marks where a sentence ends.
+_END = "S"
+_NOISE = rf"[^a-z0-9+\n{_END}]+"
 
 
 def _sentences(text: Column) -> Column:
     """Normalised sentences, in order. The whole text is normalised at once, then cut: few passes, no lambda over words."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    cut = F.regexp_replace(low, _CUT, "\n")
-    return F.split(F.regexp_replace(F.regexp_replace(cut, _NOISE, " "), " *\n[ \n]*", "\n"), "\n")
+    cut = F.regexp_replace(low, _CUT, _END)
+    return F.split(F.regexp_replace(F.regexp_replace(cut, _NOISE, " "), " *\n *\n[ \n]*", _END), _END)
 
 
 def _identifiers(text: Column) -> Column:
     """The text's known sentences as one string: ``|id|id|``."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    found = F.transform(_sentences(text), lambda s: F.try_element_at(known, F.trim(s)))
+    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | JOINED).items() for x in pair])
+    look = lambda s: F.try_element_at(known, F.trim(s))
+    whole = lambda s: look(F.regexp_replace(s, " *\n *", " "))
+    lines = lambda s: F.transform(F.split(s, "\n"), look)
+    found = F.flatten(F.transform(_sentences(text), lambda s: F.when(whole(s).isNotNull(), F.array(whole(s))).otherwise(lines(s))))
     return F.concat(F.lit("|"), F.array_join(F.filter(found, lambda x: x.isNotNull()), "|"), F.lit("|"))
 
 

@@ -286,6 +286,60 @@ def test_license_rules(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+""",
+    "GPL-3.0-or-later": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+}
+
+
+def test_wrapped_license_texts(spark):
+    lines = "some words\nReleased under the MIT License\nother words on a line"
+    cases = [*WRAPPED.items(), *[(k, v.replace("\n", "\r\n")) for k, v in WRAPPED.items()], ("MIT", lines)]
+    out = {r.doc_id: (r.licenses, r.rules) for r in licenses.scan(documents(spark, [(i, t, "a") for i, (_, t) in enumerate(cases)])).collect()}
+    rules = {"MIT": "mit-text", "Apache-2.0": "apache-header", "GPL-3.0-or-later": "gpl3-header", "BSD-2-Clause": "bsd2-text"}
+    assert out == {i: (k, "mit-notice" if t == lines else rules[k]) for i, (k, t) in enumerate(cases)}
+
+
 # Leaks.
 
 ITEM = "Alice has 12 red apples and Bob has 7 green pears, so how many fruits do Alice and Bob hold in 3 baskets of 5 kg"
