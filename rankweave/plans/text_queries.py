@@ -13,7 +13,7 @@ from rankweave.operators import audit, corpus, grounding, integrity, metrics, ra
 from rankweave.operators import skills as sk
 from rankweave.plans.catalogue import Catalogue, r6
 from rankweave.plans.skill_queries import ONTOLOGY
-from rankweave.runtime import spread, table
+from rankweave.runtime import spread, table, work_path
 
 query = Catalogue()
 
@@ -569,11 +569,14 @@ def screened_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def load_files(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers written as text files and read back as documents. The files are few and lie in the shared folder."""
+    """Every supplier written as a text file by the executors, in the shared folder, and read back as documents."""
     from rankweave.sources import files
 
-    uploads = [(f"{r.s_name}.txt", f"{r.s_name}\nbalance {r.s_acctbal}\n".encode()) for r in table(spark, d, "supplier").orderBy("s_suppkey").limit(20).toLocalIterator()]
-    documents, _ = files.load_uploads(spark, uploads)
+    folder = work_path(spark, "suppliers")
+    line = F.concat("s_name", F.lit("\nbalance "), _C("s_acctbal").cast("string"))
+    table(spark, d, "supplier").select("s_suppkey", "s_name", line.alias("value")).write.partitionBy("s_suppkey", "s_name").text(folder)
+    found = spark.read.format("binaryFile").load(folder)
+    documents = files.parse_frame(found.select(F.concat("s_name", F.lit(".txt")).alias("path"), "content")).filter("error IS NULL")
     return documents.select("path", "text", "source_format", F.size("spans").alias("n_spans"))
 
 

@@ -42,3 +42,10 @@ def test_query(spark, base, name):
 def test_entry_without_the_optional_part(tmp_path):
     code = f"import sys; sys.path.insert(0, {str(ROOT)!r}); sys.modules['rankweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries()); assert not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_every_supplier_is_loaded(spark, tmp_path):
+    rows = [(i, f"Supplier#{i:09d}", i + 0.25) for i in range(1, 46)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = QUERIES["load_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.text, r.source_format, r.n_spans) for r in out) == [(f"{n}.txt", f"{n}\nbalance {b}", "txt", 2) for _, n, b in rows]
