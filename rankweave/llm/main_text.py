@@ -7,7 +7,8 @@ navigation, headers, footers, sidebars, forms, scripts, adverts, notices and com
 class or id), and outside containers lines that are mostly link text. Where the page names its container
 (``article``, ``main`` or their roles), the distribution is taken over that container's lines and every line
 with text is above the surge threshold, so short lines of a marked article are not lost; elsewhere a block must
-reach ``surge`` characters in a window.
+reach ``surge`` characters in a window, short lines between two surges are kept, and the text ends at the last line
+of some length whose window, before or after it, still reaches that.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 space, nothing else is dropped or capped. Defined cases: null and empty pages give an empty text; unclosed
@@ -148,7 +149,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not contained and sums.max() < surge:
         least = max(1, int(weights.max()))  # a short page: its longest line and what stands about it
     kept, open_block = [], False
-    for i, ((text, _, _), weight, total) in enumerate(zip(lines, weights, sums, strict=True)):
+    for i, (weight, total) in enumerate(zip(weights, sums, strict=True)):
         if not open_block:
             # A surge starts at a line of some length, or at a short one (a heading) right above a long one.
             heavy = contained or weight >= min(SHORT, least) or (i + 1 < len(weights) and weights[i + 1] >= least)
@@ -156,8 +157,13 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         elif total < least and (contained or weight < SHORT):
             open_block = weight > 0 and contained  # a dive
         if open_block and weight:
-            kept.append(text)
-    return " ".join(kept)
+            kept.append(i)
+    if kept and not contained:
+        # The text ends at the last line of some length whose window, before or after it, reaches the threshold; short lines between stay.
+        before = np.convolve(weights, np.ones(window, dtype=np.int64))[: len(lines)]
+        strong = np.flatnonzero((weights >= min(SHORT, least)) & (np.maximum(sums, before) >= least))
+        kept = [i for i in range(kept[0], max(kept[-1], *strong[-1:].tolist(), 0) + 1) if weights[i]]
+    return " ".join(lines[i][0] for i in kept)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

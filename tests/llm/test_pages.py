@@ -152,3 +152,12 @@ def test_a_url_in_a_query_is_no_path(spark):
     out = url_filter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)])).collect()
     assert {r.page_id: tuple(r)[1:] for r in out} == {i: expected(u) for i, u in enumerate(urls)}
     assert {r.page_id: r.path for r in out} == {0: "", 1: "", 2: "", 3: "/"}
+
+
+@pytest.mark.parametrize("middle", [["First item", "Second item", "Third item"], ["a", "b", "c", "d", "e", "f"], ["Heading"]])
+def test_short_lines_without_a_container(middle):
+    para = "Many words stand in this paragraph, which goes on for quite a while and is no menu."
+    for end in (para, "A closing paragraph of 30 signs"):
+        if end == para or len(middle) == 1:
+            page = "<body>" + "".join(f"<div>{x}</div>" for x in (para, *middle, end, "x", "y")) + "</body>"
+            assert main_text.main_text(page) == " ".join((para, *middle, end))
