@@ -1,19 +1,26 @@
-"""Near copies by exact Jaccard similarity of five-word shingles: an exact prefix-filter search.
+"""Near copies: SimHash trie links, made whole by an exact search at Jaccard similarity 0.8 of five-word shingles.
 
 A text with A-Z lower-cased is the set of its 5-word shingles (XXH64, seed 42). Two texts link where their sets'
-Jaccard similarity is 0.8 or more; a component is what links reach.
+Jaccard similarity is 0.8 or more; a component is what links reach. ``simhash.links`` finds candidates by the trie
+self-join over fingerprints of the sets, but many pairs of this similarity differ in more bits than a budget that
+blocks can carry, so a prefix-filter search finds the rest, and every candidate's sets are compared in full.
 
 Plan. (1) Texts of equal sets are one node. (2) Under any one order of shingles, linked sets of n shingles share
-one among their first n - ceil(0.8 n) + 1. The order is by hash, shingles that are frequent in a bounded sample
-of texts last, so common lines seldom bring unlike texts together; the sample touches costs only, never results.
-(3) Nodes that share a prefix shingle are a group. Groups of more than ``LARGE`` nodes are linked first, each node
-to the middle one and to its neighbour by size, so that a dense group of near copies is mostly one component.
-(4) All pairs of a group whose nodes are in different components and whose sizes allow 0.8 are candidates; those
-that share too few prefix shingles to reach 0.8 are dropped, which loses none. (5) The sets of what is left are
-compared in full. (6) Components by ``simhash.connected``.
-
-Nothing that grows with the corpus comes to the driver; joins are broadcast only if a checked count is small.
-Defined cases: as in ``simhash``; texts of fewer than 5 words have one shingle, all their words.
+one among their first n - ceil(0.8 n) + 1. The order is by hash, shingles that many texts have last, so common
+lines seldom bring unlike texts together; they are counted in a pass over all texts. Nodes that share a prefix
+shingle are a group; the group of a shingle that more than ``BLOCK`` texts have is dealt out as pairs of its
+chunks, so no task gets more than two chunks of one. (3) A node carries 256 parity bits, each that of the shingles
+hashed to it. Sets that differ in d shingles differ in d parity bits at most, and 0.8 allows (n1 + n2) / 9:
+pairs beyond that budget are dropped, which loses none. (4) First each node of a group goes with the nearest
+earlier one alone, at most one pair a row, and these and the trie's links are compared: dense groups become
+components. (5) Then pairs in different components that the budget allows are compared. (6) Components by
+``simhash.connected``.
+
+Nothing that grows with the corpus comes to the driver but shingles that a share ``OFTEN`` of texts have: by
+counting at most the mean number of shingles over ``OFTEN``. Joins are broadcast only if a checked count is small.
+Defined cases: a text of fewer than 5 words has one shingle, all its words; null and empty texts are one node
+that links with nothing else; a null doc_id is the last of its component; repeated rows, and rows that share a
+doc_id but not a text, are documents each; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,22 +30,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.columns import pick
-from rankweave.llm.simhash import _LOWER, SEED, connected
+from rankweave.llm import simhash
+from rankweave.llm.simhash import _LOWER, SEED, connected, keep_first, keyed
 from rankweave.runtime import materialize, small_batches
 
 SHINGLE = 5
-#: Documents of the sample that tells frequent shingles, and how often one occurs there.
-SAMPLE = 10_000
-FREQUENT = 3
-#: Nodes of a group beyond which its dense parts are linked first.
-LARGE = 32
+#: Shingles that this share of texts have come last in the order.
+OFTEN = 3e-4
+#: Nodes of one chunk of a group.
+BLOCK = 4096
 #: Nodes whose ids are broadcast at most.
 BROADCAST = 200_000
+_WORDS = 4  # of 64 parity bits
+_BITS = tuple(f"b{i}" for i in range(_WORDS))
 _PAIRS = 1 << 18
+_LOW = np.uint64(1 << 63)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -61,49 +70,94 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)) if found.size else 0
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of the set by (frequent, hash)."""
+def parity(found: np.ndarray) -> np.ndarray:
+    """256 bits: how often, odd or even, the set's shingles fall on each."""
+    at = (found >> np.uint64(20) & np.uint64(64 * _WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * _WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray | None = None, node: int = 0) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of the set by (often, hash); a crowded shingle as one key for each pair of its chunks."""
     n = found.size
     most = n - -(-4 * n // 5) + 1
-    if not frequent.size:
+    if not often.size:
         return found[:most]
-    at = np.minimum(np.searchsorted(frequent, found), frequent.size - 1)
-    late = frequent[at] == found
-    return np.concatenate([found[~late], found[late]])[:most]
+    at = np.minimum(np.searchsorted(often, found), often.size - 1)
+    late = often[at] == found
+    head = np.concatenate([found[~late], found[late]])[:most]
+    first_late = int((~late).sum())
+    if counts is None or first_late >= head.size or not (crowd := counts[np.searchsorted(often, head[first_late:])] > BLOCK).any():
+        return head
+    keys = [head[:first_late], head[first_late:][~crowd]]
+    for s in head[first_late:][crowd].tolist():
+        n_chunks = -(-int(counts[np.searchsorted(often, np.uint64(s))]) // BLOCK)
+        own = node % n_chunks
+        keys.append(np.array([xxhash.xxh64_intdigest(f"{s}:{min(own, o)}:{max(own, o)}", SEED) for o in range(n_chunks)], np.uint64))
+    return np.concatenate(keys)
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(place, weights=np.concatenate(counts), minlength=found.size).astype(np.int64)
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the lower half of hashes (a prefix seldom reaches further) that a share ``OFTEN`` of texts have, and how many.
+
+    Each task reports those that it meets in two texts and in that share of its own; a shingle rarer than that in a task isn't
+    counted there, which makes groups larger and results no different.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times, held, size, texts = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0, 0
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of the lower half of hashes (a prefix seldom reaches further) that a sample of SAMPLE documents has often."""
-    step = max(1, -(-docs.count() // SAMPLE))
+        def merge(least: float) -> tuple[np.ndarray, np.ndarray]:
+            every, n = _merged([known, *held], [times, *[np.ones(h.size, np.int64) for h in held]])
+            return every[n >= least], n[n >= least]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 found = shingles(text)
-                yield pa.record_batch({"s": pa.array(found[found < np.uint64(1 << 63)].view(np.int64))})
-
-    sampled = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).mapInArrow(run, "s long")
-    counted = sampled.groupBy("s").count().filter(F.col("count") >= FREQUENT).select("s")
-    return np.sort(counted.toArrow().column(0).to_numpy().view(np.uint64))
+                held.append(found := found[: np.searchsorted(found, _LOW)])
+                size += found.size
+                texts += 1
+            if size > 1 << 21:
+                known, times = merge(texts * OFTEN / 2)
+                held, size = [], 0
+        known, times = merge(max(2, texts * OFTEN))
+        yield pa.record_batch({"s": pa.array(known.view(np.int64)), "n": pa.array(times)})
+
+    least = max(3, docs.count() * OFTEN)
+    counted = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    got = counted.toArrow()
+    often, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(often)
+    return often[order], n[order]
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n and, where a task sees the node for the first time, its prefix."""
+    """doc_id, key (the text's hash), node and, where a task sees the node for the first time, its size, fingerprint, parity bits and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    new = ("n", "fp", *_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, heads = [], [], []
-            for text in batch.column(1).to_pylist():
+            nodes, facts, heads = [], [], []
+            for text in batch.column(2).to_pylist():
                 found = shingles(text)
                 nodes.append(node := node_of(found))
-                sizes.append(found.size)
-                heads.append(prefix(found, sent.value).view(np.int64) if found.size and node not in seen else None)
+                if node in seen:
+                    facts.append((None,) * len(new))
+                    heads.append(None)
+                    continue
                 seen.add(node)
-            yield pa.record_batch({"doc_id": batch.column(0), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int32()), "head": pa.array(heads, pa.list_(pa.int64()))})
+                facts.append((found.size, simhash.signed(simhash.majority(found)), *parity(found).tolist()))
+                heads.append(prefix(found, *sent.value, node).view(np.int64) if found.size else None)
+            columns = {name: pa.array(c, pa.int64()) for name, c in zip(new, zip(*facts, strict=True), strict=True)} if facts else {name: pa.array([], pa.int64()) for name in new}
+            yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "node": pa.array(nodes, pa.int64())} | columns | {"head": pa.array(heads, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, head array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in new) + ", head array<long>")
 
 
 def _grouped(rows: DataFrame, each, schema: str, *order: str) -> DataFrame:
@@ -131,87 +185,86 @@ def _grouped(rows: DataFrame, each, schema: str, *order: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if keys.size else np.empty(0, np.int64)
-    return starts, np.diff(np.append(starts, keys.size))
-
-
 def _shared(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows of groups of two nodes or more, with the group's size; a node that several tasks saw counts once."""
-    s, node, n = columns
+    """Rows of groups of two nodes or more; a node that several tasks saw counts once."""
+    s, node = columns
     if not s.size:
         return
     once = np.concatenate(([True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])))
-    s, node, n = s[once], node[once], n[once]
-    _, sizes = _runs(s)
-    m = np.repeat(sizes, sizes)
-    keep = m > 1
+    s, node = s[once], node[once]
+    same = s[1:] == s[:-1]
+    keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
     if keep.any():
-        yield pa.record_batch({"s": pa.array(s[keep]), "node": pa.array(node[keep]), "n": pa.array(n[keep]), "m": pa.array(m[keep].astype(np.int64))})
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
-    swap = a > b
-    return pa.record_batch({"a": pa.array(np.where(swap, b, a)), "b": pa.array(np.where(swap, a, b)), "na": pa.array(np.where(swap, nb, na)), "nb": pa.array(np.where(swap, na, nb))})
+        yield pa.record_batch({"s": pa.array(s[keep]), "node": pa.array(node[keep])})
 
 
-def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(na, nb).astype(np.int64) >= 4 * np.maximum(na, nb).astype(np.int64)
+def _allowed(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing parity bits) of pairs i < j of one group whose sizes and parity bits allow the similarity and whose roots differ.
 
-
-def _stars(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Each node with its group's middle one and with its neighbour by size."""
-    s, n, node = columns
-    for low, size in zip(*(x.tolist() for x in _runs(s)), strict=True):
-        v, w = node[low : low + size], n[low : low + size]
-        hub = np.full(size, size // 2)
-        at, to = np.concatenate([np.arange(size), np.arange(size - 1)]), np.concatenate([hub, np.arange(1, size)])
-        ok = (v[at] != v[to]) & _fits(w[at], w[to])
-        if ok.any():
-            yield _pairs(v[at[ok]], v[to[ok]], w[at[ok]], w[to[ok]])
+    Rows are sorted by group, then size; step after step each row meets the one ``step`` behind it, so the work is the pairs alone.
+    """
+    s, n, _, root, *bits = columns
+    bits = np.ascontiguousarray(np.stack(bits, axis=1).view(np.uint64))
+    left, step = np.arange(s.size), 0
+    while left.size:
+        step += 1
+        left = left[left + step < s.size]
+        left = left[(s[left] == s[left + step]) & (5 * n[left] >= 4 * n[left + step])]
+        for i in np.array_split(left, -(-left.size // _PAIRS) or 1):
+            i = i[root[i] != root[i + step]]
+            d = np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int64)
+            near = 9 * d <= n[i] + n[i + step]
+            if near.any():
+                yield i[near], i[near] + step, d[near]
+
+
+def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
+
+
+def _nearest(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Each row with the nearest earlier one of its group by parity bits, where one is allowed."""
+    none = np.iinfo(np.int64).max
+    best = np.full(columns[0].size, none)
+    for i, j, d in _allowed(columns):
+        best[j] = np.minimum(best[j], d << 40 | i)
+    j = np.flatnonzero(best != none)
+    if j.size:
+        yield _pairs(columns[2], best[j] & (1 << 40) - 1, j)
 
 
 def _crossing(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a group whose components differ and whose sizes allow the similarity."""
-    s, n, node, root = columns
+    """All allowed pairs of a group whose roots differ."""
     out, held = [], 0
-    for low, size in zip(*(x.tolist() for x in _runs(s)), strict=True):
-        v, w, r = node[low : low + size], n[low : low + size].astype(np.int64), root[low : low + size]
-        if (r == r[0]).all():
-            continue
-        for i, end in enumerate(np.searchsorted(4 * w, 5 * w, side="right").tolist()):  # sorted by size
-            to = np.arange(i + 1, end)
-            to = to[r[to] != r[i]]
-            if to.size:
-                out.append((np.full(to.size, v[i]), v[to], np.full(to.size, w[i], np.int32), w[to].astype(np.int32)))
-                held += to.size
-            if held >= _PAIRS:
-                yield _pairs(*map(np.concatenate, zip(*out, strict=True)))
-                out, held = [], 0
+    for i, j, _ in _allowed(columns):
+        out.append((i, j))
+        held += i.size
+        if held >= _PAIRS:
+            yield _pairs(columns[2], *map(np.concatenate, zip(*out, strict=True)))
+            out, held = [], 0
     if out:
-        yield _pairs(*map(np.concatenate, zip(*out, strict=True)))
-
-
-def _least(n: str) -> Column:
-    return F.ceil(F.col(n) * 4 / 5) - 1
+        yield _pairs(columns[2], *map(np.concatenate, zip(*out, strict=True)))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity, written."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(wanted.join(nodes.select("node", "first"), "node"), "wanted")
+    wanted = materialize(wanted.join(nodes.select("node", F.col("first.doc_id").alias("of_id"), F.col("first.key").alias("of_key")), "node"), "wanted")
     few = wanted.count() <= BROADCAST
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            # Rows that share a doc_id may have other texts.
-            kept = [(k, f.view(np.int64)) for k, f in zip(batch.column(0).to_pylist(), found, strict=True) if node_of(f) == k]
-            yield pa.record_batch({"node": pa.array([k for k, _ in kept], pa.int64()), "held": pa.array([f for _, f in kept], pa.list_(pa.int64()))})
-
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["first"]).select("node", "text")
+            kept: dict[int, np.ndarray] = {}
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if node not in seen and node_of(found := shingles(text)) == node:  # texts of one hash may differ
+                    kept[node] = found.view(np.int64)
+                    seen.add(node)
+            yield pa.record_batch({"node": pa.array(list(kept), pa.int64()), "held": pa.array(list(kept.values()), pa.list_(pa.int64()))})
+
+    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["of_id"]) & (docs["key"] == wanted["of_key"])).select("node", "text")
     sets = materialize(texts.mapInArrow(run, "node long, held array<long>"), "sets")
     one, two = sets.select(F.col("node").alias("a"), F.col("held").alias("x")), sets.select(F.col("node").alias("b"), F.col("held").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -219,39 +272,45 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(close.select("a", "b").distinct(), "links")
 
 
-def components(documents: DataFrame) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable) of every row with a doc_id."""
-    spark = documents.sparkSession
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes from the trie self-join of their fingerprints: the links' first nodes, and nodes of one fingerprint with its first."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprints")
+    small_batches(nodes.sparkSession, 65536)
+    met = simhash.links(first.select("fp"))
+    one, two = first.select(F.col("fp").alias("a"), F.col("lead").alias("x")), first.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    twins = nodes.join(first, "fp").filter("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    every = met.join(one, "a").join(two, "b").select("x", "y").unionByName(twins)
+    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """Every row's doc_id, key, node and root: nodes of one component share a root."""
+    spark = docs.sparkSession
     small_batches(spark)
-    docs = pick(documents, doc_id="long", text="string").filter("doc_id IS NOT NULL")
     marked = materialize(_marked(docs), "shingles")
-    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialize(marked.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", *_BITS)]), "nodes")
+    rows = marked.filter("head IS NOT NULL").select(F.explode("head").alias("s"), "node")
     small_batches(spark, 65536)
-    rows = marked.filter("head IS NOT NULL").select(F.explode("head").alias("s"), "node", "n")
-    shared = materialize(_grouped(rows, _shared, "s long, node long, n int, m long", "node"), "shared")
-    pair = "a long, b long, na int, nb int"
-    large = shared.filter(F.col("m") > LARGE).select("s", "n", "node")
-    stars = materialize(_grouped(large, _stars, pair, "n", "node").select("a", "b").distinct(), "star-pairs")
-    dense = _links(stars, docs, nodes)
+    shared = _grouped(rows, _shared, "s long, node long", "node")
+    placed = materialize(shared.join(nodes.select("node", "n", *_BITS), "node"), "shared")
+    wide = lambda root: (F.col("s"), F.col("n"), F.col("node"), root.alias("root"), *map(F.col, _BITS))
+    pair, order = "a long, b long", ("n", "node")
+    nearest = _grouped(placed.select(*wide(F.col("node"))), _nearest, pair, *order)
+    dense = _links(materialize(nearest.unionByName(_fingerprint_pairs(nodes)).distinct(), "nearest"), docs, nodes)
     roots = materialize(connected(dense), "dense")
     small_batches(spark, 65536)
-    placed = shared.join(roots, "node", "left").select("s", "n", "node", F.coalesce("root", "node").alias("root"))
-    met = _grouped(placed, _crossing, pair, "n", "node").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # What lies behind the prefix that ends first is at most ceil(0.8 n) - 1 shingles.
-    met = met.filter(9 * (F.col("c") + F.greatest(_least("na"), _least("nb"))) >= 4 * (F.col("na") + F.col("nb")))
-    links = _links(materialize(met.select("a", "b"), "pairs"), docs, nodes).unionByName(dense)
-    joined = connected(links)
-    rooted = materialize(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(names, "root").select("node", "component_id"), "components")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    crossing = _grouped(placed.join(roots, "node", "left").select(*wide(F.coalesce("root", "node"))), _crossing, pair, *order)
+    links = _links(materialize(crossing.distinct(), "pairs"), docs, nodes).unionByName(dense)
+    joined = materialize(connected(links), "roots")
+    return marked.select("doc_id", "key", "node").join(joined, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents less near copies: of each component the row whose doc_id names it, all columns.
+def components(documents: DataFrame) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable, null if all are null) of every row."""
+    named = materialize(_named(keyed(documents)), "components")
+    return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
-    Rows that share that doc_id count as one document; rows with a null doc_id can't be told apart and stay.
-    """
-    kept = materialize(components(documents).select(F.col("component_id").alias("kept_id")).distinct(), "kept")
-    stays = documents.join(kept, documents["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stays.unionByName(documents.filter(F.col("doc_id").isNull()))
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """The documents less near copies, all columns: of each component the row that ``simhash.keep_first`` takes."""
+    return keep_first(documents, _named(keyed(documents)))

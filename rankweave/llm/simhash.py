@@ -28,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.columns import pick
+from rankweave.llm.columns import fresh, pick
 from rankweave.runtime import materialize, small_batches
 
 SHINGLE = 4
@@ -60,23 +60,32 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = ends - at
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
-    for part in np.array_split(hashes, -(-hashes.size // 65536)):
+    for part in np.array_split(hashes, -(-hashes.size // 65536) or 1):
         counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = counts * 2 > hashes.size
-    return int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > hashes.size).tobytes(), "big")
+
+
+def signed(bits: int) -> int:
+    """64 bits as Spark's long."""
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of every row."""
+    """doc_id, key (the text's hash), fp (the fingerprint's bits as a long) of every row."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))})
+            yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(2), "fp": pa.array(found.view(np.int64))})
 
-    return pick(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+    return keyed(documents).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,27 +247,46 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def near_duplicates(documents: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row."""
-    spark: SparkSession = documents.sparkSession
+def _rooted(documents: DataFrame, errors: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key and fp of every row; fp, its smallest doc_id and root, the component's smallest fingerprint, of every fingerprint)."""
     marked = materialize(fingerprints(documents), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    small_batches(spark, 65536)
+    small_batches(documents.sparkSession, 65536)
     joined = connected(links(nodes, errors))
     rooted = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "roots")
+    return marked, materialize(rooted, "roots")
+
+
+def near_duplicates(documents: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row."""
+    marked, rooted = _rooted(documents, errors)
     names = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     named = materialize(rooted.join(names, "root").select("fp", "component_id"), "components")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """The documents less near-duplicates: of each component the row whose doc_id names it, all columns.
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and key (the text's hash) of every row: the first and last tell rows apart."""
+    return pick(documents, doc_id="long", text="string").withColumn("key", F.xxhash64("text"))
+
 
-    Rows that share that doc_id count as one document; rows with a null doc_id can't be told apart and stay.
+def keep_first(documents: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of the rows of each component, told by rooted (doc_id, key, root), the one with the smallest doc_id, null last, then text hash; all columns.
+
+    Rows that share both are told apart by the hash of all their columns; the first of them stays.
     """
-    kept = near_duplicates(documents.filter(F.col("doc_id").isNotNull()), errors).select(F.col("component_id").alias("kept_id")).distinct()
-    kept = materialize(kept, "kept")
-    stays = documents.join(kept, documents["doc_id"].cast("long") == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stays.unionByName(documents.filter(F.col("doc_id").isNull()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("first")
+    kept = materialize(rooted.groupBy("root").agg(first).select("first.doc_id", "first.key"), "kept")
+    key, turn = fresh(documents, "kept_key"), fresh(documents, "kept_turn")
+    marked = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    stays = marked.join(kept, marked["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (marked[key] == kept["key"]), "left_semi")
+    hashable = [F.col(f"`{c}`") for c, kind in documents.dtypes if not kind.startswith(("map", "variant"))]
+    once = Window.partitionBy(F.col("doc_id").cast("long"), F.col(key)).orderBy(F.xxhash64(*hashable))
+    return stays.withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+def keep_one(documents: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """The documents less near-duplicates, all columns: of each component the row that ``keep_first`` takes."""
+    marked, rooted = _rooted(documents, errors)
+    return keep_first(documents, marked.join(rooted, "fp").select("doc_id", "key", "root"))

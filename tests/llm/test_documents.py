@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankweave.llm import leaks, licenses, media, mixing, quality, queries, simhash, tokens
+from rankweave.llm import leaks, licenses, media, mixing, near_copies, quality, queries, simhash, tokens
 from rankweave.runtime import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, fp string, `key` string, repeats int, target string, `draw` string, label string, media string"
@@ -259,10 +259,21 @@ def test_near_duplicates(spark):
     want = sorted(((d, f"{p:016x}", first[root[p]]) for (d, _, _), p in zip(rows, prints, strict=True)), key=repr)
     assert sorted(map(tuple, out), key=repr) == want
     kept = simhash.keep_one(documents(spark, rows))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(first.values()))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(first.values()))
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_stays_of_rows_that_share_an_id(spark):
+    one, two = "a text about one thing and no other, told at some length", "words on quite another matter, which no one would call alike"
+    rows = [(1, one, "a"), (1, two, "b"), (1, one, "c"), (2, two, "a"), (None, "lost and alone among the others here", "a"), (None, "lost and alone among the others here", "b"), (3, None, "a"), (4, "", "b")]
+    for keep in (simhash.keep_one, near_copies.keep_one):
+        kept = keep(documents(spark, rows))
+        assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr) == sorted([(1, one), (1, two), (None, rows[4][1]), (3, "")], key=repr)
+        assert kept.columns == documents(spark, []).columns
+        again = keep(documents(spark, rows[::-1]))
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, again.collect()))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 500 + i) for i in range(1, 80)] + [(900, 901), (901, 900), (7, 7)]
     out = dict(simhash.connected(spark.createDataFrame(edges, "a long, b long")).collect())

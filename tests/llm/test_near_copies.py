@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -51,9 +52,10 @@ def edited(rng, text, times):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("large", [2, 32])
-def test_keeps_one_of_each(spark, monkeypatch, large):
-    monkeypatch.setattr(near_copies, "LARGE", large)
+@pytest.mark.parametrize(("often", "block"), [(1e-9, 8), (near_copies.OFTEN, near_copies.BLOCK), (0.02, 5)])
+def test_keeps_one_of_each(spark, monkeypatch, often, block):
+    monkeypatch.setattr(near_copies, "OFTEN", often)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = random.Random(7)
     text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
     base = [text(rng.choice([12, 60, 150])) for _ in range(25)]
@@ -65,11 +67,26 @@ def test_keeps_one_of_each(spark, monkeypatch, large):
     rng.shuffle(rows)
     want, links = smallest(rows)
     kept = near_copies.keep_one(spark.createDataFrame([*rows, (None, "a b")], "doc_id long, text string"))
-    assert links > 60 and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
-    assert kept.filter("doc_id IS NULL").count() == 1
+    assert links > 60 and sorted(r.doc_id for r in kept.collect()) == want  # the row without an id is a copy
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_chunks_of_a_crowded_group_meet():
+    found = np.arange(1, 11, dtype=np.uint64) * np.uint64(10**18)
+    often, counts = found[:2], np.array([3 * near_copies.BLOCK - 1, 5])
+    heads = [set(near_copies.prefix(found[:2], often, counts, node).tolist()) for node in range(9)]
+    assert all(a & b for a in heads for b in heads) and all(len(h) == 3 for h in heads)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.union1d(a[rng.random(a.size) < 0.8], rng.integers(0, 1 << 63, 20).astype(np.uint64))
+        bits = near_copies.parity(a).view(np.uint64) ^ near_copies.parity(b).view(np.uint64)
+        assert np.bitwise_count(bits).sum() <= np.setxor1d(a, b).size
+
+
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables here")
 def test_stage_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
