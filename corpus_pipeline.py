@@ -28,7 +28,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-STAGES = [("quality classifier", good_quality), ("near-dedup", one_of_each), ("benchmark decontamination", without_leaks), ("mixing sources", mixed)]
+STAGES = [("quality classifier", good_quality), ("SimHash near-dedup", one_of_each), ("benchmark decontamination", without_leaks), ("mixing sources", mixed)]
 
 #: SQL can't express the classifier's vectors or the shingles' hashes.
 ORACLE_SQL = None
