@@ -9,8 +9,8 @@ Plan. (1) Texts of equal sets are one node. (2) Under any one order of shingles,
 one among their first n - ceil(0.8 n) + 1. The order is by hash, shingles that many texts have last, so common
 lines seldom bring unlike texts together; they are counted in a pass over all texts. Nodes that share a prefix
 shingle are a group; the group of a shingle that more than ``BLOCK`` texts have is dealt out as pairs of its
-chunks, so no task gets more than two chunks of one. (3) A node carries 256 parity bits, each that of the shingles
-hashed to it. Sets that differ in d shingles differ in d parity bits at most, and 0.8 allows (n1 + n2) / 9:
+chunks, so no task gets more than two chunks of one. (3) A node carries parity bits, 256 in the search and two a shingle after
+it, each that of the shingles hashed to it. Sets that differ in d shingles differ in d parity bits at most, and 0.8 allows (n1 + n2) / 9:
 pairs beyond that budget are dropped, which loses none. (4) First each node of a group goes with the nearest
 earlier one alone, at most one pair a row, and these and the trie's links are compared: dense groups become
 components. (5) Then pairs in different components that the budget allows are compared. (6) Components by
@@ -71,9 +71,13 @@ def node_of(found: np.ndarray) -> int:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """256 bits: how often, odd or even, the set's shingles fall on each."""
-    at = (found >> np.uint64(20) & np.uint64(64 * _WORDS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * _WORDS) & 1).astype(np.uint8)).view(np.int64)
+    """256 bits or the next power of 2 from two a shingle: how often, odd or even, the set's shingles fall on each.
+
+    Halves put together by exclusive or are the bits of half the size.
+    """
+    size = max(64 * _WORDS, 1 << int(2 * found.size - 1).bit_length())
+    at = (found >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).view(np.int64)
 
 
 def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray | None = None, node: int = 0) -> np.ndarray:
@@ -136,28 +140,30 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, key (the text's hash), node and, where a task sees the node for the first time, its size, fingerprint, parity bits and prefix."""
+    """doc_id, key (the text's hash), node and, where a task sees the node for the first time, its size, fingerprint, parity bits, 256 of them, and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     new = ("n", "fp", *_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, facts, heads = [], [], []
+            nodes, facts, heads, bits = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text)
                 nodes.append(node := node_of(found))
                 if node in seen:
                     facts.append((None,) * len(new))
                     heads.append(None)
+                    bits.append(None)
                     continue
                 seen.add(node)
-                facts.append((found.size, simhash.signed(simhash.majority(found)), *parity(found).tolist()))
+                bits.append(parity(found))
+                facts.append((found.size, simhash.signed(simhash.majority(found)), *np.bitwise_xor.reduce(bits[-1].reshape(-1, _WORDS)).tolist()))
                 heads.append(prefix(found, *sent.value, node).view(np.int64) if found.size else None)
             columns = {name: pa.array(c, pa.int64()) for name, c in zip(new, zip(*facts, strict=True), strict=True)} if facts else {name: pa.array([], pa.int64()) for name in new}
-            yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "node": pa.array(nodes, pa.int64())} | columns | {"head": pa.array(heads, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "node": pa.array(nodes, pa.int64())} | columns | {"bits": pa.array(bits, pa.list_(pa.int64())), "head": pa.array(heads, pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in new) + ", head array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in new) + ", bits array<long>, head array<long>")
 
 
 def _grouped(rows: DataFrame, each, schema: str, *order: str) -> DataFrame:
@@ -246,9 +252,22 @@ def _crossing(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield _pairs(columns[2], *map(np.concatenate, zip(*out, strict=True)))
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that all their parity bits allow, written."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    half = lambda c, k: F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, k + 1, k), lambda p, q: p.bitwiseXOR(q))
+    to_size_of = lambda c, other: F.when(F.size(c) > F.size(other), half(c, F.size(other))).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(to_size_of("x", "y"), to_size_of("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    sizes = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")  # so the bits of one are at most twice those of the other
+    likely = pairs.join(one, "a").join(two, "b").filter(sizes).filter(9 * differ <= F.col("na") + F.col("nb"))
+    return materialize(likely.select("a", "b"), "likely")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity, written."""
     spark = docs.sparkSession
+    pairs = _likely(pairs, nodes)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(wanted.join(nodes.select("node", F.col("first.doc_id").alias("of_id"), F.col("first.key").alias("of_key")), "node"), "wanted")
     few = wanted.count() <= BROADCAST
@@ -288,7 +307,7 @@ def _named(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     marked = materialize(_marked(docs), "shingles")
-    nodes = materialize(marked.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", *_BITS)]), "nodes")
+    nodes = materialize(marked.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", "bits", *_BITS)]), "nodes")
     rows = marked.filter("head IS NOT NULL").select(F.explode("head").alias("s"), "node")
     small_batches(spark, 65536)
     shared = _grouped(rows, _shared, "s long, node long", "node")

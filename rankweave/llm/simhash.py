@@ -277,13 +277,15 @@ def keep_first(documents: DataFrame, rooted: DataFrame) -> DataFrame:
     Rows that share both are told apart by the hash of all their columns; the first of them stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("first")
-    kept = materialize(rooted.groupBy("root").agg(first).select("first.doc_id", "first.key"), "kept")
-    key, turn = fresh(documents, "kept_key"), fresh(documents, "kept_turn")
-    marked = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    stays = marked.join(kept, marked["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (marked[key] == kept["key"]), "left_semi")
+    lost, id_, key, turn = (fresh(documents, f"kept_{name}") for name in ("lost", "id", "key", "turn"))
+    told = lambda doc_id, text_key: {lost: doc_id.isNull(), id_: F.coalesce(doc_id.cast("long"), F.lit(0)), key: text_key}
+    kept = rooted.groupBy("root").agg(first).select("first.doc_id", "first.key")
+    kept = materialize(kept.select(*[c.alias(n) for n, c in told(F.col("doc_id"), F.col("key")).items()]), "kept")
+    marked = documents.withColumns(told(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
     hashable = [F.col(f"`{c}`") for c, kind in documents.dtypes if not kind.startswith(("map", "variant"))]
-    once = Window.partitionBy(F.col("doc_id").cast("long"), F.col(key)).orderBy(F.xxhash64(*hashable))
-    return stays.withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in documents.columns])
+    once = Window.partitionBy(lost, id_, key).orderBy(F.xxhash64(*hashable))  # by the join's keys: no shuffle of its own
+    stays = marked.join(kept, [lost, id_, key], "left_semi").withColumn(turn, F.row_number().over(once)).filter(F.col(turn) == 1)
+    return stays.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def keep_one(documents: DataFrame, errors: int = ERRORS) -> DataFrame:
