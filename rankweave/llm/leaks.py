@@ -2,261 +2,329 @@
 
 Texts become tokens; two templates are read from them. In the plain one numbers are ``<number>``, words that
 name units ``<unit>``, and all other words themselves in lower case. In the named one capitalised words are
-``<name>`` as well. Windows of 8 template tokens (all of a shorter item, of 3 at least) are hashed; a
-document's windows are looked up in the items' windows. Windows of fewer than half plain words say nothing
-and are left out of the named template; those of fewer than a quarter have placeholders in the plain one for
-too much, and are looked up as they stand instead, numbers and units included (the literal template). Matching windows on one diagonal (position in the document less
-position in the item) are put together, and their slots compared: an item's number, name or unit must stand
-for one value of the document wherever it occurs, and different values for different ones. Windows that break
-that are dropped. What is left leaks if it covers half of the item, or 13 tokens in a row.
-
-Plan: the benchmark's windows are an index that every task holds. Its size is checked: items are taken in
-blocks of ``max_windows`` windows at most, one pass over the documents a block, so memory is bounded
-however long the benchmark is; documents aren't shuffled and tokens never leave their task.
-
-Defined cases: null and empty texts leak nothing and are never leaked; items of fewer than 3 tokens are left
-out; a null doc_id or item_id is carried as it is; repeated documents are judged each; a repeated item is one
-item; no benchmark, no leaks; other columns don't matter.
+``<name>`` as well. Scripts without spaces give a token a character. Windows of 8 template tokens (all of a shorter
+item, of 3 at least) are hashed. Windows of fewer than half plain words say nothing in the named template and
+are left out of it; those of fewer than a quarter have placeholders in the plain one for too much, and are
+looked up as they stand instead, numbers and units included (the literal template). Where windows match, item
+and document are laid side by side on that diagonal (position in the document less position in the item), and the
+slots of all windows that match there are compared: an item's number, name or unit must stand for one value of
+the document wherever it occurs, and different values for different ones. Windows that break that are dropped.
+What is left leaks if it covers half of the item, or 13 tokens in a row.
+
+Plan. (1) The items' windows are a written table. A window that more than ``COMMON`` items have is no help in
+finding one: unless such windows could make a leak of an item by themselves, the item is looked for by its
+others alone, so a stock phrase doesn't join every text that has it with every item that has it. (2) Documents'
+windows that a Bloom filter of the items' windows takes are joined to those by hash: (document, item, diagonal).
+The filter has ``FILTER_BITS`` bits at most, whatever the benchmark's length: a longer one only lets more windows
+into the join, which decides. (3) The texts of what met are compared in full.
+
+Defined cases: null and empty texts leak nothing and are never leaked; items of one or two tokens leak into
+texts that have just these; items without a token are left out; a null doc_id or item_id is carried as it is;
+rows that share doc_id and text are one document; a repeated item is one item; no benchmark, no leaks; other
+columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.columns import pick
-from rankweave.runtime import small_batches
+from rankweave.llm.columns import fresh, pick
+from rankweave.runtime import materialize, small_batches
 
 WINDOW = 8
 LEAST = 3
 COVER = 0.5
 RUN = 13
-#: Windows of one block of the index: about 50 bytes each on a worker.
-MAX_WINDOWS = 1_000_000
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*")
+#: Items that share a window beyond which it is no help in finding them.
+COMMON = 50
+FILTER_BITS = 1 << 28
+#: Documents whose ids are broadcast at most.
+BROADCAST = 200_000
+_PROBES = 3
+_WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*")
+#: Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNSPACED = re.compile("[ก-໿က-႟ក-៿ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
+_EITHER = re.compile(rf"{_UNSPACED.pattern}|(?:(?!{_UNSPACED.pattern})[^\W\d_])+|\d+(?:[.,:/]\d+)*")
 #: Names of units.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes ml l dl liter liters litre litres gallon gallons pint pints s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent kmh mph hz khz mhz ghz kb mb gb tb bit bits byte bytes w kw v volt volts watt watts degree degrees celsius fahrenheit kelvin joule joules newton newtons".split()
 )
-_UNKNOWN, _NUMBER, _UNIT, _NAME, _WORDS = -1, 0, 1, 2, 3
+_LITERAL, _PLAIN, _NAMED = range(3)
+_NUMBER, _UNIT, _NAME = 1, 2, 3  # ids of placeholders; words have their hash, which is larger
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_KNOWN = 1_000_000
 
 
-class _Vocabulary(dict):
-    """Ids of the items' words; numbers and unknown words by rule."""
+def tokens(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return _WORD.findall(text) if text.isascii() or not _UNSPACED.search(text) else _EITHER.findall(text)
 
-    def __missing__(self, word: str) -> int:
-        return _NUMBER if word[0].isdigit() else _UNKNOWN
 
+class Codes(dict):
+    """Token -> its place in ``ids``: literal, plain and named id."""
 
-def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text or "")
+    def __init__(self) -> None:
+        super().__init__()
+        self.ids: list[tuple[int, int, int]] = []
 
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        own = xxhash.xxh64_intdigest(low) | 1 << 62
+        plain = _NUMBER if low[0].isdigit() else _UNIT if low in UNITS else own
+        self.ids.append((own, plain, _NAME if token[0].isupper() else plain))
+        self[token] = len(self.ids) - 1
+        return len(self.ids) - 1
 
-def _keys(ids: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of all windows of ``ids``."""
-    n = ids.size - window + 1
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    wide = (ids + 2).astype(np.uint64)
-    for i in range(window if n > 0 else 0):
-        out = (out ^ wide[i : i + n]) * _PRIME
-        out ^= out >> np.uint64(29)
-    return out
+    def templates(self, words: list[str]) -> np.ndarray:
+        """Three rows: literal, plain and named ids of the words."""
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        found = np.array(self.ids, dtype=np.uint64).reshape(-1, 3)[at].T
+        if len(self) > _KNOWN:
+            self.clear()
+            self.ids.clear()
+        return found
 
 
-def _sums(flags: np.ndarray, window: int) -> np.ndarray:
+def _sums(flags: np.ndarray, size: int) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(flags)))
-    return total[window:] - total[:-window] if flags.size >= window else np.empty(0, dtype=np.int64)
-
-
-@dataclass
-class Index:
-    words: _Vocabulary
-    items: list[tuple[int | None, list[str], np.ndarray, np.ndarray, np.ndarray]]  # id, tokens, literal, plain and named ids
-    windows: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes, (item, position, template) of each
-    literal: dict[str, int]  # ids of the items' tokens, numbers and units included
-    has_literal: bool
-
-
-def _templates(words: list[str], vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    plain = np.fromiter(map(vocabulary.__getitem__, map(str.lower, words)), dtype=np.int64, count=len(words))
-    capital = np.fromiter((w[0].isupper() for w in words), dtype=bool, count=len(words))
-    return plain, np.where(capital, _NAME, plain)
-
-
-def _literal(words: list[str], known: dict[str, int]) -> np.ndarray:
-    return np.fromiter((known.get(w.lower(), _UNKNOWN) for w in words), dtype=np.int64, count=len(words))
-
-
-def _looked_up(plain: np.ndarray, named: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows are looked up in the literal, the plain and the named template: each in one of the first two."""
-    enough = _sums(plain >= _WORDS, size) * 4 >= size
-    return ~enough, enough, _sums(named >= _WORDS, size) * 2 >= size
-
-
-def build_index(items: list[tuple[int | None, str | None]], window: int = WINDOW) -> Index:
-    vocabulary = _Vocabulary({u: _UNIT for u in UNITS})
-    literal: dict[str, int] = {}
-    cut = {}
-    for item, text in items:
-        words = tokens(text)
-        if len(words) >= LEAST:
-            cut.setdefault((item is None, item, tuple(words)), words)
-            for w in words:
-                low = w.lower()
-                literal.setdefault(low, _WORDS + len(literal))
-                if not low[0].isdigit() and low not in vocabulary:
-                    vocabulary[low] = _WORDS + len(vocabulary)
-    held, rows = [], defaultdict(list)
-    for n, ((_, item, _), words) in enumerate(cut.items()):
-        plain, named = _templates(words, vocabulary)
-        ids_of = (_literal(words, literal), plain, named)
-        held.append((item, words, *ids_of))
-        size = min(window, len(words))
-        for template, (ids, ok) in enumerate(zip(ids_of, _looked_up(plain, named, size), strict=True)):
-            keys = _keys(ids, size)
-            rows[size] += [(k, n, at, template) for at, (k, taken) in enumerate(zip(keys.tolist(), ok.tolist(), strict=True)) if taken]
-    windows = {}
-    for size, found in rows.items():
-        found.sort()
-        windows[size] = (np.array([f[0] for f in found], dtype=np.uint64), np.array([f[1:] for f in found], dtype=np.int64).reshape(-1, 3))
-    return Index(vocabulary, held, windows, literal, any(f[3] == 0 for found in rows.values() for f in found))
-
-
-def find(text: str | None, index: Index) -> list[tuple[int | None, int, float, bool]]:
-    """(item id, windows, covered share, re-parameterised?) of each item that leaks into ``text``."""
-    words = tokens(text)
-    if len(words) < LEAST or not index.items:
-        return []
-    plain, named = _templates(words, index.words)
-    ids_of = (_literal(words, index.literal) if index.has_literal else None, plain, named)
-    diagonals: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-    for size, (keys, places) in index.windows.items():
-        if plain.size < size:
-            continue
-        for template, (ids, ok) in enumerate(zip(ids_of, _looked_up(plain, named, size), strict=True)):
-            if ids is None:
-                continue
-            at = np.flatnonzero((_sums(ids >= 0, size) == size) & ok)
-            if not at.size:
-                continue
-            mine = _hash_at(ids, at, size)
-            low = np.searchsorted(keys, mine, side="left")
-            hit = low < keys.size
-            hit[hit] = keys[low[hit]] == mine[hit]
-            for k, start, key in zip(low[hit].tolist(), at[hit].tolist(), mine[hit], strict=True):
-                while k < keys.size and keys[k] == key:
-                    item, place, kind = places[k].tolist()
-                    own = index.items[item][2 + template]
-                    if kind == template and (own[place : place + size] == ids[start : start + size]).all():
-                        diagonals[item, start - place].append((place, size, template))
-                    k += 1
-    best: dict[int, tuple[int, float, bool]] = {}
-    for (item, shift), found in diagonals.items():
-        judged = _judge(index.items[item], words, shift, found)
-        if judged and (item not in best or judged > best[item]):
-            best[item] = judged
-    return [(index.items[item][0], *judged) for item, judged in sorted(best.items())]
-
-
-def _hash_at(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(at.size, dtype=np.uint64)
-    wide = (ids + 2).astype(np.uint64)
+    return total[size:] - total[:-size] if flags.size >= size else np.empty(0, dtype=np.int64)
+
+
+def _used(ids: np.ndarray, size: int) -> np.ndarray:
+    """Which windows are looked up in which template: each in the literal or the plain one."""
+    enough = _sums(ids[_PLAIN] > _NAME, size) * 4 >= size
+    return np.stack([~enough, enough, _sums(ids[_NAMED] > _NAME, size) * 2 >= size])
+
+
+def _hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows in the three templates."""
+    n = ids.shape[1] - size + 1
+    out = np.broadcast_to(np.arange(3, dtype=np.uint64)[:, None] + np.uint64(8 * size), (3, n)).copy()
     for i in range(size):
-        out = (out ^ wide[at + i]) * _PRIME
+        out = (out ^ ids[:, i : i + n]) * _PRIME
         out ^= out >> np.uint64(29)
     return out
 
 
-def _judge(item: tuple, words: list[str], shift: int, found: list[tuple[int, int, int]]) -> tuple[int, float, bool] | None:
-    """The windows of one diagonal whose slots agree, if they cover enough of the item."""
-    _, own, _, plain, named = item
+def _whole(words: list[str]) -> int:
+    """The hash of a text of one or two tokens, as a whole."""
+    return xxhash.xxh64_intdigest("\0".join(["whole", *map(str.lower, words)]))
+
+
+def windows(words: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, places, size) of an item's windows."""
+    if len(words) < LEAST:
+        return np.array([_whole(words)] if words else [], np.uint64), np.zeros(min(1, len(words)), np.int64), len(words)
+    size = min(WINDOW, len(words))
+    ids = codes.templates(words)
+    used = _used(ids, size)
+    _, at = np.nonzero(used)
+    return _hashes(ids, size)[used], at, size
+
+
+@dataclass(frozen=True)
+class Judged:
+    n_windows: int
+    coverage: float
+    changed: bool
+
+
+def judge(own: list[str], words: list[str], shifts: list[int], codes: Codes) -> Judged | None:
+    """The best of the diagonals on which enough of the item ``own`` is found in ``words``."""
+    if len(own) < LEAST:
+        return Judged(1, 1.0, False) if list(map(str.lower, own)) == list(map(str.lower, words)) else None
+    size = min(WINDOW, len(own))
+    mine = codes.templates(own)
+    used = _used(mine, size)
+    best = None
+    for shift in sorted(shifts):
+        first, last = max(0, -shift), min(len(own), len(words) - shift)
+        if last - first < size:
+            continue
+        theirs = codes.templates(words[first + shift : last + shift])
+        same = np.stack([_sums(a == b, size) == size for a, b in zip(mine[:, first:last], theirs, strict=True)])
+        template, at = np.nonzero(same & used[:, first : last - size + 1])
+        judged = _agreeing(own, words, shift, mine, (at + first).tolist(), size, template)
+        if judged and (best is None or (judged.n_windows, judged.coverage, judged.changed) > (best.n_windows, best.coverage, best.changed)):
+            best = judged
+    return best
+
+
+def _agreeing(own: list[str], words: list[str], shift: int, mine: np.ndarray, places: list[int], size: int, template: np.ndarray) -> Judged | None:
+    """The windows of one diagonal whose slots agree, literal ones first, if they cover enough of the item."""
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     covered = np.zeros(len(own), dtype=bool)
-    kept, changed = 0, False
-    for place, size, _ in sorted(set(found), key=lambda f: (f[2], f[0])):  # literal slots are set first, then the plain template's
-        slots = []
-        for i in range(place, place + size):
-            a, b = own[i].lower(), words[i + shift].lower()
-            if a != b or plain[i] in (_NUMBER, _UNIT) or named[i] == _NAME:
-                slots.append((a, b))
-        if all(there.get(a, b) == b and back.get(b, a) == a for a, b in slots) and _one_to_one(slots):
-            there |= dict(slots)
-            back |= {b: a for a, b in slots}
+    slot = (mine[_PLAIN] <= _UNIT) | (mine[_NAMED] == _NAME)
+    kept: set[tuple[int, int]] = set()
+    changed = False
+    for kind, place in zip(template.tolist(), places, strict=True):
+        pairs = {(own[i].lower(), words[i + shift].lower()) for i in range(place, place + size) if slot[i] or own[i].lower() != words[i + shift].lower()}
+        if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs) and len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+            there |= dict(pairs)
+            back |= {b: a for a, b in pairs}
             covered[place : place + size] = True
-            kept += 1
-            changed |= any(a != b for a, b in slots)
+            kept.add((kind, place))
+            changed |= any(a != b for a, b in pairs)
     if not kept:
         return None
     edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
     run = int((edges[1::2] - edges[::2]).max())
-    if run >= RUN or covered.mean() >= COVER:
-        return kept, float(covered.mean()), changed
-    return None
+    return Judged(len(kept), float(covered.mean()), changed) if run >= RUN or covered.mean() >= COVER else None
 
 
-def _one_to_one(slots: list[tuple[str, str]]) -> bool:
-    pairs = set(slots)
-    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item_key (the text's hash) and text of each different item."""
+    return pick(benchmark, item_id="long", text="string").filter("text IS NOT NULL").withColumn("item_key", F.xxhash64("text")).distinct()
 
 
-def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS, window: int = WINDOW) -> Iterator[Index]:
-    """The benchmark's index in blocks of bounded size; items come to the driver one partition at a time."""
-    batch, size = [], 0
-    for row in pick(benchmark, item_id="long", text="string").toLocalIterator():
-        n = 2 * max(1, (len(row.text or "") + 1) // 2)
-        if batch and size + n > max_windows * 4:
-            yield build_index(batch, window)
-            batch, size = [], 0
-        batch.append((row.item_id, row.text))
-        size += n
-    if batch:
-        yield build_index(batch, window)
+def item_windows(items: DataFrame, common: int = COMMON) -> DataFrame:
+    """hash, item_id, item_key, place and size of the windows that items are looked for by, written."""
+    small_batches(items.sparkSession)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for item_id, item_key, text in zip(*[batch.column(c).to_pylist() for c in ("item_id", "item_key", "text")], strict=True):
+                words = tokens(text)
+                found, at, size = windows(words, codes)
+                n = found.size
+                yield pa.record_batch({"hash": pa.array(found.view(np.int64)), "item_id": pa.array([item_id] * n, pa.int64()), "item_key": pa.array([item_key] * n, pa.int64()), "place": pa.array(at, pa.int64()), "size": pa.array([size] * n, pa.int64()), "n_tokens": pa.array([len(words)] * n, pa.int64())})
+
+    schema = "hash long, item_id long, item_key long, place long, size long, n_tokens long"
+    every = materialize(items.mapInArrow(cut, schema), "item-windows")
+    often = every.select("hash", "item_id", "item_key").distinct().groupBy("hash").count().filter(F.col("count") > common).select("hash", F.lit(True).alias("often"))
+    marked = every.join(often, "hash", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+
+    def helpful(frame: pd.DataFrame) -> pd.DataFrame:
+        covered = np.zeros(int(frame["n_tokens"].iloc[0]) + 1, dtype=np.int64)
+        for place, size in frame.loc[frame["often"], ["place", "size"]].itertuples(index=False):
+            covered[place : place + size] = 1
+        run = max(map(len, "".join(map(str, covered)).split("0")))
+        alone = run >= RUN or covered.sum() >= COVER * (covered.size - 1)  # common windows could make a leak by themselves
+        return frame if alone else frame[~frame["often"]]
+
+    return materialize(marked.groupBy("item_id", "item_key").applyInPandas(helpful, schema + ", often boolean").drop("often", "n_tokens"), "sought")
+
+
+def _filter(sought: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of the windows, 32 bits a window where that is not more than ``most``; as 64-bit words."""
+    n = sought.select("hash").distinct().count()
+    bits = min(most, 1 << max(10, (32 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64), bits))
+            place, back = np.unique(at >> np.uint64(6), return_inverse=True)
+            words = np.zeros(place.size, np.uint64)
+            np.bitwise_or.at(words, back, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.record_batch({"place": pa.array(place.astype(np.int64)), "bits": pa.array(words.view(np.int64))})
+
+    small_batches(sought.sparkSession, 65536)
+    found = sought.select("hash").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return words
 
-def leaks(documents: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """doc_id, item_id, n_windows, coverage, changed for every document and item that leaks into it."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    docs = pick(documents, doc_id="long", text="string")
-    schema = "doc_id long, item_id long, n_windows long, coverage double, changed boolean"
-    out = None
-    for index in blocks(benchmark, max_windows):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, *f) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in find(t, sent.value)]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "n_windows", "coverage", "changed"])
-
-        part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.select("doc_id").filter(F.lit(False)).selectExpr("doc_id", "CAST(NULL AS LONG) item_id", "0L n_windows", "0D coverage", "false changed")
-    return out.withColumn("coverage", F.round("coverage", 6))
-
-
-def drop_leaked(documents: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The documents into which no item leaks, with all their columns; no join."""
-    spark = documents.sparkSession
-    small_batches(spark)
-    at = [c.lower() for c in documents.columns].index("text")
-    out = documents
-    for index in blocks(benchmark, max_windows):
-        sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not find(t, sent.value) for t in batch.column(at).to_pylist()], pa.bool_()))
+def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    turn = hashes >> np.uint64(32) | np.uint64(1)
+    return [(hashes + np.uint64(i) * turn) & np.uint64(bits - 1) for i in range(_PROBES)]
 
-        out = out.mapInArrow(run, documents.schema)
+
+def _taken(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    out = np.ones(hashes.size, dtype=bool)
+    for at in _probes(hashes, 64 * words.size):
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     return out
+
+
+def _met(docs: DataFrame, sought: DataFrame) -> DataFrame:
+    """doc_id, key, item_id, item_key and shifts (diagonals) of documents and items that share a window."""
+    sizes = sorted(r["size"] for r in sought.filter(F.col("size") >= LEAST).select("size").distinct().collect())  # 3 to 8
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(sought))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            cut = [tokens(t) for t in batch.column(2).to_pylist()]
+            lengths = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+            starts = np.cumsum(lengths) - lengths
+            whose = np.repeat(np.arange(len(cut)), lengths)
+            ids = codes.templates([w for words in cut for w in words])
+            short = np.flatnonzero((lengths > 0) & (lengths < LEAST))
+            found = [(np.array([_whole(cut[i]) for i in short.tolist()], np.uint64), short, np.zeros(short.size, np.int64))]
+            for size in sizes:
+                if ids.shape[1] < size:
+                    continue
+                inside = whose[size - 1 :] == whose[: whose.size - size + 1]
+                template, at = np.nonzero(_used(ids, size) & inside)
+                hashes = _hashes(ids, size)[template, at]
+                hit = _taken(hashes, sent.value)
+                row = whose[at[hit]]
+                found.append((hashes[hit], row, at[hit] - starts[row]))
+            hashes, row, place = map(np.concatenate, zip(*found, strict=True))
+            rows = pa.array(row)
+            yield pa.record_batch({"doc_id": batch.column(0).take(rows), "key": batch.column(1).take(rows), "hash": pa.array(hashes.view(np.int64)), "at": pa.array(place)})
+
+    looked = docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, hash long, at long")
+    met = looked.join(sought, "hash").select("doc_id", "key", "item_id", "item_key", (F.col("at") - F.col("place")).alias("shift"))
+    return met.groupBy("doc_id", "key", "item_id", "item_key").agg(F.collect_set("shift").alias("shifts"))
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return pick(documents, doc_id="long", text="string").withColumn("key", F.xxhash64("text"))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, common: int = COMMON) -> DataFrame:
+    """doc_id, item_id, n_windows, coverage, changed for every document and item that leaks into it."""
+    return _leaks(documents, benchmark, common).drop("key").withColumn("coverage", F.round("coverage", 6))
+
+
+def _leaks(documents: DataFrame, benchmark: DataFrame, common: int) -> DataFrame:
+    spark = documents.sparkSession
+    docs, items = _keyed(documents), materialize(_items(benchmark), "items")
+    met = materialize(_met(docs, item_windows(items, common)), "met")
+    wanted = met.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key")).distinct()
+    wanted = materialize(wanted, "wanted")
+    few = wanted.count() <= BROADCAST
+    small_batches(spark)
+    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+    texts = docs.join(F.broadcast(wanted) if few else wanted, same("doc_id", "of_id", "key", "of_key"), "left_semi").dropDuplicates(["doc_id", "key"])
+    sides = met.select(*[F.col(c).alias(f"m_{c}") for c in met.columns]).join(texts, same("m_doc_id", "doc_id", "m_key", "key"))
+    sides = sides.join(items.select(F.col("item_id").alias("i_id"), F.col("item_key").alias("i_key"), F.col("text").alias("item")), same("m_item_id", "i_id", "m_item_key", "i_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            found = [judge(tokens(item), tokens(text), shifts, codes) for item, text, shifts in zip(*[batch.column(i).to_pylist() for i in (3, 4, 5)], strict=True)]
+            rows = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            held = [f for f in found if f]
+            yield pa.record_batch({
+                **{name: batch.column(i).take(rows) for i, name in enumerate(("doc_id", "key", "item_id"))}, "n_windows": pa.array([f.n_windows for f in held], pa.int64()),
+                "coverage": pa.array([f.coverage for f in held], pa.float64()), "changed": pa.array([f.changed for f in held], pa.bool_()),
+            })
+
+    schema = "doc_id long, key long, item_id long, n_windows long, coverage double, changed boolean"
+    return sides.select("doc_id", "key", "m_item_id", "item", "text", "m_shifts").mapInArrow(run, schema)
+
+
+def drop_leaked(documents: DataFrame, benchmark: DataFrame, common: int = COMMON) -> DataFrame:
+    """The documents into which no item leaks, with all their columns."""
+    leaked = materialize(_leaks(documents, benchmark, common).select("doc_id", "key").distinct(), "leaked")
+    key = fresh(documents, "leak_key")
+    keyed = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    few = leaked.count() <= BROADCAST
+    out = keyed.join(F.broadcast(leaked) if few else leaked, keyed["doc_id"].cast("long").eqNullSafe(leaked["doc_id"]) & (keyed[key] == leaked["key"]), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -373,7 +373,7 @@ def test_leaks(spark):
     assert found(spark, texts) == [(2, 1), (3, 1), (4, 2), (5, 2), (9, 1), (9, 2), (10, 2)]
     flags = {r.doc_id: r.changed for r in leaks.leaks(documents(spark, [(0, ITEM, "a"), (1, changed, "a")]), bench(spark)).collect()}
     assert flags == {0: False, 1: True}
-    assert leaks.find(mixed, leaks.build_index([(1, ITEM)]))[0][2] < 1
+    assert leaks.leaks(documents(spark, [(0, mixed, "a")]), bench(spark, [(1, ITEM)])).first().coverage < 1
     kept = leaks.drop_leaked(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench(spark))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 6, 7, 8] and kept.columns == documents(spark, []).columns
 
@@ -381,7 +381,7 @@ def test_leaks(spark):
 def test_leaks_in_blocks_and_empty(spark):
     assert found(spark, [ITEM, OTHER], bench(spark, ())) == []
     docs = documents(spark, [(0, ITEM, "a"), (1, OTHER, "a")])
-    assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(docs, bench(spark, ((1, ITEM), (2, OTHER))), max_windows=1).collect()) == [(0, 1), (1, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(docs, bench(spark, ((1, ITEM), (2, OTHER))), common=0).collect()) == [(0, 1), (1, 2)]
     assert leaks.leaks(documents(spark, []), bench(spark)).count() == 0
 
 
@@ -393,8 +393,9 @@ def test_leaks_match_brute_force(spark):
     for _ in range(150):
         at, n = rng.randrange(20), rng.randint(3, 20)
         texts.append(" ".join([rng.choice(vocabulary) for _ in range(30)] + rng.choice(items).split()[at : at + n] + [rng.choice(vocabulary) for _ in range(30)]))
-    index = leaks.build_index(list(enumerate(items)))
-    for t in texts:
+    got = found(spark, texts, bench(spark, list(enumerate(items))))
+    assert got
+    for number, t in enumerate(texts):
         words, want = t.split(), set()
         for k, item in enumerate(items):
             own = item.split()
@@ -403,23 +404,76 @@ def test_leaks_match_brute_force(spark):
                 covered = [any(all(same[s : s + 8]) for s in range(max(0, i - 7), min(i, 12) + 1)) for i in range(20)]
                 if sum(covered) >= 10:
                     want.add(k)
-        assert {f[0] for f in leaks.find(t, index)} == want
+        assert {i for d, i in got if d == number} == want
 
 
 SUMS = ("Compute 12 + 7 * 30 - 45 / 9 and 18 * 2 - 6", "Convert 5 km 300 m 20 cm 7 mm to 14 inches", "3 9 27 81 243 729 2187 6561", "If 4 of 9 boxes hold 7 kg and 5 of 9 hold 12 kg, how many kg are in all 9 boxes")
 
 
-def test_number_heavy_items_match_brute_force():
+def test_number_heavy_items_match_brute_force(spark):
     rng = random.Random(11)
-    index = leaks.build_index(list(enumerate(SUMS)))
-    for _ in range(120):
+    items = bench(spark, list(enumerate(SUMS)))
+    texts, want = [], []
+    for number in range(120):
         k = rng.randrange(len(SUMS))
         own = leaks.tokens(SUMS[k])
         at, n = rng.randrange(len(own)), rng.randint(3, len(own))
-        words = [f"pad{rng.choice('abc')}" for _ in range(9)] + own[at : at + n] + ["end", "of", "text"]
+        texts.append(" ".join([f"pad{rng.choice('abc')}" for _ in range(9)] + own[at : at + n] + ["end", "of", "text"]))
         covered = [any(at <= s and s + 8 <= min(at + n, len(own)) for s in range(max(0, i - 7), i + 1)) for i in range(len(own))]
-        assert (k in {f[0] for f in leaks.find(" ".join(words), index)}) == (sum(covered) * 2 >= len(own) or sum(covered) >= 13)
-    for k, item in enumerate(SUMS):
-        assert [f[0] for f in leaks.find(f"x {item} y", index)] == [k]
-    assert leaks.find("1 2 3 4 5 6 7 8 9 10 11 12 and 5 6 7 8", index) == []
-    assert leaks.find(SUMS[3].replace("9", "8").replace("12", "31"), index)[0][::3] == (3, True)
+        want.append((k, sum(covered) * 2 >= len(own) or sum(covered) >= 13))
+    got = set(found(spark, texts, items))
+    assert all(((number, k) in got) == leaks_in for number, (k, leaks_in) in enumerate(want))
+    assert found(spark, [f"x {item} y" for item in SUMS], items) == [(k, k) for k in range(len(SUMS))]
+    assert found(spark, ["1 2 3 4 5 6 7 8 9 10 11 12 and 5 6 7 8"], items) == []
+    (row,) = leaks.leaks(documents(spark, [(0, SUMS[3].replace("9", "8").replace("12", "31"), "a")]), items).collect()
+    assert (row.item_id, row.changed) == (3, True)
+
+
+def templated(rng):
+    """A question with slots, its text for given slot values, and the number of different slots."""
+    words = [f"{rng.choice('abcdef')}{rng.choice('aeiou')}{rng.choice('lmnrst')}" for _ in range(14)]
+    slots = rng.sample(range(14), 4)
+    return lambda values: " ".join(values[slots.index(i) % len(values)] if i in slots else w for i, w in enumerate(words))
+
+
+def test_slots_match_brute_force(spark):
+    """Items whose slots are changed: found if and only if one assignment of values explains them."""
+    rng = random.Random(21)
+    makers = [templated(rng) for _ in range(15)]
+    items = [m(["12", "Anna", "7", "Bert"]) for m in makers]
+    texts, want = [], []
+    for k, m in enumerate(makers):
+        for values in (["31", "Cara", "8", "Dave"], ["12", "Anna", "7", "Bert"], ["12", "Bert", "7", "Anna"], ["5", "Eva", "6", "Finn"]):
+            want.append((len(texts), k, values != ["12", "Anna", "7", "Bert"]))
+            texts.append(f"before it {m(values)} after it")
+        for values in (["8", "Cara", "8", "Dave"], ["31", "Cara", "9", "Cara"]):  # two slots, one value: not the same question throughout
+            texts.append(f"before it {m(values)} after it")
+    out = leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench(spark, list(enumerate(items)))).collect()
+    got = {(r.doc_id, r.item_id): r for r in out}
+    for d, k, changed in want:
+        assert got[d, k].coverage == 1 and got[d, k].changed == changed
+    clashing = set(range(len(texts))) - {d for d, _, _ in want}
+    assert all(r.coverage < 1 for r in out if r.doc_id in clashing)
+    assert all(r.item_id == r.doc_id // 6 for r in out)
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    han = "\u6211\u4eec\u5728\u82b1\u56ed\u91cc\u770b\u5230\u4e00\u53ea\u5f88\u5927\u7684\u767d\u8272\u732b\u5750\u5728\u6811\u4e0b\u7761\u89c9"
+    items = bench(spark, [(1, "Paris"), (2, "New York"), (3, "?!"), (4, han), (5, ""), (None, "one two three four five")])
+    texts = ["paris", "Paris is a city", "new york", "York new", f"\u4ed6\u8bf4{han}\u3002", "\u6211\u4eec\u5728\u5bb6", "?!", "so one two three four five it is"]
+    assert sorted(((r.doc_id, r.item_id) for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), items).collect()), key=repr) == [(0, 1), (2, 2), (4, 4), (7, None)]
+    lost = spark.createDataFrame([(None, "so one two three four five it is", "x"), (None, "clean", "y")], "doc_id long, text string, key string")
+    assert [r.text for r in leaks.drop_leaked(lost, items).collect()] == ["clean"] and leaks.drop_leaked(lost, items).columns == lost.columns
+
+
+def test_common_phrases_join_nothing_but_leaks(spark):
+    stock = "choose the one correct answer from the list of options below"
+    rng = random.Random(5)
+    items = [f"{stock} " + " ".join(f"v{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{n}x" for n in "qwertyuiopas") for _ in range(30)]
+    benchmark = bench(spark, [*enumerate(items), (99, stock)])
+    sought = leaks.item_windows(leaks._items(benchmark), common=5)
+    assert sought.filter("item_id < 99 AND place < 4").count() == 0 and sought.filter("item_id = 99").count() > 0
+    texts = [f"well {stock} and so on", items[3], f"{stock} then {items[7][len(stock) :]}"]
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), benchmark, common=5).collect())
+    every = sorted((r.doc_id, r.item_id, r.coverage) for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), benchmark).collect())
+    assert got == every and [g[:2] for g in got] == [(0, 99), (1, 3), (1, 99), (2, 7), (2, 99)]
