@@ -1,18 +1,26 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. The length of each line is summed over a sliding
-window of lines. Where the sum surges from a trough the text begins, where it dives the text ends, and all
-lines between are kept. Lines that can't be main text weigh nothing and are never kept: those inside
-navigation, headers, footers, sidebars, forms, scripts, adverts, notices and comment sections (by tag, role,
-class or id), and outside containers lines that are mostly link text. Where the page names its container
-(``article``, ``main`` or their roles), the distribution is taken over that container's lines and every line
-with text is above the surge threshold, so short lines of a marked article are not lost; elsewhere a block must
-reach ``surge`` characters in a window, short lines between two surges are kept, and the text ends at the last line
-of some length whose window, before or after it, still reaches that.
+Markup is stripped to lines, one for each block element. Tags set what a line weighs; the distribution of the
+weights, summed over a sliding window of lines, decides what is kept. A window at or over the threshold is heavy:
+where one begins the sums surge, where the last ends they dive, and the lines between are a block of text. Short
+lines between two surges are no dive unless a whole window of lines weighs nothing.
 
+Weights: nothing for lines inside navigation, headers, footers, sidebars, forms, scripts, adverts, notices and comment
+sections (by tag, role, class or id); nothing for lines of mostly link text outside containers, and inside
+them where as many as a window stand together, as menus do; nothing for lines outside where the page names
+its container (``article``, ``main``); its length and the threshold for a line inside one, so that a marked
+article's short lines surge by themselves; else its length. Classes that name things articles are
+made of as well (search, tags, related, ...) only count where the element's lines are short or links.
+Threshold: ``surge`` characters, or the heaviest window where no window has that.
+
+A block begins and ends at a line of some length; a short line next to it (a heading, a last word) belongs to it if it is a
+paragraph or shares its parent element, the body aside. Short lines inside a block stay.
+
+Tags are read in one pass that never goes back, so time is linear in the page's length whatever is unclosed.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 space, nothing else is dropped or capped. Defined cases: null and empty pages give an empty text; unclosed
-tags end with their parent; text without any tag is one line a line; repeated rows are extracted each; the
+tags end with their parent; an unclosed script, style or comment goes to the end of the page, other unclosed
+raw elements are as if not there; text without any tag is one line a line; repeated rows are extracted each; the
 result has one row for each row; columns other than page_id, url and html don't matter.
 """
 
@@ -20,7 +28,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,82 +39,149 @@ from pyspark.sql import DataFrame
 from rankweave.llm.columns import pick
 from rankweave.runtime import small_batches
 
-#: Lines of one window, and characters that one must reach outside containers.
+#: Lines of one window, and characters that one must reach.
 WINDOW = 3
 SURGE = 80
-#: Outside containers a shorter line neither starts a surge nor outlasts a dive.
+#: A shorter line doesn't begin or end a block by itself.
 SHORT = 20
+#: Mean characters of a line from which an element of a doubtful class is text.
+PROSE = 40
 
 #: HTML element names and words of class, id and role attributes.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style template noscript iframe object svg canvas textarea title head math xmp noembed noframes".split())
+TO_THE_END = frozenset(("script", "style"))
 DROPPED = frozenset("nav aside footer form menu select button dialog input label fieldset".split()) | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSED_BY_BLOCK = frozenset(("p",))
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CONTAINERS = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-NOISE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side-bar|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|masthead|site-header|page-header|toolbar|topbar|comments?|commentlist|disqus|respond|replies|discussion|share|sharing|social|related|recommend\w*|trending|tags|tagcloud|outbrain|taboola|search|skip|hidden)(?:$|[\s_-])"
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+_WORDS = r"(?i)(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+NOISE = re.compile(_WORDS.format(r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|masthead|site-header|page-header|topbar|comments?|commentlist|disqus|respond|replies|outbrain|taboola"))
+DOUBTFUL = re.compile(_WORDS.format(r"banner|promo\w*|alert|widget|toolbar|discussion|share|sharing|social|related|recommend\w*|trending|tags|tagcloud|search|skip|hidden"))
+COMMENT = re.compile(r"(?i)(?:^|\s)(?:comment|comment-(?:body|item|content)|reply)(?:\s|$)")
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"=\s*+[\"']|>")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true")
 
 
-def _noise(name: str, attributes: str, contained: bool) -> bool:
+def _kind(name: str, attributes: str, contained: bool) -> str:
+    """What an element is: "noise", "doubtful" or "" (neither)."""
     if name in DROPPED or name == "header" and not contained:
-        return True
+        return "noise"
     if not attributes or name in ("html", "body"):
-        return False
+        return ""
     if _HIDDEN.search(attributes):
-        return True
+        return "noise"
+    found = ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key == "role" and value.lower() in ROLES or key in ("class", "id") and NOISE.search(value):
-            return name not in CONTAINERS
-    return False
+        if name in CONTAINERS:
+            if key == "class" and COMMENT.search(value):
+                return "noise"
+        elif key == "role" and value.lower() in ROLES or key in ("class", "id") and NOISE.search(value):
+            return "noise"
+        elif key in ("class", "id") and DOUBTFUL.search(value):
+            found = "doubtful"
+    return found
+
+
+@dataclass(slots=True)
+class Line:
+    text: str
+    inside: bool  # a container
+    links: int  # characters of link text
+    tag: str  # of its block, and the number of that block's parent
+    parent: int
+    doubtful: int  # number of the outermost element of a doubtful class, 0 for none
+
+
+def _tag_end(page: str, at: int, absent: set[str]) -> int:
+    """Where the tag's ``>`` stands, outside quoted values; -1 if nowhere. ``absent``: what isn't in the rest of the page."""
+    while found := _STOP.search(page, at):
+        quote = found[0][-1]
+        if quote == ">":
+            return found.start()
+        at = found.end()
+        if quote not in absent:
+            if (close := page.find(quote, at)) < 0:
+                absent.add(quote)
+            else:
+                at = close + 1
+    absent.add(">")
+    return -1
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside a container, characters of link text) of each line that isn't inside noise."""
-    lines: list[tuple[str, bool, int]] = []
+def lines_of(page: str) -> list[Line]:
+    """The lines of the page that aren't inside noise."""
+    lines: list[Line] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, opens noise, opens a container
-    noise = inside = links = link_chars = 0
+    stack: list[tuple[str, str, bool]] = []  # name, kind, opens a container
+    open_names: Counter[str] = Counter()
+    blocks: list[tuple[str, int]] = [("body", 0)]  # name and number of the open block elements
+    doubts: list[int] = []
+    noise = inside = links = link_chars = number = 0
+    place = blocks[-1][0], 0
+    absent: set[str] = set()
     at = 0
 
+    def add(text: str) -> None:
+        nonlocal link_chars, place
+        if not buffer:
+            place = blocks[-1][0], blocks[-2][1] if len(blocks) > 1 else 0
+        buffer.append(text)
+        if links:
+            link_chars += len(text)
+
     def end_line() -> None:
         nonlocal link_chars
         if buffer:
             if text := " ".join(entities.unescape("".join(buffer)).split()):
-                lines.append((text, inside > 0, link_chars))
+                lines.append(Line(text, inside > 0, link_chars, *place, doubts[0] if doubts else 0))
             buffer.clear()
         link_chars = 0
 
     def leave() -> str:
         nonlocal noise, inside, links
-        name, noisy, container = stack.pop()
+        name, kind, container = stack.pop()
+        open_names[name] -= 1
         if name in BLOCKS:
             end_line()
-        noise -= noisy
+            blocks.pop()
+        if kind == "doubtful":
+            doubts.pop()
+        noise -= kind == "noise"
         inside -= container
         links -= name == "a"
         return name
 
-    while found := _TOKEN.search(page, at):
-        if not noise and found.start() > at:
-            buffer.append(part := page[at : found.start()])
-            if links:
-                link_chars += len(part)
-        at = found.end()
-        name = found[2]
-        if name is None:
-            if found[0].startswith("<![CDATA[") and not noise:
-                buffer.append(entities.escape(found[0][9:-3]))
+    while (start := page.find("<", at)) >= 0:
+        if not noise and start > at:
+            add(page[at:start])
+        if page.startswith(("<!--", "<![CDATA["), start):
+            mark = "-->" if page[start + 2] == "-" else "]]>"
+            close = page.find(mark, start + 4)
+            if mark == "]]>" and not noise:
+                add(entities.escape(page[start + 9 : close if close >= 0 else len(page)]))
+            at = close + 3 if close >= 0 else len(page)
+            continue
+        found = _TAG.match(page, start + 1)
+        if ">" in absent or not found and page[start + 1 : start + 2] not in ("!", "?"):
+            if not noise:
+                add("<")
+            at = start + 1
+            continue
+        if not found:
+            close = page.find(">", start)
+            at = close + 1 if close >= 0 else len(page)
             continue
-        name = name.lower()
+        if (close := _tag_end(page, found.end(), absent)) < 0:
+            at = start
+            continue
+        attributes, name, at = page[found.end() : close], found[2].lower(), close + 1
         if found[1]:
-            if any(name == x for x, _, _ in stack):
+            if open_names[name]:
                 while leave() != name:
                     pass
             elif name in BLOCKS:
@@ -116,54 +193,105 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             leave()
         if name in BLOCKS:
             end_line()
-        if name in VOID or found[3].rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/") and not attributes.rstrip().endswith("=/"):
             continue
         if name in RAW:
-            close = re.compile(rf"(?is)</{re.escape(name)}\s*>").search(page, at)
-            if close or name != "head":
-                at = close.end() if close else len(page)
+            end = None if name in absent else re.compile(rf"(?i)</{re.escape(name)}\s*+>").search(page, at)
+            if end:
+                at = end.end()
+            else:
+                absent.add(name)
+                at = len(page) if name in TO_THE_END else at
             continue
-        noisy = bool(_noise(name, found[3], inside > 0))
-        container = name in CONTAINERS and not noisy
-        stack.append((name, noisy, container))
-        noise += noisy
+        kind = _kind(name, attributes, inside > 0)
+        container = name in CONTAINERS and kind != "noise"
+        number += 1
+        stack.append((name, kind, container))
+        open_names[name] += 1
+        if name in BLOCKS:
+            blocks.append((name, 0 if name in ("html", "body") else number))
+        if kind == "doubtful":
+            doubts.append(number)
+        noise += kind == "noise"
         inside += container
         links += name == "a"
     if not noise:
-        buffer.append(page[at:])
+        add(page[at:])
     end_line()
     return lines
 
 
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """(first, behind the last) of each run of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    return edges.reshape(-1, 2)
+
+
+def weights_of(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
+    """What each line weighs, by its length and its tags."""
+    length = np.array([len(x.text) for x in lines])
+    linked = np.array([2 * x.links >= len(x.text) for x in lines])
+    contained = any(x.inside for x in lines)
+    if contained:
+        inside = np.array([x.inside for x in lines])
+        menu = np.zeros(len(lines), dtype=bool)
+        for low, high in _runs(linked & inside):
+            menu[low:high] = high - low >= window and high - low < np.count_nonzero(inside)
+        out = np.where(inside & ~menu, length + surge, 0)
+    else:
+        out = np.where(linked, 0, length)
+    whose = np.array([x.doubtful for x in lines])
+    for number in np.unique(whose[whose > 0]).tolist():
+        own = whose == number
+        if length[own].mean() < PROSE or 2 * length[own & linked].sum() >= length[own].sum():
+            out[own] = 0
+    return out
+
+
+def text_blocks(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """(first, behind the last) line of each block: between a surge of the windows' sums and the dive after it, from and to a line of some length.
+
+    Short lines between two surges are no dive, however many, unless whole windows of lines weigh nothing.
+    """
+    if not weights.any():
+        return []
+    sums = np.convolve(weights, np.ones(window, dtype=np.int64))  # of each window, the first and last ones reaching over the edge
+    least = min(surge, int(sums.max()))
+    heavy = np.convolve(sums >= least, np.ones(window, dtype=np.int64))[window - 1 : window - 1 + weights.size] > 0
+    strong = np.flatnonzero(weights >= min(SHORT, int(weights.max())))
+    out = []
+    for low, high in _runs(heavy).tolist():
+        own = strong[np.searchsorted(strong, low) : np.searchsorted(strong, high)]
+        if not own.size:
+            continue
+        first, behind = int(own[0]), int(own[-1]) + 1
+        if out and not any(b - a >= window for a, b in _runs(weights[out[-1][1] : first] == 0).tolist()):
+            first = out.pop()[0]
+        out.append((first, behind))
+    return out
+
+
+def _belongs(line: Line, edge: Line) -> bool:
+    return line.tag in PARAGRAPHS or line.parent == edge.parent and line.parent > 0
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The page's main text by the distribution of its line lengths."""
+    """The page's main text by the distribution of its lines' weights."""
     if not page:
         return ""
-    lines = lines_of(page) if "<" in page else [(" ".join(entities.unescape(x).split()), False, 0) for x in page.splitlines() if x.strip()]
+    lines = lines_of(page) if "<" in page else [Line(" ".join(entities.unescape(x).split()), False, 0, "p", 0, 0) for x in page.splitlines() if x.strip()]
     if not lines:
         return ""
-    contained = any(inside for _, inside, _ in lines)
-    weights = np.array([len(t) if (inside if contained else 2 * link < len(t)) else 0 for t, inside, link in lines])
-    sums = np.convolve(weights, np.ones(window, dtype=np.int64))[window - 1 :][: len(lines)]  # of a line and those after it
-    least = 1 if contained else surge
-    if not contained and sums.max() < surge:
-        least = max(1, int(weights.max()))  # a short page: its longest line and what stands about it
-    kept, open_block = [], False
-    for i, (weight, total) in enumerate(zip(weights, sums, strict=True)):
-        if not open_block:
-            # A surge starts at a line of some length, or at a short one (a heading) right above a long one.
-            heavy = contained or weight >= min(SHORT, least) or (i + 1 < len(weights) and weights[i + 1] >= least)
-            open_block = weight > 0 and total >= least and heavy
-        elif total < least and (contained or weight < SHORT):
-            open_block = weight > 0 and contained  # a dive
-        if open_block and weight:
-            kept.append(i)
-    if kept and not contained:
-        # The text ends at the last line of some length whose window, before or after it, reaches the threshold; short lines between stay.
-        before = np.convolve(weights, np.ones(window, dtype=np.int64))[: len(lines)]
-        strong = np.flatnonzero((weights >= min(SHORT, least)) & (np.maximum(sums, before) >= least))
-        kept = [i for i in range(kept[0], max(kept[-1], *strong[-1:].tolist(), 0) + 1) if weights[i]]
-    return " ".join(lines[i][0] for i in kept)
+    weights = weights_of(lines, window, surge)
+    keep = np.zeros(len(lines), dtype=bool)
+    for low, high in text_blocks(weights, window, surge):
+        first, last = lines[low], lines[high - 1]
+        while low and weights[low - 1] and _belongs(lines[low - 1], first):
+            low -= 1
+        while high < len(lines) and weights[high] and _belongs(lines[high], last):
+            high += 1
+        keep[low:high] = True
+    return " ".join(x.text for x, kept, weight in zip(lines, keep, weights, strict=True) if kept and weight)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

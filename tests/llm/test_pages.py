@@ -4,8 +4,10 @@ import gzip
 import hashlib
 import io
 import random
+import time
 from urllib.parse import urlsplit
 
+import numpy as np
 import pytest
 
 from rankweave.llm import main_text, url_filter, warc
@@ -161,3 +163,80 @@ def test_short_lines_without_a_container(middle):
         if end == para or len(middle) == 1:
             page = "<body>" + "".join(f"<div>{x}</div>" for x in (para, *middle, end, "x", "y")) + "</body>"
             assert main_text.main_text(page) == " ".join((para, *middle, end))
+
+
+def test_the_distribution_decides(monkeypatch):
+    """Menus inside a container and short lines about it go by the sums of weights alone; without them all would stay."""
+    menu = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(5))
+    page = f"<article><h1>Title</h1><p>Short lead.</p><ul>{menu}</ul><p>{'Prose of the article. ' * 8}</p><p><a href=x>The full report</a></p><p>The end.</p><p>Short final.</p></article>"
+    kept = main_text.main_text(page)
+    assert kept == " ".join(["Title", "Short lead.", ("Prose of the article. " * 8).strip(), "The full report", "The end.", "Short final."])
+    flat = f"<body><div>Home</div><div>News</div><div>{'Prose. ' * 30}</div><div>More</div><div>x</div><div>y</div></body>"
+    assert main_text.main_text(flat) == ("Prose. " * 30).strip()
+    monkeypatch.setattr(main_text, "weights_of", lambda lines, *_: np.ones(len(lines), dtype=np.int64))
+    assert "Page 1" in main_text.main_text(page) and "Home" in main_text.main_text(flat)
+
+
+def slow_blocks(weights, window, surge):
+    """Heavy windows one by one; what they hold, from and to a strong line; joined unless a window of nothing lies between."""
+    n = len(weights)
+    inside = [range(max(0, s), min(n, s + window)) for s in range(1 - window, n)]
+    sums = [sum(weights[i] for i in w) for w in inside]
+    least, strong = min(surge, max(sums)), min(main_text.SHORT, max(weights))
+    heavy = sorted({i for w, s in zip(inside, sums, strict=True) if s >= least for i in w})
+    out = []
+    for i in heavy:
+        if weights[i] < strong:
+            continue
+        if out and all(j in heavy for j in range(out[-1][1], i)):
+            out[-1][1] = i + 1
+        elif out and not any(all(weights[k] == 0 for k in range(j, j + window)) for j in range(out[-1][1], i - window + 1)):
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1])
+    return [tuple(b) for b in out]
+
+
+def test_blocks_match_brute_force():
+    rng = random.Random(12)
+    for _ in range(600):
+        weights = [rng.choice([0, 0, 0, 3, 15, 25, 60, 90, 300]) for _ in range(rng.randint(1, 30))]
+        if any(weights):
+            assert main_text.text_blocks(np.array(weights), 3, 80) == slow_blocks(weights, 3, 80), weights
+    assert main_text.text_blocks(np.zeros(4, dtype=np.int64)) == []
+
+
+def test_short_paragraphs_about_a_block_without_a_container():
+    long = "Many words stand in this paragraph, which goes on for quite a while and is no menu."
+    assert main_text.main_text(f"<body><p>Short lead.</p><p>{long}</p><p>The end.</p><p>Short final.</p></body>") == f"Short lead. {long} The end. Short final."
+    assert main_text.main_text(f"<body><div>Home</div><div class=x><div>Lead</div><div>{long}</div><div>End</div></div><div>Shop</div></body>") == f"Lead {long} End"
+
+
+def test_classes_that_articles_use():
+    long = "Many words stand in this paragraph, which goes on for quite a while and is no menu."
+    for name in ("search-guide", "tags", "related-work", "hidden", "share"):
+        assert main_text.main_text(f'<article><h1>T</h1><div class="{name}"><p>{long}</p><p>{long}</p></div></article>') == f"T {long} {long}"
+        assert main_text.main_text(f'<article><p>{long}</p><div class="{name}"><a href=x>one</a> <a href=y>two</a></div></article>') == long
+    comments = f'<section id="comments"><article class="comment even"><p>{long}</p></article></section><article class="comment"><p>{long}</p></article>'
+    assert main_text.main_text(f"<article><p>Text.</p></article>{comments}") == "Text."
+
+
+@pytest.mark.parametrize("name", ["object", "svg", "canvas", "title", "textarea", "iframe", "noscript"])
+def test_unclosed_raw_elements_swallow_nothing(name):
+    assert main_text.main_text(f"<article><p>One.</p><{name}><p>Two.</p></article>") == "One. Two."
+    assert main_text.main_text(f"<article><p>One.</p><{name}>gone</{name}><p>Two.</p></article>") == "One. Two."
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 100_000 + "<p>x</p>" * 100_000, "<a href=\"" * 100_000, "<a x='\"" * 100_000 + ">", "<svg>" * 200_000, "<" * 1_000_000, "<div " + "a" * 1_000_000 + ">x", "<div " + "a =" * 300_000 + ">x", "<!-- " * 200_000, "<p>a < b " * 100_000, "</b>" * 200_000, "<b>" * 200_000 + "</i>" * 100_000, "<div style='display" + " " * 1_000_000 + "'>x"])
+def test_large_odd_pages_take_linear_time(page):
+    began = time.perf_counter()
+    main_text.main_text(page)
+    assert time.perf_counter() - began < 6
+
+
+def test_random_pages_never_fail():
+    rng = random.Random(3)
+    parts = ["<p>", "</p>", "<div class='ad'>", "</div>", "<article>", "</article>", "<a href=x>", "</a>", "word ", "<", ">", "&amp;", "<!--", "-->", "<script>", "</script>", "'", '"', "<li>", "<br/>", "<svg>", "</svg>", "\n", "<title>", "<b", "<![CDATA[x]]>", "<main>", "x" * 90]
+    for _ in range(2000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        assert main_text.main_text(page) == " ".join(main_text.main_text(page).split())
