@@ -1,21 +1,24 @@
 """Quality classifier by nearest-neighbour voting among latent-semantic vectors.
 
-Terms of a text are the trigrams of its characters' classes (lower, upper, digit, space, line end, single
-punctuation marks, ...), counted over the whole text, and a few terms of word repetition: a word equal to the
-one, two or three words before it, and words seen before. Weights are square roots of relative frequencies times the
-inverse document frequency. Training takes labelled documents (at most ``max_per_label`` of each label, those
+Terms of a text, counted over the whole text: its character trigrams (bytes of the lower-cased text, hashed to
+``_HASHED`` terms: pieces of words, and whole characters of other scripts), the trigrams of its characters' classes
+(lower, upper, digit, space, line end, single punctuation marks, ...), and a few terms of word repetition: a word
+equal to the one, two or three words before it, and words seen before. Weights are square roots of relative
+frequencies times the inverse document frequency. Training takes labelled documents (at most ``max_per_label`` of each label, those
 with the smallest seeded hash: a bounded sample, a documented parameter), decomposes their term matrix by
 singular values and keeps ``dims`` dimensions: latent vectors, normalised. Scoring projects every document and
 takes its cosines to all labelled vectors by one matrix product a block of documents, exactly; the ``neighbours``
 largest vote with weight similarity^``power``, each label's votes divided by its share of the sample.
 
-What is broadcast is bounded by the parameters: terms x dims + 2 x max_per_label x dims floats (1.7 MB).
+What is broadcast is bounded by the parameters: terms x dims + 2 x max_per_label x dims floats (1.8 MB).
 Documents are scored where they are, with no shuffle.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not 0; labels, lang, source and doc_id
-are never inputs of a score. Defined cases: null and empty texts have no terms and no neighbours: they score
-the sample's neutral 0.5 (as everything does without labels of both kinds); a null doc_id is held out; rows
-without a label or a doc_id are not learned from; repeated rows are scored each; other columns don't matter.
+are never inputs of a score. Defined cases: null and empty texts have no terms and so no cosine; they go by the
+nearest labelled texts in length, that is the ``neighbours`` shortest (all of the length of the last), whose votes count alike. Without labels of
+both kinds everything scores 0.5. A null doc_id is held out; rows without a label or a doc_id, and doc_ids with
+both labels, are not learned from; of rows that share a doc_id the text with the smallest hash is; repeated rows
+are scored each; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,9 +42,14 @@ POWER = 4.0
 CUT = 0.3
 FOLDS = 5
 SEED = 11
-#: Terms: trigrams of 16 classes, then repetition terms.
+#: Terms: trigrams of 16 classes, then repetition terms, then hashed trigrams of characters.
 _CLASSES = 16
-_TERMS = _CLASSES**3 + 4
+_REPEATS = _CLASSES**3
+_HASHED = 1 << 11
+_TERMS = _REPEATS + 4 + _HASHED
+_PRIME = np.uint32(2654435761)
+_LOWER = np.arange(256, dtype=np.uint32)
+_LOWER[65:91] += 32
 _BLOCK = 256
 
 
@@ -66,12 +74,15 @@ def terms(text: str | None) -> np.ndarray:
     c = _CLASS[raw]
     c = np.concatenate(([1], c, [1]))
     grams = np.bincount((c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:], minlength=_CLASSES**3)
-    out[: _CLASSES**3] = np.sqrt(grams / grams.sum())
+    out[:_REPEATS] = np.sqrt(grams / grams.sum())
+    low = _LOWER[np.concatenate(([32], raw, [32]))]
+    hashed = ((low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]) * _PRIME) >> np.uint32(21)
+    out[_REPEATS + 4 :] = np.sqrt(np.bincount(hashed, minlength=_HASHED) / hashed.size)
     words = text.split()
     for k in (1, 2, 3):
         if len(words) > k:
-            out[_CLASSES**3 + k - 1] = np.sqrt(sum(map(eq, words, words[k:])) / (len(words) - k))
-    out[-1] = np.sqrt(1 - len(set(words)) / len(words)) / 2 if words else 0.0
+            out[_REPEATS + k - 1] = np.sqrt(sum(map(eq, words, words[k:])) / (len(words) - k))
+    out[_REPEATS + 3] = np.sqrt(1 - len(set(words)) / len(words)) / 2 if words else 0.0
     return out
 
 
@@ -83,6 +94,7 @@ class Model:
     votes: np.ndarray  # n x 2: a vote's weight for either label
     neighbours: int
     power: float
+    empty: float  # the score of a text without terms
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """The score of each row of term weights."""
@@ -96,15 +108,15 @@ class Model:
         weight = np.take_along_axis(near, top, axis=1) ** self.power
         votes = np.einsum("ij,ijk->ik", weight, self.votes[top])
         total = votes.sum(axis=1)
-        return np.where(total > 1e-12, votes[:, 1] / np.where(total > 1e-12, total, 1), 0.5)
+        return np.where(total > 1e-12, votes[:, 1] / np.where(total > 1e-12, total, 1), self.empty)
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def labelled(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> list[tuple[str, int]]:
-    """The bounded sample to learn from: (text, label), in a fixed order."""
+def labelled(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> pa.Table:
+    """The bounded sample to learn from, one row a doc_id, in a fixed order: doc_id, quality, length in bytes, terms."""
     marks = pick(labels, doc_id="long", quality="int").filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(fold(F.col("doc_id")) != 0)
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most")
     order = (F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"))
@@ -114,47 +126,51 @@ def labelled(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_P
         chosen = part if chosen is None else chosen.unionByName(part)
     docs = pick(documents, doc_id="long", text="string")
     # 2 x max_per_label ids of 12 bytes at most: bounded by the parameter.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     small_batches(documents.sparkSession)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # term weights come back, not texts: 16 KB a row whatever its length
-            found = [terms(t).astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "quality": batch.column(1), "terms": pa.array(found, pa.binary())})
+        for batch in batches:  # term weights come back, not texts: 12 KB a row whatever its length
+            texts = batch.column(2).to_pylist()
+            found = [terms(t).astype(np.float16).tobytes() for t in texts]
+            yield pa.record_batch({"doc_id": batch.column(0), "quality": batch.column(1), "length": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "terms": pa.array(found, pa.binary())})
 
-    got = rows.mapInArrow(reduce, "doc_id long, quality int, terms binary").collect()
-    return sorted((r.doc_id, r.quality, bytes(r.terms)) for r in got)
+    got = rows.mapInArrow(reduce, "doc_id long, quality int, length long, terms binary").toArrow()
+    return got.sort_by("doc_id")
 
 
 def train(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, dims: int = DIMS, neighbours: int = NEIGHBOURS, power: float = POWER) -> Model:
-    sample = labelled(documents, labels, max_per_label)[: 4 * max_per_label]
-    y = np.array([q for _, q, _ in sample], dtype=np.int64)
-    x = np.frombuffer(b"".join(t for _, _, t in sample), dtype=np.float32).reshape(len(sample), _TERMS)
-    if not len(sample) or len(set(y.tolist())) < 2:
-        return Model(np.ones(_TERMS, np.float32), np.zeros((_TERMS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros((0, 2)), neighbours, power)
+    sample = labelled(documents, labels, max_per_label)
+    x = np.zeros((sample.num_rows, _TERMS), np.float32)
+    for i, row in enumerate(sample.column("terms")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    return fit(x, sample.column("quality").to_numpy().astype(np.int64), sample.column("length").to_numpy(), dims, neighbours, power)
+
+
+def fit(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, dims: int = DIMS, neighbours: int = NEIGHBOURS, power: float = POWER) -> Model:
+    """The model of term weights ``x``, labels ``y`` and the texts' lengths."""
+    if len(set(y.tolist())) < 2:
+        return Model(np.ones(_TERMS, np.float32), np.zeros((_TERMS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros((0, 2)), neighbours, power, 0.5)
     weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) / 2 + 1).astype(np.float32)
-    weights[_CLASSES**3 :] = 2.0  # repetition occurs in every long text a little: its frequency tells, not its presence
-    weighed = x * weights
+    weights[_REPEATS : _REPEATS + 4] = 2.0  # repetition occurs in every long text a little: its frequency tells, not its presence
+    x *= weights
     # Right singular vectors from the smaller Gram matrix.
-    used = np.flatnonzero(weighed.any(axis=0))
-    dense = weighed[:, used].astype(np.float64)
-    if len(dense) <= len(used):
-        values, left = np.linalg.eigh(dense @ dense.T)
+    if len(x) <= _TERMS:
+        values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
         order = np.argsort(-values)[:dims]
-        order = order[values[order] > 1e-9]
-        right = dense.T @ (left[:, order] / np.sqrt(values[order]))
+        order = order[values[order] > 1e-6]
+        right = x.T @ (left[:, order] / np.sqrt(values[order])).astype(np.float32)
     else:
-        values, right = np.linalg.eigh(dense.T @ dense)
+        values, right = np.linalg.eigh((x.T @ x).astype(np.float64))
         order = np.argsort(-values)[:dims]
-        right = right[:, order[values[order] > 1e-9]]
-    basis = np.zeros((_TERMS, right.shape[1]), dtype=np.float32)
-    basis[used] = right
-    latent = weighed @ basis
+        right = right[:, order[values[order] > 1e-6]].astype(np.float32)
+    latent = x @ right
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     vectors = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 1e-12)
     votes = np.zeros((len(y), 2))
     votes[np.arange(len(y)), y] = 1 / np.bincount(y, minlength=2)[y]
-    return Model(weights, basis, np.ascontiguousarray(vectors.T), votes, neighbours, power)
+    near = votes[lengths <= np.sort(lengths)[min(neighbours, len(lengths)) - 1]].sum(axis=0)
+    return Model(weights, np.ascontiguousarray(right), np.ascontiguousarray(vectors.T), votes, neighbours, power, float(near[1] / near.sum()))
 
 
 def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:

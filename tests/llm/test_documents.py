@@ -195,6 +195,53 @@ def test_quality_odd_rows(spark):
     assert quality.classify(documents(spark, []), labels.limit(0)).count() == 0
 
 
+def slow_terms(text):
+    """The terms of a text one by one: trigrams of classes, repetition, hashed trigrams."""
+    raw = text.encode()
+    out = np.zeros(quality._TERMS)
+    kinds = [1, *[int(quality._CLASS[b]) for b in raw], 1]
+    low = [32, *[b + 32 if 65 <= b <= 90 else b for b in raw], 32]
+    for i in range(len(raw)):
+        out[(kinds[i] * 16 + kinds[i + 1]) * 16 + kinds[i + 2]] += 1 / len(raw)
+        out[4100 + ((low[i] * 65536 + low[i + 1] * 256 + low[i + 2]) * 2654435761 % 2**32 >> 21)] += 1 / len(raw)
+    words = text.split()
+    for k in (1, 2, 3):
+        if len(words) > k:
+            out[4096 + k - 1] = sum(a == b for a, b in zip(words, words[k:], strict=False)) / (len(words) - k)
+    out = np.sqrt(out)
+    out[4099] = np.sqrt(1 - len(set(words)) / len(words)) / 2 if words else 0
+    return out
+
+
+def test_votes_match_brute_force():
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abc DE!|.9\né") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    assert all(np.allclose(quality.terms(t), slow_terms(t)) for t in texts)
+    y = np.array([rng.randrange(2) for _ in texts])
+    model = quality.fit(np.stack([quality.terms(t) for t in texts]).astype(np.float32), y, np.array([len(t.encode()) for t in texts]), dims=8, neighbours=5)
+    for text in ["".join(rng.choice("abc DE!|.9\né") for _ in range(40)) for _ in range(20)]:
+        latent = (slow_terms(text) * model.weights) @ model.basis
+        latent /= np.linalg.norm(latent)
+        near = sorted(((float(np.clip(latent @ model.vectors[:, i], 0, 1)), i) for i in range(len(texts))), reverse=True)[:5]
+        share = [(y == 0).sum(), (y == 1).sum()]
+        votes = [sum(s**quality.POWER / share[k] for s, i in near if y[i] == k) for k in (0, 1)]
+        assert quality.score_texts(model, [text])[0] == pytest.approx(votes[1] / sum(votes), abs=1e-3)
+    shortest = sorted(range(len(texts)), key=lambda i: len(texts[i].encode()))
+    last = len(texts[shortest[4]].encode())
+    few = [i for i in shortest if len(texts[i].encode()) <= last]
+    votes = [sum(1 / share[k] for i in few if y[i] == k) for k in (0, 1)]
+    assert quality.score_texts(model, ["", None]).tolist() == [pytest.approx(votes[1] / sum(votes))] * 2
+
+
+def test_sample_has_one_row_an_id(spark):
+    rows = [(i % 40, f"text {i} of a few words", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    sample = quality.labelled(documents(spark, rows), labels, 10)
+    ids = sample.column("doc_id").to_pylist()
+    assert ids == sorted(set(ids)) and 0 < len(ids) <= 20
+    assert sample.equals(quality.labelled(documents(spark, rows[::-1]), labels, 10))
+
+
 # SimHash.
 
 
