@@ -33,8 +33,10 @@ from rankweave.runtime import materialize, small_batches
 
 WIDTH = 64
 TILE = 32
-_HEADER = re.compile(rb"P([1-6])((?:\s+|#[^\n\r]*[\n\r])+)(\d+)((?:\s+|#[^\n\r]*[\n\r])+)(\d+)")
-_MAXVAL = re.compile(rb"((?:\s+|#[^\n\r]*[\n\r])+)(\d+)")
+#: White space and comments between a header's values; possessive, so a header that isn't one is refused in linear time.
+_GAP = rb"(?:\s|#[^\n\r]*+[\n\r])++"
+_HEADER = re.compile(rb"P([1-6])" + _GAP + rb"(\d{1,9})" + _GAP + rb"(\d{1,9})")
+_MAXVAL = re.compile(_GAP + rb"(\d{1,9})")
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -43,19 +45,26 @@ def decode(data: bytes) -> np.ndarray:
         return _bmp(data)
     if not (found := _HEADER.match(data)):
         raise ValueError("neither a Netpbm nor a BMP image")
-    kind, width, height, at, top = int(found[1]), int(found[3]), int(found[5]), found.end(), 1
+    kind, width, height, at, top = int(found[1]), int(found[2]), int(found[3]), found.end(), 1
     if kind not in (1, 4):
         if not (most := _MAXVAL.match(data, at)):
             raise ValueError("no largest value")
-        top, at = int(most[2]), most.end()
+        top, at = int(most[1]), most.end()
     if not (width and height and 0 < top < 65536):
         raise ValueError("bad size or largest value")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
     if kind <= 3:
         text = re.sub(rb"#[^\n\r]*", b"", data[at:])
-        values = list(re.sub(rb"\s+", b"", text)) if kind == 1 else text.split()
-        samples = np.array(values[:n], dtype=np.int64) - (48 if kind == 1 else 0)
+        if kind == 1:
+            samples = np.frombuffer(b"".join(text.split())[:n], np.uint8).astype(np.int64) - 48
+        else:
+            values = text.split()[:n]
+            if any(len(v) > 9 or not v.isdigit() for v in values):
+                raise ValueError("a sample that is no number")
+            samples = np.array([int(v) for v in values], dtype=np.int64)
+        if samples.size and (samples.min() < 0 or samples.max() > top):
+            raise ValueError("a sample beyond the largest value")
     elif kind == 4:
         row = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, offset=at + 1)[: row * height]
@@ -86,7 +95,14 @@ def _bmp(data: bytes) -> np.ndarray:
         raise ValueError("cut off")
     raw = raw[: rows * stride].reshape(rows, stride)
     if bits >= 24:
-        image = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
+        order = [2, 1, 0]  # bytes of red, green and blue
+        if packing == 3:
+            masks = struct.unpack_from("<III", data, 54) if len(data) >= 66 else ()
+            known = {0xFF << 8 * i: i for i in range(4)}
+            if len(masks) != 3 or any(m not in known for m in masks):
+                raise ValueError("a BMP whose masks aren't whole bytes")
+            order = [known[m] for m in masks]
+        image = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, order]
     else:
         used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
         palette = np.frombuffer(data, np.uint8, count=4 * used, offset=14 + size).reshape(-1, 4)[:, 2::-1]

@@ -4,7 +4,10 @@ import hashlib
 import io
 import random
 import re
+import struct
+import time
 import zlib
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -155,6 +158,49 @@ def test_decoders():
             media.decode(bad)
 
 
+def test_odd_headers_and_samples():
+    began = time.perf_counter()
+    for bad in (b"P5" + b" " * 100_000, b"P5" + b"#c\n" * 50_000, b"P5 1 1" + b" \n" * 50_000, b"P5 " + b"9" * 100_000, b"P1 2 1 2 3", b"P1 2 1 0 x", b"P2 1 1 15 99", b"P2 1 1 15 -1", b"P2 1 1 255 1e2", b"P2 1 1 255 " + b"1" * 10_000, b"P5 999999999 999999999 255 x"):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+    assert time.perf_counter() - began < 2
+    head = struct.pack("<IHHIIiiHHIIiiII", 70, 0, 0, 66, 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0)
+    for masks in ((0xFF, 0xFF00, 0xFF0000), (0xFF0000, 0xFF00, 0xFF), (0xFF00, 0xFF0000, 0xFF000000)):
+        pixel = sum(v << (m.bit_length() - 8) for v, m in zip((10, 20, 30), masks, strict=True))
+        assert media.decode(b"BM" + head + struct.pack("<IIII", *masks, pixel)).tolist() == [[[10, 20, 30]]]
+    with pytest.raises(ValueError):
+        media.decode(b"BM" + head + struct.pack("<IIII", 0x1F, 0x7E0, 0xF800, 0))
+
+
+def slow_hash(payload):
+    """The difference hash of a payload as an image 64 wide: means over exact areas, pixel by pixel, in fractions."""
+    rows = [payload[i : i + 64] for i in range(0, len(payload), 64)]
+    high, wide = Fraction(len(rows), 8), Fraction(64, 9)
+
+    def share(i, low, size):
+        return max(Fraction(0), min(Fraction(i + 1), low + size) - max(Fraction(i), low))
+
+    bits = ""
+    for y in range(8):
+        sums = []
+        for x in range(9):
+            down = [(r, s) for r in range(len(rows)) if (s := share(r, y * high, high))]
+            across = [(c, s) for c in range(64) if (s := share(c, x * wide, wide))]
+            sums.append(sum(rows[r][c] * a * b for r, a in down for c, b in across))
+        bits += "".join(str(int(b > a)) for a, b in zip(sums, sums[1:], strict=False))
+    return f"{int(bits, 2):016x}"
+
+
+def test_features_match_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, "".join(chr(rng.randrange(32, 600)) for _ in range(rng.randrange(1500))), "a") for i in range(12)] + [(99, "", "a")]
+    got = {r.doc_id: r.feature for r in media.text_media(documents(spark, rows)).collect()}
+    for i, text, _ in rows:
+        raw = text.encode()
+        assert got[i] == slow_hash(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
+    assert media.text_media(documents(spark, [])).count() == 0
+
+
 def test_area_resize_is_exact():
     image = np.random.default_rng(2).integers(0, 256, (13, 17)).astype(np.uint8)
     fine = np.kron(image, np.ones((8, 9)))  # 104 x 153: cells of 13 x 17 pixels each
