@@ -1,99 +1,185 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
 A text is cut into sentences at blank lines and after ``.``, ``!``, ``?``, ``;`` or ``:`` with white space behind; a
-single line end is a space, as license texts are wrapped. A piece that isn't known as a whole is cut at its line
-ends as well, so a notice on a line of its own is found among other lines.
-Each sentence is normalised: lower case, everything but letters, digits and ``+`` one space, copyright years
-and holders dropped with their line. A literal map sends a known sentence to its identifier; unknown
-sentences fall out. Sentences between known ones don't stop a match, their order does: a rule is an ordered
-list of identifiers, and it holds where its identifiers occur in that order in the text. A rule that another
-matched rule contains (the one-line MIT grant inside the full MIT text) isn't reported beside it.
+single line end is a space, as license texts are wrapped, and a line without a letter or digit (of a comment's frame) is
+blank. Lines that name a copyright's year or say that all rights are reserved end a sentence and are left out. A piece that isn't
+known as a whole is cut at its line ends as well, so a notice on a line of its own is found among other lines.
+Each sentence is normalised: lower case, everything but letters, digits and ``+`` one space. A literal map sends a
+known sentence to its identifiers; unknown sentences fall out. Sentences between known ones don't stop a match,
+their order does: a rule is an ordered list of identifiers, and it holds where its identifiers occur in that order
+in the text. A rule that another matched rule contains (the title above the full text) isn't reported beside it.
 
 All of it is one projection: the maps are literals of fixed size, so there is no shuffle, no join and
 nothing to broadcast that grows.
 
-Defined cases: null and empty texts have no sentences and no license; repeated rows are judged each; the
-result keeps one row per row of the input; other columns don't matter.
+Defined cases: null and empty texts have no sentences and no license; a wrapped sentence that begins on the line
+after an unknown line without a stop isn't found; repeated rows are judged each; the result keeps one row per
+row of the input; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.columns import pick
 
-#: Normalised sentences of public license texts and notices, and the identifiers used here.
-SENTENCES: dict[str, str] = {
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
-    "this project is licensed under the mit license": "mit-notice",
-    "the mit license": "mit-title",
-    "mit license": "mit-title",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-asis",
-    "licensed under the apache license version 2 0": "apache-notice",
-    "licensed under the apache license version 2 0 the license": "apache-notice",
-    "you may not use this file except in compliance with the license": "apache-comply",
-    "you may obtain a copy of the license at": "apache-copy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-asis",
-    "this work is licensed under the gnu general public license version 3": "gpl3-notice",
-    "this work is licensed under the gnu general public license version 2": "gpl2-notice",
-    "this program is free software": "gpl-free",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
-    "either version 3 of the license or at your option any later version": "gpl3-later",
-    "either version 2 of the license or at your option any later version": "gpl2-later",
-    "licensed under cc by nc 4 0": "ccbync-notice",
-    "licensed under cc by 4 0": "ccby-notice",
-    "licensed under cc by sa 4 0": "ccbysa-notice",
-    "this work is licensed under a creative commons attribution 4 0 international license": "ccby-notice",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
-}
-
-#: Sentences that say what several of SENTENCES do (the GPL notice with a comma), and all their identifiers.
-JOINED: dict[str, str] = {
-    f"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {n} of the license or at your option any later version": f"gpl-terms|gpl{n}-later"
-    for n in (2, 3)
-}
-
-#: Fixed values: (license, rule, identifiers in order, rules it makes needless).
-RULES: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
-    ("MIT", "mit-text", ("mit-grant", "mit-keep", "mit-asis"), ("mit-notice", "mit-title")),
-    ("MIT", "mit-notice", ("mit-notice",), ()),
-    ("MIT", "mit-title", ("mit-title",), ()),
-    ("Apache-2.0", "apache-header", ("apache-notice", "apache-comply", "apache-copy", "apache-asis"), ("apache-notice",)),
-    ("Apache-2.0", "apache-notice", ("apache-notice",), ()),
-    ("GPL-3.0-or-later", "gpl3-header", ("gpl-free", "gpl-terms", "gpl3-later"), ("gpl3-notice",)),
-    ("GPL-2.0-or-later", "gpl2-header", ("gpl-free", "gpl-terms", "gpl2-later"), ("gpl2-notice",)),
-    ("GPL-3.0-only", "gpl3-notice", ("gpl3-notice",), ()),
-    ("GPL-2.0-only", "gpl2-notice", ("gpl2-notice",), ()),
-    ("CC-BY-NC-4.0", "ccbync-notice", ("ccbync-notice",), ()),
-    ("CC-BY-SA-4.0", "ccbysa-notice", ("ccbysa-notice",), ()),
-    ("CC-BY-4.0", "ccby-notice", ("ccby-notice",), ()),
-    ("BSD-3-Clause", "bsd3-text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ("bsd2-text",)),
-    ("BSD-2-Clause", "bsd2-text", ("bsd-grant", "bsd-source", "bsd-binary"), ()),
+
+def plain(sentence: str) -> str:
+    """A sentence as the scan sees it."""
+    return " ".join(re.sub(r"[^a-z0-9+]+", " ", sentence.lower()).split())
+
+
+#: Sentences of public license texts and notices, and the identifiers used here.
+_TEXTS: tuple[tuple[str, str], ...] = (
+    ("mit-notice", "Released under the MIT License"),
+    ("mit-notice", "Licensed under the MIT License"),
+    ("mit-notice", "This project is licensed under the MIT License"),
+    ("mit-title", "The MIT License"),
+    ("mit-title", "MIT License"),
+    ("mit-title", "The MIT License (MIT)"),
+    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("mit-keep", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-keep", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    ("mit-asis", 'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement'),
+    ("apache-notice", "Licensed under the Apache License, Version 2.0"),
+    ("apache-notice", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    ("apache-title", "Apache License Version 2.0, January 2004"),
+    ("apache-title", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("apache-conditions", "Terms and conditions for use, reproduction, and distribution"),
+    ("apache-comply", "you may not use this file except in compliance with the License"),
+    ("apache-copy", "You may obtain a copy of the License at"),
+    ("apache-asis", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
+    ("gpl3-notice", "This work is licensed under the GNU General Public License version 3"),
+    ("gpl2-notice", "This work is licensed under the GNU General Public License version 2"),
+    ("gnu-free", "This program is free software"),
+    ("gnu-free", "This library is free software"),
+    ("gnu-free", "This file is free software"),
+    ("ccbync-notice", "Licensed under CC BY-NC 4.0"),
+    ("ccby-notice", "Licensed under CC BY 4.0"),
+    ("ccbysa-notice", "Licensed under CC BY-SA 4.0"),
+    ("ccby-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("ccbysa-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("ccbync-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0-title", "CC0 1.0 Universal"),
+    ("cc0-title", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-names", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-title", "ISC License"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-asis", 'The software is provided "as is" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness'),
+    ("mpl-terms", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),  # cut at "v. 2.0"
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("mpl-title", "Mozilla Public License Version 2.0"),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain"),
+    ("unlicense-anyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("zlib-asis", "This software is provided 'as-is', without any express or implied warranty"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost-title", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("boost-notice", "Distributed under the Boost Software License, Version 1.0"),
 )
 
+#: GNU licenses, their versions, and the dates on their titles.
+_GNU: tuple[tuple[str, str, str, str], ...] = (
+    ("gpl", "GNU General Public License", "2", "June 1991"),
+    ("gpl", "GNU General Public License", "3", "29 June 2007"),
+    ("lgpl", "GNU Lesser General Public License", "2.1", "February 1999"),
+    ("lgpl", "GNU Lesser General Public License", "3", "29 June 2007"),
+    ("agpl", "GNU Affero General Public License", "3", "19 November 2007"),
+)
+
+#: SPDX identifiers that a tag may name.
+_TAGS = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "Unlicense", "Zlib", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+_EITHER = (("MIT", "Apache-2.0"), ("Apache-2.0", "MIT"))
+
+
+def _point_zero(version: str) -> str:
+    return version if "." in version else f"{version}.0"
+
+
+def _sentences_of() -> dict[str, str]:
+    known = {plain(text): name for name, text in _TEXTS}
+    for family, title, version, date in _GNU:
+        terms = f"you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation"
+        later = f"either version {version} of the License, or (at your option) any later version"
+        v = version.replace(".", "-")
+        known |= {plain(terms): f"{family}-terms", plain(later): f"gnu{v}-later", plain(f"{terms} {later}"): f"{family}-terms|gnu{v}-later", plain(f"{title} version {version}, {date}"): f"{family}{v}-title"}
+    known |= {plain(f"SPDX-License-Identifier {tag}"): f"spdx-{tag.lower().replace('.', '-')}" for tag in _TAGS}
+    known |= {plain(f"SPDX-License-Identifier {a} OR {b}"): f"spdx-{a.lower().replace('.', '-')}|spdx-{b.lower().replace('.', '-')}" for a, b in _EITHER}
+    return known
+
+
+#: Normalised sentence -> its identifiers, joined by ``|`` where one says what several do.
+SENTENCES: dict[str, str] = _sentences_of()
+
+
+def _rules() -> tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...]:
+    found = [
+        ("MIT", "mit-text", ("mit-grant", "mit-keep", "mit-asis"), ("mit-notice", "mit-title")),
+        ("MIT", "mit-notice", ("mit-notice",), ()),
+        ("MIT", "mit-title", ("mit-title",), ()),
+        ("Apache-2.0", "apache-text", ("apache-title", "apache-conditions"), ("apache-notice", "apache-header", "apache-title")),
+        ("Apache-2.0", "apache-header", ("apache-notice", "apache-comply", "apache-copy", "apache-asis"), ("apache-notice", "apache-title")),
+        ("Apache-2.0", "apache-notice", ("apache-notice",), ()),
+        ("Apache-2.0", "apache-title", ("apache-title",), ()),
+        ("GPL-3.0-only", "gpl3-notice", ("gpl3-notice",), ()),
+        ("GPL-2.0-only", "gpl2-notice", ("gpl2-notice",), ()),
+        ("CC-BY-NC-4.0", "ccbync-notice", ("ccbync-notice",), ()),
+        ("CC-BY-SA-4.0", "ccbysa-notice", ("ccbysa-notice",), ()),
+        ("CC-BY-4.0", "ccby-notice", ("ccby-notice",), ()),
+        ("CC0-1.0", "cc0-title", ("cc0-title",), ()),
+        ("BSD-3-Clause", "bsd3-text", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ("bsd2-text",)),
+        ("BSD-2-Clause", "bsd2-text", ("bsd-grant", "bsd-source", "bsd-binary"), ()),
+        ("ISC", "isc-text", ("isc-grant", "isc-asis"), ("isc-title",)),
+        ("ISC", "isc-title", ("isc-title",), ()),
+        ("MPL-2.0", "mpl-header", ("mpl-terms", "mpl-copy"), ("mpl-title",)),
+        ("MPL-2.0", "mpl-title", ("mpl-title",), ()),
+        ("Unlicense", "unlicense-text", ("unlicense-free", "unlicense-anyone"), ()),
+        ("Zlib", "zlib-text", ("zlib-asis", "zlib-grant"), ()),
+        ("BSL-1.0", "boost-title", ("boost-title",), ()),
+        ("BSL-1.0", "boost-notice", ("boost-notice",), ()),
+    ]
+    for family, _, version, _ in _GNU:
+        v, name = version.replace(".", "-"), f"{family.upper()}-{_point_zero(version)}"
+        notice = (f"{family}{v}-notice",) if (name, f"{family}{v}-notice") in {(r[0].removesuffix("-only"), r[1]) for r in found} else ()
+        found.append((f"{name}-or-later", f"{family}{v}-header", ("gnu-free", f"{family}-terms", f"gnu{v}-later"), notice + (f"{family}{v}-text",)))
+        found.append((f"{name}-only", f"{family}{v}-text", (f"{family}{v}-title",), ()))
+    found += [(tag, f"spdx-{tag.lower().replace('.', '-')}", (f"spdx-{tag.lower().replace('.', '-')}",), ()) for tag in _TAGS]
+    return tuple(found)
+
+
+#: (license, rule, identifiers in order, rules it makes needless).
+RULES = _rules()
+
+#: Patterns that both engines read alike, on lower-cased text: a tag's colon; lines of a copyright; sentence ends.
+_TAG = r"spdx-license-identifier:[ \t]*"
+_COPYRIGHT = r"\n[^a-z0-9\n]*(portions )?(copyright ([(]c[)] |© )?|[(]c[)] |© )[0-9][^\n]*|\n[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*"
 _CUT = r"([.!?;:])[ \t\r\n]+"
 #: The lower-cased text has no capitals, so one marks where a sentence ends.
 _END = "S"
 _NOISE = rf"[^a-z0-9+\n{_END}]+"
+_BLANK = r" *\n *\n[ \n]*"
+_STEPS = ((_TAG, "spdx-license-identifier "), (_COPYRIGHT, "\n\n"), (_CUT, _END), (_NOISE, " "), (_BLANK, _END))
 
 
 def _sentences(text: Column) -> Column:
     """Normalised sentences, in order. The whole text is normalised at once, then cut: few passes, no lambda over words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    cut = F.regexp_replace(low, _CUT, _END)
-    return F.split(F.regexp_replace(F.regexp_replace(cut, _NOISE, " "), " *\n *\n[ \n]*", _END), _END)
+    out = F.lower(F.concat(F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("\n")))
+    for pattern, by in _STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.split(out, _END)
 
 
 def _identifiers(text: Column) -> Column:
     """The text's known sentences as one string: ``|id|id|``."""
-    known = F.create_map(*[F.lit(x) for pair in (SENTENCES | JOINED).items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     look = lambda s: F.try_element_at(known, F.trim(s))
     whole = lambda s: look(F.regexp_replace(s, " *\n *", " "))
     lines = lambda s: F.transform(F.split(s, "\n"), look)
@@ -101,42 +187,64 @@ def _identifiers(text: Column) -> Column:
     return F.concat(F.lit("|"), F.array_join(F.filter(found, lambda x: x.isNotNull()), "|"), F.lit("|"))
 
 
-def _holds(ids: Column, rule: tuple[str, ...]) -> Column:
-    return ids.rlike(r"\|" + r"\|([a-z0-9-]+\|)*".join(rule) + r"\|")
+def _held(rule: tuple[str, ...]) -> str:
+    return r"\|" + r"\|([a-z0-9-]+\|)*".join(rule) + r"\|"
+
+
+def _conditions(holds) -> dict[str, object]:
+    """Rule -> it holds and no rule that makes it needless does, by ``holds`` (identifiers -> a condition that knows &, ~)."""
+    last = {}
+    for _, name, ids, _ in RULES:
+        last[name] = holds(ids)
+        for _, _, over, needless in RULES:
+            if name in needless:
+                last[name] = last[name] & ~holds(over)
+    return last
 
 
 def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, licenses (sorted, comma-joined, empty if none), rules (likewise), n_sentences (known ones), for every row."""
+    """id, licenses (sorted, comma-joined, empty if none), rules (likewise), n_sentences (known identifiers), for every row."""
     kinds = {id_column: dict(documents.dtypes)[id_column], text_column: "string"}
     seen = pick(documents, **kinds).select(F.col(f"`{id_column}`"), _identifiers(F.col(f"`{text_column}`")).alias("ids"))
-    held = seen.select("*", *[_holds(F.col("ids"), ids).alias(f"r{i}") for i, (_, _, ids, _) in enumerate(RULES)])
-    needless = {name: [i for i, r in enumerate(RULES) if name in r[3]] for _, name, _, _ in RULES}
-    last = {name: F.col(f"r{i}") for i, (_, name, _, _) in enumerate(RULES)}
-    for name, over in needless.items():
-        for i in over:
-            last[name] = last[name] & ~F.col(f"r{i}")
-    licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(last[name], F.lit(lic)) for lic, name, _, _ in RULES]))))
-    rules = F.array_sort(F.array_compact(F.array(*[F.when(last[name], F.lit(name)) for _, name, _, _ in RULES])))
-    count = F.when(F.col("ids") == "||", 0).otherwise(F.regexp_count("ids", F.lit(r"[a-z0-9-]+"))).cast("long")
-    return held.select(F.col(f"`{id_column}`"), F.array_join(licenses, ",").alias("licenses"), F.array_join(rules, ",").alias("rules"), count.alias("n_sentences"))
+    last = _conditions(lambda ids: F.col("ids").rlike(_held(ids)))
+    none = F.array().cast("array<string>")
+    some = F.col("ids") != "||"  # most texts have no known sentence: no rule is tried on them
+    licenses = F.when(some, F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(last[name], F.lit(lic)) for lic, name, _, _ in RULES]))))).otherwise(none)
+    rules = F.when(some, F.array_sort(F.array_compact(F.array(*[F.when(last[name], F.lit(name)) for _, name, _, _ in RULES])))).otherwise(none)
+    count = F.when(some, F.regexp_count("ids", F.lit(r"[a-z0-9-]+"))).otherwise(0).cast("long")
+    return seen.select(F.col(f"`{id_column}`"), F.array_join(licenses, ",").alias("licenses"), F.array_join(rules, ",").alias("rules"), count.alias("n_sentences"))
+
+
+class _Sql(str):
+    def __and__(self, other: str) -> _Sql:
+        return _Sql(f"{self} AND {other}")
+
+    def __invert__(self) -> _Sql:
+        return _Sql(f"NOT {self}")
 
 
 def oracle() -> str:
     """The same rows in DuckDB's SQL."""
     text = lambda s: "'" + s.replace("'", "''") + "'"
+    sql = lambda s: text(s).replace("\n", "' || chr(10) || '")
     known = ", ".join(f"({text(k)}, {text(v)})" for k, v in SENTENCES.items())
-    rules = {name: r"regexp_matches(ids, '\|" + r"\|([a-z0-9-]+\|)*".join(ids) + r"\|')" for _, name, ids, _ in RULES}
-    last = {name: " AND ".join([rules[name], *[f"NOT {rules[r[1]]}" for r in RULES if name in r[3]]]) for _, name, _, _ in RULES}
+    last = _conditions(lambda ids: _Sql(f"regexp_matches(ids, {text(_held(ids))})"))
     listed = lambda what: "list_filter([" + ", ".join(f"CASE WHEN {last[r[1]]} THEN {text(r[what])} END" for r in RULES) + "], lambda x: x IS NOT NULL)"
+    steps = "lower(chr(10) || coalesce(text, '') || chr(10))"
+    for pattern, by in _STEPS:
+        steps = f"regexp_replace({steps}, {text(pattern)}, {sql(by)}, 'g')"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-cut AS (
-  SELECT row_number() OVER () AS n, doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '([.!?;:])[ \\t\\r\\n]+', chr(10), 'g'), '[^a-z0-9+\\n]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), chr(10)) AS parts
-  FROM documents),
-each AS (SELECT n, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS place FROM cut),
-ids AS (SELECT e.n, '|' || string_agg(k.id, '|' ORDER BY place) || '|' AS ids, count(*) AS found FROM each e JOIN known k ON trim(e.sentence) = k.sentence GROUP BY e.n),
-full_ids AS (SELECT doc_id, coalesce(ids, '||') AS ids, coalesce(found, 0) AS found FROM cut LEFT JOIN ids USING (n))
+cut AS (SELECT row_number() OVER () AS n, doc_id, string_split({steps}, '{_END}') AS parts FROM documents),
+each AS (SELECT n, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM cut),
+whole AS (SELECT n, place, part, k.id FROM each LEFT JOIN known k ON trim(regexp_replace(part, ' *\\n *', ' ', 'g'), ' ') = k.sentence),
+lines AS (SELECT n, place, unnest(string_split(part, chr(10))) AS line, generate_subscripts(string_split(part, chr(10)), 1) AS line_no FROM whole WHERE id IS NULL),
+found AS (
+  SELECT n, place, 0 AS line_no, id FROM whole WHERE id IS NOT NULL
+  UNION ALL SELECT n, place, line_no, k.id FROM lines JOIN known k ON trim(line, ' ') = k.sentence),
+ids AS (SELECT n, '|' || string_agg(id, '|' ORDER BY place, line_no) || '|' AS ids FROM found GROUP BY n),
+full_ids AS (SELECT doc_id, coalesce(ids, '||') AS ids FROM cut LEFT JOIN ids USING (n))
 SELECT doc_id, array_to_string(list_sort(list_distinct({listed(0)})), ',') AS licenses,
-  array_to_string(list_sort({listed(1)}), ',') AS rules, CAST(found AS BIGINT) AS n_sentences
+  array_to_string(list_sort({listed(1)}), ',') AS rules, CAST(CASE WHEN ids = '||' THEN 0 ELSE length(ids) - length(replace(ids, '|', '')) - 1 END AS BIGINT) AS n_sentences
 FROM full_ids
 """

@@ -5,11 +5,13 @@ import io
 import random
 import re
 import struct
+import textwrap
 import time
 import zlib
 from fractions import Fraction
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -444,6 +446,40 @@ def test_wrapped_license_texts(spark):
     assert out == {i: (k, "mit-notice" if t == lines else rules[k]) for i, (k, t) in enumerate(cases)}
 
 
+FULL = {
+    "ISC": ("isc-text", "ISC License\n\nCopyright (c) 2020, Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."),
+    "LGPL-2.1-or-later": ("lgpl2-1-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "AGPL-3.0-or-later": ("agpl3-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "GPL-2.0-or-later": ("gpl2-header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "MPL-2.0": ("mpl-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "Unlicense": ("unlicense-text", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "Zlib": ("zlib-text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    "BSD-3-Clause": ("bsd3-text", "Copyright 2020 Somebody\nAll rights reserved.\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "MIT": ("mit-text", WRAPPED["MIT"].replace("MIT License\n\n", "").replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n").replace("Somebody\n\nPermission", "Somebody\nPermission")),
+}
+
+
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for para in text.split("\n") for line in (textwrap.wrap(para, width) or [""]))
+
+
+def test_license_texts_at_any_width(spark):
+    """Originals, wrapped at several widths, plain and in comments: the same answer; and the SQL agrees."""
+    cases = [(lic, rule, form) for lic, (rule, text) in FULL.items() for form in (text, wrapped(text, 60), wrapped(text, 79), wrapped(text, 70, "# "), wrapped(text, 66, " * "), wrapped(text, 72).replace("\n", "\r\n"), f"/*\n{wrapped(text, 75, ' * ')}\n */\nint main()\n")]
+    cases += [(tag, f"spdx-{tag.lower().replace('.', '-')}", f"{head}SPDX-License-Identifier: {tag}{tail}\nmore words") for tag in licenses._TAGS for head, tail in (("", ""), ("// ", ""), ("/* ", " */"), ("x\n# Copyright 2020 Me\n# ", ""))]
+    cases += [("Apache-2.0,MIT", "spdx-apache-2-0,spdx-mit", "# SPDX-License-Identifier: MIT OR Apache-2.0"), ("", "", "spdx-license-identifier: nothing"), ("GPL-3.0-only", "gpl3-text", "   GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\nCopyright"), ("Apache-2.0", "apache-text", "Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.")]
+    out = {r.doc_id: (r.licenses, r.rules) for r in licenses.scan(documents(spark, [(i, t, "a") for i, (_, _, t) in enumerate(cases)])).collect()}
+    assert {i: v for i, v in out.items() if v != cases[i][:2]} == {}
+    base = duckdb.connect()
+    every = [*[t for _, _, t in cases], *WRAPPED.values(), None, "", "a.b. C; d\n\n\ne"]
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(every)))
+    want = sorted(base.execute(licenses.oracle()).fetchall())
+    names = [d[0] for d in base.description]
+    got = licenses.scan(documents(spark, [(i, t, "a") for i, t in enumerate(every)])).select(*names).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 # Leaks.
 
 ITEM = "Alice has 12 red apples and Bob has 7 green pears, so how many fruits do Alice and Bob hold in 3 baskets of 5 kg"
