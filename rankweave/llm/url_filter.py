@@ -8,9 +8,12 @@ every row.
 
 Size: level 1's false positive rate is chosen as sqrt(1/2) * listed / universe, each further level's as 1/2,
 so each level holds about as many keys as the list at most: the cascade grows with the list (times the log of
-the universe), not with the corpus. It is built with one distributed pass over the universe for level 1's
-false positives; what comes to the driver is bounded by ``max_listed`` and checked. Longer lists are split
-by the key's hash into shards, each a cascade of its own, that are applied one after another.
+the universe), not with the corpus. The universe is a written table; a pass over it for each cascade gives level 1's
+false positives, less the listed keys by an anti join. What comes to the driver is bounded by ``max_listed``: a longer
+list is split by the key's hash into shards, each a cascade of its own that is built, applied to the rows and
+forgotten before the next, and a level 1 that takes more wrongly than its rate allows is built anew at a lower rate.
+
+The list is a parameter: host names, or a table with a column ``host`` for lists of any length.
 
 Keys are host names and all their parents (``m.a.example.org``, ``a.example.org``, ``example.org``): a URL is
 listed if one of them is. Defined cases: a null URL or one without ``://`` has empty host and path, fits no
@@ -24,17 +27,17 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.runtime import small_batches
+from rankweave.runtime import materialize, small_batches
 
 #: (action, host, path) of the rules; the longest that fits wins.
 RULES: tuple[tuple[str, str, str], ...] = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: The block list: hosts, their subdomains included.
 LISTED: tuple[str, ...] = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 #: Listed keys that one cascade holds at most.
-MAX_LISTED = 2_000_000
+MAX_LISTED = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -67,7 +70,7 @@ class Bloom:
 
     def __init__(self, keys: Sequence[bytes], rate: float, salt: int):
         n = max(1, len(keys))
-        rate = min(max(rate, 1e-9), 0.5)
+        rate = min(max(rate, 1e-12), 0.5)
         self.size = max(64, int(np.ceil(-n * np.log(rate) / np.log(2) ** 2)))
         self.turns = max(1, round(-np.log2(rate)))
         self.salt = salt
@@ -92,8 +95,9 @@ class Cascade:
         self.levels = levels
 
     @staticmethod
-    def first(listed: Sequence[bytes], universe: int) -> Bloom:
-        return Bloom(listed, np.sqrt(0.5) * max(1, len(listed)) / max(1, universe), 1)
+    def rate(listed: int, universe: int) -> float:
+        """Level 1's: about as many keys of the universe are taken wrongly as half to all of the list."""
+        return float(np.sqrt(0.5) * max(1, listed) / max(1, universe))
 
     @classmethod
     def build(cls, listed: Sequence[bytes], first: Bloom, wrong: Sequence[bytes]) -> Cascade:
@@ -111,59 +115,73 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
-def cascades(urls: DataFrame, listed: Sequence[str], max_listed: int = MAX_LISTED) -> list[Cascade]:
-    """Cascades over the hosts of ``urls`` (a column ``host``), one for each shard of the list."""
-    small_batches(urls.sparkSession, 8192)
-    hosts = urls.select("host").filter("host <> ''").distinct()
-    listed = sorted(set(listed))
-    n = -(-len(listed) // max_listed) or 1
-    shards: list[list[bytes]] = [[] for _ in range(n)]
-    for key in listed:
-        shards[xxhash.xxh64_intdigest(key) % n].append(key.encode())
+def _list_table(spark: SparkSession, listed: Sequence[str] | DataFrame) -> DataFrame:
+    """The different listed keys (key), lower-cased, as a written table."""
+    rows = listed.select(F.col("host").cast("string").alias("key")) if isinstance(listed, DataFrame) else spark.createDataFrame([(h,) for h in listed], "key string")
+    lower = F.translate("key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return materialize(rows.select(lower.alias("key")).filter("key <> ''").distinct(), "listed")
+
+
+def _universe(hosts: DataFrame) -> DataFrame:
+    """Every key of the column ``host``, once, as a written table."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch({"key": pa.array([k for h in batch.column(0).to_pylist() for k in keys_of(h)], pa.string())})
 
-    universe = hosts.mapInArrow(spread, "key string").distinct()
-    total = universe.count()
-    firsts = [Cascade.first(shard, total) for shard in shards]
-    sent = urls.sparkSession.sparkContext.broadcast((firsts, [set(s) for s in shards]))
-
-    def wrongly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, known = sent.value
+    small_batches(hosts.sparkSession, 8192)
+    return materialize(hosts.select("host").filter("host <> ''").distinct().mapInArrow(spread, "key string").distinct(), "url-keys")
+
+
+def cascades(urls: DataFrame, listed: Sequence[str] | DataFrame, max_listed: int = MAX_LISTED) -> Iterator[Cascade]:
+    """Cascades over the hosts of ``urls`` (a column ``host``), one for each shard of the list, built one at a time."""
+    spark = urls.sparkSession
+    every, universe = _list_table(spark, listed), _universe(urls)
+    total, n = universe.count(), -(-every.count() // max_listed) or 1
+    for number in range(n):
+        shard = every.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == number)
+        keys = sorted(r.key.encode() for r in shard.collect())  # about max_listed by the hash
+        rate = Cascade.rate(len(keys), total)
+        while True:
+            first = Bloom(keys, rate, 1)
+            wrong = _taken_wrongly(universe, shard, first, 4 * max_listed)
+            if wrong is not None:
+                break
+            rate /= 16
+        yield Cascade.build(keys, first, wrong)
+
+
+def _taken_wrongly(universe: DataFrame, shard: DataFrame, first: Bloom, most: int) -> list[bytes] | None:
+    """The unlisted keys of the universe that ``first`` takes, or None if they are more than ``most``."""
+    sent = universe.sparkSession.sparkContext.broadcast(first)
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, k) for k in batch.column(0).to_pylist() for n, f in enumerate(filters) if (b := k.encode()) in f and b not in known[n]]
-            yield pa.record_batch({"shard": pa.array([n for n, _ in found], pa.int32()), "key": pa.array([k for _, k in found], pa.string())})
+            yield pa.record_batch({"key": pa.array([k for k in batch.column(0).to_pylist() if k.encode() in sent.value], pa.string())})
 
-    wrong: list[list[bytes]] = [[] for _ in range(n)]
-    # About max_listed keys in all by the choice of the rate; far more would mean a broken hash.
-    found = universe.mapInArrow(wrongly, "shard int, key string").limit(16 * len(listed) + 1024).collect()
-    if len(found) > 16 * len(listed) + 1023:
-        raise RuntimeError("level 1 takes far more unlisted keys than its rate allows")
-    for row in found:
-        wrong[row.shard].append(row.key.encode())
-    return [Cascade.build(s, f, sorted(w)) for s, f, w in zip(shards, firsts, wrong, strict=True)]
+    small_batches(universe.sparkSession, 8192)
+    found = universe.mapInArrow(taken, "key string").join(shard, "key", "left_anti").limit(most + 1).collect()
+    return None if len(found) > most else sorted(r.key.encode() for r in found)
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] = LISTED, max_listed: int = MAX_LISTED) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: Sequence[str] | DataFrame = LISTED, max_listed: int = MAX_LISTED) -> DataFrame:
     """page_id, host, path, rule, verdict of every row: the rule's verdict, else block for listed hosts and allow for others."""
     url = F.col("url").cast("string")
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = parts.withColumn("hit", F.lit(False))
+    for number, cascade in enumerate(cascades(parts, listed, max_listed)):
+        sent = pages.sparkSession.sparkContext.broadcast(cascade)
+
+        @F.pandas_udf("boolean")
+        def is_listed(hosts, sent=sent):
+            memo = {host: any(k.encode() in sent.value for k in keys_of(host)) for host in hosts.unique()}
+            return hosts.map(memo).astype(bool)
+
+        if number:  # one cascade in memory at a time
+            rows = materialize(rows, "judged")
+        rows = rows.withColumn("hit", F.col("hit") | is_listed("host"))
     name, action = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parts.withColumn("rule", name).withColumn("action", action)
-    sent = pages.sparkSession.sparkContext.broadcast(cascades(parts, listed, max_listed))
-
-    @F.pandas_udf("boolean")
-    def is_listed(hosts):
-        memo: dict[str, bool] = {}
-        for host in hosts.unique():
-            keys = [k.encode() for k in keys_of(host)]
-            memo[host] = any(k in c for k in keys for c in sent.value)
-        return hosts.map(memo)
-
-    verdict = F.coalesce("action", F.when(is_listed("host"), "block").otherwise("allow"))
-    return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, F.when(F.col("hit"), "block").otherwise("allow")).alias("verdict"))
 
 
 def oracle() -> str:
@@ -176,6 +194,6 @@ def oracle() -> str:
     return f"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)) AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path FROM pages)
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, host, path, {rule} AS rule, coalesce({act}, CASE WHEN {listed} THEN 'block' ELSE 'allow' END) AS verdict FROM p
 """

@@ -137,7 +137,7 @@ def test_cascade_is_exact_for_its_universe(spark):
     listed = rng.sample(universe, 60) + ["unseen.example.org"]
     hosts = spark.createDataFrame([(h,) for h in universe], "host string")
     for most in (1000, 20):  # one cascade; several shards
-        found = url_filter.cascades(hosts, listed, most)
+        found = list(url_filter.cascades(hosts, listed, most))
         assert len(found) == (1 if most == 1000 else 4)
         for h in universe:
             assert any(h.encode() in c for c in found) == (h in listed)
@@ -146,9 +146,26 @@ def test_cascade_is_exact_for_its_universe(spark):
 def test_cascade_without_keys(spark):
     empty = spark.createDataFrame([], "host string")
     (found,) = url_filter.cascades(empty, [])
+    assert url_filter.judge(pages(spark, [(1, "http://a.org/x", "")]), (), []).first().verdict == "allow"
     assert b"a.org" not in found
 
 
+def test_a_list_from_a_table_in_shards(spark):
+    hosts = [f"h{i}.{'a' if i % 3 else 'b'}.test" for i in range(300)]
+    listed = [h for h in hosts if int(h[1:].split(".")[0]) % 7 == 0] + ["B.test", None, "never.seen"]
+    rows = [(i, f"http://x.{h}/p", "") for i, h in enumerate(hosts)] + [(1000, None, "")]
+    for most in (5, 10_000):
+        out = url_filter.judge(pages(spark, rows), (), spark.createDataFrame([(h,) for h in listed], "host string"), most)
+        assert {r.page_id for r in out.collect() if r.verdict == "block"} == {i for i, h in enumerate(hosts) if h in listed or h.endswith("b.test")}
+
+
+def test_a_poor_first_level_is_built_anew(spark, monkeypatch):
+    monkeypatch.setattr(url_filter.Cascade, "rate", staticmethod(lambda listed, universe: 0.5))
+    universe = [f"h{i}.test" for i in range(600)]
+    (found,) = url_filter.cascades(spark.createDataFrame([(h,) for h in universe], "host string"), universe[:3], 10)
+    assert [h for h in universe if h.encode() in found] == universe[:3]
+
+
 def test_a_url_in_a_query_is_no_path(spark):
     urls = ["http://example.net?u=http://x.org/fr/a", "http://example.com#http://y.com/de/1", "https://z.org?next=https://example.com/de/", "http://a.net/?u=http://x.org/fr/a"]
     out = url_filter.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)])).collect()
