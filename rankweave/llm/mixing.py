@@ -13,8 +13,8 @@ hash buckets a source, the buckets are accumulated, and only the bucket in which
 accumulated by document.
 
 Defined cases: a null source is a source of its own, after all others; a null or empty text has size 0 and
-is taken 0 times its size; repeated rows are documents each, and rows with equal id and size share a hash
-and so a decision; a source of size 0 has target 0; an empty table gives an empty result. Only the columns
+is taken 0 times its size; rows that share id and text share a hash and so a decision, all others, of null or
+repeated ids too, are drawn each; a source of size 0 has target 0; an empty table gives an empty result. Only the columns
 doc_id, source and text are read; other columns are carried by ``apply_mix`` as they are.
 """
 
@@ -42,9 +42,9 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def draw(doc_id: Column, size: Column, seed: int) -> Column:
-    """A seeded hash of 60 bits for each document."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), size.cast("string"))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A seeded hash of 60 bits for each document's id and text."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, _HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -70,8 +70,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, volume: float
 
 def plan(documents: DataFrame, weights: Sequence[float] = WEIGHTS, volume: float = VOLUME, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents as doc_id, source, size, draw; a row for each source with target, whole epochs and the last hash of the fraction)."""
-    narrow = pick(documents, doc_id="long", source="string", text="string").select("doc_id", "source", words(F.col("text")).alias("size"))
-    narrow = materialize(narrow.withColumn("draw", draw(F.col("doc_id"), F.col("size"), seed)), "mix-sizes")
+    narrow = pick(documents, doc_id="long", source="string", text="string").select("doc_id", "source", words(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
+    narrow = materialize(narrow, "mix-sizes")
     goal = materialize(
         targets(narrow, weights, volume, max_epochs)
         .withColumn("whole", F.floor(F.try_divide("target", F.col("source_size"))))
@@ -112,10 +112,9 @@ def apply_mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, volume:
     """The documents that the mix takes, all their columns, and ``repeats``: how often each is read."""
     _, goal = plan(documents, weights, volume, max_epochs, seed)
     key, repeats = fresh(documents, "mix_key"), fresh(documents, "repeats")
-    size = words(F.col("text").cast("string"))
     keyed = documents.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")))
     goal = goal.select(F.col("key").alias(key), F.col("whole").alias(f"{key}_whole"), F.col("last").alias(f"{key}_last"))
-    times = F.col(f"{key}_whole") + (draw(F.col("doc_id").cast("long"), size, seed) <= F.col(f"{key}_last")).cast("long")
+    times = F.col(f"{key}_whole") + (draw(F.col("doc_id").cast("long"), F.col("text").cast("string"), seed) <= F.col(f"{key}_last")).cast("long")
     taken = keyed.join(goal, key).withColumn(repeats, times.cast("int")).filter(F.col(repeats) > 0)
     return taken.select(*[F.col(f"`{c}`") for c in documents.columns], repeats)
 
@@ -123,9 +122,9 @@ def apply_mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, volume:
 #: The same rows in DuckDB's SQL.
 ORACLE = r"""
 WITH s AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 d AS (
-  SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(size AS VARCHAR)), 1, 15) AS BIGINT) AS draw FROM s),
+  SELECT *, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest), 1, 15) AS BIGINT) AS draw FROM s),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (
   SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM per),

@@ -10,8 +10,8 @@ Where the overlap has no such boundary, it is widened (doubled) up to the whole
 
 Two encoders: the tokenizers library on its .json file, and the same file's vocabulary and merges run by
 tiktoken's faster byte-pair code. The second is taken only if the file is a byte-level BPE with the usual
-pattern whose merges are in the order of ids, and it agrees with the first on a fixed probe when a worker
-starts; its failures on a text (its regular expression gives up on very long runs of blanks) are encoded by
+pattern whose merges are in the order of ids, and it agrees with the first on a probe of every category of
+characters and white space when a worker starts; its failures on a text (its regular expression gives up on very long runs of blanks) are encoded by
 the first.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; special strings inside texts are special
@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -40,7 +41,19 @@ OVERLAP = 1 << 10
 #: Fixed value: the byte-level pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _STABLE = re.compile(r"(?<=\S)(?=\s)")
-_PROBE = "It's 12,345 naïve cafés;  two\n\n\tlines…   漢字 🙂 don't WE'LL <|endoftext|>x  <|endoftext|>   end  "
+
+
+def _probe() -> str:
+    """A text for comparing encoders: turns of phrase, and around letters, digits, marks and signs of every category every kind of white space."""
+    kinds: dict[str, list[str]] = {}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        if len(held := kinds.setdefault(unicodedata.category(c), [])) < 4 or c.isspace():
+            held.append(c)
+    spaces = [c for held in kinds.values() for c in held if c.isspace()]
+    signs = [c for held in kinds.values() for c in held if not c.isspace()]
+    turns = "It's 12,345 naïve cafés;  two\n\n\tlines…   漢字 🙂 don't WE'LL <|endoftext|>x  <|endoftext|>   end  "
+    return turns + "".join(f"{c}a{c}{c}1{s}{c} {c}{s}b" for c, s in zip(spaces * len(signs), signs * len(spaces), strict=True)) + "".join(f"a{s}1{s}{s} 's{s}" for s in signs)
+
 
 Ends = np.ndarray
 
@@ -92,7 +105,7 @@ class Encoder:
         if made != sorted(made):
             return None
         found = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=extra)
-        if found.encode(_PROBE, allowed_special="all") != self.library.encode(_PROBE, add_special_tokens=False).ids:
+        if found.encode(probe := _probe(), allowed_special="all") != self.library.encode(probe, add_special_tokens=False).ids:
             return None
         return found
 

@@ -73,6 +73,14 @@ def test_mix_targets_and_takes(spark):
     assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_mix_of_null_and_repeated_ids_meets_its_target(spark):
+    rows = [(None if i % 2 else 7, f"{i} a b c d e f g h", "a") for i in range(300)] + [(i, f"w {i} " * 50, "b") for i in range(40)]
+    out = mixing.mix(documents(spark, rows)).collect()
+    for source, low in (("a", lambda r: r["size"] == 9), ("b", lambda r: r["size"] == 100)):
+        own = [r for r in out if low(r)]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= own[0]["size"], source
+
+
 def test_mix_odd_rows(spark):
     out = mixing.mix(documents(spark, ODD)).collect()
     assert len(out) == len(ODD) and {r.taken for r in out if r["size"] == 0} == {0}
