@@ -6,8 +6,9 @@ bits; a component is what links reach.
 
 Plan. (1) Fingerprints of all documents, one pass, written narrow. (2) Equal fingerprints become one node
 with its smallest doc_id: thousands of exact copies are one row from here on. (3) 64 bits are cut into blocks
-so that any two linked nodes agree on a whole key of blocks: 5 blocks, one equal; beyond ``WIDE`` nodes 6
-blocks, two equal, whose keys are 21 bits. (4) Nodes that share a key meet in one task, where their sorted
+so that any two linked nodes agree on a whole key of blocks: 5 blocks, one equal; 6 blocks, two equal, and so on
+where a key's values would get more than ``BUCKET`` nodes on average. Where single values have more than ``CROWD``
+(texts of one boilerplate), their nodes' other bits are cut into 5 blocks in turn, so no task holds a crowd. (4) Nodes that share a key meet in one task, where their sorted
 fingerprints are a binary trie (a prefix is a range). The trie is joined with itself: pairs of trie nodes go
 down together, collect differing bits and are dropped beyond 4. Pairs of subtrees that are wholly in one
 component already are dropped as well, and only links that join two components are emitted: at most one a
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.columns import fresh, pick
@@ -37,8 +38,12 @@ from rankweave.runtime import materialize, small_batches
 SHINGLE = 4
 SEED = 42
 ERRORS = 4
-#: Nodes from which keys of two blocks are taken instead of one.
-WIDE = 200_000_000
+#: Nodes of a key's value on average, beyond which keys are wider, and of a single one, beyond which it is cut again.
+BUCKET = 4_000
+CROWD = 20_000
+#: Crowded buckets that are broadcast at most, and how often a bucket is cut again.
+FEW = 200_000
+DEPTH = 3
 #: Pairs of trie nodes that one step holds at most, and pairs of leaves compared at once.
 _FRONTIER = 1 << 18
 _LEAF = 32
@@ -180,21 +185,63 @@ def _leaves(values: np.ndarray, pairs: np.ndarray, errors: int, forest: _Forest)
     forest.join(a[linked], b[linked])
 
 
-def _keys(count: int, errors: int) -> list[list[tuple[int, int]]]:
-    """Lists of (shift, width): blocks that make a key. Any two fingerprints that link agree on one of them."""
-    blocks, equal = (errors + 1, 1) if count < WIDE else (errors + 2, 2)
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [list(c) for c in combinations(parts, equal)]
+Block = tuple[int, ...]  # bit positions
+
+
+def _cut(bits: Block, pieces: int) -> list[Block]:
+    edges = [round(i * len(bits) / pieces) for i in range(pieces + 1)]
+    return [bits[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _keys(count: int, errors: int) -> list[Block]:
+    """Bits that make a key. Any two fingerprints that link agree on one of them."""
+    equal = 1
+    while count > BUCKET << (64 * equal // (errors + equal)) and equal < 4:
+        equal += 1
+    return [sum(c, ()) for c in combinations(_cut(tuple(range(64)), errors + equal), equal)]
+
+
+def _value(key: Block) -> Column:
+    """The bits of fp at the key's positions, as one number."""
+    out, at, i = F.lit(0).cast("long"), 0, 0
+    while i < len(key):
+        n = 1
+        while i + n < len(key) and key[i + n] == key[i] + n:
+            n += 1
+        piece = F.shiftrightunsigned("fp", key[i]).bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else F.col("fp")
+        out, at, i = out.bitwiseOR(F.shiftleft(piece, at)), at + n, i + n
+    return out
+
+
+def _bucketed(nodes: DataFrame, errors: int) -> DataFrame:
+    """(bucket, fp): nodes by the values of keys on which linked ones agree; crowded values by further bits."""
+    paths = [(key,) for key in _keys(nodes.count(), errors)]
+    rows = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("path"), F.xxhash64(F.lit(i), _value(p[0])).alias("bucket")) for i, p in enumerate(paths)])).alias("k")).select("k.path", "k.bucket", "fp")
+    done = None
+    for _ in range(DEPTH):
+        crowds = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("bucket")
+        crowds = materialize(crowds, "crowds")
+        n = crowds.count()
+        if not n:
+            break
+        crowds = F.broadcast(crowds) if n <= FEW else crowds
+        quiet = rows.join(crowds, "bucket", "left_anti").select("bucket", "fp")
+        done = quiet if done is None else done.unionByName(quiet)
+        further, names = [], []
+        for i, path in enumerate(paths):
+            left = tuple(b for b in range(64) if not any(b in key for key in path))
+            blocks = _cut(left, errors + 1)
+            names.append(F.when(F.col("path") == i, F.array(*[F.struct(F.lit(len(further) + j).alias("path"), F.xxhash64("bucket", F.lit(j), _value(block)).alias("bucket")) for j, block in enumerate(blocks)])))
+            further += [(*path, block) for block in blocks]
+        rows = rows.join(crowds, "bucket", "left_semi").select("fp", F.explode(F.coalesce(*names)).alias("k")).select("k.path", "k.bucket", "fp")
+        rows, paths = materialize(rows, "crowded"), further
+    last = rows.select("bucket", "fp")
+    return last if done is None else done.unionByName(last)
 
 
 def links(nodes: DataFrame, errors: int = ERRORS) -> DataFrame:
     """(a, b): links between different fingerprints of ``nodes`` (a column fp) that span every component."""
-    keys = _keys(nodes.count(), errors)
-    cut = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-    keyed = F.array(*[F.struct(F.lit(i).alias("set"), F.concat_ws("-", *[cut(*p) for p in parts]).alias("key")) for i, parts in enumerate(keys)])
-    met = nodes.select("fp", F.explode(keyed).alias("k")).select(F.xxhash64("k.set", "k.key").alias("bucket"), "fp")
-    met = met.repartition("bucket").sortWithinPartitions("bucket", "fp")
+    met = _bucketed(nodes, errors).repartition("bucket").sortWithinPartitions("bucket", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []

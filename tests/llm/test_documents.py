@@ -366,6 +366,34 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("bucket", "crowd"), [(4000, 20_000), (0, 20_000), (4000, 30), (4000, 4)])
+def test_links_with_wide_keys_and_crowds(spark, monkeypatch, bucket, crowd):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    assert [len(k) for k in simhash._keys(10, 4)][0] == (13 if bucket else 32)
+    rng = random.Random(17)
+    values = {rng.getrandbits(64) for _ in range(60)} | {0, 2**64 - 1, 2**63}
+    centre = rng.getrandbits(64)
+    for _ in range(150):  # a crowd that shares bits
+        v = centre
+        for _ in range(rng.randint(0, 12)):
+            v ^= 1 << rng.randrange(64)
+        values.add(v)
+    nodes = spark.createDataFrame([(simhash.signed(v),) for v in sorted(values)], "fp long")
+    found = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(nodes).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in found:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {v: root(v) for v in values} == components(values)
+
+
 def test_one_stays_of_rows_that_share_an_id(spark):
     one, two = "a text about one thing and no other, told at some length", "words on quite another matter, which no one would call alike"
     rows = [(1, one, "a"), (1, two, "b"), (1, one, "c"), (2, two, "a"), (None, "lost and alone among the others here", "a"), (None, "lost and alone among the others here", "b"), (3, None, "a"), (4, "", "b")]
