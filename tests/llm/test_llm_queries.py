@@ -43,3 +43,21 @@ def test_pipeline(spark):
         ids = set(found)
     out = corpus_pipeline.run(spark, DIR)
     assert {r.doc_id for r in out.collect()} == ids and "repeats" in out.columns
+
+
+ODD = [(1, None, None), (2, "", "a"), (None, "lost id here now and some more words", None), (5, "x" * 100_000, "b"), (6, "same words again and again in a row", "b"), (7, "same words again and again in a row", "b"), (7, "same words again and again in a row", "b"), (7, "yet another text under the same id, quite unlike", None)]
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_stages_take_odd_rows(spark, tmp_path, rows):
+    names = "doc_id long, text string, source string, key string, node int, root string, bits string, hash string, size int, repeats int, mix_key string, kept_key string, leak_key string"
+    docs = spark.createDataFrame([(*r, "k", 1, "r", "b", "h", 2, 3, "m", "q", "l") for r in rows], names)
+    spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "the one item of this small benchmark here"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[:13] == [n.split()[0] for n in names.split(", ")] and len(docs.columns) == 13 + (i == 3)
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        if i in (1, 2) and rows:
+            assert sorted(kept, key=repr) == sorted([(1, None), ODD[2][:2], ODD[3][:2], ODD[4][:2], ODD[7][:2]], key=repr)
+    assert bool(kept) == bool(rows)
