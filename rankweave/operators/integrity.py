@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.config import DEFAULT_ANTIGAMING, AntiGamingConfig
 from rankweave.functions.text import STOPWORDS, tokens, trigrams
 from rankweave.functions.vectors import clamp, cosine
+from rankweave.operators.rankers import few
 from rankweave.schemas import background_for, rgb
 
 SIGNALS = ("invisible_text", "skill_density", "repetition", "jd_echo", "incoherence")
@@ -93,7 +94,8 @@ def echo_pairs(texts: DataFrame, jobs: DataFrame, config: AntiGamingConfig = DEF
     grams = lambda df, key: df.select(key, F.explode(trigrams(tokens(F.col("text")))).alias("gram"))
     wanted = grams(jobs, "job_id")
     size = wanted.groupBy("job_id").agg(F.count("*").alias("of")).filter(F.col("of") >= config.jd_echo_min_trigrams)
-    shared = grams(texts, "candidate_id").join(wanted, "gram").groupBy("candidate_id", "job_id").agg(F.count("*").alias("shared"))
+    shared = grams(texts, "candidate_id").join(few(wanted), "gram")  # the jobs' side is broadcast where a count says it is small
+    shared = shared.groupBy("candidate_id", "job_id").agg(F.count("*").alias("shared"))
     return shared.join(size, "job_id").select("candidate_id", "job_id", "shared", "of", (F.col("shared") / F.col("of")).alias("ratio"))
 
 

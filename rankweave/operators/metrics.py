@@ -64,12 +64,19 @@ def detector_scores(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def attack_gain(ranking: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, attack, control_id, gain): how much higher, as a share of the list, an attacked copy ranks than its control."""
-    size = F.count("*").over(Window.partitionBy(*by))
-    placed = ranking.select(*by, "candidate_id", "rank", size.alias("n"))
+    sizes = ranking.groupBy(*by).agg(F.count("*").alias("n"))
+    placed = ranking.select(*by, "candidate_id", "rank").join(sizes, by)
     control = placed.select(*by, F.col("candidate_id").alias("control_id"), F.col("rank").alias("control_rank"))
     return placed.join(pairs.select("candidate_id", "control_id", "attack"), "candidate_id").join(control, [*by, "control_id"]).select(*by, "attack", "control_id", ((F.col("control_rank") - F.col("rank")) / F.col("n")).alias("gain"))
 
 
+def attack_gains(ranked: DataFrame, by: list[str], control: str, attack: str) -> DataFrame:
+    """(by, attack, control, gain) over rows (by, attack, control, rank, n) in which controls have no attack: one join on the control."""
+    controls = ranked.filter(F.col(attack).isNull()).select(*by, control, F.col("rank").alias("control_rank"))
+    copies = ranked.filter(F.col(attack).isNotNull())
+    return copies.join(controls, [*by, control]).select(*by, attack, control, ((F.col("control_rank") - F.col("rank")) / F.col("n")).alias("gain"))
+
+
 def bootstrap_ci(values: list[float] | np.ndarray, alpha: float = 0.05, seed: int = 0, resamples: int = RESAMPLES) -> tuple[float, float]:
     """Percentile interval of the mean, in blocks of resamples so that memory doesn't follow their number."""
     sample = np.asarray(values, dtype=float)

@@ -6,25 +6,40 @@ are joined to jobs by terms, never crossed: a pair without a common term has sco
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import let, rank_tokens
 from rankweave.functions.text import ngrams as text_ngrams
-from rankweave.functions.vectors import cosine
-from rankweave.runtime import materialize
+from rankweave.operators.blocks import dense_cosines, sparse_products
+from rankweave.runtime import materialize, small_batches
 
-#: English stop words of the TF-IDF ranker; a parameter of it.
+#: Common English words, the TF-IDF ranker's list where no other is given.
 ENGLISH_STOP_WORDS = tuple(
     "a about above across after again against all almost alone along already also although always am among an and another any anyone anything are around as at be became because become been before behind being below between both but by can cannot could did do does done down during each either else enough etc even ever every everyone everything few for from further get give go had has have he hence her here hers herself him himself his how however i if in indeed into is it its itself just last least less made many may me might mine more most much must my myself neither never nevertheless next no nobody none nor not nothing now of off often on once one only onto or other others our ours ourselves out over own per perhaps please put rather same she should since so some someone something still such than that the their them themselves then there therefore these they this those though through thus to together too toward under until up upon us very was we well were what whatever when where whether which while who whole whom whose why will with within without would yet you your yours yourself".split()
 )
 
 
+def english_stop_words(path: str | Path | None = None) -> tuple[str, ...]:
+    """Words of a file; without a path scikit-learn's "english" list where that is installed, else the list here."""
+    if path is not None:
+        return tuple(Path(path).read_text(encoding="utf-8").split())
+    try:
+        from sklearn.feature_extraction.text import ENGLISH_STOP_WORDS as listed
+    except ImportError:
+        return ENGLISH_STOP_WORDS
+    return tuple(sorted(listed))
+
+
 class Ranker(Protocol):
     """Anything that scores texts for jobs can be ranked and fused."""
 
@@ -43,8 +58,9 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def scale_by_max(scores: DataFrame) -> DataFrame:
     """Score over the job's largest; all 0 where that isn't positive."""
-    top = F.max("score").over(Window.partitionBy("job_id"))
-    return scores.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(0.0))
+    top = scores.groupBy("job_id").agg(F.max("score").alias("top"))  # combined before it moves; a window would bring all of a job to one task
+    scaled = F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0)
+    return scores.join(top, "job_id").select(*[scaled.alias(c) if c == "score" else c for c in scores.columns])
 
 
 def fill_pairs(scores: DataFrame, texts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -65,7 +81,10 @@ def few(terms: DataFrame, rows: int = 200_000) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bm25Ranker:
-    """Okapi BM25 over the batch; terms that occur twice in a job count twice; negative idf becomes ``epsilon`` times the mean."""
+    """Okapi BM25 over the batch; terms that occur twice in a job count twice; negative idf becomes ``epsilon`` times the mean.
+
+    A candidate's words are counted inside its row; what moves is one partial count a term, for the idf.
+    """
 
     k1: float = 1.2
     b: float = 0.75
@@ -73,29 +92,63 @@ class Bm25Ranker:
     scale: bool = True
     tokenise: Callable[[Column], Column] = rank_tokens
 
-    def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        words = texts.select("candidate_id", self.tokenise(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-        stats = words.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-        tf = words.select("candidate_id", "length", F.explode("words").alias("term")).groupBy("candidate_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        tf = materialize(tf, "bm25-terms")  # read for the statistics and for the scores
-        df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)  # one row of statistics
-        df = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = df.agg(F.avg("idf").alias("mean_idf"))
-        idf = df.crossJoin(mean).select("term", "mean_length", F.when(F.col("idf") < 0, F.lit(self.epsilon) * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    def raw_scores(self, texts: DataFrame, jobs: DataFrame, corpus: DataFrame | None = None, keys: tuple[str, ...] = ("candidate_id",), own: str | None = None) -> DataFrame:
+        """(job_id, keys, score) of pairs with a common term, not scaled. ``corpus`` (text): what the statistics are of, if not the texts;
+        ``own``: the key that names the one job a text is scored for."""
+        words = texts.select(*keys, self.tokenise(F.col("text")).alias("words"))
+        known = words if corpus is None else corpus.select(self.tokenise(F.col("text")).alias("words"))
+        # Statistics in one pass: an empty term stands for the document itself.
+        each = known.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("term"), F.size("words").alias("n"))
+        df = materialize(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("words")), "bm25-terms")
+        n_docs, length = df.filter("term = ''").select("df", F.col("words") / F.col("df")).first() or (0, 0.0)
+        idf = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        terms = df.filter("term <> ''").select("term", idf.alias("idf"))
+        mean = terms.agg(F.avg("idf")).first()[0] or 0.0
         query = jobs.select("job_id", F.explode(self.tokenise(F.col("text"))).alias("term")).groupBy("job_id", "term").agg(F.count("*").alias("qtf"))
-        # Job terms first: only candidates' rows of those terms go on, and where these terms are few they alone move.
-        weight = F.col("idf") * F.col("qtf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("length") / F.col("mean_length")))
-        scores = tf.join(few(query.join(idf, "term")), "term").groupBy("job_id", "candidate_id").agg(F.sum(weight).alias("score"))
+        weight = F.col("qtf") * F.when(F.col("idf") < 0, self.epsilon * mean).otherwise(F.col("idf"))
+        k1, b = self.k1, self.b
+        value = lambda tf, n: (tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / (length or 1.0))),)
+        found = sparse_products(words, list(keys), "words", terms.join(few(query), "term").withColumn("w", weight), ["w"], value, own=own)
+        return found.withColumnRenamed("s0", "score")
+
+    def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
+        scores = self.raw_scores(texts, jobs)
         return scale_by_max(scores) if self.scale else scores
 
+    def first(self, texts: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
+        """The first k of each job with their ranks: cut before scaling, which doesn't change the order."""
+        kept = top_k(self.raw_scores(texts, jobs), k)
+        return scale_by_max(materialize(kept, "bm25-first")) if self.scale else kept
+
 
 def _terms(words: Column, ngrams: tuple[int, int]) -> Column:
     return let(words, lambda w: F.concat(*[text_ngrams(w, n) for n in range(ngrams[0], ngrams[1] + 1)]))
 
 
+def _counted(rows: DataFrame, terms: str) -> DataFrame:
+    """The rows, numbered (row), with their different terms and 1 + ln(count) of each: a row's terms are counted inside it."""
+    small_batches(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    keys = [c for c in rows.columns if c != terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            at = batch.schema.get_field_index(terms)
+            counts = [Counter(x or ()) for x in batch.column(at).to_pylist()]
+            size = batch.num_rows
+            yield pa.record_batch([*[batch.column(k) for k in keys], pa.array(range(number, number + size), pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([[1 + math.log(n) for n in c.values()] for c in counts], pa.list_(pa.float64()))], names=[*keys, "row", terms, "tf"])
+            number += size
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "row long", f"`{terms}` array<string>", "tf array<double>"])
+    return rows.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class TfidfRanker:
-    """Cosine of TF-IDF vectors: 1 + ln(tf), smoothed idf over the batch and the job together."""
+    """Cosine of TF-IDF vectors: 1 + ln(tf), smoothed idf over the batch and the job together. ``stop_words``: see ``english_stop_words``."""
 
     ngram_range: tuple[int, int] = (1, 2)
     stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
@@ -107,42 +160,45 @@ class TfidfRanker:
         return _terms(kept, self.ngram_range)
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        count = lambda df, key: df.select(key, F.explode(self.terms(F.col("text"))).alias("term")).groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-        docs, query = materialize(count(texts, "candidate_id"), "tfidf-terms"), count(jobs, "job_id")
-        n = texts.agg((F.count("*") + 1).alias("n"))  # the job is in its own corpus
-        df = materialize(docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n), "tfidf-vocabulary")  # one row of statistics
+        docs = materialize(_counted(texts.select("candidate_id", self.terms(F.col("text")).alias("terms")), "terms"), "tfidf-terms")
+        asked = _counted(jobs.select("job_id", self.terms(F.col("text")).alias("terms")), "terms")
+        query = asked.select("job_id", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("job_id", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
+        n = docs.count() + 1  # the job is in its own corpus
+        each = docs.select("row", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
+        df = materialize(each.groupBy("term").agg(F.count("*").alias("df")), "tfidf-vocabulary")
         # idf of a term for a job: its documents, and one more if the job has it.
-        idf = lambda has: F.log((1 + F.col("n")) / (1 + F.coalesce(F.col("df"), F.lit(0)) + has)) + 1
-        own = F.col("tf") * F.col("idf0")
-        norms = docs.join(df.select("term", idf(0).alias("idf0")), "term").groupBy("candidate_id").agg(F.sum(own * own).alias("base"))
-        asked = query.join(df.select("term", "df"), "term", "left").crossJoin(n).select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
-        asked = materialize(asked, "tfidf-jobs")
-        job_norm = asked.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
+        idf = lambda has: F.log(F.lit(1.0 + n) / (1 + F.coalesce(F.col("df"), F.lit(0)) + has)) + 1
+        norms = each.join(df.select("term", idf(0).alias("idf0")), "term").groupBy("row").agg(F.sum(F.pow(F.col("tf") * F.col("idf0"), 2.0)).alias("base"))
+        query = query.join(df, "term", "left").select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
+        query = materialize(query, "tfidf-jobs")
+        job_norm = query.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
         # A common term weighs less with the job in the corpus; the norm is corrected for those terms alone.
-        common = docs.join(few(asked), "term").withColumn("w0", own).withColumn("w1", F.col("tf") * F.col("idf1"))
-        sums = common.groupBy("job_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("w1")).alias("dot"), F.sum(F.col("w1") * F.col("w1") - F.col("w0") * F.col("w0")).alias("change"))
-        full = sums.join(norms, "candidate_id").join(job_norm, "job_id")
+        weighed = query.select("job_id", "term", (F.col("wq") * F.col("idf1")).alias("dot"), (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0")).alias("change"))
+        sums = sparse_products(docs, ["candidate_id", "row"], "terms", weighed, ["dot", "change"], "tf", powers=(1, 2)).withColumnsRenamed({"s0": "dot", "s1": "change"})
+        full = sums.join(norms, "row").join(job_norm, "job_id")
         return full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))
 
 
 @dataclass(frozen=True)
 class DenseRanker:
-    """Cosine of vectors that ``texts`` and ``jobs`` carry. All candidates against all jobs: jobs are a stated query set."""
+    """Cosine of vectors that ``texts`` and ``jobs`` carry. All candidates against all jobs: jobs are a stated query set, taken in blocks."""
 
     vector: str = "vector"
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        wanted = jobs.select("job_id", F.col(self.vector).alias("job_vector"))
-        wanted = F.broadcast(wanted) if _small(jobs, 5_000) else wanted  # 5,000 vectors of 384 doubles: 15 MB
-        return texts.select("candidate_id", self.vector).crossJoin(wanted).select("job_id", "candidate_id", cosine(F.col(self.vector), F.col("job_vector")).alias("score"))
+        return dense_cosines(texts, ["candidate_id"], self.vector, jobs)
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """(job_id, candidate_id, score) of rankings with a column ``rank``: the sum of 1 / (k + rank)."""
+    if not rankings:
+        raise ValueError("fusion needs one ranking at least: without any there are no columns to return")
     one = rankings[0].select("job_id", "candidate_id", "rank")
     for other in rankings[1:]:
         one = one.unionByName(other.select("job_id", "candidate_id", "rank"))
-    return one.groupBy("job_id", "candidate_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("score"))
+    # Dealt out anew: rankings are partitioned by job already, but adaptive plans may merge each one's partitions differently.
+    dealt = one.repartition("job_id", "candidate_id") if len(rankings) > 1 else one
+    return dealt.groupBy("job_id", "candidate_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("score"))
 
 
 @dataclass(frozen=True)

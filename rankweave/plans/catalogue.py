@@ -28,3 +28,8 @@ class Catalogue:
 def r6(x: Column | str) -> Column:
     """Doubles to six places: sums run in another order in another engine."""
     return F.round(F.col(x).cast("double") if isinstance(x, str) else x.cast("double"), 6)
+
+
+def r9(value: Column | str) -> Column:
+    """What rankings are ordered by: equal sums in any order of their parts, and no tie that isn't one."""
+    return F.round(F.col(value) if isinstance(value, str) else value, 9)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankweave.config import DEFAULT_GATE, DEFAULT_WEIGHTS
 from rankweave.functions import text as tx
 from rankweave.operators import audit, bitsets, gap, ontology, rankers, scoring
+from rankweave.operators.blocks import sparse_products
 from rankweave.operators.ontology import SkillNode, SkillOntology
 from rankweave.operators.rankers import _small
 from rankweave.plans.catalogue import Catalogue, r6
@@ -151,13 +152,14 @@ whole AS (SELECT job_id, sum(w) AS w FROM asked GROUP BY 1)"""
 
 
 def _grounded(spark: SparkSession, d: str) -> DataFrame:
-    """job_id, met, met_g, w: weights of asked skills that a candidate holds, the same times strength, and of all. Joined by skill and summed: no pair without a common skill."""
+    """job_id, met, met_g, w: weights of asked skills that a candidate holds, the same times strength, and of all. Candidates' skills times the jobs' in blocks: no pair without a common skill."""
     strength = _bought(spark, d).groupBy("candidate_id", F.col("p_name").alias("skill")).agg((F.max("l_quantity") / 50.0).alias("g"))
     lines = _named_lines(spark, d).filter("l_quantity >= 40").groupBy(F.col("l_suppkey").alias("job_id"), F.col("p_name").alias("skill"))
     asked = lines.agg(F.when(F.max("l_quantity") >= 45, 1.0).otherwise(0.5).alias("w"))
     asked = asked.join(asked.filter("w = 1").select("job_id").distinct(), "job_id", "left_semi")
-    # Strengths lie by candidate, and so do their pairs: where asked skills are few enough to broadcast, pairs are summed without being moved.
-    met = strength.repartition(_tasks(spark), "candidate_id").join(rankers.few(asked), "skill").groupBy("job_id", "candidate_id").agg(F.sum("w").alias("met"), F.sum(F.col("w") * F.col("g")).alias("met_g"))
+    each = strength.groupBy("candidate_id").agg(F.collect_list(F.struct("skill", "g")).alias("h")).select("candidate_id", F.col("h.skill").alias("skills"), F.col("h.g").alias("g"))
+    met = sparse_products(each, ["candidate_id"], "skills", asked.withColumnRenamed("skill", "term"), ["w", "w"], "g", powers=(0, 1))
+    met = met.withColumnsRenamed({"s0": "met", "s1": "met_g"})
     return met.join(asked.groupBy("job_id").agg(F.sum("w").alias("w")), "job_id")
 
 
@@ -179,6 +181,20 @@ def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     return floors.groupBy("floor").agg(r6(F.avg(F.least(F.lit(1.0), (c("floor") * c("met") + (1 - c("floor")) * c("met_g")) / c("w")))).alias("mean_coverage"))
 
 
+@query(f"""WITH {_REQ}, {_PREF}, {_STRENGTH}, {_CREDIT}, floors(f) AS (VALUES (0.0::DOUBLE), (0.2), (0.4), (0.6), (0.8), (1.0)),
+x AS (SELECT f, least(1.0::DOUBLE, (f * met + (1 - f) * met_g) / w) AS original, least(1.0::DOUBLE, (f * w + (1 - f) * met_g) / w) AS stuffed, least(1.0::DOUBLE, (f * met + (1 - f) * 0.75::DOUBLE * met_g) / w) AS implicit
+  FROM credit JOIN whole USING (job_id) CROSS JOIN floors)
+SELECT f AS floor, round(avg(stuffed - original), 6) AS attack_gain, round((avg(implicit) - avg(original)) / avg(original), 6) AS fairness_cost FROM x GROUP BY 1""")
+def tradeoff(spark: SparkSession, d: str) -> DataFrame:
+    """At six floors: what claiming every asked skill without evidence gains, and what evidence that is only implied (three quarters of its strength) costs."""
+    c = F.col
+    parts = _grounded(spark, d).withColumn("floor", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)])))
+    coverage = lambda claimed, shown: F.least(F.lit(1.0), (c("floor") * claimed + (1 - c("floor")) * shown) / c("w"))
+    x = parts.select("floor", coverage(c("met"), c("met_g")).alias("original"), coverage(c("w"), c("met_g")).alias("stuffed"), coverage(c("met"), 0.75 * c("met_g")).alias("implicit"))
+    cost = (F.avg("implicit") - F.avg("original")) / F.avg("original")
+    return x.groupBy("floor").agg(r6(F.avg(c("stuffed") - c("original"))).alias("attack_gain"), r6(cost).alias("fairness_cost"))
+
+
 @query(f"WITH {_YEARS.strip()} SELECT candidate_id, months, years FROM years")
 def merge_intervals(spark: SparkSession, d: str) -> DataFrame:
     return customer_years(spark, d)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.config import DEFAULT_GROUNDING
@@ -11,9 +11,9 @@ from rankweave.functions import text as tx
 from rankweave.functions import vectors as vx
 from rankweave.operators import audit, corpus, grounding, integrity, metrics, rankers, scoring
 from rankweave.operators import skills as sk
-from rankweave.plans.catalogue import Catalogue, r6
+from rankweave.plans.catalogue import Catalogue, r6, r9
 from rankweave.plans.skill_queries import ONTOLOGY
-from rankweave.runtime import spread, table, work_path
+from rankweave.runtime import materialize, spread, table, work_path
 
 query = Catalogue()
 
@@ -340,16 +340,17 @@ bf AS (SELECT term, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.
 bi AS (SELECT term, CASE WHEN idf < 0 THEN 0.25::DOUBLE * m ELSE idf END AS idf FROM bf, bm),
 bq AS (SELECT job_id, term, count(*) AS qtf FROM (SELECT item_id AS job_id, unnest({_RANK_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 braw AS (SELECT job_id, candidate_id, sum(idf * qtf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS s FROM bq JOIN bi USING (term) JOIN bt USING (term), bs GROUP BY ALL),
-bm25 AS (SELECT job_id, candidate_id, round(CASE WHEN max(s) OVER (PARTITION BY job_id) > 0 THEN s / max(s) OVER (PARTITION BY job_id) ELSE 0 END, 6) AS score FROM braw)"""
+bm25 AS (SELECT job_id, candidate_id, round(CASE WHEN max(s) OVER (PARTITION BY job_id) > 0 THEN s / max(s) OVER (PARTITION BY job_id) ELSE 0 END, 9) AS score FROM braw)"""
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return rankers.Bm25Ranker().score_all(_texts(spark, d), _jobs(spark, d)).withColumn("score", r6("score"))
+    return rankers.Bm25Ranker().score_all(_texts(spark, d), _jobs(spark, d)).withColumn("score", r9("score"))
 
 
-@query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM bm25) SELECT job_id, candidate_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM bm25) SELECT job_id, candidate_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rankers.top_k(_bm25(spark, d), 20)
+    raw = rankers.Bm25Ranker().first(_texts(spark, d), _jobs(spark, d), 40)  # more than asked for, as scaled scores are ranked to nine places
+    return rankers.top_k(raw.drop("rank").withColumn("score", r9("score")), 20).withColumn("score", r6("score"))
 
 
 _TF_STOP = "[" + ", ".join(f"'{w}'" for w in rankers.ENGLISH_STOP_WORDS) + "]"
@@ -366,52 +367,52 @@ tw AS (SELECT candidate_id, term, tf, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1)
 ta AS (SELECT job_id, term, tf * (ln((1 + n) / (2 + coalesce(df, 0))::DOUBLE) + 1) AS wq, ln((1 + n) / (2 + coalesce(df, 0))::DOUBLE) + 1 AS idf1 FROM tq LEFT JOIN tf0 USING (term), tn),
 tj AS (SELECT job_id, sqrt(sum(wq * wq)) AS nq FROM ta GROUP BY 1),
 ts AS (SELECT job_id, candidate_id, sum(wq * tf * idf1) AS dot, sum(tf * idf1 * tf * idf1 - w0 * w0) AS ch FROM ta JOIN tw USING (term) GROUP BY ALL),
-tfidf AS (SELECT job_id, candidate_id, round(dot / (sqrt(base + ch) * nq), 6) AS score FROM ts JOIN tb USING (candidate_id) JOIN tj USING (job_id))"""
+tfidf AS (SELECT job_id, candidate_id, round(dot / (sqrt(base + ch) * nq), 9) AS score FROM ts JOIN tb USING (candidate_id) JOIN tj USING (job_id))"""
 
 
 def _tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return rankers.TfidfRanker().score_all(_texts(spark, d), _jobs(spark, d)).withColumn("score", r6("score"))
+    return rankers.TfidfRanker().score_all(_texts(spark, d), _jobs(spark, d)).withColumn("score", r9("score"))
 
 
-@query(f"WITH {_TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM tfidf) SELECT job_id, candidate_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@query(f"WITH {_TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM tfidf) SELECT job_id, candidate_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def tfidf_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rankers.top_k(_tfidf(spark, d), 20)
+    return rankers.top_k(_tfidf(spark, d), 20).withColumn("score", r6("score"))
 
 
 _DENSE = f"""q AS (SELECT label AS job_id, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY 1),
-dense AS (SELECT job_id, vec_id AS candidate_id, round({_clamped('v.embedding', 'q.e')}, 6) AS score FROM embeddings v CROSS JOIN q)"""
+dense AS (SELECT job_id, vec_id AS candidate_id, round({_clamped('v.embedding', 'q.e')}, 9) AS score FROM embeddings v CROSS JOIN q)"""
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     """The first vector of each label as its query."""
     v = table(spark, d, "embeddings")
     jobs = v.groupBy(_C("label").alias("job_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
-    return rankers.DenseRanker().score_all(v.select(_C("vec_id").alias("candidate_id"), _C("embedding").alias("vector")), jobs).withColumn("score", r6("score"))
+    return rankers.DenseRanker().score_all(v.select(_C("vec_id").alias("candidate_id"), _C("embedding").alias("vector")), jobs).withColumn("score", r9("score"))
 
 
-@query(f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM dense) SELECT CAST(job_id AS INT) AS job_id, candidate_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@query(f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM dense) SELECT CAST(job_id AS INT) AS job_id, candidate_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def dense_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rankers.top_k(_dense(spark, d), 20)
+    return rankers.top_k(_dense(spark, d), 20).withColumn("score", r6("score"))
 
 
 _RANKED = """rb AS (SELECT job_id, candidate_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM bm25),
 rt AS (SELECT job_id, candidate_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM tfidf)"""
-_RRF = f"{_RANKED}, fused AS (SELECT job_id, candidate_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM rb UNION ALL SELECT * FROM rt) GROUP BY ALL)"
+_RRF = f"{_RANKED}, fused AS (SELECT job_id, candidate_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM rb UNION ALL SELECT * FROM rt) GROUP BY ALL)"
 
 
-@query(f"WITH {_BM25}, {_TFIDF}, {_RRF}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM fused) SELECT job_id, candidate_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+@query(f"WITH {_BM25}, {_TFIDF}, {_RRF}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM fused) SELECT job_id, candidate_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     fused = rankers.reciprocal_rank_fusion([rankers.rank(_bm25(spark, d)), rankers.rank(_tfidf(spark, d))])
-    return rankers.top_k(fused.withColumn("score", r6("score")), 20)
+    return rankers.top_k(fused.withColumn("score", r9("score")), 20).withColumn("score", r6("score"))
 
 
-_HYBRID = f"""{_PENALTY}, {_BM25}, {_DENSE.replace('label AS job_id', '(label % 4) AS job_id').replace('round(greatest', '(greatest').replace(', 6) AS score FROM embeddings', ') AS score FROM embeddings')},
+_HYBRID = f"""{_PENALTY}, {_BM25}, {_DENSE.replace('label AS job_id', '(label % 4) AS job_id').replace('round(greatest', '(greatest').replace(', 9) AS score FROM embeddings', ') AS score FROM embeddings')},
 bh AS (SELECT job_id, candidate_id, CASE WHEN max(s) OVER (PARTITION BY job_id) > 0 THEN s / max(s) OVER (PARTITION BY job_id) ELSE 0 END AS score FROM braw),
-hyb AS (SELECT b.job_id, b.candidate_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.4::DOUBLE * coalesce(d.score, 0) + 0.3::DOUBLE * b.score + 0.2::DOUBLE * least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) + 0.1::DOUBLE * (q.quality = 1)::INT) - penalty)), 6) AS total
+hyb AS (SELECT b.job_id, b.candidate_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.4::DOUBLE * coalesce(d.score, 0) + 0.3::DOUBLE * b.score + 0.2::DOUBLE * least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) + 0.1::DOUBLE * (q.quality = 1)::INT) - penalty)), 9) AS total
   FROM bh b JOIN documents t ON t.doc_id = b.candidate_id JOIN pen ON pen.doc_id = b.candidate_id LEFT JOIN dense d ON d.candidate_id = b.candidate_id AND d.job_id = b.job_id % 4 LEFT JOIN (SELECT doc_id, quality FROM labels) q ON q.doc_id = b.candidate_id)"""
 
 
-@query(f"{_HYBRID.replace('* (q.quality = 1)::INT', '* coalesce((q.quality = 1)::INT, 0)')}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank FROM hyb) SELECT job_id, candidate_id, total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+@query(f"{_HYBRID.replace('* (q.quality = 1)::INT', '* coalesce((q.quality = 1)::INT, 0)')}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank FROM hyb) SELECT job_id, candidate_id, round(total, 6) AS total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     """Documents for benchmark items: vectors of equal id as the dense part, BM25 for skills, length for experience, quality for education, less the integrity penalty."""
     v = table(spark, d, "embeddings")
@@ -423,7 +424,8 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     lexical = rankers.Bm25Ranker().score_all(_texts(spark, d), _jobs(spark, d))
     rows = lexical.join(docs, "candidate_id").withColumn("slot", (_C("job_id") % 4).cast("int")).join(near, ["candidate_id", "slot"], "left")
     s = scoring.combine(F.coalesce("semantic", F.lit(0.0)), _C("score"), F.least(F.lit(1.0), _C("n_chars") / F.lit(4000.0)), F.coalesce((_C("quality") == 1).cast("double"), F.lit(0.0)), _C("penalty"))
-    return rankers.top_k(rows.select("job_id", "candidate_id", r6(s.getField("total")).alias("total")), 10, "total")
+    ranked = rankers.top_k(rows.select("job_id", "candidate_id", r9(s.getField("total")).alias("total")), 10, "total")
+    return ranked.withColumn("total", r6("total"))
 
 
 # Quality of rankings: BM25's, graded by document labels.
@@ -455,40 +457,100 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("job_id", *[r6(c).alias(c) for c in ("reciprocal_rank", "average_precision", "precision_at_k")])
 
 
-# Attacks: every document of a low grade gets a copy with the job's text appended.
-
-_ATTACKED = f"""low AS (SELECT doc_id FROM labels WHERE quality = 0),
-pool AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, text || chr(10) || (SELECT text FROM benchmark ORDER BY item_id LIMIT 1) FROM documents WHERE doc_id IN (SELECT doc_id FROM low)),
-{_BM25.replace('FROM documents)', 'FROM pool)').replace('FROM benchmark)', 'FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 1))')},
-ar AS (SELECT job_id, candidate_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank, count(*) OVER (PARTITION BY job_id) AS n FROM bm25),
-gains AS (SELECT a.job_id, c.candidate_id AS control_id, (c.rank - a.rank) / a.n::DOUBLE AS gain FROM ar a JOIN ar c ON a.candidate_id = c.candidate_id + 1000000000 AND a.job_id = c.job_id)"""
-
-
-def _attacked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(BM25 ranking of documents and attacked copies for the first item, pairs)."""
-    low = table(spark, d, "labels").filter("quality = 0").select("doc_id")
-    job = _jobs(spark, d).orderBy("job_id").limit(1)
-    docs = _documents(spark, d)
-    copies = docs.join(low, "doc_id", "left_semi").crossJoin(F.broadcast(job.select(_C("text").alias("job_text"))))  # one row
-    copies = copies.select((_C("doc_id") + 1_000_000_000).alias("candidate_id"), F.concat("text", F.lit("\n"), "job_text").alias("text"))
-    pool = docs.select(_C("doc_id").alias("candidate_id"), "text").unionByName(copies)
-    ranking = rankers.rank(rankers.Bm25Ranker().score_all(pool, job).withColumn("score", r6("score")))
-    pairs = low.select((_C("doc_id") + 1_000_000_000).alias("candidate_id"), _C("doc_id").alias("control_id"), F.lit("paste").alias("attack"))
-    return ranking, pairs
+# Attacks: every document of a low grade gets, for every job, copies with the job's text appended: all of it, or half of its words.
+# Statistics of terms are those of the documents alone. Job by job, documents and the job's own copies are ranked together.
+
+_COPY = 1_000_000_000
+_HALF = "array_to_string(list_slice(string_split(b.text, ' '), 1, len(string_split(b.text, ' ')) // 2), ' ')"
+_ATTACKED = f"""low AS (SELECT doc_id FROM labels WHERE quality = 0), {_BM25}, {_GRAMS},
+ct AS (SELECT 'paste' AS attack, item_id AS job_id, d.doc_id AS control_id, d.text || chr(10) || b.text AS text FROM documents d JOIN low USING (doc_id) CROSS JOIN benchmark b
+  UNION ALL SELECT 'half', item_id, d.doc_id, d.text || chr(10) || {_HALF} FROM documents d JOIN low USING (doc_id) CROSS JOIN benchmark b),
+cw AS (SELECT attack, job_id, control_id, {_RANK_TOKENS} AS w FROM ct),
+ctf AS (SELECT attack, job_id, control_id, any_value(n) AS len, term, count(*) AS tf FROM (SELECT attack, job_id, control_id, len(w) AS n, unnest(w) AS term FROM cw) GROUP BY ALL),
+craw AS (SELECT job_id, attack, control_id, sum(idf * qtf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS s FROM ctf JOIN bq USING (job_id, term) JOIN bi USING (term), bs GROUP BY ALL),
+cg AS (SELECT DISTINCT attack, job_id, control_id, unnest([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)]) AS g FROM (SELECT attack, job_id, control_id, {_TOKENS} AS t FROM ct)),
+ce AS (SELECT attack, job_id, control_id, count(*) / any_value(jn.n)::DOUBLE AS ratio FROM cg JOIN jg USING (job_id, g) JOIN jn USING (job_id) GROUP BY ALL),
+pool AS (SELECT job_id, NULL AS attack, candidate_id AS control_id, s, shared / of::DOUBLE AS ratio FROM braw LEFT JOIN echo USING (job_id, candidate_id)
+  UNION ALL SELECT job_id, attack, control_id, s, ratio FROM craw LEFT JOIN ce USING (job_id, attack, control_id)),
+parts AS (SELECT job_id, attack, control_id, CASE WHEN max(s) OVER (PARTITION BY job_id) > 0 THEN s / max(s) OVER (PARTITION BY job_id) ELSE 0 END AS score,
+  CASE WHEN ratio > 0.25 THEN 0.35::DOUBLE * 0.2::DOUBLE * least(1.0::DOUBLE, (ratio - 0.25::DOUBLE) / 0.75::DOUBLE) ELSE 0 END AS penalty FROM pool),
+system(system, guard) AS (VALUES ('bm25', 0.0::DOUBLE), ('bm25_guarded', 1.0::DOUBLE)),
+ranked AS (SELECT system, job_id, attack, control_id, row_number() OVER (PARTITION BY system, job_id ORDER BY round(score - guard * penalty, 9) DESC, control_id, coalesce(attack, '')) AS rank, count(*) OVER (PARTITION BY system, job_id) AS n FROM parts, system),
+gains AS (SELECT a.system, a.job_id, a.attack, a.control_id, (c.rank - a.rank) / a.n::DOUBLE AS gain FROM ranked a JOIN ranked c USING (system, job_id, control_id) WHERE a.attack IS NOT NULL AND c.attack IS NULL)"""
+
+
+def _low(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").filter("quality = 0").select("doc_id")
+
+
+def _attacked(spark: SparkSession, d: str) -> DataFrame:
+    """system, job_id, attack (null for a document itself), control_id, rank and n (rows of the job): a written table."""
+    docs, jobs = _documents(spark, d), _jobs(spark, d)
+    few_jobs = rankers.few(jobs.select("job_id", _C("text").alias("job_text")))
+    half = F.array_join(F.slice(F.split("job_text", " "), F.lit(1), F.floor(F.size(F.split("job_text", " ")) / 2).cast("int")), " ")
+    attacks = F.array(F.struct(F.lit("paste").alias("attack"), _C("job_text").alias("added")), F.struct(F.lit("half").alias("attack"), half.alias("added")))
+    low = docs.join(F.broadcast(_low(spark, d)) if _low(spark, d).count() < 1_000_000 else _low(spark, d), "doc_id", "left_semi")
+    copies = low.crossJoin(few_jobs).select("job_id", _C("doc_id").alias("control_id"), "text", "job_text", F.explode(attacks).alias("a"))
+    copies = copies.select("job_id", "control_id", _C("a.attack").alias("attack"), F.concat("text", F.lit("\n"), "a.added").alias("text"), "job_text")
+    ranker = rankers.Bm25Ranker()
+    own = ranker.raw_scores(copies, jobs, corpus=docs, keys=("job_id", "control_id", "attack"), own="job_id")
+    echo = copies.select("job_id", "control_id", "attack", integrity.echo_ratio(_C("text"), _C("job_text")).alias("ratio"))
+    own = own.join(echo, ["job_id", "control_id", "attack"])
+    theirs = integrity.echo_pairs(_texts(spark, d), jobs).select("job_id", _C("candidate_id").alias("control_id"), "ratio")
+    plain = ranker.raw_scores(_texts(spark, d), jobs).select("job_id", _C("candidate_id").alias("control_id"), F.lit(None).cast("string").alias("attack"), "score")
+    pool = rankers.scale_by_max(materialize(own.unionByName(plain.join(theirs, ["job_id", "control_id"], "left")), "attacked"))
+    penalty = integrity.penalty([F.lit(0.0)] * 3 + [integrity.jd_echo_signal(_C("ratio")).getField("severity"), F.lit(0.0)])
+    systems = F.array(F.struct(F.lit("bm25").alias("system"), F.lit(0.0).alias("guard")), F.struct(F.lit("bm25_guarded").alias("system"), F.lit(1.0).alias("guard")))
+    scored = pool.withColumn("penalty", penalty).withColumn("s", F.explode(systems)).select("s.system", "job_id", "attack", "control_id", r9(_C("score") - _C("s.guard") * _C("penalty")).alias("total"))
+    order = Window.partitionBy("system", "job_id").orderBy(F.desc("total"), "control_id", F.coalesce("attack", F.lit("")))
+    sizes = scored.groupBy("system", "job_id").agg(F.count("*").alias("n"))
+    return materialize(scored.withColumn("rank", F.row_number().over(order)).join(sizes, ["system", "job_id"]), "attack-ranks")
+
+
+def _gains(spark: SparkSession, d: str) -> DataFrame:
+    """system, job_id, attack, control_id, gain of every attacked copy."""
+    return metrics.attack_gains(_attacked(spark, d), ["system", "job_id"], "control_id", "attack")
+
+
+@query(f"WITH {_ATTACKED} SELECT job_id, control_id, round(gain, 6) AS gain FROM gains WHERE system = 'bm25' AND attack = 'paste'")
+def attack_gain(spark: SparkSession, d: str) -> DataFrame:
+    return _gains(spark, d).filter("system = 'bm25' AND attack = 'paste'").select("job_id", "control_id", r6("gain").alias("gain"))
 
 
-@query(f"WITH {_ATTACKED} SELECT job_id, control_id, round(gain, 6) AS gain FROM gains")
-def attack_gain(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.attack_gain(*_attacked(spark, d), ["job_id"]).select("job_id", "control_id", r6("gain").alias("gain"))
+@query(f"WITH {_ATTACKED} SELECT system, attack, count(*) AS n, round(avg(gain), 6) AS mean_gain, round(avg((gain > 0)::INT), 6) AS share_gaining FROM gains GROUP BY ALL")
+def attack_study(spark: SparkSession, d: str) -> DataFrame:
+    """Each system under each attack over all jobs: pairs, mean gain, and the share of copies that gain."""
+    return _gains(spark, d).groupBy("system", "attack").agg(F.count("*").alias("n"), r6(F.avg("gain")).alias("mean_gain"), r6(F.avg((_C("gain") > 0).cast("double"))).alias("share_gaining"))
 
 
-@query(f"WITH {_ATTACKED}, p AS (SELECT candidate_id, (rank - 1) / n::DOUBLE AS p FROM ar) SELECT round(avg(p) FILTER (candidate_id IN (SELECT doc_id FROM low)) - avg(p) FILTER (candidate_id >= 1000000000), 6) AS advantage FROM p")
+@query(f"""WITH {_ATTACKED}, p AS (SELECT job_id, attack, control_id, (rank - 1) / n::DOUBLE AS p FROM ranked WHERE system = 'bm25' AND coalesce(attack, 'paste') = 'paste' AND control_id IN (SELECT doc_id FROM low))
+SELECT job_id, round(avg(p) FILTER (attack IS NULL) - avg(p) FILTER (attack IS NOT NULL), 6) AS advantage FROM p GROUP BY 1""")
 def stuffing_advantage(spark: SparkSession, d: str) -> DataFrame:
-    ranking, pairs = _attacked(spark, d)
-    meta = pairs.select("candidate_id", F.lit(True).alias("stuffed")).unionByName(pairs.select(_C("control_id").alias("candidate_id"), F.lit(False).alias("stuffed")))
-    job = ranking.select("job_id").distinct().select(_C("job_id").alias("role"))
-    meta = meta.withColumn("tier", F.lit(1)).crossJoin(F.broadcast(job))  # one item
-    return metrics.stuffing_advantage(ranking, meta, ["job_id"]).select(r6("advantage").alias("advantage"))
+    """Of each job: how much higher, as a share of its list, pasted copies stand than the low documents themselves."""
+    ranked = _attacked(spark, d).filter("system = 'bm25' AND coalesce(attack, 'paste') = 'paste'").join(_low(spark, d).withColumnRenamed("doc_id", "control_id"), "control_id", "left_semi")
+    place = (_C("rank") - 1) / _C("n")
+    mean = lambda stuffed: F.avg(F.when(_C("attack").isNotNull() == stuffed, place))
+    return ranked.groupBy("job_id").agg(r6(mean(False) - mean(True)).alias("advantage"))
+
+
+@query(f"""WITH {_BM25}, {_TFIDF}, {_RRF}, lab AS (SELECT doc_id AS candidate_id, quality * 2 + (1 - toxic) AS rel FROM labels),
+every AS (SELECT 'bm25' AS system, * FROM bm25 UNION ALL SELECT 'tfidf', * FROM tfidf UNION ALL SELECT 'rrf', * FROM fused),
+g AS (SELECT system, job_id, row_number() OVER (PARTITION BY system, job_id ORDER BY score DESC, candidate_id) AS rank, coalesce(rel, 0) AS rel FROM every LEFT JOIN lab USING (candidate_id)),
+ideal AS (SELECT sum((pow(2, rel) - 1) / log2(rank + 1)) AS ideal FROM (SELECT rel, row_number() OVER (ORDER BY rel DESC) AS rank FROM lab) WHERE rank <= 10),
+x AS (SELECT system, job_id, coalesce(sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg, coalesce(1.0 / min(rank) FILTER (rel >= 2), 0) AS rr, coalesce(avg((rel >= 2)::INT) FILTER (rank <= 5), 0) AS p FROM g GROUP BY ALL)
+SELECT system, count(*) AS jobs, round(avg(dcg / ideal), 6) AS ndcg, round(avg(rr)::DOUBLE, 6) AS mrr, round(avg(p), 6) AS precision_at_5 FROM x, ideal GROUP BY 1""")
+def experiment_table(spark: SparkSession, d: str) -> DataFrame:
+    """Rankers over all jobs: mean NDCG at 10, reciprocal rank and precision at 5, one row a system."""
+    bm25, tfidf = materialize(_bm25(spark, d), "bm25"), materialize(_tfidf(spark, d), "tfidf")
+    fused = rankers.reciprocal_rank_fusion([rankers.rank(bm25), rankers.rank(tfidf)]).withColumn("score", r9("score"))
+    parts = [rankers.rank(s).withColumn("system", F.lit(n)) for n, s in (("bm25", bm25), ("tfidf", tfidf), ("rrf", fused))]
+    labels = table(spark, d, "labels").select(_C("doc_id").alias("candidate_id"), (_C("quality") * 2 + 1 - _C("toxic")).alias("rel"))
+    every = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "rankings").join(labels, "candidate_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    top = labels.orderBy(F.desc("rel")).limit(10)
+    ideal = table(spark, d, "benchmark").select(_C("item_id").alias("job_id")).crossJoin(F.broadcast(top))  # ten rows
+    by = ["system", "job_id"]
+    each = metrics.ndcg(every, ideal, 10, by).join(metrics.per_query(every, by), by)
+    return each.groupBy("system").agg(F.count("*").alias("jobs"), r6(F.avg("ndcg")).alias("ndcg"), r6(F.avg("reciprocal_rank")).alias("mrr"), r6(F.avg("precision_at_k")).alias("precision_at_5"))
 
 
 _PAIRED = f"{_BM25}, {_TFIDF}, {_RANKED}, pr AS (SELECT b.job_id, b.candidate_id, t.rank - b.rank AS diff FROM rb b JOIN rt t USING (job_id, candidate_id))"
@@ -503,16 +565,17 @@ def paired_rank_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_gain(spark: SparkSession, d: str) -> DataFrame:
-    """Mean attack gain with its seeded interval."""
-    gains = metrics.attack_gain(*_attacked(spark, d), ["job_id"])
-    return metrics.mean_with_ci(gains, ["attack"], "control_id", "gain")
+    """Mean gain of each attack and system over all jobs and copies, with its seeded interval over the jobs' means."""
+    means = _gains(spark, d).groupBy("system", "attack", "job_id").agg(F.avg("gain").alias("gain"))
+    return metrics.mean_with_ci(means, ["system", "attack"], "job_id", "gain")
 
 
 @query()
 def permutation_p(spark: SparkSession, d: str) -> DataFrame:
-    """Gain of attacked copies against no gain: difference, interval, p."""
-    gains = metrics.attack_gain(*_attacked(spark, d), ["job_id"])
-    return metrics.paired_difference(gains, gains.withColumn("gain", F.lit(0.0)), ["attack"], "control_id", "gain")
+    """What the guard takes from each attack's gain, job by job: difference of means, interval, p."""
+    means = _gains(spark, d).groupBy("system", "attack", "job_id").agg(F.avg("gain").alias("gain"))
+    side = lambda system: means.filter(_C("system") == system).drop("system")
+    return metrics.paired_difference(side("bm25"), side("bm25_guarded"), ["attack"], "job_id", "gain")
 
 
 # Counterfactual texts and the corpus.
@@ -531,6 +594,42 @@ def anonymised(spark: SparkSession, d: str) -> DataFrame:
     return _resumes(spark, d).select("id", kept.alias("text"))
 
 
+_GROUP_NAMES = ", ".join(f"('{g}', {n}, '{v}')" for g, n, v in audit.names_in_order())
+
+
+@query(f"""WITH {_RESUME_SQL}, name(grp, n, variant) AS (VALUES {_GROUP_NAMES}), size(grp, total) AS (SELECT grp, count(*) FROM name GROUP BY 1),
+copy AS (SELECT res.id, s.grp, replace(text, 'Customer Name', variant) AS text, o_custkey FROM res CROSS JOIN size s JOIN name m ON m.grp = s.grp AND m.n = CAST('0x' || substr(md5(res.id::VARCHAR), 1, 8) AS BIGINT) % s.total),
+clean AS (SELECT id, grp, false AS anonymised, text FROM copy UNION ALL SELECT id, grp, true, replace(replace(replace(rtrim(split_part(text, 'SUMMARY' || chr(10), 2), chr(10)), 'WORK EXPERIENCE:', chr(10) || ':'), 'Education' || chr(10), chr(10)), 'Technical Skills' || chr(10), chr(10)) FROM copy),
+scored AS (SELECT *, length(text) / 400.0::DOUBLE AS semantic, len(regexp_extract_all(lower(text), '[a-z]+')) / 60.0::DOUBLE AS skill FROM clean),
+means AS (SELECT anonymised, grp, count(*) AS n, avg(0.4::DOUBLE * semantic + 0.3::DOUBLE * skill) AS total, avg(semantic) AS semantic, avg(skill) AS skill FROM scored GROUP BY ALL)
+SELECT anonymised, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS INT) AS n_groups, round(max(total) - min(total), 6) AS max_gap, round(max(semantic) - min(semantic), 6) AS semantic_gap, round(max(skill) - min(skill), 6) AS skill_gap FROM means GROUP BY 1""")
+def fairness_names(spark: SparkSession, d: str) -> DataFrame:
+    """Name audit of a scorer that is biased on purpose (by the length of the text): the gaps between groups, with names and with them taken out."""
+    named = _resumes(spark, d).select(_C("id").cast("string").alias("candidate_id"), F.lit("Customer Name").alias("name"), "text")
+    copies = audit.name_copies(named, audit.name_table(spark))
+    bare = audit.anonymise(tx.segment_sections(_C("text")), _C("text"), _C("name"))
+    kinds = F.array(F.struct(F.lit(False).alias("anonymised"), _C("text").alias("t")), F.struct(F.lit(True).alias("anonymised"), bare.alias("t")))
+    rows = copies.select("group", F.explode(kinds).alias("k")).select("group", "k.anonymised", "k.t")
+    semantic, skill = F.length("t") / 400.0, F.size(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]+"), F.lit(0))) / 60.0
+    scored = rows.select("group", "anonymised", semantic.alias("semantic"), skill.alias("skill"), F.lit(0.0).alias("experience"), F.lit(0.0).alias("education"))
+    scored = scored.withColumn("total", 0.4 * _C("semantic") + 0.3 * _C("skill"))
+    out = audit.gaps_by(scored, ["anonymised"])
+    return out.select("anonymised", "n", _C("n_groups").cast("int").alias("n_groups"), *[r6(c).alias(c) for c in ("max_gap", "semantic_gap", "skill_gap")])
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), s AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: list_contains({_LEX}, x))) AS hits FROM d)
+SELECT 'original' AS kind, count(*) AS n, round(avg(CASE WHEN n > 0 THEN hits / n::DOUBLE ELSE 0 END), 6) AS mean_skill FROM s
+UNION ALL SELECT 'implicit', count(*), round(avg(CASE WHEN n > hits THEN 0.0::DOUBLE ELSE 0 END), 6) FROM s""")
+def fairness_style(spark: SparkSession, d: str) -> DataFrame:
+    """Style audit: the share of words that name a skill, in texts as they are and with these names left out. What is lost is lost to style alone."""
+    words = F.array(*map(F.lit, LEXICON))
+    t = tx.tokens(_C("text"))
+    kinds = F.array(F.struct(F.lit("original").alias("kind"), t.alias("t")), F.struct(F.lit("implicit").alias("kind"), F.filter(t, lambda x: ~F.array_contains(words, x)).alias("t")))
+    rows = _documents(spark, d).select(F.explode(kinds).alias("k")).select("k.kind", "k.t")
+    share = F.coalesce(F.try_divide(F.size(F.filter("t", lambda x: F.array_contains(words, x))).cast("double"), F.size("t")), F.lit(0.0))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), r6(F.avg(share)).alias("mean_skill"))
+
+
 @query()
 def terse_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", audit.terse_rewrite(_C("text")).alias("text"))
