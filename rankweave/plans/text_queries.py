@@ -194,6 +194,28 @@ def _resumes(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(_C("o_orderkey").alias("id"), text.alias("text"), "o_custkey", "o_orderdate")
 
 
+#: Hand-made texts with what they hold: years, degree, address, name.
+_CASES = (
+    ("", 0.0, 0, "", ""),
+    ("Ada Byron\nada.byron+cv@mail.example.org\nPhD, Mathematics", 0.0, 4, "ada.byron+cv@mail.example.org", "Ada Byron"),
+    ("Jan 2010 - Dec 2011\nMar 2011 to Feb 2012", 2.17, 0, "", ""),
+    ("03/2015 - 02/2017, M.Sc. in Physics", 2.0, 3, "", ""),
+    ("2001 until 2001", 1.0, 0, "", ""),
+    ("2012 - 2010", 0.0, 0, "", ""),
+    ("over 7+ years of professional experience; Bachelor's degree", 7.0, 2, "", ""),
+    ("Sept 1999 – present", 100.42, 0, "", ""),
+    ("two mails: a@b.co and c@d.org; diploma in design", 0.0, 1, "a@b.co", ""),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {y}::DOUBLE, {g}, '{e}', '{n}')" for i, (_, y, g, e, n) in enumerate(_CASES)) + ") AS c(id, years, degree, email, name)")
+def extraction_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Hand-made texts; the answers in the SQL were worked out by hand. "Present" is January 2100."""
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(_CASES)], "id int, text string")
+    years = F.round(tx.experience_years(_C("text"), F.lit(2100 * 12 + 1)), 2)
+    return rows.select("id", years.alias("years"), tx.degree(_C("text")).alias("degree"), tx.email(_C("text")).alias("email"), tx.person_name(_C("text")).alias("name"))
+
+
 @query(f"""WITH {_RESUME_SQL} SELECT id, 'education,experience,other,skills,summary' AS names, 'Buyer number ' || o_custkey || '.' AS summary, CAST(length(':' || chr(10) || split_part(split_part(text, 'WORK EXPERIENCE:' || chr(10), 2), chr(10) || 'Education', 1)) AS BIGINT) AS experience_chars,
   'python, docker, sql, c' || (o_custkey % 3) AS skills FROM res""")
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -630,12 +652,24 @@ def fairness_style(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), r6(F.avg(share)).alias("mean_skill"))
 
 
-@query()
+_LINE_WORDS = r"list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')"
+_KEEP = f"greatest(5, len({_LINE_WORDS}) // 2)"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(substr(text, 1, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END, lambda x:
+  CASE WHEN len({_LINE_WORDS}) <= 6 THEN x ELSE array_to_string(list_concat(list_slice({_LINE_WORDS}, 1, {_KEEP}),
+    list_filter(list_slice({_LINE_WORDS}, {_KEEP} + 1, len({_LINE_WORDS})), lambda y: regexp_matches(y, '^\\p{{Lu}}') OR regexp_matches(y, '[+#./]'))), ' ') END), chr(10)) AS text FROM documents""")
 def terse_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).select("doc_id", audit.terse_rewrite(_C("text")).alias("text"))
 
 
-@query()
+_NL = "' || chr(10) || '"
+_REBUILT = "rtrim(text, chr(10))"
+for _from, _to in (("SUMMARY", f"{_NL}SUMMARY"), ("WORK EXPERIENCE:", f"{_NL}EXPERIENCE{_NL}:"), ("Education", f"{_NL}EDUCATION"), ("Technical Skills", f"{_NL}SKILLS")):
+    _REBUILT = f"replace({_REBUILT}, '{_NL}{_from}{_NL}', '{_NL}{_to}{_NL}')"
+
+
+@query(f"WITH {_RESUME_SQL} SELECT id, 'OTHER' || chr(10) || replace({_REBUILT}, 'Analyst at Shop', 'Analyst for the system at Shop') AS text FROM res")
 def implicit_rewrite(spark: SparkSession, d: str) -> DataFrame:
     rows = _resumes(spark, d).withColumn("s", tx.segment_sections(F.replace("text", F.lit("Analyst at Shop"), F.lit("Analyst for Python at Shop"))))
     return rows.select("id", audit.implicit_rewrite(_C("s"), F.array(F.lit("python")), ONTOLOGY).alias("text"))
@@ -666,7 +700,7 @@ def screened_corpus(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("job_id", "candidate_id", "rank", r6("total").alias("total"), _C("integrity.flagged").alias("flagged"), "explanation")
 
 
-@query()
+@query("SELECT s_name || '.txt' AS path, s_name || chr(10) || 'balance ' || s_acctbal::VARCHAR AS text, 'txt' AS source_format, 2::INT AS n_spans FROM supplier")
 def load_files(spark: SparkSession, d: str) -> DataFrame:
     """Every supplier written as a text file by the executors, in the shared folder, and read back as documents."""
     from rankweave.sources import files

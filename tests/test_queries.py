@@ -27,6 +27,18 @@ def base():
     return found
 
 
+@pytest.fixture(scope="module", autouse=True)
+def generated(spark):
+    """Queries run as they are shipped, with generated code."""
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n != "screened_corpus"])
 def test_query(spark, base, name):
     frame = QUERIES[name](spark, DIR)
