@@ -6,7 +6,7 @@ Terms of a text, counted over the whole text: its character trigrams (bytes of t
 equal to the one, two or three words before it, and words seen before. Weights are square roots of relative
 frequencies times the inverse document frequency. Training takes labelled documents (at most ``max_per_label`` of each label, those
 with the smallest seeded hash: a bounded sample, a documented parameter), decomposes their term matrix by
-singular values and keeps ``dims`` dimensions: latent vectors, normalised. Scoring projects every document and
+singular values (subspace iteration) and keeps ``dims`` dimensions: latent vectors, normalised. Scoring projects every document and
 takes its cosines to all labelled vectors by one matrix product a block of documents, exactly; the ``neighbours``
 largest vote with weight similarity^``power``, each label's votes divided by its share of the sample.
 
@@ -42,6 +42,8 @@ POWER = 4.0
 CUT = 0.3
 FOLDS = 5
 SEED = 11
+#: Dimensions beyond ``dims`` that the subspace iteration carries, and its turns.
+EXTRA, TURNS = 16, 8
 #: Terms: trigrams of 16 classes, then repetition terms, then hashed trigrams of characters.
 _CLASSES = 16
 _REPEATS = _CLASSES**3
@@ -116,7 +118,7 @@ def fold(doc_id: Column) -> Column:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> pa.Table:
-    """The bounded sample to learn from, one row a doc_id, in a fixed order: doc_id, quality, length in bytes, terms."""
+    """The bounded sample to learn from, one row a doc_id, in a fixed order: doc_id, quality, length in bytes, places and weights of its terms."""
     marks = pick(labels, doc_id="long", quality="int").filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(fold(F.col("doc_id")) != 0)
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most")
     order = (F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"))
@@ -130,20 +132,24 @@ def labelled(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_P
     small_batches(documents.sparkSession)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # term weights come back, not texts: 12 KB a row whatever its length
+        for batch in batches:  # the weights of a row's terms come back, not its text: 4 bytes a term, 25 KB at most
             texts = batch.column(2).to_pylist()
-            found = [terms(t).astype(np.float16).tobytes() for t in texts]
-            yield pa.record_batch({"doc_id": batch.column(0), "quality": batch.column(1), "length": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), "terms": pa.array(found, pa.binary())})
-
-    got = rows.mapInArrow(reduce, "doc_id long, quality int, length long, terms binary").toArrow()
+            found = [terms(t).astype(np.float16) for t in texts]
+            places = [np.flatnonzero(x).astype(np.uint16) for x in found]
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "quality": batch.column(1), "length": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+                "places": pa.array([p.tobytes() for p in places], pa.binary()), "weights": pa.array([x[p].tobytes() for x, p in zip(found, places, strict=True)], pa.binary()),
+            })
+
+    got = rows.mapInArrow(reduce, "doc_id long, quality int, length long, places binary, weights binary").toArrow()
     return got.sort_by("doc_id")
 
 
 def train(documents: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, dims: int = DIMS, neighbours: int = NEIGHBOURS, power: float = POWER) -> Model:
     sample = labelled(documents, labels, max_per_label)
     x = np.zeros((sample.num_rows, _TERMS), np.float32)
-    for i, row in enumerate(sample.column("terms")):
-        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    for i, (places, weights) in enumerate(zip(sample.column("places"), sample.column("weights"), strict=True)):
+        x[i, np.frombuffer(places.as_py(), np.uint16)] = np.frombuffer(weights.as_py(), np.float16)
     return fit(x, sample.column("quality").to_numpy().astype(np.int64), sample.column("length").to_numpy(), dims, neighbours, power)
 
 
@@ -154,16 +160,13 @@ def fit(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, dims: int = DIMS, nei
     weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) / 2 + 1).astype(np.float32)
     weights[_REPEATS : _REPEATS + 4] = 2.0  # repetition occurs in every long text a little: its frequency tells, not its presence
     x *= weights
-    # Right singular vectors from the smaller Gram matrix.
-    if len(x) <= _TERMS:
-        values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
-        order = np.argsort(-values)[:dims]
-        order = order[values[order] > 1e-6]
-        right = x.T @ (left[:, order] / np.sqrt(values[order])).astype(np.float32)
-    else:
-        values, right = np.linalg.eigh((x.T @ x).astype(np.float64))
-        order = np.argsort(-values)[:dims]
-        right = right[:, order[values[order] > 1e-6]].astype(np.float32)
+    # Right singular vectors by subspace iteration from a seeded start: nothing larger than the term matrix is made.
+    wide = min(dims + EXTRA, *x.shape)
+    basis = np.random.default_rng(SEED).standard_normal((x.shape[1], wide)).astype(np.float32)
+    for _ in range(TURNS):
+        basis = np.linalg.qr(x.T @ np.linalg.qr(x @ basis)[0])[0]
+    _, values, turned = np.linalg.svd(x @ basis, full_matrices=False)
+    right = (basis @ turned.T)[:, : int((values[:dims] > 1e-3).sum())]
     latent = x @ right
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     vectors = np.divide(latent, norm, out=np.zeros_like(latent), where=norm > 1e-12)
