@@ -36,8 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/rankweave/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; ``clear`` deletes it."""
+    path = f"{shared_dir(spark)}/rankweave/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_rankweave_paths", []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this session wrote to the shared folder and say how many paths that were. Frames that read them can't be used any more."""
+    paths, jvm = spark.sparkContext.__dict__.pop("_rankweave_paths", []), spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    gone = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def materialize(frame: DataFrame, name: str, codec: str | None = None) -> DataFrame:

@@ -338,3 +338,14 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, incoming.flagged_by_window(rows).collect()))
+
+
+def test_clearing_the_shared_folder(spark):
+    from rankweave import runtime
+
+    kept = spark.sparkContext.__dict__.pop("_rankweave_paths", [])  # other tests' tables
+    frame = runtime.materialize(spark.range(3), "cleared")
+    assert frame.count() == 3 and runtime.clear(spark) == 1 and runtime.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(frame.inputFiles()[0]).count()
+    spark.sparkContext.__dict__["_rankweave_paths"] = kept
