@@ -51,6 +51,7 @@ FILTER_BITS = 1 << 28
 BROADCAST = 200_000
 _PROBES = 3
 _WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*")
+_ASCII = re.compile(r"[A-Za-z]+|[0-9]+(?:[.,:/][0-9]+)*")  # the same in an ASCII text
 #: Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han).
 _UNSPACED = re.compile("[ก-໿က-႟ក-៿ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 _EITHER = re.compile(rf"{_UNSPACED.pattern}|(?:(?!{_UNSPACED.pattern})[^\W\d_])+|\d+(?:[.,:/]\d+)*")
@@ -67,31 +68,37 @@ _KNOWN = 1_000_000
 def tokens(text: str | None) -> list[str]:
     if not text:
         return []
-    return _WORD.findall(text) if text.isascii() or not _UNSPACED.search(text) else _EITHER.findall(text)
+    if text.isascii():
+        return _ASCII.findall(text)
+    return _EITHER.findall(text) if _UNSPACED.search(text) else _WORD.findall(text)
 
 
 class Codes(dict):
-    """Token -> its place in ``ids``: literal, plain and named id."""
+    """Token -> its place in a table of literal, plain and named ids, which grows with the tokens met."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.ids: list[tuple[int, int, int]] = []
+        self.new: list[tuple[int, int, int]] = []
+        self.table = np.empty((0, 3), np.uint64)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
         own = xxhash.xxh64_intdigest(low) | 1 << 62
         plain = _NUMBER if low[0].isdigit() else _UNIT if low in UNITS else own
-        self.ids.append((own, plain, _NAME if token[0].isupper() else plain))
-        self[token] = len(self.ids) - 1
-        return len(self.ids) - 1
+        self.new.append((own, plain, _NAME if token[0].isupper() else plain))
+        self[token] = place = len(self)
+        return place
 
     def templates(self, words: list[str]) -> np.ndarray:
         """Three rows: literal, plain and named ids of the words."""
         at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        found = np.array(self.ids, dtype=np.uint64).reshape(-1, 3)[at].T
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new, dtype=np.uint64)])
+            self.new.clear()
+        found = np.ascontiguousarray(self.table[at].T)
         if len(self) > _KNOWN:
             self.clear()
-            self.ids.clear()
+            self.table = self.table[:0]
         return found
 
 
@@ -106,14 +113,24 @@ def _used(ids: np.ndarray, size: int) -> np.ndarray:
     return np.stack([~enough, enough, _sums(ids[_NAMED] > _NAME, size) * 2 >= size])
 
 
-def _hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows in the three templates."""
-    n = ids.shape[1] - size + 1
-    out = np.broadcast_to(np.arange(3, dtype=np.uint64)[:, None] + np.uint64(8 * size), (3, n)).copy()
-    for i in range(size):
-        out = (out ^ ids[:, i : i + n]) * _PRIME
-        out ^= out >> np.uint64(29)
-    return out
+def _hashes(ids: np.ndarray, size: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the used windows, template by template."""
+    found, places = [], []
+    for template, (row, mine) in enumerate(zip(ids, used, strict=True)):
+        at = np.flatnonzero(mine)
+        if 4 * at.size < mine.size:  # few of them: one by one
+            parts = [row[at + i] for i in range(size)]
+            out = np.full(at.size, template + 8 * size, dtype=np.uint64)
+        else:
+            parts = [row[i : i + mine.size] for i in range(size)]
+            out = np.full(mine.size, template + 8 * size, dtype=np.uint64)
+        for part in parts:
+            out ^= part
+            out *= _PRIME
+            out ^= out >> np.uint64(29)
+        found.append(out if out.size == at.size else out[at])
+        places.append(at)
+    return np.concatenate(found), np.concatenate(places)
 
 
 def _whole(words: list[str]) -> int:
@@ -127,9 +144,7 @@ def windows(words: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, int
         return np.array([_whole(words)] if words else [], np.uint64), np.zeros(min(1, len(words)), np.int64), len(words)
     size = min(WINDOW, len(words))
     ids = codes.templates(words)
-    used = _used(ids, size)
-    _, at = np.nonzero(used)
-    return _hashes(ids, size)[used], at, size
+    return *_hashes(ids, size, _used(ids, size)), size
 
 
 @dataclass(frozen=True)
@@ -238,15 +253,21 @@ def _filter(sought: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
 
 
 def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [_probe(hashes, bits, i) for i in range(_PROBES)]
+
+
+def _probe(hashes: np.ndarray, bits: int, number: int) -> np.ndarray:
     turn = hashes >> np.uint64(32) | np.uint64(1)
-    return [(hashes + np.uint64(i) * turn) & np.uint64(bits - 1) for i in range(_PROBES)]
+    return (hashes + np.uint64(number) * turn) & np.uint64(bits - 1)
 
 
 def _taken(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    out = np.ones(hashes.size, dtype=bool)
-    for at in _probes(hashes, 64 * words.size):
-        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
+    """Places of the hashes that the filter takes; each probe looks at what the one before it took."""
+    left = np.arange(hashes.size)
+    for number in range(_PROBES):
+        at = _probe(hashes[left] if number else hashes, 64 * words.size, number)
+        left = left[(words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1]
+    return left
 
 
 def _met(docs: DataFrame, sought: DataFrame) -> DataFrame:
@@ -269,8 +290,7 @@ def _met(docs: DataFrame, sought: DataFrame) -> DataFrame:
                 if ids.shape[1] < size:
                     continue
                 inside = whose[size - 1 :] == whose[: whose.size - size + 1]
-                template, at = np.nonzero(_used(ids, size) & inside)
-                hashes = _hashes(ids, size)[template, at]
+                hashes, at = _hashes(ids, size, _used(ids, size) & inside)
                 hit = _taken(hashes, sent.value)
                 row = whose[at[hit]]
                 found.append((hashes[hit], row, at[hit] - starts[row]))
