@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
@@ -103,16 +104,37 @@ class HostedExplainer:
     key_variable: str = "EXPLAINER_API_KEY"
     system: str = "Explain this ranking to a recruiter in one paragraph. Use only the facts given."
     timeout: float = 60.0
+    attempts: int = 3  # calls a row at most; a second, then two between them, and only after an answer that may pass (429 or 5xx) or none
+    form: str = "chat"  # or "messages": the system text beside the messages, the answer as a list of parts
     template: TemplateExplainer = field(default_factory=TemplateExplainer)
 
     def available(self) -> bool:
         return bool(self.endpoint and os.environ.get(self.key_variable))
 
+    def request(self, user: str, key: str) -> urllib.request.Request:
+        asked = {"role": "user", "content": user}
+        if self.form == "messages":
+            body, headers = {"model": self.model, "system": self.system, "max_tokens": 600, "messages": [asked]}, {"x-api-key": key}
+        else:
+            body, headers = {"model": self.model, "messages": [{"role": "system", "content": self.system}, asked]}, {"Authorization": f"Bearer {key}"}
+        return urllib.request.Request(self.endpoint, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+
+    def text_of(self, answer: dict) -> str:
+        return "".join(part.get("text", "") for part in answer["content"]) if self.form == "messages" else answer["choices"][0]["message"]["content"]
+
     def complete(self, user: str, key: str) -> str:
-        body = {"model": self.model, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": user}]}
-        request = urllib.request.Request(self.endpoint, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-            return json.load(answer)["choices"][0]["message"]["content"]
+        for turn in range(self.attempts):
+            try:
+                with urllib.request.urlopen(self.request(user, key), timeout=self.timeout) as answer:
+                    return self.text_of(json.load(answer))
+            except urllib.error.HTTPError as e:
+                if turn + 1 == self.attempts or e.code != 429 and e.code < 500:
+                    raise
+            except OSError:
+                if turn + 1 == self.attempts:
+                    raise
+            time.sleep(1 << turn)
+        return ""
 
     def explain(self, ranked: DataFrame) -> DataFrame:
         """For the few rows of a top k: one call a row on the executors."""

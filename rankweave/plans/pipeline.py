@@ -17,7 +17,7 @@ from rankweave.operators.ontology import SkillOntology
 from rankweave.operators.rankers import _small, rank
 from rankweave.operators.skills import extract_skills, trusted_text
 from rankweave.runtime import materialize
-from rankweave.schemas import section
+from rankweave.schemas import degree_label, display_name, section
 from rankweave.sources.files import load_files, load_uploads, stem
 
 #: Text column -> vector column. Models plug in as a pandas UDF of the same form.
@@ -187,6 +187,15 @@ def screen(resumes: DataFrame, jobs: DataFrame, ontology: SkillOntology, explain
     return ranked.join(top, ["job_id", "candidate_id"], "left")
 
 
+def dashboard(ranked: DataFrame) -> DataFrame:
+    """The twelve columns that a ranking is shown with, and its job."""
+    c = F.col
+    part = {n: c(f"scores.{n}") for n in ("semantic", "skill", "experience", "education", "required_coverage", "penalty")}
+    shown = {"position": c("rank"), "candidate": display_name(c("name"), c("candidate_id")), "score": c("total"), **part}
+    shown |= {"flagged": F.when(c("integrity.flagged"), "YES").otherwise(""), "years": c("years_experience"), "degree": degree_label(c("degree"))}
+    return ranked.select("job_id", *[column.alias(name) for name, column in shown.items()])
+
+
 def screen_files(spark: SparkSession, paths: str | Sequence[str], job_text: str, ontology: SkillOntology, job_title: str = "", **settings) -> tuple[DataFrame, DataFrame]:
     """(ranked rows, failures) from files and a job's text."""
     resumes, failures = load_resumes(spark, paths, ontology)

@@ -686,20 +686,33 @@ def corpus_labels(spark: SparkSession, d: str) -> DataFrame:
     return corpus.generate(spark)[2]
 
 
-@query()
-def screened_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The synthetic corpus, ranked by the whole pipeline and explained."""
-    from rankweave.operators.explain import TemplateExplainer
+def _screened(spark: SparkSession, explainer=None) -> DataFrame:
     from rankweave.plans import pipeline
 
     rows, jobs, _ = corpus.generate(spark)
     docs = rows.select("candidate_id", F.concat("candidate_id", F.lit(".txt")).alias("path"), "text", corpus.spans(_C("text"), _C("hidden")).alias("spans"), F.array(F.lit(0xFFFFFF)).alias("page_backgrounds"))
     resumes = pipeline.build_resumes(docs, ONTOLOGY, as_of=2024 * 12 + 12)
     wanted = pipeline.build_jobs(jobs.select("job_id", "title", "text"), ONTOLOGY)
-    ranked = pipeline.screen(resumes, wanted, ONTOLOGY, TemplateExplainer(), skill_method="grounded")
+    return pipeline.screen(resumes, wanted, ONTOLOGY, explainer, skill_method="grounded")
+
+
+@query()
+def screened_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic corpus, ranked by the whole pipeline and explained."""
+    from rankweave.operators.explain import TemplateExplainer
+
+    ranked = _screened(spark, TemplateExplainer())
     return ranked.select("job_id", "candidate_id", "rank", r6("total").alias("total"), _C("integrity.flagged").alias("flagged"), "explanation")
 
 
+@query()
+def dashboard_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking in the columns of the dashboard."""
+    from rankweave.plans import pipeline
+
+    return pipeline.dashboard(_screened(spark))
+
+
 @query("SELECT s_name || '.txt' AS path, s_name || chr(10) || 'balance ' || s_acctbal::VARCHAR AS text, 'txt' AS source_format, 2::INT AS n_spans FROM supplier")
 def load_files(spark: SparkSession, d: str) -> DataFrame:
     """Every supplier written as a text file by the executors, in the shared folder, and read back as documents."""

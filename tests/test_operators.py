@@ -326,6 +326,8 @@ def test_screening(spark):
     spec = job.first()
     assert (spec.title, spec.required, spec.preferred, spec.min_years) == ("Engineer", ["python", "sql"], ["kubernetes"], 4.0)
     out = pipeline.screen(resumes, job, ONTOLOGY, explain.TemplateExplainer(), explain_top_k=1, skill_method="grounded").orderBy("rank").collect()
+    board = pipeline.dashboard(pipeline.screen(resumes, job, ONTOLOGY, None, skill_method="grounded")).orderBy("position").collect()
+    assert len(board[0]) == 13 and (board[0].candidate, board[0].degree, board[0].flagged, board[0].score) == ("Ann Bell", "Master's", "", out[0].total)
     assert [r.candidate_id for r in out] == ["good.txt", "weak.txt"] and out[0].scores.total > out[1].scores.total and out[1].scores.gate == 0.25
     assert "Rank #1 - Ann Bell" in out[0].explanation and "Transferable (1): kubernetes via docker" in out[0].explanation and out[1].explanation is None
     assert json.loads(out[0].facts)["matched_skills"] == ["python", "sql"]
@@ -349,3 +351,37 @@ def test_clearing_the_shared_folder(spark):
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(frame.inputFiles()[0]).count()
     spark.sparkContext.__dict__["_rankweave_paths"] = kept
+
+
+def test_hosted_calls(monkeypatch):
+    import io
+    import json
+    import urllib.error
+    import urllib.request
+
+    asked, waits = [], []
+
+    def answers(*codes):
+        left = list(codes)
+
+        def call(request, timeout):
+            asked.append(json.loads(request.data))
+            code = left.pop(0)
+            if isinstance(code, int):
+                raise urllib.error.HTTPError(request.full_url, code, "no", {}, None)
+            return io.BytesIO(json.dumps(code).encode())
+
+        monkeypatch.setattr(urllib.request, "urlopen", call)
+
+    monkeypatch.setattr(explain.time, "sleep", waits.append)
+    chat = explain.HostedExplainer(endpoint="http://x.test/v1", model="m")
+    answers(503, 429, {"choices": [{"message": {"content": "well"}}]})
+    assert chat.complete("facts", "k") == "well" and waits == [1, 2] and asked[-1]["messages"][1]["content"] == "facts"
+    answers(401)
+    with pytest.raises(urllib.error.HTTPError):
+        chat.complete("facts", "k")
+    answers(500, 500, 500)
+    with pytest.raises(urllib.error.HTTPError):
+        chat.complete("facts", "k")
+    answers({"content": [{"type": "text", "text": "so "}, {"type": "text", "text": "it is"}]})
+    assert explain.HostedExplainer(endpoint="http://x.test/v1", model="m", form="messages").complete("facts", "k") == "so it is" and "system" in asked[-1]
