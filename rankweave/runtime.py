@@ -53,11 +53,22 @@ def clear(spark: SparkSession) -> int:
     return gone
 
 
+def drop(frame: DataFrame | None) -> None:
+    """Delete the table behind a frame that ``materialize`` gave and that nothing reads any more."""
+    if (name := getattr(frame, "_rankweave_path", None)) is None:
+        return
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(frame: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``frame`` to the shared folder and read it again: lineage ends, lost executors cost nothing."""
     path = work_path(frame.sparkSession, name)
     frame.write.parquet(path, compression=codec)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    written = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    written._rankweave_path = path
+    return written
 
 
 def ship(spark: SparkSession) -> None:
