@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import leaks, licenses, main_text, media, mixing, quality, simhash, tokens, url_filter, warc
+from rankweave.llm import leaks, licenses, main_text, media, mixing, quality, rule_ledger, simhash, spelling, tokens, url_filter, vector_codes, warc
 from rankweave.runtime import table
 
 
@@ -54,10 +54,25 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ledger.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc_history, op2_source_mix, op3_main_text, op4_token_counts, op5_media_tiles, op6_quality_knn, op7_simhash_trie, op8_license_rules, op9_template_leaks, op10_url_cascade)
+    every = (
+        op1_warc_history, op2_source_mix, op3_main_text, op4_token_counts, op5_media_tiles, op6_quality_knn, op7_simhash_trie, op8_license_rules, op9_template_leaks,
+        op10_url_cascade, op11_rule_ledger, op12_spelling_variants, op13_vector_codes,
+    )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_history": warc.ORACLE, "op2_source_mix": mixing.ORACLE, "op8_license_rules": licenses.oracle(), "op10_url_cascade": url_filter.oracle()}
+    return {"op1_warc_history": warc.ORACLE, "op2_source_mix": mixing.ORACLE, "op8_license_rules": licenses.oracle(), "op10_url_cascade": url_filter.oracle(), "op11_rule_ledger": rule_ledger.ORACLE, "op13_vector_codes": vector_codes.oracle()}

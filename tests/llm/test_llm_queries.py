@@ -23,7 +23,7 @@ def test_query(spark, name):
     assert got
     if name in queries.oracle_sql():
         base = duckdb.connect()
-        for t in ("documents", "pages", "benchmark", "labels"):
+        for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
             base.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
         found = base.execute(queries.oracle_sql()[name])
         names = [c[0] for c in found.description]
