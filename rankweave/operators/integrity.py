@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from rankweave.config import DEFAULT_ANTIGAMING, AntiGamingConfig
 from rankweave.functions.text import STOPWORDS, tokens, trigrams
 from rankweave.functions.vectors import clamp, cosine
 from rankweave.operators.rankers import few
+from rankweave.runtime import small_batches
 from rankweave.schemas import background_for, rgb
 
 SIGNALS = ("invisible_text", "skill_density", "repetition", "jd_echo", "incoherence")
@@ -65,14 +70,20 @@ def content_tokens(text: Column, config: AntiGamingConfig = DEFAULT_ANTIGAMING)
 
 
 def top_terms(rows: DataFrame, key: str, text: str, config: AntiGamingConfig = DEFAULT_ANTIGAMING) -> DataFrame:
-    """(key, n_content, term, n): each text's most frequent content word, the first seen of equals.
+    """(key, n_content, term, n): each text's most frequent content word, the first seen of equals; texts without content words are left out.
 
-    Words are counted before they are shuffled; nothing collects a text's words in one place.
+    Words are counted inside the row, so nothing is shuffled.
     """
-    words = rows.select(F.col(key), F.posexplode(content_tokens(F.col(text), config)).alias("pos", "term"))
-    counted = words.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    best = F.max_by("term", F.struct(F.col("n"), -F.col("first")))
-    return counted.groupBy(key).agg(F.sum("n").alias("n_content"), best.alias("term"), F.max("n").alias("n"))
+    small_batches(rows.sparkSession)
+    words = rows.select(F.col(key), content_tokens(F.col(text), config).alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, len(w), *Counter(w).most_common(1)[0]) for i, w in enumerate(batch.column(1).to_pylist()) if w]  # equal counts keep the order seen
+            at, n, term, times = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(term, pa.string()), pa.array(times, pa.int64())], names=[key, "n_content", "term", "n"])
+
+    return words.mapInArrow(count, f"`{key}` {dict(words.dtypes)[key]}, n_content long, term string, n long")
 
 
 def repetition_signal(n_content: Column, term: Column, n: Column, config: AntiGamingConfig = DEFAULT_ANTIGAMING) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankweave.operators.ranks import running_hits
 from rankweave.runtime import ship
 
 RELEVANT = 2
@@ -25,7 +26,7 @@ def dcg(ranking: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 def ndcg(ranking: DataFrame, labels: DataFrame, k: int, by: list[str], relevance: str = "rel") -> DataFrame:
     """DCG over that of the best order of all the job's labels (job_id, rel); 0 where that is 0."""
-    best = Window.partitionBy("job_id").orderBy(F.desc(relevance))
+    best = Window.partitionBy("job_id").orderBy(F.desc(relevance))  # its first k: the limit is pushed below the shuffle
     ideal = labels.select("job_id", F.col(relevance).alias("rel"), F.row_number().over(best).alias("rank")).filter(F.col("rank") <= k)
     ideal = dcg(ideal, k, ["job_id"]).withColumnRenamed("dcg", "ideal")
     return dcg(ranking, k, by).join(ideal, "job_id", "left").select(*by, F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0)).alias("ndcg"))
@@ -34,19 +35,17 @@ def ndcg(ranking: DataFrame, labels: DataFrame, k: int, by: list[str], relevance
 def per_query(ranking: DataFrame, by: list[str], k: int = 5, relevant: int = RELEVANT) -> DataFrame:
     """reciprocal_rank, average_precision and precision_at_k of each ranking."""
     hit = F.col("rel") >= relevant
-    so_far = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = ranking.withColumn("precision", F.sum(hit.cast("int")).over(so_far) / F.col("rank"))
-    return rows.groupBy(*by).agg(
-        F.coalesce(F.lit(1.0) / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)).alias("reciprocal_rank"),
-        F.coalesce(F.avg(F.when(hit, F.col("precision"))), F.lit(0.0)).alias("average_precision"),
-        F.coalesce(F.avg(F.when(F.col("rank") <= k, hit.cast("double"))), F.lit(0.0)).alias("precision_at_k"),
-    )
+    # Precision at a hit is its number among the hits over its rank: only hits are numbered, whatever the length of a list.
+    hits = running_hits(ranking.select(*by, "rank", "rel"), hit, by).groupBy(*by).agg((F.lit(1.0) / F.min("rank")).alias("reciprocal_rank"), F.avg(F.col("hit_number") / F.col("rank")).alias("average_precision"))
+    first = ranking.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("rank") <= k, hit.cast("double"))), F.lit(0.0)).alias("precision_at_k"))
+    zero = lambda name: F.coalesce(name, F.lit(0.0)).alias(name)
+    return first.join(hits, by, "left").select(*by, zero("reciprocal_rank"), zero("average_precision"), "precision_at_k")
 
 
 def stuffing_advantage(ranking: DataFrame, meta: DataFrame, by: list[str]) -> DataFrame:
     """Mean rank percentile of honest rows less that of stuffed ones, among the lowest tier of the job's role; null without either."""
-    size = F.count("*").over(Window.partitionBy(*by))
-    placed = ranking.withColumn("percentile", (F.col("rank") - 1) / size)
+    sizes = ranking.groupBy(*by).agg(F.count("*").alias("_size"))
+    placed = ranking.join(sizes, by).withColumn("percentile", (F.col("rank") - 1) / F.col("_size"))
     rows = placed.join(meta.filter("tier = 1"), (placed.candidate_id == meta.candidate_id) & (placed.job_id == meta.role)).drop(meta.candidate_id)
     mean = lambda stuffed: F.avg(F.when(F.col("stuffed") == stuffed, F.col("percentile")))
     return rows.groupBy(*by).agg((mean(False) - mean(True)).alias("advantage"))

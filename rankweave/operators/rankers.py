@@ -7,22 +7,30 @@ are joined to jobs by terms, never crossed: a pair without a common term has sco
 from __future__ import annotations
 
 import math
+import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import let, rank_tokens
-from rankweave.functions.text import ngrams as text_ngrams
+from rankweave.functions.text import rank_tokens
 from rankweave.operators.blocks import dense_cosines, sparse_products
+from rankweave.operators.ranks import rank_all
 from rankweave.runtime import materialize, small_batches
 
+#: Terms of a block of the vocabulary, which a worker holds as a dict, and blocks up to which rows look their terms up.
+MAX_TERMS = 1_000_000
+MAX_BLOCKS = 8
+
 #: Common English words, the TF-IDF ranker's list where no other is given.
 ENGLISH_STOP_WORDS = tuple(
     "a about above across after again against all almost alone along already also although always am among an and another any anyone anything are around as at be became because become been before behind being below between both but by can cannot could did do does done down during each either else enough etc even ever every everyone everything few for from further get give go had has have he hence her here hers herself him himself his how however i if in indeed into is it its itself just last least less made many may me might mine more most much must my myself neither never nevertheless next no nobody none nor not nothing now of off often on once one only onto or other others our ours ourselves out over own per perhaps please put rather same she should since so some someone something still such than that the their them themselves then there therefore these they this those though through thus to together too toward under until up upon us very was we well were what whatever when where whether which while who whole whom whose why will with within without would yet you your yours yourself".split()
@@ -47,13 +55,14 @@ class Ranker(Protocol):
 
 
 def rank(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Adds ``rank``: 1 for the highest score of a job, ids ascending among equals."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc(score), "candidate_id")))
+    """Adds ``rank``: 1 for the highest score of a job, ids ascending among equals. Whole lists, dealt by ranges: see ``ranks``."""
+    return rank_all(scores, score)
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """The first k of each job; the limit is pushed below the shuffle."""
-    return rank(scores, score).filter(F.col("rank") <= k)
+    """The first k of each job; the limit is pushed below the shuffle, so k rows a job and task move."""
+    first = Window.partitionBy("job_id").orderBy(F.desc(score), "candidate_id")
+    return scores.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
 
 
 def scale_by_max(scores: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ class Bm25Ranker:
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
         scores = self.raw_scores(texts, jobs)
-        return scale_by_max(scores) if self.scale else scores
+        return scale_by_max(materialize(scores, "bm25-scores")) if self.scale else scores  # read twice: for the largest, and to scale
 
     def first(self, texts: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
         """The first k of each job with their ranks: cut before scaling, which doesn't change the order."""
@@ -121,61 +130,100 @@ class Bm25Ranker:
         return scale_by_max(materialize(kept, "bm25-first")) if self.scale else kept
 
 
-def _terms(words: Column, ngrams: tuple[int, int]) -> Column:
-    return let(words, lambda w: F.concat(*[text_ngrams(w, n) for n in range(ngrams[0], ngrams[1] + 1)]))
-
-
-def _counted(rows: DataFrame, terms: str) -> DataFrame:
-    """The rows, numbered (row), with their different terms and 1 + ln(count) of each: a row's terms are counted inside it."""
+def _counted(rows: DataFrame, ranker: TfidfRanker) -> DataFrame:
+    """Rows (keys, text) as (keys, terms, tf): a text's different terms and 1 + ln(count) of each, counted inside the row."""
     small_batches(rows.sparkSession)
     kinds = dict(rows.dtypes)
-    keys = [c for c in rows.columns if c != terms]
+    keys = [c for c in rows.columns if c != "text"]
+    find, stop, (low, high) = re.compile(ranker.pattern).findall, frozenset(ranker.stopped()), ranker.ngram_range
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def terms(text: str | None) -> Counter[str]:
+        words = [w for w in find((text or "").lower()) if w not in stop]
+        found: Counter[str] = Counter()
+        for n in range(low, high + 1):
+            found.update(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+        return found
 
-        number = TaskContext.get().partitionId() << 33
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(terms)
-            counts = [Counter(x or ()) for x in batch.column(at).to_pylist()]
-            size = batch.num_rows
-            yield pa.record_batch([*[batch.column(k) for k in keys], pa.array(range(number, number + size), pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([[1 + math.log(n) for n in c.values()] for c in counts], pa.list_(pa.float64()))], names=[*keys, "row", terms, "tf"])
-            number += size
+            counts = [terms(x) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+            every = pa.array([t for c in counts for t in c], pa.string())
+            tf = 1 + np.log(np.fromiter((n for c in counts for n in c.values()), float, len(every)))
+            made = [pa.ListArray.from_arrays(ends, every), pa.ListArray.from_arrays(ends, pa.array(tf))]
+            yield pa.record_batch([*[batch.column(batch.schema.get_field_index(k)) for k in keys], *made], names=[*keys, "terms", "tf"])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "terms array<string>", "tf array<double>"]))
 
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "row long", f"`{terms}` array<string>", "tf array<double>"])
-    return rows.mapInArrow(run, schema)
+
+def _with_norms(docs: DataFrame, df: DataFrame, n: int, blocks: int | None = None) -> DataFrame:
+    """The rows with ``base``, the sum of squared weights tf * idf over their terms.
+
+    A term of one document weighs the same wherever it stands, so only terms of two documents or more are looked up: the
+    vocabulary's blocks are broadcast one at a time and rows stay where they are. A vocabulary of over ``MAX_BLOCKS`` blocks is joined by term instead.
+    """
+    idf = lambda count: F.log(F.lit(1.0 + n) / (1 + count)) + 1
+    once = math.log((1.0 + n) / 2) + 1
+    common = df.where("df > 1").select("term", (F.pow(idf(F.col("df")), 2.0) - F.lit(once * once)).alias("more"))
+    blocks = blocks if blocks is not None else -(-common.count() // MAX_TERMS)
+    squares = F.aggregate("tf", F.lit(0.0), lambda total, t: total + t * t) * F.lit(once * once)
+    if blocks > MAX_BLOCKS:
+        numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "tfidf-rows")  # written, so that a row keeps its number
+        each = numbered.select("row", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
+        more = each.join(common, "term").groupBy("row").agg(F.sum(F.col("tf") * F.col("tf") * F.col("more")).alias("more"))
+        return numbered.join(more, "row", "left").withColumn("base", squares + F.coalesce("more", F.lit(0.0))).drop("more", "row")
+    spark, out = docs.sparkSession, docs.withColumn("base", squares)
+    schema = out.schema
+    for i in range(blocks):
+        block = common.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).toArrow()
+        known = spark.sparkContext.broadcast((block.column("term").combine_chunks(), block.column("more").to_numpy()))
+        small_batches(spark)
+
+        def add(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            words, more = known.value
+            worth = dict(zip(words.to_pylist(), more.tolist(), strict=True))
+            for batch in batches:
+                terms, tf = (batch.column(batch.schema.get_field_index(c)) for c in ("terms", "tf"))
+                extra = np.fromiter((worth.get(t, 0.0) for t in terms.flatten().to_pylist()), float, len(terms.flatten()))
+                value = tf.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+                at = batch.schema.get_field_index("base")
+                base = batch.column(at).to_numpy(zero_copy_only=False) + np.bincount(row, value * value * extra, batch.num_rows)
+                yield batch.set_column(at, "base", pa.array(base))
+
+        out = out.mapInArrow(add, schema)
+        out = materialize(out, "tfidf-norms") if blocks > 1 else out
+    return out
 
 
 @dataclass(frozen=True)
 class TfidfRanker:
-    """Cosine of TF-IDF vectors: 1 + ln(tf), smoothed idf over the batch and the job together. ``stop_words``: see ``english_stop_words``."""
+    """Cosine of TF-IDF vectors: 1 + ln(tf), smoothed idf over the batch and the job together. ``stop_words``: unless given, see ``english_stop_words``."""
 
     ngram_range: tuple[int, int] = (1, 2)
-    stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS
+    stop_words: tuple[str, ...] | None = None
     pattern: str = r"[a-z0-9+#.]{2,}"
 
-    def terms(self, text: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(self.pattern), F.lit(0))
-        kept = F.filter(words, lambda w: ~w.isin(*self.stop_words)) if self.stop_words else words
-        return _terms(kept, self.ngram_range)
+    def stopped(self) -> tuple[str, ...]:
+        return english_stop_words() if self.stop_words is None else self.stop_words
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        docs = materialize(_counted(texts.select("candidate_id", self.terms(F.col("text")).alias("terms")), "terms"), "tfidf-terms")
-        asked = _counted(jobs.select("job_id", self.terms(F.col("text")).alias("terms")), "terms")
+        docs = materialize(_counted(texts.select("candidate_id", "text"), self), "tfidf-terms")
+        asked = _counted(jobs.select("job_id", "text"), self)
         query = asked.select("job_id", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("job_id", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
         n = docs.count() + 1  # the job is in its own corpus
-        each = docs.select("row", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
-        df = materialize(each.groupBy("term").agg(F.count("*").alias("df")), "tfidf-vocabulary")
+        # What moves of the corpus: one partial count a term and task.
+        df = materialize(docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "tfidf-vocabulary")
         # idf of a term for a job: its documents, and one more if the job has it.
         idf = lambda has: F.log(F.lit(1.0 + n) / (1 + F.coalesce(F.col("df"), F.lit(0)) + has)) + 1
-        norms = each.join(df.select("term", idf(0).alias("idf0")), "term").groupBy("row").agg(F.sum(F.pow(F.col("tf") * F.col("idf0"), 2.0)).alias("base"))
-        query = query.join(df, "term", "left").select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
+        held = df.join(few(query.select("term").distinct()), "term")  # the vocabulary is scanned, not moved
+        query = query.join(held, "term", "left").select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
         query = materialize(query, "tfidf-jobs")
         job_norm = query.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
         # A common term weighs less with the job in the corpus; the norm is corrected for those terms alone.
         weighed = query.select("job_id", "term", (F.col("wq") * F.col("idf1")).alias("dot"), (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0")).alias("change"))
-        sums = sparse_products(docs, ["candidate_id", "row"], "terms", weighed, ["dot", "change"], "tf", powers=(1, 2)).withColumnsRenamed({"s0": "dot", "s1": "change"})
-        full = sums.join(norms, "row").join(job_norm, "job_id")
+        sums = sparse_products(_with_norms(docs, df, n), ["candidate_id", "base"], "terms", weighed, ["dot", "change"], "tf", powers=(1, 2)).withColumnsRenamed({"s0": "dot", "s1": "change"})
+        full = sums.join(few(job_norm), "job_id")
         return full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))
 
 
@@ -189,6 +237,19 @@ class DenseRanker:
         return dense_cosines(texts, ["candidate_id"], self.vector, jobs)
 
 
+def rank_systems(systems: dict[str, DataFrame], score: str = "score") -> DataFrame:
+    """(system, job_id, candidate_id, score, rank): the lists of all systems, ranked together in one deal."""
+    if not systems:
+        raise ValueError("ranking needs one system at least: without any there are no columns to return")
+    parts = [materialize(frame.select(F.lit(name).alias("system"), "job_id", "candidate_id", score), "system-scores") for name, frame in systems.items()]
+    return rank_all(reduce(DataFrame.unionByName, parts), score, ("system", "job_id"), written=True)
+
+
+def fuse_ranked(ranked: DataFrame, k: int = 60) -> DataFrame:
+    """(job_id, candidate_id, score) of lists in one frame: the sum of 1 / (k + rank) over a job's lists."""
+    return ranked.groupBy("job_id", "candidate_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("score"))
+
+
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     """(job_id, candidate_id, score) of rankings with a column ``rank``: the sum of 1 / (k + rank)."""
     if not rankings:
@@ -209,7 +270,8 @@ class FusionRanker:
     k: int = 60
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        return reciprocal_rank_fusion([rank(fill_pairs(r.score_all(texts, jobs), texts, jobs)) for r in self.rankers], self.k)
+        systems = {str(i): fill_pairs(r.score_all(texts, jobs), texts, jobs) for i, r in enumerate(self.rankers)}
+        return fuse_ranked(rank_systems(systems), self.k)
 
 
 @dataclass

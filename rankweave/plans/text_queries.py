@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.config import DEFAULT_GROUNDING
 from rankweave.functions import text as tx
 from rankweave.functions import vectors as vx
-from rankweave.operators import audit, corpus, grounding, integrity, metrics, rankers, scoring
+from rankweave.operators import audit, corpus, grounding, integrity, metrics, rankers, ranks, scoring
 from rankweave.operators import skills as sk
 from rankweave.plans.catalogue import Catalogue, r6, r9
 from rankweave.plans.skill_queries import ONTOLOGY
@@ -375,7 +375,7 @@ def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
     return rankers.top_k(raw.drop("rank").withColumn("score", r9("score")), 20).withColumn("score", r6("score"))
 
 
-_TF_STOP = "[" + ", ".join(f"'{w}'" for w in rankers.ENGLISH_STOP_WORDS) + "]"
+_TF_STOP = "[" + ", ".join(f"'{w}'" for w in rankers.english_stop_words()) + "]"
 
 
 def _terms_sql(key: str, source: str) -> str:
@@ -424,7 +424,7 @@ _RRF = f"{_RANKED}, fused AS (SELECT job_id, candidate_id, round(sum(1.0::DOUBLE
 
 @query(f"WITH {_BM25}, {_TFIDF}, {_RRF}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, candidate_id) AS rank FROM fused) SELECT job_id, candidate_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    fused = rankers.reciprocal_rank_fusion([rankers.rank(_bm25(spark, d)), rankers.rank(_tfidf(spark, d))])
+    fused = rankers.fuse_ranked(rankers.rank_systems({"bm25": _bm25(spark, d), "tfidf": _tfidf(spark, d)}))
     return rankers.top_k(fused.withColumn("score", r9("score")), 20).withColumn("score", r6("score"))
 
 
@@ -456,17 +456,19 @@ _GRADED = f"""{_BM25}, lab AS (SELECT doc_id AS candidate_id, quality * 2 + (1 -
 g AS (SELECT b.job_id, b.candidate_id, row_number() OVER (PARTITION BY b.job_id ORDER BY score DESC, b.candidate_id) AS rank, coalesce(rel, 0) AS rel FROM bm25 b LEFT JOIN lab USING (candidate_id))"""
 
 
-def _graded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _graded(spark: SparkSession, d: str, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """BM25's lists with grades, whole or the first so many of each; the labels."""
     labels = table(spark, d, "labels").select(_C("doc_id").alias("candidate_id"), (_C("quality") * 2 + 1 - _C("toxic")).alias("rel"))
-    ranked = rankers.rank(_bm25(spark, d)).join(labels, "candidate_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    return ranked, labels
+    scores = _bm25(spark, d)
+    ranked = rankers.top_k(scores, first) if first else rankers.rank(scores)
+    return ranked.join(labels, "candidate_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0))), labels
 
 
 @query(f"""WITH {_GRADED}, ideal AS (SELECT sum((pow(2, rel) - 1) / log2(rank + 1)) AS ideal FROM (SELECT rel, row_number() OVER (ORDER BY rel DESC) AS rank FROM lab) WHERE rank <= 10),
 x AS (SELECT job_id, coalesce(sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM g GROUP BY 1) SELECT job_id, round(dcg / ideal, 6) AS ndcg FROM x, ideal""")
 def ndcg(spark: SparkSession, d: str) -> DataFrame:
     """All items share one set of labels; the best order's first ten are enough for each."""
-    ranked, labels = _graded(spark, d)
+    ranked, labels = _graded(spark, d, 10)
     top = labels.orderBy(F.desc("rel")).limit(10)
     shared = table(spark, d, "benchmark").select(_C("item_id").alias("job_id")).crossJoin(F.broadcast(top))  # ten rows
     return metrics.ndcg(ranked, shared, 10, ["job_id"]).withColumn("ndcg", r6("ndcg"))
@@ -524,9 +526,8 @@ def _attacked(spark: SparkSession, d: str) -> DataFrame:
     penalty = integrity.penalty([F.lit(0.0)] * 3 + [integrity.jd_echo_signal(_C("ratio")).getField("severity"), F.lit(0.0)])
     systems = F.array(F.struct(F.lit("bm25").alias("system"), F.lit(0.0).alias("guard")), F.struct(F.lit("bm25_guarded").alias("system"), F.lit(1.0).alias("guard")))
     scored = pool.withColumn("penalty", penalty).withColumn("s", F.explode(systems)).select("s.system", "job_id", "attack", "control_id", r9(_C("score") - _C("s.guard") * _C("penalty")).alias("total"))
-    order = Window.partitionBy("system", "job_id").orderBy(F.desc("total"), "control_id", F.coalesce("attack", F.lit("")))
-    sizes = scored.groupBy("system", "job_id").agg(F.count("*").alias("n"))
-    return materialize(scored.withColumn("rank", F.row_number().over(order)).join(sizes, ["system", "job_id"]), "attack-ranks")
+    order = [F.desc("total"), F.col("control_id"), F.coalesce("attack", F.lit(""))]
+    return materialize(ranks.positions(scored, order, ["system", "job_id"], size="n"), "attack-ranks")
 
 
 def _gains(spark: SparkSession, d: str) -> DataFrame:
@@ -563,11 +564,10 @@ x AS (SELECT system, job_id, coalesce(sum((pow(2, rel) - 1) / log2(rank + 1)) FI
 SELECT system, count(*) AS jobs, round(avg(dcg / ideal), 6) AS ndcg, round(avg(rr)::DOUBLE, 6) AS mrr, round(avg(p), 6) AS precision_at_5 FROM x, ideal GROUP BY 1""")
 def experiment_table(spark: SparkSession, d: str) -> DataFrame:
     """Rankers over all jobs: mean NDCG at 10, reciprocal rank and precision at 5, one row a system."""
-    bm25, tfidf = materialize(_bm25(spark, d), "bm25"), materialize(_tfidf(spark, d), "tfidf")
-    fused = rankers.reciprocal_rank_fusion([rankers.rank(bm25), rankers.rank(tfidf)]).withColumn("score", r9("score"))
-    parts = [rankers.rank(s).withColumn("system", F.lit(n)) for n, s in (("bm25", bm25), ("tfidf", tfidf), ("rrf", fused))]
+    two = materialize(rankers.rank_systems({"bm25": _bm25(spark, d), "tfidf": _tfidf(spark, d)}), "rankings")
+    three = rankers.rank_systems({"rrf": rankers.fuse_ranked(two).withColumn("score", r9("score"))})
     labels = table(spark, d, "labels").select(_C("doc_id").alias("candidate_id"), (_C("quality") * 2 + 1 - _C("toxic")).alias("rel"))
-    every = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "rankings").join(labels, "candidate_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    every = materialize(two.unionByName(three), "rankings").join(labels, "candidate_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     top = labels.orderBy(F.desc("rel")).limit(10)
     ideal = table(spark, d, "benchmark").select(_C("item_id").alias("job_id")).crossJoin(F.broadcast(top))  # ten rows
     by = ["system", "job_id"]
@@ -580,8 +580,9 @@ _PAIRED = f"{_BM25}, {_TFIDF}, {_RANKED}, pr AS (SELECT b.job_id, b.candidate_id
 
 @query(f"WITH {_PAIRED} SELECT job_id, count(*) AS n, round(avg(diff), 6) AS mean FROM pr GROUP BY 1")
 def paired_rank_difference(spark: SparkSession, d: str) -> DataFrame:
-    bm25, tfidf = rankers.rank(_bm25(spark, d)), rankers.rank(_tfidf(spark, d)).withColumnRenamed("rank", "other")
-    both = bm25.join(tfidf.select("job_id", "candidate_id", "other"), ["job_id", "candidate_id"])
+    ranked = rankers.rank_systems({"bm25": _bm25(spark, d), "tfidf": _tfidf(spark, d)})
+    place = lambda system: F.max(F.when(_C("system") == system, _C("rank")))
+    both = ranked.groupBy("job_id", "candidate_id").agg(place("bm25").alias("rank"), place("tfidf").alias("other")).dropna()
     return both.groupBy("job_id").agg(F.count("*").alias("n"), r6(F.avg(_C("other") - _C("rank"))).alias("mean"))
 
 
