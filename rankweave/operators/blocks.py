@@ -104,6 +104,100 @@ def sparse_products(rows: DataFrame, keys: list[str], terms: str, postings: Data
     return _passes(asked, n, one)
 
 
+#: Rows of either side of a segment that meet in one block.
+SIDE_ROWS = 4_096
+
+
+def segment_best(left: DataFrame, right: DataFrame, segment: str, item: str, place: str, vector: str = "vector", places: int = 12, apart: bool = False, side_rows: int = SIDE_ROWS) -> DataFrame:
+    """(segment, item, similarity, place): of each item (segment, item, vector) the most similar place (segment, place, vector) of its segment, the
+    smallest of equals after rounding to ``places``; ``apart``: a place whose number is the item's own isn't compared.
+
+    Both sides are dealt by segment and multiplied in blocks, which keep a running best for each item: no pair is a row. A segment of more
+    than ``side_rows`` rows on a side is cut on that side by a hash, and the other side goes to each of its pieces, so tasks hold blocks of
+    bounded size. Vectors that are null, of another length than the block's first item's, or of norm 0 have similarity 0; items of a
+    segment without places are left out.
+    """
+    spark = left.sparkSession
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    small_batches(spark)
+
+    def cuts(rows: DataFrame, column: str) -> DataFrame:
+        found = rows.groupBy(F.col(segment).alias("_s")).agg(F.count("*").alias("n")).where(F.col("n") > side_rows)
+        return materialize(found.select("_s", F.ceil(F.col("n") / side_rows).cast("int").alias(column)), "segment-cuts")  # long segments only: rows / side_rows of them at most
+
+    lefts, rights = cuts(left, "_l"), cuts(right, "_r")
+    few = lambda frame: F.broadcast(frame) if frame.limit(100_001).count() <= 100_000 else frame
+    lefts, rights = few(lefts), few(rights)
+
+    def dealt(rows: DataFrame, side: int, name: str) -> DataFrame:
+        both = rows.select(F.col(segment).alias("_g"), F.col(name).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
+        both = both.join(lefts, F.col("_g") == F.col("_s"), "left").drop("_s").join(rights, F.col("_g") == F.col("_s"), "left").drop("_s")
+        own, other = ("_l", "_r") if side == 0 else ("_r", "_l")
+        mine = F.pmod(F.xxhash64("_id"), F.coalesce(own, F.lit(1))).cast("int")
+        all_ = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        cut = both.select("_g", "_id", "_v", mine.alias("a"), all_.alias("b"))
+        a, b = ("a", "b") if side == 0 else ("b", "a")
+        item_ = F.col("_id") if side == 0 else F.lit(None).cast(kinds[item])
+        place_ = F.col("_id") if side == 1 else F.lit(None).cast(kinds[place])
+        return cut.select("_g", F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(side).alias("_side"), item_.alias("_item"), place_.alias("_place"), "_v")
+
+    rows = dealt(left, 0, item).unionByName(dealt(right, 1, place)).where("_g IS NOT NULL")
+    sorted_ = rows.repartition("_g", "_a", "_b").sortWithinPartitions("_g", "_a", "_b", "_side", "_place")
+
+    def matrix(lists: pa.Array, width: int) -> np.ndarray:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(lists), width), False).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(lists), width))
+        if width and fits.any():
+            out[fits] = np.nan_to_num(lists.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, items, units, best, at = None, [], None, None, None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if at is not None:
+                met = pa.array(np.array([x is not None for x in at]))
+                segments = pa.array([group[0]] * len(at), kinds_[0])
+                yield pa.record_batch([segments.filter(met), items.filter(met), pa.array(best).filter(met), pa.array(at, kinds_[1]).filter(met)], names=["segment", "item", "similarity", "place"])
+
+        kinds_ = None
+        for batch in batches:
+            kinds_ = kinds_ or (batch.schema.field(0).type, batch.schema.field(5).type)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for first, stop in zip(starts, [*starts[1:], len(keys)], strict=True):
+                *mine, side = keys[first]
+                part = batch.slice(first, stop - first)
+                if mine != group:
+                    yield from out()
+                    group, held, items, units, best, at = mine, [], None, None, None, None
+                if side == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue  # places of a segment without items
+                if units is None:
+                    items = pa.concat_arrays([p.column(4) for p in held])
+                    lists = pa.concat_arrays([p.column(6) for p in held])
+                    units = matrix(lists, next((n for n in pc.list_value_length(lists).to_pylist() if n is not None), 0))
+                    best, at = np.full(len(units), -1.0), [None] * len(units)
+                found = np.round(np.clip(units @ matrix(part.column(6), units.shape[1]).T, 0, 1), places)
+                where = part.column(5).to_pylist()
+                if apart:
+                    found[np.array(items.to_pylist(), dtype=object)[:, None] == np.array(where, dtype=object)[None]] = -1.0
+                top = found.argmax(1)  # places come in order: the first of equals
+                value = found[np.arange(len(top)), top]
+                for i in np.flatnonzero(value > best):
+                    best[i], at[i] = value[i], where[top[i]]
+        yield from out()
+
+    found = sorted_.mapInArrow(run, f"segment {kinds[segment]}, item {kinds[item]}, similarity double, place {kinds[place]}")
+    # Pieces of long segments: the best of each item's bests.
+    top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("place").alias("p")))
+    return found.groupBy("segment", "item").agg(top.alias("t")).select(F.col("segment").alias(segment), F.col("item").alias(item), (-F.col("t.s")).alias("similarity"), F.col("t.p").alias(place))
+
+
 def dense_cosines(rows: DataFrame, keys: list[str], vector: str, jobs: DataFrame) -> DataFrame:
     """(job_id, keys, score) of every candidate and job (job_id, vector): cosines clamped to [0, 1], 0 where a norm is 0 or a vector is null or of another length."""
     spark = rows.sparkSession

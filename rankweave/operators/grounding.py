@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.config import DEFAULT_GROUNDING, GroundingConfig
-from rankweave.functions.vectors import clamp, cosine
+from rankweave.functions.vectors import clamp
+from rankweave.operators.blocks import segment_best
 from rankweave.operators.ontology import SkillOntology
 
 EXPLICIT, SEMANTIC, LISTED_ONLY, ABSENT = "explicit", "semantic", "listed_only", "absent"
@@ -51,11 +52,11 @@ def semantic_strength(similarity: Column, config: GroundingConfig = DEFAULT_GROU
     return F.lit(config.semantic_max) * clamp((similarity - config.semantic_threshold) / span)
 
 
-def best_sentence(claims: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Claims with a vector x sentences with a vector, within a candidate -> the most similar sentence, the first of equals."""
-    pairs = claims.select("candidate_id", "skill", F.col("vector").alias("claim_vector")).join(sentences, "candidate_id").withColumn("sim", cosine(F.col("claim_vector"), F.col("vector")))
-    best = F.max(F.struct("sim", (-F.col("pos")).alias("back"), "sentence"))
-    return pairs.groupBy("candidate_id", "skill").agg(best.alias("b")).select("candidate_id", "skill", F.col("b.sim").alias("similarity"), F.col("b.sentence").alias("sentence"))
+def best_sentence(claims: DataFrame, sentences: DataFrame, places: int = 12) -> DataFrame:
+    """(candidate_id, skill, similarity, sentence) of claims with a vector and a candidate's sentences with one: the most similar sentence, the
+    first of those equal to so many places. Multiplied in blocks inside a candidate; see ``segment_best``."""
+    best = segment_best(claims, sentences, "candidate_id", "skill", "pos", places=places)
+    return best.join(sentences.select("candidate_id", "pos", "sentence"), ["candidate_id", "pos"]).select("candidate_id", "skill", "similarity", "sentence")
 
 
 def ground_skills(claims: DataFrame, sentences: DataFrame, forms: DataFrame, config: GroundingConfig = DEFAULT_GROUNDING) -> DataFrame:

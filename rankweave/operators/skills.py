@@ -52,9 +52,10 @@ def in_list(text: Column, start: Column, length: Column, window: int = _WINDOW)
     return F.regexp_count(F.concat(left, right), F.lit(_DELIMITERS)) >= 2
 
 
-def extract_skills(text: Column, ontology: SkillOntology, trusted: Column | None = None) -> Column:
-    """Sorted canonical skills of a text. ``trusted``: text whose words count wherever they stand."""
-    hits = F.transform(matches(text, dictionary_pattern(list(ontology.alias_index))), lambda m: F.struct(ontology.canonical_column(m.getField("surface")).alias("skill"), m.getField("surface").alias("surface"), m.getField("start").alias("start")))
+def extract_skills(text: Column, ontology: SkillOntology, trusted: Column | None = None, found: Column | None = None) -> Column:
+    """Sorted canonical skills of a text. ``trusted``: text whose words count wherever they stand; ``found``: the text's matches where
+    an automaton has them already (``dictionary.add_matches``)."""
+    hits = F.transform(found if found is not None else matches(text, dictionary_pattern(list(ontology.alias_index))), lambda m: F.struct(ontology.canonical_column(m.getField("surface")).alias("skill"), m.getField("surface").alias("surface"), m.getField("start").alias("start")))
     both = F.struct(F.lower(text_or_empty(text)).alias("low"), (F.lower(trusted) if trusted is not None else F.lit("")).alias("known"))
 
     def keep(t: Column) -> Column:

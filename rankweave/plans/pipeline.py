@@ -12,6 +12,8 @@ from rankweave.config import DEFAULT_ANTIGAMING, DEFAULT_GATE, DEFAULT_GROUNDING
 from rankweave.functions import text as tx
 from rankweave.functions.vectors import chunk_text, cosine, hashed_vector, mean_pool
 from rankweave.operators import audit, gap, grounding, integrity, scoring
+from rankweave.operators.dictionary import add_matches
+from rankweave.operators.embedder import Embedder as StoredEmbedder
 from rankweave.operators.explain import TemplateExplainer
 from rankweave.operators.ontology import SkillOntology
 from rankweave.operators.rankers import _small, rank
@@ -20,8 +22,11 @@ from rankweave.runtime import materialize
 from rankweave.schemas import degree_label, display_name, section
 from rankweave.sources.files import load_files, load_uploads, stem
 
-#: Text column -> vector column. Models plug in as a pandas UDF of the same form.
-Embedder = Callable[[Column], Column]
+#: Text column -> vector column. Models plug in as a pandas UDF of the same form, or as an ``embedder.Embedder``, whose store keeps their vectors.
+Embedder = Callable[[Column], Column] | StoredEmbedder
+
+#: Spellings past which texts are walked by an automaton: an alternation tries each spelling at each place.
+AUTOMATON_FROM = 1_000
 
 
 def _as_of(spark: SparkSession, as_of: int | None) -> Column:
@@ -34,7 +39,11 @@ def build_resumes(documents: DataFrame, ontology: SkillOntology, as_of: int | No
     now = _as_of(documents.sparkSession, as_of)
     first = lambda name: F.coalesce(F.nullif(section(F.col("sections"), name), F.lit("")), F.col("text"))
     rows = documents.withColumn("candidate_id", candidate_id if candidate_id is not None else stem(F.col("path"))).withColumn("sections", tx.segment_sections(F.col("text")))
-    rows = rows.withColumn("skills", extract_skills(F.col("text"), ontology, trusted_text(F.col("sections"))))
+    if len(ontology.alias_index) > AUTOMATON_FROM:
+        rows = add_matches(rows, "text", list(ontology.alias_index), "_matches")
+        rows = rows.withColumn("skills", extract_skills(F.col("text"), ontology, trusted_text(F.col("sections")), F.col("_matches"))).drop("_matches")
+    else:
+        rows = rows.withColumn("skills", extract_skills(F.col("text"), ontology, trusted_text(F.col("sections"))))
     return rows.withColumns(
         {
             "name": tx.person_name(F.col("text")), "email": tx.email(F.col("text")), "phone": tx.phone(F.col("text")), "skills_expanded": ontology.expand_column(F.col("skills")),
@@ -59,7 +68,9 @@ def build_jobs(texts: DataFrame, ontology: SkillOntology) -> DataFrame:
 
 
 def encode_documents(rows: DataFrame, key: str, text: Column, embedder: Embedder = hashed_vector, out: str = "vector") -> DataFrame:
-    """(key, out): each text's chunks encoded and pooled; texts without words have none."""
+    """(key, out): each text's chunks encoded and pooled; texts without words have none, or zeros from a stored embedder."""
+    if isinstance(embedder, StoredEmbedder):
+        return embedder.encode_documents(rows, key, text, out)
     chunks = rows.select(key, F.explode(chunk_text(text)).alias("chunk")).select(key, embedder(F.col("chunk")).alias("v"))
     return mean_pool(chunks, key, "v", out)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from rankweave.config import DEFAULT_GROUNDING
 from rankweave.functions import text as tx
 from rankweave.functions import vectors as vx
-from rankweave.operators import audit, corpus, grounding, integrity, metrics, rankers, ranks, scoring
+from rankweave.operators import audit, blocks, corpus, dictionary, grounding, integrity, metrics, rankers, ranks, scoring
+from rankweave.operators import embedder as em
 from rankweave.operators import skills as sk
 from rankweave.plans.catalogue import Catalogue, r6, r9
 from rankweave.plans.skill_queries import ONTOLOGY
@@ -270,6 +271,17 @@ def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", *map(count, _WORDS))
 
 
+@query("""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+h AS (SELECT doc_id, count(*) AS n, count(DISTINCT w) AS k, sum(length(w))::BIGINT AS c FROM t SEMI JOIN s USING (w) GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_hits, coalesce(k, 0) AS n_different, coalesce(c, 0)::BIGINT AS n_chars FROM documents LEFT JOIN h USING (doc_id)""")
+def dictionary_automaton(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of the benchmark, looked for in every document by one automaton."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("surface"))
+    rows = dictionary.add_matches(_documents(spark, d), "text", words, "hits")
+    lengths = F.aggregate("hits", F.lit(0), lambda n, h: n + F.length(h.getField("surface")))
+    return rows.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.size(F.array_distinct(F.transform("hits", lambda h: h.getField("surface")))).cast("long").alias("n_different"), lengths.cast("long").alias("n_chars"))
+
+
 _SENT = r"""sent AS (
   SELECT conv_id, role, turn, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (
     SELECT conv_id, role, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\s*[•·]\s*', chr(10), 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)),
@@ -313,14 +325,56 @@ SELECT skill AS vec_id, round(sim, 6) AS similarity, CASE WHEN sim >= 0.4 THEN '
 def grounding_semantic(spark: SparkSession, d: str) -> DataFrame:
     """A vector's most similar other vector of its label, as evidence."""
     v = table(spark, d, "embeddings").select(_C("label").alias("candidate_id"), "vec_id", _C("embedding").alias("vector"))
-    pairs = v.withColumnRenamed("vector", "claim").join(v.select("candidate_id", _C("vec_id").alias("pos"), "vector"), "candidate_id").filter("vec_id <> pos")
-    best = pairs.groupBy("vec_id").agg(F.max(vx.cosine(_C("claim"), _C("vector"))).alias("sim"))
+    best = blocks.segment_best(v, v.withColumnRenamed("vec_id", "pos"), "candidate_id", "vec_id", "pos", apart=True).withColumnRenamed("similarity", "sim")
     near = _C("sim") >= DEFAULT_GROUNDING.semantic_threshold
     return best.select("vec_id", r6("sim").alias("similarity"), F.when(near, grounding.SEMANTIC).otherwise(grounding.LISTED_ONLY).alias("kind"), r6(F.when(near, grounding.semantic_strength(_C("sim"))).otherwise(0.0)).alias("grounding"))
 
 
 # Vectors.
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters_sql(text: str) -> str:
+    return f"list_transform(string_split('{','.join(_LETTERS)}', ','), lambda c: (length(lower({text})) - length(replace(lower({text}), c, '')))::DOUBLE)"
+
+
+def _letters() -> em.Embedder:
+    """A stand-in model behind a store of this session."""
+    return em.get_embedder("letters", em.load_letters, 26, store=None, kind="double")
+
+
+@query(f"""WITH v AS (SELECT doc_id, text, {_letters_sql('text')} AS v FROM documents), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v), first AS (SELECT DISTINCT text FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, 'k' || substr(sha256(text), 1, 32) AS key, text NOT IN (SELECT text FROM first) AS encoded, round(CASE WHEN n > 0 THEN v[1] / n ELSE 0 END, 6) AS a, round(CASE WHEN n > 0 THEN v[5] / n ELSE 0 END, 6) AS e,
+  (SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM first)) AS n_encoded, 0::BIGINT AS n_again FROM n""")
+def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with labels are encoded first, then all: the second run encodes only texts that the first hadn't, a third none. Equal texts are encoded once."""
+    model = em.Embedder("letters", em.load_letters, 26, work_path(spark, "vectors"), kind="double")
+    docs = _documents(spark, d)
+    model.fill(docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), _C("text"))
+    new = materialize(model.missing(docs, _C("text")).select("key", F.lit(True).alias("encoded")), "vectors-new")
+    count = model.fill(docs, _C("text"))
+    again = model.fill(docs, _C("text"))
+    rows = model.encode(docs, _C("text")).withColumn("key", vx.vector_key(_C("text"))).join(new, "key", "left")
+    at = lambda i: r6(F.get("vector", F.lit(i)))
+    return rows.select("doc_id", "key", F.coalesce("encoded", F.lit(False)).alias("encoded"), at(0).alias("a"), at(4).alias("e"), F.lit(count).cast("long").alias("n_encoded"), F.lit(again).cast("long").alias("n_again"))
+
+
+_SAID = f"""{_SENT}, said AS (SELECT conv_id, turn * 1000000 + pos - 1 AS pos, {_letters_sql('sentence')} AS v FROM sent WHERE role = 'assistant'),
+asked AS (SELECT conv_id, turn, {_letters_sql('text')} AS v FROM conversations WHERE role = 'user'),
+near AS (SELECT a.conv_id, a.turn, s.pos, round(coalesce(CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(s.v, s.v) > 0 THEN {_clamped('a.v', 's.v')} END, 0), 9) AS sim FROM asked a JOIN said s USING (conv_id))"""
+
+
+@query(f"WITH {_SAID}, best AS (SELECT conv_id, turn, max(sim) AS sim FROM near GROUP BY ALL) SELECT conv_id, turn, round(any_value(best.sim), 6) AS similarity, min(pos) AS pos FROM near JOIN best USING (conv_id, turn) WHERE near.sim = best.sim GROUP BY ALL")
+def best_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """For each turn of a user, the assistant's sentence of that conversation that is most like it by vectors, the first of equals."""
+    conv, model = table(spark, d, "conversations"), _letters()
+    asked = conv.filter("role = 'user'").select("conv_id", "turn", "text")
+    said = conv.filter("role = 'assistant'").select("conv_id", F.posexplode(tx.sentences(_C("text"))).alias("p", "sentence"), "turn")
+    said = said.select("conv_id", (_C("turn") * 1_000_000 + _C("p")).alias("pos"), "sentence")
+    best = blocks.segment_best(model.encode(asked, _C("text")), model.encode(said, _C("sentence")), "conv_id", "turn", "pos", places=9)
+    return best.select("conv_id", "turn", r6("similarity").alias("similarity"), "pos")
+
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, greatest(0, CAST(ceil((len(w) - 170) / 140.0) AS BIGINT)) + 1 AS chunks FROM w)

@@ -45,6 +45,7 @@ def work_path(spark: SparkSession, name: str) -> str:
 def clear(spark: SparkSession) -> int:
     """Delete what this session wrote to the shared folder and say how many paths that were. Frames that read them can't be used any more."""
     paths, jvm = spark.sparkContext.__dict__.pop("_rankweave_paths", []), spark._jvm
+    spark.sparkContext.__dict__.pop("_rankweave_stores", None)
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     gone = 0
     for name in paths:
