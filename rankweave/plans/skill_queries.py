@@ -12,7 +12,7 @@ from rankweave.operators.blocks import sparse_products
 from rankweave.operators.ontology import SkillNode, SkillOntology
 from rankweave.operators.rankers import _small
 from rankweave.plans.catalogue import Catalogue, r6
-from rankweave.runtime import table
+from rankweave.runtime import materialize, table
 
 query = Catalogue()
 
@@ -74,18 +74,34 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pairs(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """(every customer with every supplier as bit sets held, req, pref; words of a set)."""
+def pairs(spark: SparkSession, d: str, most: int = bitsets.MAX_SKILLS) -> DataFrame:
+    """Every customer with every supplier that requires something: job_id, candidate_id, years, both (required names held), wished (preferred
+    ones held), n_req, n_pref, n_held. Sets are bits up to ``most`` names, arrays of names beyond."""
     lines = _named_lines(spark, d).select("l_orderkey", F.col("l_suppkey").alias("job_id"), "l_quantity", "p_name")
-    names = bitsets.vocabulary(table(spark, d, "part"), "p_name")
+    asked, wished = F.col("l_quantity") >= 45, (F.col("l_quantity") >= 40) & (F.col("l_quantity") < 45)
+    names = bitsets.vocabulary(table(spark, d, "part"), "p_name", most)
     if names is None:
-        raise ValueError("over 4096 part names: use the array measures")
+        return _array_pairs(spark, d, lines, asked, wished)
     k = bitsets.words(names)
     held = bitsets.encode(_bought(spark, d), "candidate_id", "p_name", names, "held").join(customer_years(spark, d), "candidate_id")
-    req = bitsets.encode(lines, "job_id", "p_name", names, "req", F.col("l_quantity") >= 45)
-    pref = bitsets.encode(lines, "job_id", "p_name", names, "pref", (F.col("l_quantity") >= 40) & (F.col("l_quantity") < 45))
+    req = bitsets.encode(lines, "job_id", "p_name", names, "req", asked)
+    pref = bitsets.encode(lines, "job_id", "p_name", names, "pref", wished)
     jobs = bitsets.minus(req.join(pref, "job_id"), "pref", "req", k).filter(bitsets.size("req", k) > 0)
-    return held.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if _small(jobs) else jobs), k
+    every = held.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if _small(jobs) else jobs)
+    sizes = {"both": bitsets.common("held", "req", k), "wished": bitsets.common("held", "pref", k), "n_req": bitsets.size("req", k), "n_pref": bitsets.size("pref", k), "n_held": bitsets.size("held", k)}
+    return every.select("job_id", "candidate_id", "years", *[c.alias(n) for n, c in sizes.items()])
+
+
+def _array_pairs(spark: SparkSession, d: str, lines: DataFrame, asked: Column, wished: Column) -> DataFrame:
+    """The same by arrays of names: any number of names, a few microseconds a pair instead of nanoseconds."""
+    held = _bought(spark, d).groupBy("candidate_id").agg(F.collect_set("p_name").alias("held")).join(customer_years(spark, d), "candidate_id")
+    jobs = lines.groupBy("job_id").agg(F.collect_set(F.when(asked, F.col("p_name"))).alias("req"), F.collect_set(F.when(wished, F.col("p_name"))).alias("pref"))
+    jobs = jobs.filter(F.size("req") > 0).withColumn("pref", F.array_except("pref", "req"))
+    jobs = materialize(jobs, "job-sets")
+    entries = jobs.agg(F.coalesce(F.sum(F.size("req") + F.size("pref")), F.lit(0))).first()[0]
+    every = held.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if entries <= 500_000 else jobs)
+    size, both = (lambda x: F.size(x)), (lambda x: F.size(F.array_intersect("held", x)))
+    return every.select("job_id", "candidate_id", "years", both("req").alias("both"), both("pref").alias("wished"), size("req").alias("n_req"), size("pref").alias("n_pref"), size("held").alias("n_held"))
 
 
 def customer_years(spark: SparkSession, d: str) -> DataFrame:
@@ -98,10 +114,7 @@ def customer_years(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """job_id, candidate_id, scores. The similarity that these tables lack is the Dice score's."""
-    rows, k = pairs(spark, d)
-    both, wished, n_req, n_pref, n_held = bitsets.common("held", "req", k), bitsets.common("held", "pref", k), bitsets.size("req", k), bitsets.size("pref", k), bitsets.size("held", k)
-    c, job, who = F.col, F.col("job_id"), F.col("candidate_id")
-    rows = rows.select("job_id", "candidate_id", "years", both.alias("both"), wished.alias("wished"), n_req.alias("n_req"), n_pref.alias("n_pref"), n_held.alias("n_held"))
+    rows, c, job, who = pairs(spark, d), F.col, F.col("job_id"), F.col("candidate_id")
     coverage = scoring.required_coverage_of(c("both"), c("n_req"))
     scores = scoring.combine(
         scoring.dice_of(c("both"), c("n_held"), c("n_req")), scoring.coverage_of(c("both"), c("wished"), c("n_req"), c("n_pref")),
@@ -134,9 +147,8 @@ def rank_by_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_SCORED} SELECT job_id, round(avg(semantic), 6) AS mean_dice, round(max(semantic), 6) AS max_dice, round(min(semantic), 6) AS min_dice FROM total GROUP BY 1")
 def skill_dice(spark: SparkSession, d: str) -> DataFrame:
-    rows, k = pairs(spark, d)
-    dice = scoring.dice_of(bitsets.common("held", "req", k), bitsets.size("held", k), bitsets.size("req", k))
-    return rows.select("job_id", dice.alias("x")).groupBy("job_id").agg(r6(F.avg("x")).alias("mean_dice"), r6(F.max("x")).alias("max_dice"), r6(F.min("x")).alias("min_dice"))
+    dice = scoring.dice_of(F.col("both"), F.col("n_held"), F.col("n_req"))
+    return pairs(spark, d).select("job_id", dice.alias("x")).groupBy("job_id").agg(r6(F.avg("x")).alias("mean_dice"), r6(F.max("x")).alias("max_dice"), r6(F.min("x")).alias("min_dice"))
 
 
 @query(f"{_SCORED} SELECT job_id, round(avg(0.4 * semantic), 6) AS semantic, round(avg(0.3 * skill), 6) AS skill, round(avg(0.2 * experience), 6) AS experience, round(avg(0.1 * education), 6) AS education FROM total GROUP BY 1")

@@ -124,3 +124,31 @@ def test_resampling(spark):
     t = spark.createDataFrame([("a", i, i + 1.0) for i in range(8)], "attack string, pair int, gain double")
     r = metrics.paired_difference(t, t.withColumn("gain", F.col("gain") - 1), ["attack"], "pair", "gain").first()
     assert (r.n, r["mean"], r.lo, r.hi) == (8, 1.0, 1.0, 1.0) and r.p < 0.05
+
+
+def test_pairs_past_the_bit_sets(spark, tmp_path):
+    """5,000 part names: the arrays' way gives what the bits give where they are allowed."""
+    from datetime import date
+
+    from rankweave.plans import skill_queries
+
+    parts = [(i, f"part {i}", "b", i % 50) for i in range(5000)]
+    orders = [(i, i % 7, date(2020 + i % 3, 1 + i % 12, 1)) for i in range(60)]
+    lines = [(i % 60, (i * 37) % 5000, i % 5, 38 + i % 13) for i in range(2000)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = lambda most: {(r.job_id, r.candidate_id): tuple(r)[2:] for r in skill_queries.pairs(spark, str(tmp_path), most).collect()}
+    by_array = rows(4096)
+    held, req, pref = ({} for _ in range(3))
+    for o, p, s, q in lines:
+        held.setdefault(o % 7, set()).add(p)
+        if q >= 45:
+            req.setdefault(s, set()).add(p)
+        elif q >= 40:
+            pref.setdefault(s, set()).add(p)
+    assert len(by_array) == 35
+    for (job, who), (_, both, wished, n_req, n_pref, n_held) in by_array.items():
+        wish = pref[job] - req[job]
+        assert (both, wished, n_req, n_pref, n_held) == (len(held[who] & req[job]), len(held[who] & wish), len(req[job]), len(wish), len(held[who]))
+    assert skill_queries.query.queries["rank_by_coverage"](spark, str(tmp_path)).count() == 35
