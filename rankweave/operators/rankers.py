@@ -101,11 +101,8 @@ class Bm25Ranker:
     scale: bool = True
     tokenise: Callable[[Column], Column] = rank_tokens
 
-    def raw_scores(self, texts: DataFrame, jobs: DataFrame, corpus: DataFrame | None = None, keys: tuple[str, ...] = ("candidate_id",), own: str | None = None) -> DataFrame:
-        """(job_id, keys, score) of pairs with a common term, not scaled. ``corpus`` (text): what the statistics are of, if not the texts;
-        ``own``: the key that names the one job a text is scored for."""
-        words = texts.select(*keys, self.tokenise(F.col("text")).alias("words"))
-        known = words if corpus is None else corpus.select(self.tokenise(F.col("text")).alias("words"))
+    def weights(self, known: DataFrame, jobs: DataFrame) -> tuple[DataFrame, float]:
+        """(job_id, term, w) of jobs' terms that the corpus (words) has, and the mean length of its documents."""
         # Statistics in one pass: an empty term stands for the document itself.
         each = known.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("term"), F.size("words").alias("n"))
         df = materialize(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("n"))).alias("words")), "bm25-terms")
@@ -115,9 +112,16 @@ class Bm25Ranker:
         mean = terms.agg(F.avg("idf")).first()[0] or 0.0
         query = jobs.select("job_id", F.explode(self.tokenise(F.col("text"))).alias("term")).groupBy("job_id", "term").agg(F.count("*").alias("qtf"))
         weight = F.col("qtf") * F.when(F.col("idf") < 0, self.epsilon * mean).otherwise(F.col("idf"))
+        return terms.join(few(query), "term").select("job_id", "term", weight.alias("w")), length
+
+    def raw_scores(self, texts: DataFrame, jobs: DataFrame, corpus: DataFrame | None = None, keys: tuple[str, ...] = ("candidate_id",), own: str | None = None) -> DataFrame:
+        """(job_id, keys, score) of pairs with a common term, not scaled. ``corpus`` (text): what the statistics are of, if not the texts;
+        ``own``: the key that names the one job a text is scored for."""
+        words = texts.select(*keys, self.tokenise(F.col("text")).alias("words"))
+        weighed, length = self.weights(words if corpus is None else corpus.select(self.tokenise(F.col("text")).alias("words")), jobs)
         k1, b = self.k1, self.b
         value = lambda tf, n: (tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / (length or 1.0))),)
-        found = sparse_products(words, list(keys), "words", terms.join(few(query), "term").withColumn("w", weight), ["w"], value, own=own)
+        found = sparse_products(words, list(keys), "words", weighed, ["w"], value, own=own)
         return found.withColumnRenamed("s0", "score")
 
     def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -135,14 +139,7 @@ def _counted(rows: DataFrame, ranker: TfidfRanker) -> DataFrame:
     small_batches(rows.sparkSession)
     kinds = dict(rows.dtypes)
     keys = [c for c in rows.columns if c != "text"]
-    find, stop, (low, high) = re.compile(ranker.pattern).findall, frozenset(ranker.stopped()), ranker.ngram_range
-
-    def terms(text: str | None) -> Counter[str]:
-        words = [w for w in find((text or "").lower()) if w not in stop]
-        found: Counter[str] = Counter()
-        for n in range(low, high + 1):
-            found.update(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
-        return found
+    terms = ranker.counter()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +204,21 @@ class TfidfRanker:
     def stopped(self) -> tuple[str, ...]:
         return english_stop_words() if self.stop_words is None else self.stop_words
 
-    def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        docs = materialize(_counted(texts.select("candidate_id", "text"), self), "tfidf-terms")
+    def counter(self) -> Callable[[str | None], Counter[str]]:
+        """How often a text has each of its terms."""
+        find, stop, (low, high) = re.compile(self.pattern).findall, frozenset(self.stopped()), self.ngram_range
+
+        def terms(text: str | None) -> Counter[str]:
+            words = [w for w in find((text or "").lower()) if w not in stop]
+            found: Counter[str] = Counter()
+            for n in range(low, high + 1):
+                found.update(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+            return found
+
+        return terms
+
+    def prepared(self, docs: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Counted documents (a written table) with ``base``, the square of their norm; jobs' terms (job_id, term, wq, idf0, idf1)."""
         asked = _counted(jobs.select("job_id", "text"), self)
         query = asked.select("job_id", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("job_id", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
         n = docs.count() + 1  # the job is in its own corpus
@@ -218,11 +228,14 @@ class TfidfRanker:
         idf = lambda has: F.log(F.lit(1.0 + n) / (1 + F.coalesce(F.col("df"), F.lit(0)) + has)) + 1
         held = df.join(few(query.select("term").distinct()), "term")  # the vocabulary is scanned, not moved
         query = query.join(held, "term", "left").select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
-        query = materialize(query, "tfidf-jobs")
+        return _with_norms(docs, df, n), materialize(query, "tfidf-jobs")
+
+    def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
+        docs, query = self.prepared(materialize(_counted(texts.select("candidate_id", "text"), self), "tfidf-terms"), jobs)
         job_norm = query.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
         # A common term weighs less with the job in the corpus; the norm is corrected for those terms alone.
         weighed = query.select("job_id", "term", (F.col("wq") * F.col("idf1")).alias("dot"), (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0")).alias("change"))
-        sums = sparse_products(_with_norms(docs, df, n), ["candidate_id", "base"], "terms", weighed, ["dot", "change"], "tf", powers=(1, 2)).withColumnsRenamed({"s0": "dot", "s1": "change"})
+        sums = sparse_products(docs, ["candidate_id", "base"], "terms", weighed, ["dot", "change"], "tf", powers=(1, 2)).withColumnsRenamed({"s0": "dot", "s1": "change"})
         full = sums.join(few(job_norm), "job_id")
         return full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankweave.config import DEFAULT_GROUNDING
 from rankweave.functions import text as tx
 from rankweave.functions import vectors as vx
-from rankweave.operators import audit, blocks, corpus, dictionary, grounding, integrity, metrics, rankers, ranks, scoring
+from rankweave.operators import attacks, audit, blocks, corpus, dictionary, grounding, integrity, metrics, rankers, ranks, scoring
 from rankweave.operators import embedder as em
 from rankweave.operators import skills as sk
 from rankweave.plans.catalogue import Catalogue, r6, r9
@@ -561,25 +561,19 @@ def _low(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").filter("quality = 0").select("doc_id")
 
 
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """The features of documents and of the copies of low ones for every job, bm25 scaled to the job's largest: a written table."""
+    low = _low(spark, d).distinct().withColumn("attacked", F.lit(True))
+    docs = _documents(spark, d).join(F.broadcast(low) if low.count() < 1_000_000 else low, "doc_id", "left").withColumnRenamed("doc_id", "candidate_id")
+    raw = materialize(attacks.features(docs, _jobs(spark, d)).withColumnRenamed("bm25", "score"), "attack-features")
+    return materialize(rankers.scale_by_max(raw).withColumnRenamed("score", "bm25"), "attack-scaled")
+
+
 def _attacked(spark: SparkSession, d: str) -> DataFrame:
     """system, job_id, attack (null for a document itself), control_id, rank and n (rows of the job): a written table."""
-    docs, jobs = _documents(spark, d), _jobs(spark, d)
-    few_jobs = rankers.few(jobs.select("job_id", _C("text").alias("job_text")))
-    half = F.array_join(F.slice(F.split("job_text", " "), F.lit(1), F.floor(F.size(F.split("job_text", " ")) / 2).cast("int")), " ")
-    attacks = F.array(F.struct(F.lit("paste").alias("attack"), _C("job_text").alias("added")), F.struct(F.lit("half").alias("attack"), half.alias("added")))
-    low = docs.join(F.broadcast(_low(spark, d)) if _low(spark, d).count() < 1_000_000 else _low(spark, d), "doc_id", "left_semi")
-    copies = low.crossJoin(few_jobs).select("job_id", _C("doc_id").alias("control_id"), "text", "job_text", F.explode(attacks).alias("a"))
-    copies = copies.select("job_id", "control_id", _C("a.attack").alias("attack"), F.concat("text", F.lit("\n"), "a.added").alias("text"), "job_text")
-    ranker = rankers.Bm25Ranker()
-    own = ranker.raw_scores(copies, jobs, corpus=docs, keys=("job_id", "control_id", "attack"), own="job_id")
-    echo = copies.select("job_id", "control_id", "attack", integrity.echo_ratio(_C("text"), _C("job_text")).alias("ratio"))
-    own = own.join(echo, ["job_id", "control_id", "attack"])
-    theirs = integrity.echo_pairs(_texts(spark, d), jobs).select("job_id", _C("candidate_id").alias("control_id"), "ratio")
-    plain = ranker.raw_scores(_texts(spark, d), jobs).select("job_id", _C("candidate_id").alias("control_id"), F.lit(None).cast("string").alias("attack"), "score")
-    pool = rankers.scale_by_max(materialize(own.unionByName(plain.join(theirs, ["job_id", "control_id"], "left")), "attacked"))
-    penalty = integrity.penalty([F.lit(0.0)] * 3 + [integrity.jd_echo_signal(_C("ratio")).getField("severity"), F.lit(0.0)])
     systems = F.array(F.struct(F.lit("bm25").alias("system"), F.lit(0.0).alias("guard")), F.struct(F.lit("bm25_guarded").alias("system"), F.lit(1.0).alias("guard")))
-    scored = pool.withColumn("penalty", penalty).withColumn("s", F.explode(systems)).select("s.system", "job_id", "attack", "control_id", r9(_C("score") - _C("s.guard") * _C("penalty")).alias("total"))
+    rows = _features(spark, d).withColumnRenamed("candidate_id", "control_id").withColumn("penalty", attacks.penalty(_C("echo"))).withColumn("s", F.explode(systems))
+    scored = rows.select("s.system", "job_id", "attack", "control_id", r9(_C("bm25") - _C("s.guard") * _C("penalty")).alias("total"))
     order = [F.desc("total"), F.col("control_id"), F.coalesce("attack", F.lit(""))]
     return materialize(ranks.positions(scored, order, ["system", "job_id"], size="n"), "attack-ranks")
 
@@ -610,6 +604,61 @@ def stuffing_advantage(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy("job_id").agg(r6(mean(False) - mean(True)).alias("advantage"))
 
 
+_MATRIX = f"""{_ATTACKED}, {_TFIDF}, pool0 AS (SELECT job_id, coalesce(attack, '') AS attack, control_id, s, ratio FROM pool), halves AS (SELECT item_id, {_HALF} AS text FROM benchmark b),
+tac AS (SELECT 'paste' AS attack, id AS job_id, term, count(*) AS c FROM ({_terms_sql('item_id', 'benchmark')}) GROUP BY ALL UNION ALL SELECT 'half', id, term, count(*) FROM ({_terms_sql('item_id', 'halves')}) GROUP BY ALL),
+tdc AS (SELECT id AS control_id, term, count(*) AS c FROM ({_terms_sql('doc_id', 'documents')}) GROUP BY ALL),
+qi AS (SELECT job_id, term, wq, idf1, ln((1 + n) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf0 FROM ta LEFT JOIN tf0 USING (term), tn),
+tx AS (SELECT p.job_id, p.attack, p.control_id, wq, idf0, idf1, CASE WHEN coalesce(a.c, 0) + coalesce(d.c, 0) > 0 THEN 1 + ln(coalesce(a.c, 0) + coalesce(d.c, 0)) ELSE 0 END AS x, CASE WHEN d.c > 0 THEN 1 + ln(d.c) ELSE 0 END AS x0
+  FROM pool0 p JOIN qi ON qi.job_id = p.job_id LEFT JOIN tac a ON a.attack = p.attack AND a.job_id = p.job_id AND a.term = qi.term LEFT JOIN tdc d ON d.control_id = p.control_id AND d.term = qi.term),
+ty AS (SELECT job_id, attack, control_id, sum(x * idf1 * wq) AS dot, sum(x * x * idf1 * idf1) - sum(x0 * x0 * idf0 * idf0) AS ch FROM tx GROUP BY ALL),
+tz AS (SELECT job_id, attack, control_id, CASE WHEN coalesce(base, 0) + ch > 0 AND nq > 0 THEN dot / (sqrt(coalesce(base, 0) + ch) * nq) ELSE 0 END AS tfidf FROM ty LEFT JOIN tb ON tb.candidate_id = control_id JOIN tj USING (job_id)),
+jw AS (SELECT job_id, term FROM bq JOIN bi USING (term)),
+wx AS (SELECT p.job_id, p.attack, p.control_id, count(*) AS n, count(*) FILTER (c.term IS NOT NULL OR d.term IS NOT NULL) AS met, count(*) FILTER (d.term IS NOT NULL) AS shown FROM pool0 p JOIN jw ON jw.job_id = p.job_id
+  LEFT JOIN ctf c ON c.attack = p.attack AND c.job_id = p.job_id AND c.control_id = p.control_id AND c.term = jw.term LEFT JOIN bt d ON d.candidate_id = p.control_id AND d.term = jw.term GROUP BY ALL),
+bodies AS (SELECT '' AS attack, NULL::BIGINT AS job_id, doc_id AS control_id, text FROM documents UNION ALL SELECT attack, job_id, control_id, text FROM ct),
+lv AS (SELECT attack, job_id, control_id, len({_RANK_TOKENS}) AS words, {_letters_sql('text')} AS v FROM bodies), lj AS (SELECT item_id AS job_id, {_letters_sql('text')} AS v FROM benchmark),
+dx AS (SELECT p.job_id, p.attack, p.control_id, least(1.0::DOUBLE, words / 300.0::DOUBLE) AS experience, coalesce(CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(j.v, j.v) > 0 THEN {_clamped('a.v', 'j.v')} END, 0) AS dense
+  FROM pool0 p JOIN lv a ON a.attack = p.attack AND a.control_id = p.control_id AND (a.job_id IS NULL OR a.job_id = p.job_id) JOIN lj j ON j.job_id = p.job_id),
+feature AS (SELECT p.*, CASE WHEN max(s) OVER (PARTITION BY job_id) > 0 THEN s / max(s) OVER (PARTITION BY job_id) ELSE 0 END AS bm25, tfidf, dense, experience, met / n::DOUBLE AS coverage, (0.4::DOUBLE * met + 0.6::DOUBLE * shown) / n AS grounded,
+  CASE WHEN ratio > 0.25 THEN 0.35::DOUBLE * 0.2::DOUBLE * least(1.0::DOUBLE, (ratio - 0.25::DOUBLE) / 0.75::DOUBLE) ELSE 0 END AS penalty
+  FROM pool0 p JOIN tz USING (job_id, attack, control_id) JOIN wx USING (job_id, attack, control_id) JOIN dx USING (job_id, attack, control_id)),
+sys(system, wb, wt, wd, wc, wg, wx, gate, guard) AS (VALUES ('tfidf', 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false, false), ('bm25', 1, 0, 0, 0, 0, 0, false, false), ('dense', 0, 0, 1, 0, 0, 0, false, false),
+  ('hybrid_plain', 0.1, 0, 0.4, 0.3, 0, 0.2, true, false), ('hybrid_detector_only', 0.1, 0, 0.4, 0.3, 0, 0.2, true, true), ('hybrid_grounded_only', 0.1, 0, 0.4, 0, 0.3, 0.2, true, false), ('hybrid_full', 0.1, 0, 0.4, 0, 0.3, 0.2, true, true)),
+totals AS (SELECT system, job_id, attack, control_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (wb * bm25 + wt * tfidf + wd * dense + wc * coverage + wg * grounded + wx * experience)
+  * CASE WHEN gate THEN 0.25::DOUBLE + 0.75::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, coverage) / 0.5::DOUBLE) ELSE 1 END - CASE WHEN guard THEN penalty ELSE 0 END)), 9) AS total FROM feature, sys),
+places AS (SELECT *, row_number() OVER (PARTITION BY system, job_id ORDER BY total DESC, control_id, attack) AS rank, count(*) OVER (PARTITION BY system, job_id) AS n FROM totals),
+shifts AS (SELECT a.system, a.attack, (c.rank - a.rank) / a.n::DOUBLE AS gain FROM places a JOIN places c USING (system, job_id, control_id) WHERE a.attack <> '' AND c.attack = '')"""
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(attacks.ranked(_features(spark, d)), "system-ranks")
+
+
+@query(f"WITH {_MATRIX} SELECT system, attack, count(*) AS n, round(avg(gain), 6) AS mean_gain, round(avg((gain > 0)::INT), 6) AS share_gaining FROM shifts GROUP BY ALL")
+def ablation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Seven systems under each attack over all jobs: pairs, mean gain and the share of copies that gain. One pass makes the features; systems are rows of weights."""
+    gains = metrics.attack_gains(_matrix(spark, d), ["system", "job_id"], "candidate_id", "attack")
+    return gains.groupBy("system", "attack").agg(F.count("*").alias("n"), r6(F.avg("gain")).alias("mean_gain"), r6(F.avg((_C("gain") > 0).cast("double"))).alias("share_gaining"))
+
+
+@query(f"""WITH {_MATRIX}, lab AS (SELECT doc_id AS control_id, quality * 2 + (1 - toxic) AS rel FROM labels),
+honest AS (SELECT system, job_id, row_number() OVER (PARTITION BY system, job_id ORDER BY rank) AS rank, coalesce(rel, 0) AS rel FROM places LEFT JOIN lab USING (control_id) WHERE attack = ''),
+hit AS (SELECT *, sum((rel >= 2)::INT) OVER (PARTITION BY system, job_id ORDER BY rank) / rank::DOUBLE AS p FROM honest),
+ideal AS (SELECT sum((pow(2, rel) - 1) / log2(rank + 1)) AS ideal FROM (SELECT rel, row_number() OVER (ORDER BY rel DESC) AS rank FROM lab) WHERE rank <= 10),
+x AS (SELECT system, job_id, coalesce(sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg, coalesce(1.0 / min(rank) FILTER (rel >= 2), 0) AS rr, coalesce(avg(p) FILTER (rel >= 2), 0) AS ap, coalesce(avg((rel >= 2)::INT) FILTER (rank <= 5), 0) AS p5 FROM hit GROUP BY ALL)
+SELECT system, count(*) AS jobs, round(avg(dcg / ideal), 6) AS ndcg, round(avg(rr)::DOUBLE, 6) AS mrr, round(avg(ap), 6) AS map, round(avg(p5), 6) AS precision_at_5 FROM x, ideal GROUP BY 1""")
+def ablation_quality(spark: SparkSession, d: str) -> DataFrame:
+    """What defence costs: the seven systems' mean NDCG at 10, reciprocal rank, average precision and precision at 5 over documents alone."""
+    labels = table(spark, d, "labels").select(_C("doc_id").alias("candidate_id"), (_C("quality") * 2 + 1 - _C("toxic")).alias("rel"))
+    by = ["system", "job_id"]
+    honest = ranks.positions(_matrix(spark, d).filter("attack IS NULL").select(*by, "candidate_id", _C("rank").alias("place")), [_C("place")], by)
+    every = materialize(honest, "honest-ranks").join(labels, "candidate_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    ideal = table(spark, d, "benchmark").select(_C("item_id").alias("job_id")).crossJoin(F.broadcast(labels.orderBy(F.desc("rel")).limit(10)))  # ten rows
+    each = metrics.ndcg(every, ideal, 10, by).join(metrics.per_query(every, by), by)
+    mean = {"ndcg": "ndcg", "mrr": "reciprocal_rank", "map": "average_precision", "precision_at_5": "precision_at_k"}
+    return each.groupBy("system").agg(F.count("*").alias("jobs"), *[r6(F.avg(c)).alias(n) for n, c in mean.items()])
+
+
 @query(f"""WITH {_BM25}, {_TFIDF}, {_RRF}, lab AS (SELECT doc_id AS candidate_id, quality * 2 + (1 - toxic) AS rel FROM labels),
 every AS (SELECT 'bm25' AS system, * FROM bm25 UNION ALL SELECT 'tfidf', * FROM tfidf UNION ALL SELECT 'rrf', * FROM fused),
 g AS (SELECT system, job_id, row_number() OVER (PARTITION BY system, job_id ORDER BY score DESC, candidate_id) AS rank, coalesce(rel, 0) AS rel FROM every LEFT JOIN lab USING (candidate_id)),
