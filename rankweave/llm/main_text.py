@@ -5,16 +5,21 @@ weights, summed over a sliding window of lines, decides what is kept. A window a
 where one begins the sums surge, where the last ends they dive, and the lines between are a block of text. Short
 lines between two surges are no dive unless a whole window of lines weighs nothing.
 
-Weights: nothing for lines inside navigation, headers, footers, sidebars, forms, scripts, adverts, notices and comment
+Weights: nothing for lines inside navigation, headers, footers, sidebars, scripts, adverts, notices and comment
 sections (by tag, role, class or id); nothing for lines of mostly link text outside containers, and inside
-them where as many as a window stand together, as menus do; nothing for lines outside where the page names
-its container (``article``, ``main``); its length and the threshold for a line inside one, so that a marked
-article's short lines surge by themselves; else its length. Classes that name things articles are
+them for runs of short ones, as in menus; nothing for lines outside where the page names
+its container (``article``, ``main``) and that holds at least as much prose; else a line's length. Classes that name things articles are
 made of as well (search, tags, related, ...) only count where the element's lines are short or links.
 Threshold: ``surge`` characters, or the heaviest window where no window has that.
 
+A class that is a word of noise as a whole makes an element noise; where the word is only a part of a class or id
+(``layout-sidebar-right``), and for forms and fieldsets, the element is noise unless it holds over half of the main
+prose: of the containers' where there are any, else of the page's; a class inside a container three quarters. Parts behind a word such as ``no`` or ``has`` say nothing.
+An element is hidden by an attribute of its own, whatever its other values say.
+
 A block begins and ends at a line of some length; a short line next to it (a heading, a last word) belongs to it if it is a
-paragraph or shares its parent element, the body aside. Short lines inside a block stay.
+paragraph or shares its parent element, the body aside. Short lines inside a block stay. In a container that has a block, all
+stays but the dives, where a whole window weighs nothing: menus go, a link or two between paragraphs don't.
 
 Tags are read in one pass that never goes back, so time is linear in the page's length whatever is unclosed.
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
@@ -49,41 +54,63 @@ PROSE = 40
 
 #: HTML element names and words of class, id and role attributes.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style template noscript iframe object svg canvas textarea title head math xmp noembed noframes".split())
+RAW = frozenset("script style template noscript iframe object svg canvas textarea title head xmp noembed noframes".split())
 TO_THE_END = frozenset(("script", "style"))
-DROPPED = frozenset("nav aside footer form menu select button dialog input label fieldset".split()) | RAW
+DROPPED = frozenset("nav aside footer menu select button dialog input".split()) | RAW
+WRAPPERS = frozenset(("form", "fieldset"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CONTAINERS = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-_WORDS = r"(?i)(?:^|[\s_-])(?:{})(?:$|[\s_-])"
-NOISE = re.compile(_WORDS.format(r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|masthead|site-header|page-header|topbar|comments?|commentlist|disqus|respond|replies|outbrain|taboola"))
-DOUBTFUL = re.compile(_WORDS.format(r"banner|promo\w*|alert|widget|toolbar|discussion|share|sharing|social|related|recommend\w*|trending|tags|tagcloud|search|skip|hidden"))
+_NOISE = r"ads?|advert\w*|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|masthead|site-header|page-header|topbar|outbrain|taboola"
+_COMMENTS = r"comments?|commentlist|disqus|respond|replies"
+_PART = r"(?i)(?:^|[_-])(?:{})(?:$|[_-])"
+NOISE = re.compile(rf"(?i)(?:{_NOISE}|{_COMMENTS})")
+NOISE_PART, COMMENTS_PART = re.compile(_PART.format(_NOISE)), re.compile(_PART.format(_COMMENTS))
+SAYS_NOTHING = re.compile(r"(?i)(?:no|not|non|has|have|with|without|is|hide|show)[_-]")
+DOUBTFUL = re.compile(r"(?i)(?:^|[\s_-])(?:banner|promo\w*|alert|widget|toolbar|discussion|share|sharing|social|related|recommend\w*|trending|tags|tagcloud|search|skip|hidden)(?:$|[\s_-])")
 COMMENT = re.compile(r"(?i)(?:^|\s)(?:comment|comment-(?:body|item|content)|reply)(?:\s|$)")
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _STOP = re.compile(r"=\s*+[\"']|>")
 _ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*+:\s*+none|aria-hidden\s*+=\s*+[\"']?true")
+_BARE_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|/|$)")
+_NO_DISPLAY = re.compile(r"(?i)display\s*+:\s*+none")
+
+
+def _hides(key: str, value: str) -> bool:
+    return key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.lower() == "true" or key == "style" and bool(_NO_DISPLAY.search(value))
 
 
 def _kind(name: str, attributes: str, contained: bool) -> str:
-    """What an element is: "noise", "doubtful" or "" (neither)."""
+    """What an element is: "noise", "wrapper" or "comments" (noise unless it holds the main text), "doubtful" or ""."""
     if name in DROPPED or name == "header" and not contained:
         return "noise"
+    found = "wrapper" if name in WRAPPERS else ""
     if not attributes or name in ("html", "body"):
-        return ""
-    if _HIDDEN.search(attributes):
+        return found
+    if "idden" in attributes and _BARE_HIDDEN.search(_ATTRIBUTE.sub(" ", attributes)):
         return "noise"
-    found = ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
+        if _hides(key, value):
+            return "noise"
         if name in CONTAINERS:
             if key == "class" and COMMENT.search(value):
                 return "noise"
-        elif key == "role" and value.lower() in ROLES or key in ("class", "id") and NOISE.search(value):
+        elif key == "role" and value.lower() in ROLES:
             return "noise"
-        elif key in ("class", "id") and DOUBTFUL.search(value):
-            found = "doubtful"
+        elif key in ("class", "id"):
+            for word in value.split():
+                if NOISE.fullmatch(word):
+                    return "noise"
+                if SAYS_NOTHING.match(word):
+                    continue
+                if COMMENTS_PART.search(word):
+                    found = "comments"
+                elif NOISE_PART.search(word) and found != "comments":
+                    found = "wrapper"
+            if not found and DOUBTFUL.search(value):
+                found = "doubtful"
     return found
 
 
@@ -95,6 +122,11 @@ class Line:
     tag: str  # of its block, and the number of that block's parent
     parent: int
     doubtful: int  # number of the outermost element of a doubtful class, 0 for none
+    wrapped: tuple[tuple[int, str], ...] = ()  # elements that are noise unless they hold the main text: number, and "comments", "inner" (in a container) or ""
+
+    @property
+    def prose(self) -> int:
+        return max(0, len(self.text) - self.links)
 
 
 def _tag_end(page: str, at: int, absent: set[str]) -> int:
@@ -114,13 +146,14 @@ def _tag_end(page: str, at: int, absent: set[str]) -> int:
 
 
 def lines_of(page: str) -> list[Line]:
-    """The lines of the page that aren't inside noise."""
+    """The lines of the page that aren't inside what is noise whatever it holds."""
     lines: list[Line] = []
     buffer: list[str] = []
     stack: list[tuple[str, str, bool]] = []  # name, kind, opens a container
     open_names: Counter[str] = Counter()
     blocks: list[tuple[str, int]] = [("body", 0)]  # name and number of the open block elements
     doubts: list[int] = []
+    wraps: tuple[tuple[int, str], ...] = ()
     noise = inside = links = link_chars = number = 0
     place = blocks[-1][0], 0
     absent: set[str] = set()
@@ -138,19 +171,23 @@ def lines_of(page: str) -> list[Line]:
         nonlocal link_chars
         if buffer:
             if text := " ".join(entities.unescape("".join(buffer)).split()):
-                lines.append(Line(text, inside > 0, link_chars, *place, doubts[0] if doubts else 0))
+                lines.append(Line(text, inside > 0, link_chars, *place, doubts[0] if doubts else 0, wraps))
             buffer.clear()
         link_chars = 0
 
     def leave() -> str:
-        nonlocal noise, inside, links
+        nonlocal noise, inside, links, wraps
         name, kind, container = stack.pop()
         open_names[name] -= 1
         if name in BLOCKS:
             end_line()
             blocks.pop()
+        elif kind in ("wrapper", "comments"):
+            end_line()  # its text ends with it, though it is no block
         if kind == "doubtful":
             doubts.pop()
+        if kind in ("wrapper", "comments"):
+            wraps = wraps[:-1]
         noise -= kind == "noise"
         inside -= container
         links -= name == "a"
@@ -212,6 +249,9 @@ def lines_of(page: str) -> list[Line]:
             blocks.append((name, 0 if name in ("html", "body") else number))
         if kind == "doubtful":
             doubts.append(number)
+        if kind in ("wrapper", "comments"):
+            end_line()
+            wraps = (*wraps, (number, kind if kind == "comments" else "inner" if inside and name not in WRAPPERS else ""))
         noise += kind == "noise"
         inside += container
         links += name == "a"
@@ -221,23 +261,50 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
+def unwrapped(lines: list[Line]) -> list[Line]:
+    """Without the lines of wrappers that don't hold over half of the main prose (three quarters for classes inside a container, where
+    adverts stand); a comment section only holds it by a container."""
+    if not any(x.wrapped for x in lines):
+        return lines
+    contained = any(x.inside for x in lines)
+    main = [x for x in lines if x.inside or not contained]
+    held: Counter[tuple[int, str]] = Counter()
+    for x in main:
+        for wrap in x.wrapped:
+            held[wrap] += x.prose
+    total = sum(x.prose for x in main)
+    stays = {(n, kind) for (n, kind), chars in held.items() if chars > total * (0.75 if kind == "inner" else 0.5) and (contained or kind != "comments")}
+    return [x for x in lines if stays.issuperset(x.wrapped)]
+
+
 def _runs(flags: np.ndarray) -> np.ndarray:
     """(first, behind the last) of each run of true flags."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     return edges.reshape(-1, 2)
 
 
+def _decides(lines: list[Line], length: np.ndarray, linked: np.ndarray, inside: np.ndarray, surge: int) -> bool:
+    """Whether the page's containers hold its main text: not where more prose stands outside, as beside a teaser."""
+    return bool(inside.any()) and bool(length[inside].sum() >= length[~inside & ~linked & (length >= surge)].sum())
+
+
+def _dives(weights: np.ndarray, window: int) -> np.ndarray:
+    """Lines that a window without any weight covers."""
+    padded = np.concatenate([np.ones(window - 1, np.int64), weights, np.ones(window - 1, np.int64)])
+    empty = np.convolve(padded, np.ones(window, np.int64), "valid") == 0
+    return np.convolve(empty, np.ones(window, np.int64), "full")[window - 1 : window - 1 + weights.size] > 0
+
+
 def weights_of(lines: list[Line], window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
     """What each line weighs, by its length and its tags."""
     length = np.array([len(x.text) for x in lines])
     linked = np.array([2 * x.links >= len(x.text) for x in lines])
-    contained = any(x.inside for x in lines)
-    if contained:
-        inside = np.array([x.inside for x in lines])
-        menu = np.zeros(len(lines), dtype=bool)
+    inside = np.array([x.inside for x in lines])
+    if _decides(lines, length, linked, inside, surge):
+        out = np.where(inside, length, 0)
         for low, high in _runs(linked & inside):
-            menu[low:high] = high - low >= window and high - low < np.count_nonzero(inside)
-        out = np.where(inside & ~menu, length + surge, 0)
+            if length[low:high].mean() < SHORT and high - low < np.count_nonzero(inside):
+                out[low:high] = 0
     else:
         out = np.where(linked, 0, length)
     whose = np.array([x.doubtful for x in lines])
@@ -279,19 +346,23 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The page's main text by the distribution of its lines' weights."""
     if not page:
         return ""
-    lines = lines_of(page) if "<" in page else [Line(" ".join(entities.unescape(x).split()), False, 0, "p", 0, 0) for x in page.splitlines() if x.strip()]
+    lines = unwrapped(lines_of(page)) if "<" in page else [Line(" ".join(entities.unescape(x).split()), False, 0, "p", 0, 0) for x in page.splitlines() if x.strip()]
     if not lines:
         return ""
     weights = weights_of(lines, window, surge)
     keep = np.zeros(len(lines), dtype=bool)
+    # Inside a container that has a block, all but the dives is text: also its short lines, and a few links between paragraphs.
+    marked = np.array([x.inside and not x.doubtful for x in lines]) & ~_dives(weights, window)
     for low, high in text_blocks(weights, window, surge):
         first, last = lines[low], lines[high - 1]
         while low and weights[low - 1] and _belongs(lines[low - 1], first):
             low -= 1
         while high < len(lines) and weights[high] and _belongs(lines[high], last):
             high += 1
-        keep[low:high] = True
-    return " ".join(x.text for x, kept, weight in zip(lines, keep, weights, strict=True) if kept and weight)
+        keep[low:high] = weights[low:high] > 0
+        if first.inside:
+            keep |= marked
+    return " ".join(x.text for x, kept in zip(lines, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -257,3 +257,63 @@ def test_random_pages_never_fail():
     for _ in range(2000):
         page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
         assert main_text.main_text(page) == " ".join(main_text.main_text(page).split())
+
+
+_LONG = "This sentence of the article goes on for a good while, and then some more words follow it. " * 2
+_PROSE = _LONG.strip()
+_ARTICLE = f"<article><h1>T</h1><p>{_LONG}</p><p>{_LONG}</p></article>"
+_WHOLE = f"T {_PROSE} {_PROSE}"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        *[(f'<div {about}>{_ARTICLE}</div>', _WHOLE) for about in ('class="content no-sidebar"', 'class="post has-comments"', 'class="layout sidebar-right"', 'id="public-notice-text"', 'class="page-with-nav two"')],
+        (f"<form action=x>{_ARTICLE}<input name=q></form>", _WHOLE),
+        (f"<body><form><div>{_LONG}</div><p>{_LONG}</p></form></body>", f"{_PROSE} {_PROSE}"),
+        (f"<article><h1>T</h1><fieldset><p>{_LONG}</p><p>{_LONG}</p></fieldset></article>", _WHOLE),
+        (f"{_ARTICLE}<form><p>Your name and address, please, and what you think of this.</p></form>", _WHOLE),
+        (f'<article><h1>T</h1><p title="a hidden gem">{_LONG}</p><p class="not hidden here" data-x="display: none">{_LONG}</p></article>', _WHOLE),
+        *[(f"<article><h1>T</h1><p>{_LONG}</p><p {how}>{_LONG}</p><p>{_LONG}</p></article>", _WHOLE) for how in ("hidden", 'hidden=""', "class=x hidden", 'style="color: red; display:none"', 'aria-hidden="true"')],
+        (f"<body><div><p>{_LONG}</p><p>{_LONG}</p><p>{_LONG}</p></div><footer>End</footer><div><article><div>Teaser</div></article></div></body>", " ".join([_PROSE] * 3)),
+        (f"<article><h1>T</h1><p>{_LONG}</p><ul>" + "".join(f"<li><a href={i}>Source number {i} of this article</a></li>" for i in range(3)) + f"</ul><p>{_LONG}</p></article>", f"T {_PROSE} " + "".join(f"Source number {i} of this article " for i in range(3)) + _PROSE),
+        (f"<article><h1>T</h1><ul><li><a href=1>Home</a></li><li><a href=1>Shop</a></li><li><a href=1>About us</a></li></ul><p>{_LONG}</p><p>{_LONG}</p></article>", _WHOLE),
+        (f"<article><h1>T</h1><p>{_LONG}</p><p><a href=1>One link</a></p><p>{_LONG}</p></article>", f"T {_PROSE} One link {_PROSE}"),
+        (f"<article><h1>T</h1><p>{_LONG}</p><p>{_LONG} <math><mi>x</mi><mo>=</mo></math> <label>Label</label></p></article>", f"{_WHOLE} x= Label"),
+        (f'{_ARTICLE}<div id="comments-area"><article class="comment"><p>{_LONG * 9}</p></article></div>', _WHOLE),
+        (f'<body><p>{_LONG}</p><div class="comments-area"><p>{_LONG * 9}</p></div></body>', _PROSE),
+        (f'{_ARTICLE}<div class="sidebar-right"><article><p>Teaser here</p></article></div><div class="cookie-banner"><p>{_LONG * 9}</p></div>', _WHOLE),
+        (f'<article><h1>T</h1><p>{_LONG}</p><div class="ad-box"><p>{_LONG}</p></div><p>{_LONG}</p></article>', _WHOLE),
+    ],
+)
+def test_wrappers_of_the_main_text_are_no_noise(page, text):
+    assert main_text.main_text(page) == text
+
+
+def test_pages_made_of_known_parts():
+    """Random pages: what was put in as the article comes out, whole and in order, whatever stands about it."""
+    draw = random.Random(8)
+    words = "river stone quiet morning letter window garden travel nobody seven number people carry".split()
+    say = lambda n: (" ".join(draw.choice(words) for _ in range(n)) + ".").capitalize()
+    noise = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{draw.choice(words)}</a></li>' for i in range(draw.randrange(1, 6)))}</ul></nav>",
+        lambda: f"<aside><p>{say(20)}</p></aside>",
+        lambda: f'<div class="{draw.choice(("sidebar", "cookie-banner", "ad-slot", "newsletter", "site-footer"))}"><p>{say(30)}</p></div>',
+        lambda: f"<script>var x = '<p>{say(9)}</p>';</script><!-- {say(9)} -->",
+        lambda: f'<form><label>{say(2)}</label><input name=a></form>',
+        lambda: f'<section class="comments"><div class="comment"><p>{say(40)}</p></div></section>',
+    ]
+    for _ in range(150):
+        text = [say(60)]
+        parts = [f"<p>{text[0]}</p>"]
+        for _ in range(draw.randrange(1, 8)):
+            n = draw.choice((2, 4, 25, 40))
+            tag, line = draw.choice(("p", "h2", "li", "blockquote", "div")), say(n)
+            parts.append(f"<{tag}>{line}</{tag}>")
+            text.append(line)
+            if draw.random() < 0.3:
+                parts.append(draw.choice(noise)())
+        wrap = draw.choice(("{}", '<div class="no-sidebar">{}</div>', "<form>{}</form>", '<div id="main-nav-layout">{}</div>'))
+        around = ["".join(draw.choice(noise)() for _ in range(draw.randrange(3))) for _ in range(2)]
+        page = f"<html><body>{around[0]}{wrap.format('<article>' + ''.join(parts) + '</article>')}{around[1]}</body></html>"
+        assert main_text.main_text(page) == " ".join(text), page
