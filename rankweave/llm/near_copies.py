@@ -9,7 +9,8 @@ Plan. (1) Texts of equal sets are one node. (2) Under any one order of shingles,
 one among their first n - ceil(0.8 n) + 1. The order is by hash, shingles that many texts have last, so common
 lines seldom bring unlike texts together; they are counted in a pass over all texts. Nodes that share a prefix
 shingle are a group; the group of a shingle that more than ``BLOCK`` texts have is dealt out as pairs of its
-chunks, so no task gets more than two chunks of one. (3) A node carries parity bits, 256 in the search and two a shingle after
+chunks, so no task gets more than two chunks of one: frequent shingles as they are counted, any other one whose group is
+over three times that large, by the nodes of one in ``COUNTED`` (an estimate that decides how work is dealt, and no result). (3) A node carries parity bits, 256 in the search and two a shingle after
 it, each that of the shingles hashed to it. Sets that differ in d shingles differ in d parity bits at most, and 0.8 allows (n1 + n2) / 9:
 pairs beyond that budget are dropped, which loses none. (4) First each node of a group goes with the nearest
 earlier one alone, at most one pair a row, and these and the trie's links are compared: dense groups become
@@ -42,7 +43,9 @@ SHINGLE = 5
 OFTEN = 3e-4
 #: Nodes of one chunk of a group.
 BLOCK = 4096
-#: Nodes whose ids are broadcast at most.
+#: A node in so many counts for the size of groups; nodes are digests.
+COUNTED = 64
+#: Nodes or shingles whose ids are broadcast at most.
 BROADCAST = 200_000
 _WORDS = 4  # of 64 parity bits
 _BITS = tuple(f"b{i}" for i in range(_WORDS))
@@ -166,6 +169,20 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in new) + ", bits array<long>, head array<long>")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(s, node) with the groups of crowded shingles dealt out: a node goes under the pairs of its chunk with every chunk."""
+    sample = rows.filter(F.pmod("node", F.lit(COUNTED)) == 0).groupBy("s").agg((F.count("*") * COUNTED).alias("size"))
+    chunks = F.ceil(F.col("size") * 1.25 / BLOCK).cast("int")
+    crowded = materialize(sample.filter(F.col("size") > 3 * BLOCK).select("s", chunks.alias("chunks")), "crowded")
+    n = crowded.count()
+    if not n:
+        return rows
+    placed = rows.join(F.broadcast(crowded) if n <= BROADCAST else crowded, "s", "left")
+    own, other = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.col("other")
+    each = placed.select("s", "node", "chunks", F.when(F.col("chunks").isNotNull(), own).alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks") - 1, F.lit(0)))).alias("other"))
+    return each.select(F.when(F.col("chunks").isNull(), F.col("s")).otherwise(F.xxhash64("s", F.least("own", other), F.greatest("own", other))).alias("s"), "node")
+
+
 def _grouped(rows: DataFrame, each, schema: str, *order: str) -> DataFrame:
     """``each`` over whole runs of equal ``s``: arrays of all columns of one or more groups, sorted."""
     dealt = rows.repartition("s").sortWithinPartitions("s", *order)
@@ -310,7 +327,7 @@ def _named(docs: DataFrame) -> DataFrame:
     nodes = materialize(marked.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("first"), *[F.min(c).alias(c) for c in ("n", "fp", "bits", *_BITS)]), "nodes")
     rows = marked.filter("head IS NOT NULL").select(F.explode("head").alias("s"), "node")
     small_batches(spark, 65536)
-    shared = _grouped(rows, _shared, "s long, node long", "node")
+    shared = _grouped(_dealt(rows), _shared, "s long, node long", "node")
     placed = materialize(shared.join(nodes.select("node", "n", *_BITS), "node"), "shared")
     wide = lambda root: (F.col("s"), F.col("n"), F.col("node"), root.alias("root"), *map(F.col, _BITS))
     pair, order = "a long, b long", ("n", "node")

@@ -94,3 +94,37 @@ def test_stage_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want, links = smallest([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert links and sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).select("doc_id").collect()) == want
+
+
+def test_every_crowded_group_is_dealt_out(spark, monkeypatch):
+    """One shingle that 20,000 nodes share, rare by its share of texts: no group over two chunks is left, all pairs still meet, other groups stay as they are."""
+    monkeypatch.setattr(near_copies, "BLOCK", 1000)
+    nodes = [int(x) for x in np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000)]
+    rows = spark.createDataFrame([(5, n) for n in nodes] + [(6, n) for n in nodes[:900]] + [(i + 100, nodes[i]) for i in range(50)], "s long, node long")
+    dealt = near_copies._dealt(rows)
+    found = {}
+    for r in dealt.collect():
+        found.setdefault(r.s, set()).add(r.node)
+    assert found.pop(6) == set(nodes[:900]) and all(found.pop(i + 100) == {nodes[i]} for i in range(50))
+    assert 5 not in found and max(map(len, found.values())) < 2400
+    held = {}
+    for s, group in found.items():
+        for n in group:
+            held.setdefault(n, set()).add(s)
+    rng = random.Random(2)
+    assert all(held[a] & held[b] for a, b in (rng.sample(nodes, 2) for _ in range(3000)))
+    assert near_copies._dealt(rows.filter("s <> 5")).count() == 950
+
+
+@pytest.mark.parametrize("often", [0.9, 1e-9])
+def test_dealt_groups_lose_no_link(spark, monkeypatch, often):
+    monkeypatch.setattr(near_copies, "OFTEN", often)
+    monkeypatch.setattr(near_copies, "BLOCK", 6)
+    monkeypatch.setattr(near_copies, "COUNTED", 1)
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(6)]
+    line = "all of these texts share one and the same rather long line of words"
+    rows = list(enumerate([f"{edited(rng, b, rng.randint(0, 4))} {line}" for b in base for _ in range(20)]))
+    want, links = smallest(rows)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert links > 30 and sorted(r.doc_id for r in kept.collect()) == want
