@@ -642,3 +642,50 @@ def test_common_phrases_join_nothing_but_leaks(spark):
     got = sorted((r.doc_id, r.item_id, r.coverage) for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), benchmark, common=5).collect())
     every = sorted((r.doc_id, r.item_id, r.coverage) for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), benchmark).collect())
     assert got == every and [g[:2] for g in got] == [(0, 99), (1, 3), (1, 99), (2, 7), (2, 99)]
+
+
+def test_items_of_one_pattern_are_judged_once(spark):
+    """5,000 items of one pattern and 1,000 texts: no row for every pair, and each text still names what it holds."""
+    name = lambda n: "".join("ABCDEFGHIJ"[int(c)] if i == 0 else "abcdefghij"[int(c)] for i, c in enumerate(f"{n:04}"))
+    question = "what is the capital of the old province {} and which long river runs through it today"
+    items = [(n, question.format(name(n))) for n in range(5000)]
+    texts = [f"so {question.format(name(n) if n % 2 else 'Zzz' + name(n).lower())} then" for n in range(1000)]
+    docs, benchmark = documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench(spark, items)
+    kinds, _ = leaks._sought(leaks._items(benchmark))
+    assert kinds.count() == 1 and leaks.item_windows(kinds).count() < 40
+    assert leaks._met(leaks._keyed(docs), leaks.item_windows(kinds)).count() == 1000
+    got = {(r.doc_id, r.item_id, r.changed, r.n_items) for r in leaks.leaks(docs, benchmark).collect()}
+    assert got == {(n, n if n % 2 else 0, n % 2 == 0, 5000) for n in range(1000)}
+    assert {tuple(r) for r in leaks.classes(benchmark).collect()} == {(n, 0) for n in range(5000)}
+
+
+def test_names_of_any_number_of_words_match_brute_force(spark):
+    """Every occurrence of a name becomes one of one to three words, in words before and after it; found, whole, if one assignment explains all."""
+    rng = random.Random(31)
+    names = ["Paris", "New York", "Rio de Janeiro".title(), "Oslo", "San Marino City", "Los Angeles"]
+    word = lambda: f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}"
+    items, texts, want = [], [], []
+    for k in range(20):
+        body = [word() for _ in range(24)]
+        for at, slot in zip(sorted(rng.sample(range(2, 22, 3), 4)), "XYXZ", strict=True):
+            body[at] = slot
+        fill = lambda x, y, z, again=None: " ".join({"X": x if i < body[::-1].index("Z") or again is None else again, "Y": y, "Z": z}.get(w, w) for i, w in enumerate(body))  # noqa: E731, B023
+        items.append((k, fill("Anna", "Bert", "Carl")))
+        for _ in range(4):
+            x, y, z = rng.sample(names, 3)
+            want.append((len(texts), k, 1.0))
+            texts.append(f"before this {fill(x, y, z)} after that")
+    out = {(r.doc_id, r.item_id): r for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench(spark, items)).collect()}
+    assert set(out) == {(d, k) for d, k, _ in want} and all(out[d, k].coverage == c and out[d, k].changed for d, k, c in want)
+    (item,) = [[(0, "the town of Anna lies north of Bert while the road to Anna passes the mill and the hill")]]
+    same = "the town of New York lies north of Oslo while the road to New York passes the mill and the hill"
+    other = same.replace("road to New York", "road to San Marino")
+    rows = {r.doc_id: r.coverage for r in leaks.leaks(documents(spark, [(0, same, "a"), (1, other, "a")]), bench(spark, item)).collect()}
+    assert rows[0] == 1 and rows.get(1, 0) < 1
+
+
+def test_number_words_are_numbers(spark):
+    item = "if sixty boxes hold twenty one red balls each then how many balls do all sixty boxes hold"
+    texts = [item.replace("sixty", "60"), item.replace("sixty", "forty five").replace("twenty one", "300"), item.replace("twenty one", "21"), item.replace("all sixty", "all 60"), item.replace("all sixty", "all 61")]
+    out = {r.doc_id: (r.coverage == 1, r.changed) for r in leaks.leaks(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), bench(spark, [(1, item)])).collect()}
+    assert {d: out[d] for d in range(4)} == {0: (True, False), 1: (True, True), 2: (True, False), 3: (True, False)} and not out.get(4, (False,))[0]
