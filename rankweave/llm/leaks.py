@@ -179,8 +179,8 @@ def _value(words: list[str]) -> str:
 
 
 def _pairs(own: list[str], theirs: list[str]) -> set[tuple[str, str]]:
-    """Which value stands for which: word by word in runs of one length, else run for run."""
-    if len(own) == len(theirs):
+    """Which value stands for which: word by word in names of one length, else run for run."""
+    if len(own) == len(theirs) and own[0].lower() not in NUMBERS:
         return {(_value([a]), _value([b])) for a, b in zip(own, theirs, strict=True)}
     return {(_value(own), _value(theirs))}
 
@@ -282,8 +282,13 @@ def _agreeing(own: Laid, text: Laid, along: np.ndarray, named: int | None) -> Ju
         pairs = set()
         for _, a, b in own.slots:
             if a < last and b > place:
-                a, b = max(a, place), min(b, last)
-                pairs |= _pairs(own.words[a:b], text.words[a + shift : b + shift])
+                if own.ids[_PLAIN, a] == _NUMBER:  # the whole number, whatever of it the window covers
+                    run = int(np.searchsorted(text.begins, a + shift, "right")) - 1
+                    c, d = int(text.begins[run]), int(text.ends[run])
+                else:
+                    a, b = max(a, place), min(b, last)
+                    c, d = a + shift, b + shift
+                pairs |= _pairs(own.words[a:b], text.words[c:d])
         agree(pairs, place, last)
     first, last = (0, 0) if named is None else (max(0, -named), min(own.begins.size, text.begins.size - named))
     if own.named_used.size and last - first >= own.named_size:
