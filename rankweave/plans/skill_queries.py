@@ -266,15 +266,31 @@ def unknown_parent(spark: SparkSession, d: str) -> DataFrame:
     return ontology.unknown_parents(edges, table(spark, d, "region").select(F.col("r_name").alias("name")))
 
 
-@query(f"WITH {_EDGES}, {_CLOSURE} SELECT skill, ancestor, CAST(depth AS INT) AS depth FROM closure")
+_PART_SKILL = f"ps AS (SELECT p_partkey, name AS skill FROM part JOIN node ON p_partkey % {len(NODES)} = i)"
+
+
+def _part_skills(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", _brand_skill(F.col("p_partkey")).alias("skill"))
+
+
+def _of_ontology(found: DataFrame) -> DataFrame:
+    """What the ontology gives is bounded by its own size (23 names here, three hops at most), whatever the tables hold."""
+    return F.broadcast(found)
+
+
+@query(f"WITH {_NODE}, {_EDGES}, {_CLOSURE}, {_PART_SKILL} SELECT p_partkey, skill, ancestor, CAST(depth AS INT) AS depth FROM ps JOIN closure USING (skill)")
 def ancestor_closure(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.closure_of(ONTOLOGY.edge_table(spark))
+    """The skill of every part with all its ancestors."""
+    return _part_skills(spark, d).join(_of_ontology(ontology.closure_of(ONTOLOGY.edge_table(spark))), "skill").select("p_partkey", "skill", "ancestor", "depth")
 
 
-@query(f"WITH {_EDGES}, {_CLOSURE} SELECT ancestor AS skill, count(*) AS n_descendants, string_agg(skill, ',' ORDER BY skill) AS descendants FROM closure GROUP BY 1")
+@query(f"""WITH {_NODE}, {_EDGES}, {_CLOSURE}, {_PART_SKILL}, down AS (SELECT ancestor AS skill, count(*) AS n_descendants, string_agg(skill, ',' ORDER BY skill) AS descendants FROM closure GROUP BY 1)
+SELECT p_partkey, skill, n_descendants, descendants FROM ps JOIN down USING (skill)""")
 def descendant_closure(spark: SparkSession, d: str) -> DataFrame:
+    """The skill of every part that has descendants, with these."""
     up = ontology.closure_of(ONTOLOGY.edge_table(spark))
-    return up.groupBy(F.col("ancestor").alias("skill")).agg(F.count("*").alias("n_descendants"), F.array_join(F.array_sort(F.collect_list(F.col("skill"))), ",").alias("descendants"))
+    down = up.groupBy(F.col("ancestor").alias("skill")).agg(F.count("*").alias("n_descendants"), F.array_join(F.array_sort(F.collect_list(F.col("skill"))), ",").alias("descendants"))
+    return _part_skills(spark, d).join(_of_ontology(down), "skill").select("p_partkey", "skill", "n_descendants", "descendants")
 
 
 _GAP_HELD = f"h0 AS (SELECT DISTINCT o_custkey AS candidate_id, name AS skill FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN node ON l_partkey % {len(NODES)} = i WHERE l_quantity >= 48)"
@@ -313,19 +329,30 @@ def expand_skills(spark: SparkSession, d: str) -> DataFrame:
     return wide.groupBy("candidate_id").agg(F.count("*").alias("n_skills"), F.array_join(F.array_sort(F.collect_list("skill")), ",").alias("skills"))
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT a.child AS skill, b.child AS sibling FROM edge a JOIN edge b ON a.parent = b.parent AND a.child <> b.child")
+@query(f"""WITH {_NODE}, {_EDGES}, {_PART_SKILL}, sib AS (SELECT DISTINCT a.child AS skill, b.child AS sibling FROM edge a JOIN edge b ON a.parent = b.parent AND a.child <> b.child)
+SELECT p_partkey, skill, sibling FROM ps JOIN sib USING (skill)""")
 def siblings(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.siblings_of(ONTOLOGY.edge_table(spark))
+    """The skill of every part with those that share a parent with it."""
+    return _part_skills(spark, d).join(_of_ontology(ontology.siblings_of(ONTOLOGY.edge_table(spark))), "skill").select("p_partkey", "skill", "sibling")
+
+
+_LINE_SKILLS = f"ls AS (SELECT l_orderkey, l_linenumber, x.name AS a, y.name AS b FROM lineitem JOIN node x ON l_partkey % {len(NODES)} = x.i JOIN node y ON l_suppkey % {len(NODES)} = y.i)"
+
+
+def _line_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every line whose part's and supplier's skills are within three hops, and the way between them."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _brand_skill(F.col("l_partkey")).alias("a"), _brand_skill(F.col("l_suppkey")).alias("b"))
+    return lines.join(_of_ontology(ontology.paths_of(ONTOLOGY.edge_table(spark))), ["a", "b"])
 
 
-@query(f"WITH {_EDGES}, {_PATHS} SELECT a, b, CAST(hops AS INT) AS hops FROM paths")
+@query(f"WITH {_NODE}, {_EDGES}, {_PATHS}, {_LINE_SKILLS} SELECT l_orderkey, l_linenumber, a, b, CAST(hops AS INT) AS hops FROM ls JOIN paths USING (a, b)")
 def hop_distance(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.paths_of(ONTOLOGY.edge_table(spark)).select("a", "b", "hops")
+    return _line_paths(spark, d).select("l_orderkey", "l_linenumber", "a", "b", "hops")
 
 
-@query(f"WITH {_EDGES}, {_PATHS} SELECT a, b, path FROM paths")
+@query(f"WITH {_NODE}, {_EDGES}, {_PATHS}, {_LINE_SKILLS} SELECT l_orderkey, l_linenumber, a, b, path FROM ls JOIN paths USING (a, b)")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return ontology.paths_of(ONTOLOGY.edge_table(spark)).select("a", "b", F.array_join("path", ">").alias("path"))
+    return _line_paths(spark, d).select("l_orderkey", "l_linenumber", "a", "b", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""WITH {_NODE}, {_EDGES}, {_PATHS}, {_GAP_HELD}
