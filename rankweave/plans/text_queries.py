@@ -209,10 +209,15 @@ _CASES = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {y}::DOUBLE, {g}, '{e}', '{n}')" for i, (_, y, g, e, n) in enumerate(_CASES)) + ") AS c(id, years, degree, email, name)")
+_CASE_ROWS = ", ".join(f"({i}, {y}::DOUBLE, {g}, '{e}', '{n}')" for i, (_, y, g, e, n) in enumerate(_CASES))
+
+
+@query(f"SELECT o_orderkey AS id, years, degree, CASE WHEN email = '' THEN 'clerk' || o_custkey || '@example.net' ELSE email END AS email, name FROM orders JOIN (VALUES {_CASE_ROWS}) AS c(i, years, degree, email, name) ON o_orderkey % {len(_CASES)} = i")
 def extraction_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Hand-made texts; the answers in the SQL were worked out by hand. "Present" is January 2100."""
-    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(_CASES)], "id int, text string")
+    """Hand-made texts, each signed by the customer of an order; the facts in the SQL were worked out by hand. "Present" is January 2100."""
+    texts = F.element_at(F.array(*[F.lit(c[0]) for c in _CASES]), (_C("o_orderkey") % len(_CASES) + 1).cast("int"))
+    signed = F.concat(texts, F.lit("\nwritten by clerk"), _C("o_custkey").cast("string"), F.lit("@example.net"))
+    rows = table(spark, d, "orders").select(_C("o_orderkey").alias("id"), signed.alias("text"))
     years = F.round(tx.experience_years(_C("text"), F.lit(2100 * 12 + 1)), 2)
     return rows.select("id", years.alias("years"), tx.degree(_C("text")).alias("degree"), tx.email(_C("text")).alias("email"), tx.person_name(_C("text")).alias("name"))
 
@@ -782,30 +787,38 @@ def implicit_rewrite(spark: SparkSession, d: str) -> DataFrame:
 _GRADES = ", ".join(f"('{r.key}', '{a}')" for r in corpus.ROLES for a in r.adjacent)
 
 
-@query(f"""WITH role(r) AS (VALUES {', '.join(f"('{r.key}')" for r in corpus.ROLES)}), tier(t, n) AS (VALUES (3, 4), (2, 5), (1, 5)), adj(role, job) AS (VALUES {_GRADES}),
-m AS (SELECT r || '_t' || t || '_' || lpad(i::VARCHAR, 3, '0') AS candidate_id, r, t FROM role, tier, range(0, 5) g(i) WHERE i < n),
-every AS (SELECT * FROM m UNION ALL SELECT candidate_id || '_' || a, r, t FROM m, (VALUES ('keyword_block'), ('hidden_text'), ('repetition')) x(a) WHERE t = 1 AND candidate_id[-1:] < '3')
-SELECT j.r AS job_id, candidate_id, CASE WHEN e.r = j.r THEN t WHEN t = 3 AND adj.job IS NOT NULL THEN 1 ELSE 0 END AS grade FROM every e CROSS JOIN role j LEFT JOIN adj ON adj.role = e.r AND adj.job = j.r""")
+@query(f"""WITH role(i, r) AS (VALUES {', '.join(f"({i}, '{r.key}')" for i, r in enumerate(corpus.ROLES))}), adj(role, job) AS (VALUES {_GRADES}),
+m AS (SELECT c_custkey::VARCHAR AS candidate_id, r, 1 + c_nationkey % 3 AS t FROM customer JOIN role ON c_custkey % {len(corpus.ROLES)} = i)
+SELECT j.r AS job_id, candidate_id, CAST(CASE WHEN m.r = j.r THEN t WHEN t = 3 AND adj.job IS NOT NULL THEN 1 ELSE 0 END AS INT) AS grade FROM m CROSS JOIN role j LEFT JOIN adj ON adj.role = m.r AND adj.job = j.r""")
 def corpus_labels(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.generate(spark)[2]
+    """Every customer as a resume of a role and a tier, graded for each job."""
+    role = F.element_at(F.array(*[F.lit(r.key) for r in corpus.ROLES]), (_C("c_custkey") % len(corpus.ROLES) + 1).cast("int"))
+    meta = table(spark, d, "customer").select(_C("c_custkey").cast("string").alias("candidate_id"), role.alias("role"), (1 + _C("c_nationkey") % 3).cast("int").alias("tier"))
+    return corpus.labels(meta, corpus.jobs(spark), corpus.adjacency(spark)).withColumn("grade", _C("grade").cast("int"))
 
 
-def _screened(spark: SparkSession, explainer=None) -> DataFrame:
+def _screened(spark: SparkSession, d: str, explainer=None) -> DataFrame:
+    """Suppliers as resumes, regions as jobs, through the whole pipeline; a fifth of the resumes carries hidden text."""
     from rankweave.plans import pipeline
 
-    rows, jobs, _ = corpus.generate(spark)
+    key, names = _C("s_suppkey"), F.array(*[F.lit(n) for n in sorted(ONTOLOGY.nodes)])
+    skill = lambda n: F.element_at(names, (n % F.size(names) + 1).cast("int"))
+    years = F.concat_ws("", F.lit("Jan "), (2010 + key % 9).cast("string"), F.lit(" - Dec "), (2015 + key % 9).cast("string"))
+    text = F.concat_ws("\n", F.translate("s_name", "#", " "), F.lit("SKILLS"), F.concat_ws(", ", skill(key), skill(key * 3 + 1), skill(key * 7 + 2)), F.lit("EXPERIENCE"), years, F.concat(F.lit("- built services with "), skill(key)), F.concat(F.lit("- ran "), skill(key * 3 + 1), F.lit(" for the region")), F.lit("EDUCATION"), F.lit("Bachelor of Science"))
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("candidate_id"), text.alias("text"), F.when(key % 5 == 0, F.concat_ws(" ", names)).otherwise("").alias("hidden"))
     docs = rows.select("candidate_id", F.concat("candidate_id", F.lit(".txt")).alias("path"), "text", corpus.spans(_C("text"), _C("hidden")).alias("spans"), F.array(F.lit(0xFFFFFF)).alias("page_backgrounds"))
-    resumes = pipeline.build_resumes(docs, ONTOLOGY, as_of=2024 * 12 + 12)
-    wanted = pipeline.build_jobs(jobs.select("job_id", "title", "text"), ONTOLOGY)
-    return pipeline.screen(resumes, wanted, ONTOLOGY, explainer, skill_method="grounded")
+    at = _C("r_regionkey")
+    wanted = F.concat_ws("\n", F.concat(F.lit("Engineer for "), "r_name"), F.lit("Requirements"), F.lit("3+ years of experience"), F.concat(F.lit("- "), skill(at * 4)), F.concat(F.lit("- "), skill(at * 5 + 1)), F.lit("Nice to have"), F.concat(F.lit("- "), skill(at * 2 + 3)))
+    jobs = table(spark, d, "region").select(F.lower("r_name").alias("job_id"), F.concat(F.lit("Engineer for "), "r_name").alias("title"), wanted.alias("text"))
+    return pipeline.screen(pipeline.build_resumes(docs, ONTOLOGY, as_of=2024 * 12 + 12), pipeline.build_jobs(jobs, ONTOLOGY), ONTOLOGY, explainer, skill_method="grounded")
 
 
 @query()
 def screened_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The synthetic corpus, ranked by the whole pipeline and explained."""
+    """All suppliers for all regions, ranked by the whole pipeline and explained."""
     from rankweave.operators.explain import TemplateExplainer
 
-    ranked = _screened(spark, TemplateExplainer())
+    ranked = _screened(spark, d, TemplateExplainer())
     return ranked.select("job_id", "candidate_id", "rank", r6("total").alias("total"), _C("integrity.flagged").alias("flagged"), "explanation")
 
 
@@ -814,7 +827,7 @@ def dashboard_rows(spark: SparkSession, d: str) -> DataFrame:
     """The same ranking in the columns of the dashboard."""
     from rankweave.plans import pipeline
 
-    return pipeline.dashboard(_screened(spark))
+    return pipeline.dashboard(_screened(spark, d))
 
 
 @query("SELECT s_name || '.txt' AS path, s_name || chr(10) || 'balance ' || s_acctbal::VARCHAR AS text, 'txt' AS source_format, 2::INT AS n_spans FROM supplier")

@@ -61,3 +61,13 @@ def test_every_supplier_is_loaded(spark, tmp_path):
     spark.createDataFrame(rows, "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     out = QUERIES["load_files"](spark, str(tmp_path)).collect()
     assert sorted((r.path, r.text, r.source_format, r.n_spans) for r in out) == [(f"{n}.txt", f"{n}\nbalance {b}", "txt", 2) for _, n, b in rows]
+
+
+def test_the_pipeline_ranks_every_supplier_for_every_region(spark, base):
+    """Hidden text, which every fifth resume has, is found in these, and each region's list is whole."""
+    rows = QUERIES["screened_corpus"](spark, DIR).select("job_id", "candidate_id", "rank", "flagged").collect()
+    keys = [k for (k,) in base.execute("SELECT s_suppkey FROM supplier").fetchall()]
+    regions = [r for (r,) in base.execute("SELECT lower(r_name) FROM region").fetchall()]
+    assert sorted((r.job_id, r.candidate_id) for r in rows) == sorted((j, f"s{k}") for j in regions for k in keys)
+    assert all(sorted(r.rank for r in rows if r.job_id == j) == list(range(1, len(keys) + 1)) for j in regions)
+    assert {r.candidate_id for r in rows if r.flagged} == {f"s{k}" for k in keys if k % 5 == 0}
