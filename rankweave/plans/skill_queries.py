@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankweave.config import DEFAULT_GATE, DEFAULT_WEIGHTS
@@ -74,34 +74,57 @@ def _tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pairs(spark: SparkSession, d: str, most: int = bitsets.MAX_SKILLS) -> DataFrame:
-    """Every customer with every supplier that requires something: job_id, candidate_id, years, both (required names held), wished (preferred
-    ones held), n_req, n_pref, n_held. Sets are bits up to ``most`` names, arrays of names beyond."""
+#: Numbers of all jobs' sets that are broadcast at most (8 bytes each), and names where sets are arrays.
+_MOST_NUMBERS, _MOST_NAMES = 4_000_000, 500_000
+
+
+def _sides(spark: SparkSession, d: str, most: int = bitsets.MAX_SKILLS) -> tuple[DataFrame, list[str], DataFrame, list[str], dict[str, Column]]:
+    """Customers (candidate_id, years, sets), suppliers that require something (job_id, sets), the columns of both sides' sets, and the counts of a
+    pair: both (required names held), wished (preferred ones held), n_req, n_pref, n_held. Sets are bits up to ``most`` names, sorted arrays of names beyond."""
     lines = _named_lines(spark, d).select("l_orderkey", F.col("l_suppkey").alias("job_id"), "l_quantity", "p_name")
     asked, wished = F.col("l_quantity") >= 45, (F.col("l_quantity") >= 40) & (F.col("l_quantity") < 45)
     names = bitsets.vocabulary(table(spark, d, "part"), "p_name", most)
     if names is None:
-        return _array_pairs(spark, d, lines, asked, wished)
-    k = bitsets.words(names)
-    held = bitsets.encode(_bought(spark, d), "candidate_id", "p_name", names, "held").join(customer_years(spark, d), "candidate_id")
-    req = bitsets.encode(lines, "job_id", "p_name", names, "req", asked)
-    pref = bitsets.encode(lines, "job_id", "p_name", names, "pref", wished)
-    jobs = bitsets.minus(req.join(pref, "job_id"), "pref", "req", k).filter(bitsets.size("req", k) > 0)
-    every = held.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if _small(jobs) else jobs)
-    sizes = {"both": bitsets.common("held", "req", k), "wished": bitsets.common("held", "pref", k), "n_req": bitsets.size("req", k), "n_pref": bitsets.size("pref", k), "n_held": bitsets.size("held", k)}
-    return every.select("job_id", "candidate_id", "years", *[c.alias(n) for n, c in sizes.items()])
-
-
-def _array_pairs(spark: SparkSession, d: str, lines: DataFrame, asked: Column, wished: Column) -> DataFrame:
-    """The same by arrays of names: any number of names, a few microseconds a pair instead of nanoseconds."""
-    held = _bought(spark, d).groupBy("candidate_id").agg(F.collect_set("p_name").alias("held")).join(customer_years(spark, d), "candidate_id")
-    jobs = lines.groupBy("job_id").agg(F.collect_set(F.when(asked, F.col("p_name"))).alias("req"), F.collect_set(F.when(wished, F.col("p_name"))).alias("pref"))
-    jobs = jobs.filter(F.size("req") > 0).withColumn("pref", F.array_except("pref", "req"))
-    jobs = materialize(jobs, "job-sets")
-    entries = jobs.agg(F.coalesce(F.sum(F.size("req") + F.size("pref")), F.lit(0))).first()[0]
-    every = held.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if entries <= 500_000 else jobs)
-    size, both = (lambda x: F.size(x)), (lambda x: F.size(F.array_intersect("held", x)))
-    return every.select("job_id", "candidate_id", "years", both("req").alias("both"), both("pref").alias("wished"), size("req").alias("n_req"), size("pref").alias("n_pref"), size("held").alias("n_held"))
+        held = _bought(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_set("p_name")).alias("held"))
+        named = lambda where: F.array_sort(F.collect_set(F.when(where, F.col("p_name"))))
+        jobs = lines.groupBy("job_id").agg(named(asked).alias("req"), named(wished).alias("pref")).filter(F.size("req") > 0).withColumn("pref", F.array_except("pref", "req"))
+        size, both = F.size, (lambda x: F.size(F.array_intersect("held", x)))
+        counts = {"both": both("req"), "wished": both("pref"), "n_req": size("req"), "n_pref": size("pref"), "n_held": size("held")}
+        sets, asks = ["held"], ["req", "pref"]
+    else:
+        k = bitsets.words(names)
+        held = bitsets.encode(_bought(spark, d), "candidate_id", "p_name", names, "held")
+        req, pref = (bitsets.encode(lines, "job_id", "p_name", names, n, where) for n, where in (("req", asked), ("pref", wished)))
+        jobs = bitsets.minus(req.join(pref, "job_id"), "pref", "req", k).filter(bitsets.size("req", k) > 0)
+        counts = {"both": bitsets.common("held", "req", k), "wished": bitsets.common("held", "pref", k), "n_req": bitsets.size("req", k), "n_pref": bitsets.size("pref", k), "n_held": bitsets.size("held", k)}
+        sets, asks = [f"held{j}" for j in range(k)], [f"{n}{j}" for n in ("req", "pref") for j in range(k)]
+    return held.join(customer_years(spark, d), "candidate_id").select("candidate_id", "years", *sets), sets, jobs.select("job_id", *asks), asks, counts
+
+
+def _crossed(spark: SparkSession, candidates: DataFrame, jobs: DataFrame, asks: list[str]) -> DataFrame:
+    """Every candidate with every job; jobs are broadcast if their sets are few numbers, which is counted. Both sides are read once: give written tables."""
+    arrays = [a for a in asks if dict(jobs.dtypes)[a].startswith("array")]
+    if arrays:
+        small = jobs.agg(F.coalesce(F.sum(sum((F.size(a) for a in arrays), F.lit(0))), F.lit(0))).first()[0] <= _MOST_NAMES
+    else:
+        small = jobs.count() * len(jobs.columns) <= _MOST_NUMBERS
+    return candidates.repartition(_tasks(spark)).crossJoin(F.broadcast(jobs) if small else jobs)
+
+
+def pairs(spark: SparkSession, d: str, most: int = bitsets.MAX_SKILLS) -> DataFrame:
+    """Every customer with every supplier that requires something: job_id, candidate_id, years and the counts of ``_sides``. For few of either: see ``_kinds``."""
+    candidates, _, jobs, asks, counts = _sides(spark, d, most)
+    every = _crossed(spark, candidates, materialize(jobs, "job-sets"), asks)
+    return every.select("job_id", "candidate_id", "years", *[c.alias(n) for n, c in counts.items()])
+
+
+def _kinds(rows: DataFrame, key: str, by: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, written, with ``kind``; one row a kind: its smallest key, its columns ``by`` and ``n``, its rows). Rows equal in ``by`` are one
+    kind: what depends on these columns alone is computed once a kind. Kinds are named by their smallest key, so no hash can bring two together."""
+    rows = materialize(rows, name)
+    kinds = materialize(rows.groupBy(*by).agg(F.min(key).alias("kind"), F.count("*").alias("n")), f"{name}-kinds")
+    same = kinds.select("kind", *[F.col(c).alias(f"_{c}") for c in by])
+    return rows.join(same, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).select(*rows.columns, "kind"), kinds
 
 
 def customer_years(spark: SparkSession, d: str) -> DataFrame:
@@ -112,16 +135,23 @@ def customer_years(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("candidate_id", months.cast("long").alias("months"), F.round(months / F.lit(12.0), 2).alias("years"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """job_id, candidate_id, scores. The similarity that these tables lack is the Dice score's."""
-    rows, c, job, who = pairs(spark, d), F.col, F.col("job_id"), F.col("candidate_id")
-    coverage = scoring.required_coverage_of(c("both"), c("n_req"))
-    scores = scoring.combine(
-        scoring.dice_of(c("both"), c("n_held"), c("n_req")), scoring.coverage_of(c("both"), c("wished"), c("n_req"), c("n_pref")),
-        scoring.experience_score(c("years"), (job % 6).cast("double")), scoring.education_score((who % 5).cast("int"), (job % 4).cast("int")),
+def _education(spark: SparkSession, d: str, most: int = bitsets.MAX_SKILLS) -> tuple[DataFrame, list[str], DataFrame, list[str], dict[str, Column]]:
+    """``_sides`` with what the ids say: a candidate's degree, a job's least years and degree."""
+    candidates, sets, jobs, asks, counts = _sides(spark, d, most)
+    who, job = F.col("candidate_id"), F.col("job_id")
+    jobs = jobs.withColumns({"min_years": (job % 6).cast("double"), "min_degree": (job % 4).cast("int")})
+    return candidates.withColumn("degree", (who % 5).cast("int")), [*sets, "years", "degree"], jobs, [*asks, "min_years", "min_degree"], counts
+
+
+def _scores(counts: dict[str, Column]) -> Column:
+    """The scores of a pair. The similarity that these tables lack is the Dice score's."""
+    c, n = F.col, counts
+    coverage = scoring.required_coverage_of(n["both"], n["n_req"])
+    return scoring.combine(
+        scoring.dice_of(n["both"], n["n_held"], n["n_req"]), scoring.coverage_of(n["both"], n["wished"], n["n_req"], n["n_pref"]),
+        scoring.experience_score(c("years"), c("min_years")), scoring.education_score(c("degree"), c("min_degree")),
         gate=scoring.gate_multiplier(coverage), coverage=coverage,
     )
-    return rows.select("job_id", "candidate_id", scores.alias("scores"))
 
 
 _SCORED = f"""{_SETS},
@@ -139,22 +169,45 @@ total AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.4::DOUBLE
 ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY total DESC, candidate_id) AS rank FROM total)
 SELECT job_id, candidate_id, total, round(skill, 6) AS skill, round(coverage, 6) AS coverage, round(gate, 6) AS gate, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10""")
 def rank_by_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best customers of each supplier."""
+    """The ten best customers of each supplier. Kinds of customers meet kinds of suppliers: of each kind ten members at most, those of smallest id, can be among
+    the ten, and they are only if fewer than ten kinds begin before theirs."""
+    candidates, own, jobs, asks, counts = _education(spark, d)
+    candidates, who = _kinds(candidates, "candidate_id", own, "candidates")
+    jobs, wanted = _kinds(jobs, "job_id", asks, "jobs")
+    every = _crossed(spark, who.withColumnRenamed("kind", "candidate_id").drop("n"), wanted.withColumnRenamed("kind", "job_id").drop("n"), asks)
     s = F.col("scores")
-    rows = _scored(spark, d).select("job_id", "candidate_id", r6(s.total).alias("total"), r6(s.skill).alias("skill"), r6(s.required_coverage).alias("coverage"), r6(s.gate).alias("gate"))
-    return rankers.top_k(rows, 10, "total")
+    rows = every.select("job_id", "candidate_id", _scores(counts).alias("scores")).select("job_id", "candidate_id", r6(s.total).alias("total"), r6(s.skill).alias("skill"), r6(s.required_coverage).alias("coverage"), r6(s.gate).alias("gate"))
+    first = materialize(rankers.top_k(rows, 10, "total").drop("rank").withColumnRenamed("candidate_id", "kind"), "best-kinds")
+    members = candidates.join(first.select("kind").distinct(), "kind", "left_semi").select("kind", "candidate_id")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("candidate_id"))
+    members = members.withColumn("place", place).filter("place <= 10").drop("place")
+    best = rankers.top_k(first.join(members, "kind").drop("kind"), 10, "total").withColumnRenamed("job_id", "kind")
+    return jobs.select("job_id", "kind").join(best, "kind").select("job_id", "candidate_id", "total", "skill", "coverage", "gate", "rank")
 
 
 @query(f"{_SCORED} SELECT job_id, round(avg(semantic), 6) AS mean_dice, round(max(semantic), 6) AS max_dice, round(min(semantic), 6) AS min_dice FROM total GROUP BY 1")
 def skill_dice(spark: SparkSession, d: str) -> DataFrame:
-    dice = scoring.dice_of(F.col("both"), F.col("n_held"), F.col("n_req"))
-    return pairs(spark, d).select("job_id", dice.alias("x")).groupBy("job_id").agg(r6(F.avg("x")).alias("mean_dice"), r6(F.max("x")).alias("max_dice"), r6(F.min("x")).alias("min_dice"))
+    """Over all customers; equal sets meet once, the mean counts each as often as it occurs."""
+    candidates, own, jobs, asks, counts = _sides(spark, d)
+    asks = [a for a in asks if a.startswith("req")]
+    held = materialize(candidates.groupBy(*own).agg(F.count("*").alias("n")), "held-sets")
+    jobs, wanted = _kinds(jobs.select("job_id", *asks), "job_id", asks, "jobs")
+    dice = scoring.dice_of(counts["both"], counts["n_held"], counts["n_req"])
+    each = _crossed(spark, held, wanted.drop("n"), asks).select("kind", "n", dice.alias("x")).groupBy("kind")
+    means = each.agg(r6(F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean_dice"), r6(F.max("x")).alias("max_dice"), r6(F.min("x")).alias("min_dice"))
+    return jobs.select("job_id", "kind").join(means, "kind").drop("kind")
 
 
 @query(f"{_SCORED} SELECT job_id, round(avg(0.4 * semantic), 6) AS semantic, round(avg(0.3 * skill), 6) AS skill, round(avg(0.2 * experience), 6) AS experience, round(avg(0.1 * education), 6) AS education FROM total GROUP BY 1")
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    c = scoring.contributions(F.col("scores"), DEFAULT_WEIGHTS)
-    return _scored(spark, d).select("job_id", c.alias("c")).groupBy("job_id").agg(*[r6(F.avg(f"c.{n}")).alias(n) for n in scoring.COMPONENTS])
+    """Means over all customers; kinds meet once, and the mean counts each as often as it occurs."""
+    candidates, own, jobs, asks, counts = _education(spark, d)
+    who = materialize(candidates.groupBy(*own).agg(F.count("*").alias("n")), "candidate-kinds")
+    jobs, wanted = _kinds(jobs, "job_id", asks, "jobs")
+    c = scoring.contributions(_scores(counts), DEFAULT_WEIGHTS)
+    each = _crossed(spark, who, wanted.drop("n"), asks).select("kind", "n", c.alias("c")).groupBy("kind")
+    means = each.agg(*[r6(F.sum(F.col(f"c.{n}") * F.col("n")) / F.sum("n")).alias(n) for n in scoring.COMPONENTS])
+    return jobs.select("job_id", "kind").join(means, "kind").drop("kind")
 
 
 _STRENGTH = "strength AS (SELECT o_custkey AS candidate_id, p_name AS skill, max(l_quantity) / 50.0::DOUBLE AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"

@@ -152,3 +152,24 @@ def test_pairs_past_the_bit_sets(spark, tmp_path):
         wish = pref[job] - req[job]
         assert (both, wished, n_req, n_pref, n_held) == (len(held[who] & req[job]), len(held[who] & wish), len(req[job]), len(wish), len(held[who]))
     assert skill_queries.query.queries["rank_by_coverage"](spark, str(tmp_path)).count() == 35
+
+
+def test_equal_rows_meet_once(spark, tmp_path):
+    """Copies of customers and suppliers under other keys make no more kinds, and means don't change; the best ten go by id among equals."""
+    from rankweave.plans import skill_queries
+
+    lines = [(o, p, s, q) for o, (c, ps) in enumerate([(0, "ab"), (5, "ac"), (10, "b")]) for s, p in enumerate(ps) for q in (45.0, 41.0)]
+    every = [(o + 3 * i, "abc".index(p), s + 12 * i, q) for i in range(7) for o, p, s, q in lines]
+    orders = [(o + 3 * i, c + 15 * i) for i in range(7) for o, c in enumerate((0, 5, 10))]
+    spark.createDataFrame(every, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").selectExpr("*", "timestamp_ntz'1999-05-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, "a", "x", 1), (1, "b", "x", 1), (2, "c", "x", 1)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    query, d = skill_queries.query.queries, str(tmp_path)
+    candidates, own, *_ = skill_queries._education(spark, d)
+    rows, kinds = skill_queries._kinds(candidates, "candidate_id", own, "who")
+    assert rows.count() == 21 and sorted((r.kind, r.n) for r in kinds.select("kind", "n").collect()) == [(0, 7), (5, 7), (10, 7)]
+    dice = {(r.job_id % 12, tuple(r)[1:]) for r in query["skill_dice"](spark, d).collect()}
+    # Three customers hold ab, ac and b; job 0 asks for ab, job 1 for bc.
+    assert dice == {(0, (0.722222, 1.0, 0.5)), (1, (0.555556, 0.666667, 0.5))}
+    best = query["rank_by_coverage"](spark, d).filter("job_id = 0").orderBy("rank").select("candidate_id").collect()
+    assert [r[0] for r in best[:7]] == [15 * i for i in range(7)] and len(best) == 10
