@@ -216,24 +216,70 @@ credit AS (SELECT a.job_id, s.candidate_id, sum(a.w) AS met, sum(a.w * s.g) AS m
 whole AS (SELECT job_id, sum(w) AS w FROM asked GROUP BY 1)"""
 
 
-def _grounded(spark: SparkSession, d: str) -> DataFrame:
-    """job_id, met, met_g, w: weights of asked skills that a candidate holds, the same times strength, and of all. Candidates' skills times the jobs' in blocks: no pair without a common skill."""
-    strength = _bought(spark, d).groupBy("candidate_id", F.col("p_name").alias("skill")).agg((F.max("l_quantity") / 50.0).alias("g"))
+def _grounded(spark: SparkSession, d: str, most: int = bitsets.MAX_SKILLS) -> DataFrame:
+    """job_id, w (weights of all asked skills), n (candidates with one of them) and met, met_g: sums over these candidates of the weights of asked skills that they
+    hold, and of the same times strength.
+
+    Sums over pairs are sums over skills: each skill's holders and their strengths are added up once, and a job adds up its skills. Only the count
+    needs the sets: candidates without any asked skill are found among those of few skills, equal sets once. Where a strength passes 1, a pair's
+    coverage may be cut to 1: then rows are the pairs themselves, with n = 1.
+    """
+    strength = materialize(_bought(spark, d).groupBy("candidate_id", F.col("p_name").alias("skill")).agg((F.max("l_quantity") / 50.0).alias("g")), "strength")
     lines = _named_lines(spark, d).filter("l_quantity >= 40").groupBy(F.col("l_suppkey").alias("job_id"), F.col("p_name").alias("skill"))
     asked = lines.agg(F.when(F.max("l_quantity") >= 45, 1.0).otherwise(0.5).alias("w"))
-    asked = asked.join(asked.filter("w = 1").select("job_id").distinct(), "job_id", "left_semi")
+    asked = materialize(asked.join(asked.filter("w = 1").select("job_id").distinct(), "job_id", "left_semi"), "asked")
+    if strength.filter("g > 1").limit(1).count():
+        return _grounded_pairs(strength, asked)
+    of_skill = strength.groupBy("skill").agg(F.count("*").alias("holders"), F.sum("g").alias("g"))
+    sums = asked.join(of_skill, "skill", "left").groupBy("job_id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("holders")).alias("met"), F.sum(F.col("w") * F.col("g")).alias("met_g"))
+    return sums.join(_meeting(spark, d, strength, asked, most), "job_id").filter("n > 0")
+
+
+def _grounded_pairs(strength: DataFrame, asked: DataFrame) -> DataFrame:
+    """The columns of ``_grounded`` for each pair with a common skill: candidates' skills times the jobs' in blocks."""
     each = strength.groupBy("candidate_id").agg(F.collect_list(F.struct("skill", "g")).alias("h")).select("candidate_id", F.col("h.skill").alias("skills"), F.col("h.g").alias("g"))
     met = sparse_products(each, ["candidate_id"], "skills", asked.withColumnRenamed("skill", "term"), ["w", "w"], "g", powers=(0, 1))
-    met = met.withColumnsRenamed({"s0": "met", "s1": "met_g"})
+    met = met.withColumnsRenamed({"s0": "met", "s1": "met_g"}).withColumn("n", F.lit(1))
     return met.join(asked.groupBy("job_id").agg(F.sum("w").alias("w")), "job_id")
 
 
+def _meeting(spark: SparkSession, d: str, strength: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(job_id, n): candidates that hold one of the job's skills at least."""
+    names = bitsets.vocabulary(table(spark, d, "part"), "p_name", most)
+    if names is None:
+        sets = lambda rows, key, name: rows.groupBy(key).agg(F.array_sort(F.collect_set("skill")).alias(name))
+        held, jobs, own, asks = sets(strength, "candidate_id", "held"), sets(asked, "job_id", "req"), ["held"], ["req"]
+        apart = ~F.arrays_overlap("held", "req")
+    else:
+        k = bitsets.words(names)
+        held, jobs = bitsets.encode(strength, "candidate_id", "skill", names, "held"), bitsets.encode(asked, "job_id", "skill", names, "req")
+        own, asks = [f"held{j}" for j in range(k)], [f"req{j}" for j in range(k)]
+        apart = bitsets.common("held", "req", k) == 0
+    who = materialize(held.groupBy(*own).agg(F.count("*").alias("n")), "held-sets")
+    jobs, wanted = _kinds(jobs, "job_id", asks, "asked-sets")
+    everyone = who.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if names is not None:
+        least = wanted.agg(F.coalesce(F.min(bitsets.size("req", k)), F.lit(0))).first()[0]
+        who = who.filter(bitsets.size("held", k) <= len(names) - least)  # any other set meets every job's
+    none = _crossed(spark, who, wanted.drop("n"), asks).filter(apart).groupBy("kind").agg(F.sum("n").alias("none"))
+    return jobs.join(none, "kind", "left").select("job_id", (F.lit(everyone) - F.coalesce("none", F.lit(0))).alias("n"))
+
+
+def _floors(parts: DataFrame) -> DataFrame:
+    return parts.withColumn("floor", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)])))
+
+
+def _credit(met: Column, met_g: Column, floor: Column | float) -> Column:
+    """Summed coverage of a row's n candidates."""
+    return F.least(F.col("n").cast("double"), (floor * met + (1 - floor) * met_g) / F.col("w"))
+
+
 @query(f"WITH {_REQ}, {_PREF}, {_STRENGTH}, {_CREDIT} SELECT job_id, round(avg(least(1.0::DOUBLE, (0.4::DOUBLE * met + 0.6::DOUBLE * met_g) / w)), 6) AS mean_grounded, count(*) AS n FROM credit JOIN whole USING (job_id) GROUP BY 1")
 def skill_grounded(spark: SparkSession, d: str) -> DataFrame:
     """Coverage by strength of evidence: here the largest quantity bought, over 50. Candidates without any asked skill don't count."""
     c = F.col
-    x = F.least(F.lit(1.0), (0.4 * c("met") + 0.6 * c("met_g")) / c("w"))
-    return _grounded(spark, d).select("job_id", x.alias("x")).groupBy("job_id").agg(r6(F.avg("x")).alias("mean_grounded"), F.count("*").alias("n"))
+    each = _grounded(spark, d).select("job_id", "n", _credit(c("met"), c("met_g"), F.lit(0.4)).alias("x")).groupBy("job_id")
+    return each.agg(r6(F.sum("x") / F.sum("n")).alias("mean_grounded"), F.sum("n").cast("long").alias("n"))
 
 
 @query(f"""WITH {_REQ}, {_PREF}, {_STRENGTH}, {_CREDIT}, floors(f) AS (VALUES (0.0::DOUBLE), (0.2), (0.4), (0.6), (0.8), (1.0))
@@ -241,9 +287,8 @@ SELECT f AS floor, round(avg(least(1.0::DOUBLE, (f * met + (1 - f) * met_g) / w)
 def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Mean grounded coverage at six floors: the two parts are summed once, the floor is a column."""
     c = F.col
-    parts = _grounded(spark, d)
-    floors = parts.withColumn("floor", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)])))
-    return floors.groupBy("floor").agg(r6(F.avg(F.least(F.lit(1.0), (c("floor") * c("met") + (1 - c("floor")) * c("met_g")) / c("w")))).alias("mean_coverage"))
+    each = _floors(_grounded(spark, d)).select("floor", "n", _credit(c("met"), c("met_g"), c("floor")).alias("x")).groupBy("floor")
+    return each.agg(r6(F.sum("x") / F.sum("n")).alias("mean_coverage"))
 
 
 @query(f"""WITH {_REQ}, {_PREF}, {_STRENGTH}, {_CREDIT}, floors(f) AS (VALUES (0.0::DOUBLE), (0.2), (0.4), (0.6), (0.8), (1.0)),
@@ -253,11 +298,10 @@ SELECT f AS floor, round(avg(stuffed - original), 6) AS attack_gain, round((avg(
 def tradeoff(spark: SparkSession, d: str) -> DataFrame:
     """At six floors: what claiming every asked skill without evidence gains, and what evidence that is only implied (three quarters of its strength) costs."""
     c = F.col
-    parts = _grounded(spark, d).withColumn("floor", F.explode(F.array(*[F.lit(x) for x in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)])))
-    coverage = lambda claimed, shown: F.least(F.lit(1.0), (c("floor") * claimed + (1 - c("floor")) * shown) / c("w"))
-    x = parts.select("floor", coverage(c("met"), c("met_g")).alias("original"), coverage(c("w"), c("met_g")).alias("stuffed"), coverage(c("met"), 0.75 * c("met_g")).alias("implicit"))
-    cost = (F.avg("implicit") - F.avg("original")) / F.avg("original")
-    return x.groupBy("floor").agg(r6(F.avg(c("stuffed") - c("original"))).alias("attack_gain"), r6(cost).alias("fairness_cost"))
+    credit = lambda claimed, shown: _credit(claimed, shown, c("floor"))
+    x = _floors(_grounded(spark, d)).select("floor", "n", credit(c("met"), c("met_g")).alias("original"), credit(c("w") * c("n"), c("met_g")).alias("stuffed"), credit(c("met"), 0.75 * c("met_g")).alias("implicit"))
+    cost = (F.sum("implicit") - F.sum("original")) / F.sum("original")
+    return x.groupBy("floor").agg(r6((F.sum("stuffed") - F.sum("original")) / F.sum("n")).alias("attack_gain"), r6(cost).alias("fairness_cost"))
 
 
 @query(f"WITH {_YEARS.strip()} SELECT candidate_id, months, years FROM years")

@@ -173,3 +173,19 @@ def test_equal_rows_meet_once(spark, tmp_path):
     assert dice == {(0, (0.722222, 1.0, 0.5)), (1, (0.555556, 0.666667, 0.5))}
     best = query["rank_by_coverage"](spark, d).filter("job_id = 0").orderBy("rank").select("candidate_id").collect()
     assert [r[0] for r in best[:7]] == [15 * i for i in range(7)] and len(best) == 10
+
+
+def test_grounded_sums_need_no_pairs(spark, tmp_path):
+    """A row a job, with the sums of its pairs, customers without any asked skill left out; strengths over 1 are cut pair by pair."""
+    from rankweave.plans import skill_queries
+
+    lines = [(0, 0, 0, 50.0), (0, 1, 0, 25.0), (1, 0, 1, 50.0), (2, 2, 1, 10.0), (2, 1, 1, 41.0)]
+    for name, factor in (("one", 1), ("two", 2)):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame([(o, p, s, q if o != 1 else q * factor) for o, p, s, q in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+        spark.createDataFrame([(i, i) for i in range(3)], "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+        spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "p_partkey long, p_name string").selectExpr("*", "'x' AS p_brand", "1 AS p_size").write.parquet(f"{d}/part.parquet")
+    found = {r.job_id: (r.w, r.n, r.met, round(r.met_g, 9)) for r in skill_queries._grounded(spark, f"{tmp_path}/one").collect()}
+    assert found == {0: (1.0, 2, 2.0, 2.0), 1: (1.5, 3, 3.0, round(1 + 0.25 + 1 + 0.41, 9))}
+    mean = {r.job_id: (r.mean_grounded, r.n) for r in skill_queries.query.queries["skill_grounded"](spark, f"{tmp_path}/two").collect()}
+    assert mean[0] == (1.0, 2)  # a strength of 2 earns no more than the whole
