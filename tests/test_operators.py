@@ -401,3 +401,15 @@ def test_hosted_calls(monkeypatch):
         chat.complete("facts", "k")
     answers({"content": [{"type": "text", "text": "so "}, {"type": "text", "text": "it is"}]})
     assert explain.HostedExplainer(endpoint="http://x.test/v1", model="m", form="messages").complete("facts", "k") == "so it is" and "system" in asked[-1]
+
+
+def test_gaps_of_equal_skills_are_found_once(spark, tmp_path):
+    from rankweave.plans import skill_queries
+
+    spark.createDataFrame([(i, 1, 48.0) for i in range(5)] + [(5, 2, 48.0)], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, 10 + i) for i in range(6)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "x", 50), (3, "x", 45)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    members, _, _, _, gaps = skill_queries._gap_tables(spark, str(tmp_path))
+    assert gaps.select("candidate_id").distinct().count() == 2 and members.count() == 6
+    counts = skill_queries.query.queries["gap_counts"](spark, str(tmp_path)).collect()
+    assert sorted((r.candidate_id, r.matched) for r in counts) == [*((10 + i, 1) for i in range(5)), (15, 0)]
