@@ -116,12 +116,15 @@ def normalise_headings(text: Column) -> Column:
     return F.regexp_replace(text_or_empty(text), rf"(?i)(?:(?<=\n)|(?<=\s{{3}})|^)\s*({'|'.join(names)})(?=\s{{2,}}|\s*:|\n|$)", "\n$1\n")
 
 
+_OPENS = r"^[^a-z]*+(?:" + "|".join(h.replace(" ", "[^a-z]+") for hs in SECTION_HEADINGS.values() for h in hs) + r")[^a-z]*+\z"
+
+
 def heading_of(line: Column) -> Column:
-    """The section that a line opens, or null."""
+    """The section that a line opens, or null. Most lines open none: one pattern tells, before anything is cut or counted."""
     bare = strip(F.regexp_replace(strip(line), r"^:+|:+$", ""))
-    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), "[^a-z ]", " "), " +", " "))
+    folded = F.trim(F.regexp_replace(F.lower(line), "[^a-z]+", " "))
     known = F.create_map(*[F.lit(x) for s, hs in SECTION_HEADINGS.items() for h in hs for x in (h, s)])
-    return F.when(word_count(bare) <= _HEADING_WORDS, F.try_element_at(known, folded))
+    return F.when(F.lower(line).rlike(_OPENS), F.when(word_count(bare) <= _HEADING_WORDS, F.try_element_at(known, folded)))
 
 
 def segment_sections(text: Column) -> Column:
@@ -146,16 +149,19 @@ def segment_sections(text: Column) -> Column:
 
 def month_index(token: Column, default_month: int, as_of: Column) -> Column:
     """A date token as year * 12 + month; the present is ``as_of``; null for anything else."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(token), ",", " "), r"\s+", " "))
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     named, numbered = rf"^({_MONTH})[a-z]*\.?\s*(\d{{4}})$", r"^(\d{1,2})[/-](\d{4})$"
-    number = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
-    return (
-        F.when(t.rlike(f"^{_PRESENT}$"), as_of)
-        .when(t.rlike(named), number(named, 2) * 12 + F.try_element_at(months, F.regexp_extract(t, named, 1)))
-        .when(t.rlike(numbered), number(numbered, 2) * 12 + F.least(F.greatest(number(numbered, 1), F.lit(1)), F.lit(12)))
-        .when(t.rlike(r"^\d{4}$"), t.try_cast("int") * 12 + default_month)
-    )
+
+    def index(t: Column) -> Column:
+        number = lambda pattern, group: F.regexp_extract(t, pattern, group).try_cast("int")
+        return (
+            F.when(t.rlike(f"^{_PRESENT}$"), as_of)
+            .when(t.rlike(named), number(named, 2) * 12 + F.try_element_at(months, F.regexp_extract(t, named, 1)))
+            .when(t.rlike(numbered), number(numbered, 2) * 12 + F.least(F.greatest(number(numbered, 1), F.lit(1)), F.lit(12)))
+            .when(t.rlike(r"^\d{4}$"), t.try_cast("int") * 12 + default_month)
+        )
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(F.lower(token), ",", " "), r"\s+", " ")), index)
 
 
 def year_of(index: Column) -> Column:
@@ -198,18 +204,22 @@ def experience_years(text: Column, as_of: Column) -> Column:
 def experience_entries(text: Column, as_of: Column) -> Column:
     """Employment rows of "Title at Organisation, dates" lines."""
     body = text_or_empty(text)
-    group = lambda n: F.regexp_extract_all(body, F.lit(JOB_LINE), F.lit(n))
-    rows = F.arrays_zip(group(1).alias("t"), group(2).alias("o"), group(3).alias("d"), group(0).alias("w"))
+
+    def parts(w: Column) -> Column:
+        # A match by itself matches as it did in the text: groups are taken from it, the text is searched once.
+        return F.struct(*[F.regexp_extract(w, JOB_LINE, n).alias(k) for n, k in enumerate("wtod")])
+
+    def dated(r: Column) -> Column:
+        ends = F.struct(F.regexp_extract(r.getField("d"), RANGE, 1).alias("first"), F.regexp_extract(r.getField("d"), RANGE, 2).alias("last"))
+        return let(ends, lambda e: F.struct(month_index(e.getField("first"), 1, as_of).alias("start"), month_index(e.getField("last"), 12, as_of).alias("end"), e.getField("last").alias("last")))
 
     def entry(r: Column) -> Column:
-        first, last = F.regexp_extract(r.getField("d"), RANGE, 1), F.regexp_extract(r.getField("d"), RANGE, 2)
-        start, end = month_index(first, 1, as_of), month_index(last, 12, as_of)
-        return F.struct(
-            strip(r.getField("t")).alias("title"), strip(r.getField("o")).alias("organisation"), year_of(start).alias("start_year"), month_of(start).alias("start_month"),
-            year_of(end).alias("end_year"), month_of(end).alias("end_month"), F.lower(F.trim(last)).rlike(f"^{_PRESENT}$").alias("is_current"), strip(r.getField("w")).alias("text"),
-        )
-
-    return F.transform(rows, entry)
+        return let(dated(r), lambda e: F.struct(
+            strip(r.getField("t")).alias("title"), strip(r.getField("o")).alias("organisation"), year_of(e.getField("start")).alias("start_year"), month_of(e.getField("start")).alias("start_month"),
+            year_of(e.getField("end")).alias("end_year"), month_of(e.getField("end")).alias("end_month"), F.lower(F.trim(e.getField("last"))).rlike(f"^{_PRESENT}$").alias("is_current"), strip(r.getField("w")).alias("text"),
+        ))
+
+    return F.transform(F.transform(F.regexp_extract_all(body, F.lit(JOB_LINE), F.lit(0)), parts), entry)
 
 
 def degree(text: Column) -> Column:

@@ -97,3 +97,16 @@ def test_skills(on):
     assert find("we drank from a flask") == [] and find("python, flask, docker") == ["docker", "flask", "python"] and find("a flask", "Flask") == ["flask"]
     starts = on("sql then bash sql", lambda t: sk.matches(t, sk.dictionary_pattern(["sql", "bash"])))
     assert [(m.surface, m.start) for m in starts] == [("sql", 0), ("bash", 9), ("sql", 14)]
+
+
+def test_lines_that_open_a_section(spark):
+    opens = {"SKILLS": "skills", "--- Work  Experience ---": "experience", ":: Education :": "education", "Skillset": None, "my skills": None, "skills - - - - -": None, "": None, "WORK:EXPERIENCE": "experience"}
+    rows = spark.createDataFrame([(k,) for k in opens], "k string").select("k", tx.heading_of(F.col("k")).alias("h"))
+    assert {r.k: r.h for r in rows.collect()} == opens
+
+
+def test_scans_are_cut_by_rows(spark, tmp_path):
+    from rankweave.runtime import spread
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    assert spread(spark.read.parquet(f"{tmp_path}/t"), 2).rdd.getNumPartitions() == 50
