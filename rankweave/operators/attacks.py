@@ -27,7 +27,7 @@ from rankweave.functions.vectors import clamp
 from rankweave.operators import integrity, scoring
 from rankweave.operators.blocks import _passes
 from rankweave.operators.embedder import load_letters
-from rankweave.operators.rankers import Bm25Ranker, TfidfRanker, _counted, _with_norms
+from rankweave.operators.rankers import Bm25Ranker, TfidfRanker
 from rankweave.operators.ranks import positions
 from rankweave.runtime import materialize, small_batches
 
@@ -189,9 +189,8 @@ def features(texts: DataFrame, jobs: DataFrame, ranker: Bm25Ranker | None = None
     """
     ranker, tfidf, spark = ranker or Bm25Ranker(), tfidf or TfidfRanker(), texts.sparkSession
     body = F.coalesce("text", F.lit(""))
-    docs = materialize(_counted(texts.select("candidate_id", F.coalesce("attacked", F.lit(False)).alias("attacked"), body.alias("body"), body.alias("text")), tfidf), "attack-texts")
+    docs, query = tfidf.prepared(texts.select("candidate_id", F.coalesce("attacked", F.lit(False)).alias("attacked"), body.alias("body"), body.alias("text")), jobs)
     weights, length = ranker.weights(docs.select(ranker.tokenise(F.col("body")).alias("words")), jobs)
-    docs, query = tfidf.prepared(docs, jobs)
     weights = materialize(weights, "attack-words")
     chars = jobs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     kind, job_kind, job_type = dict(texts.dtypes)["candidate_id"], dict(jobs.dtypes)["job_id"], to_arrow_type(jobs.schema["job_id"].dataType)

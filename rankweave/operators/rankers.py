@@ -19,17 +19,23 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import rank_tokens
 from rankweave.operators.blocks import dense_cosines, sparse_products
 from rankweave.operators.ranks import rank_all
-from rankweave.runtime import materialize, small_batches
+from rankweave.runtime import materialize, numbered_rows, packed_groups, ship, small_batches
 
-#: Terms of a block of the vocabulary, which a worker holds as a dict, and blocks up to which rows look their terms up.
+#: Different terms of jobs up to which documents list only these; ranges of terms at least, and characters of texts for another one.
 MAX_TERMS = 1_000_000
 MAX_BLOCKS = 8
+CHARS = 20_000_000
+#: Rows' norms that are broadcast at most, occurrences that a task holds, bits of a row's place within its partition.
+BROADCAST_ROWS = 1_000_000
+_HELD = 1 << 20
+_ROW_BITS = 33
 
 #: Common English words, the TF-IDF ranker's list where no other is given.
 ENGLISH_STOP_WORDS = tuple(
@@ -65,6 +71,41 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
 
 
+def first_of_tasks(scores: DataFrame, k: int, score: str = "score", places: int = 9) -> DataFrame:
+    """Rows (job_id, candidate_id, score) among which the first k of each job are: each task keeps k a job as they come, so that nothing is sorted
+    or moved for ``top_k`` but these."""
+    ship(scores.sparkSession)
+    columns = scores.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            kept = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            if kept.num_rows > limit[0]:
+                kept = cut(kept)
+        if kept is not None:
+            yield from cut(kept).combine_chunks().to_batches()
+
+    limit = [200_000]
+
+    def cut(rows: pa.Table) -> pa.Table:
+        worth = np.nan_to_num(rows.column(score).to_numpy(), nan=-np.inf) * 10.0**places
+        # Rounded down and less two: no row of a better rounded score is behind one of a worse.
+        rows = rows.append_column("_down", pa.array(-np.floor(worth))).append_column("_at", pa.array(np.arange(rows.num_rows)))
+        rows = rows.sort_by([("job_id", "ascending"), ("_down", "ascending"), ("candidate_id", "ascending")])
+        code = rows.column("job_id").combine_chunks().dictionary_encode().indices
+        code = np.asarray(code.to_numpy(zero_copy_only=False) if code.null_count == 0 else pc.fill_null(code, -1).to_numpy(zero_copy_only=False))
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(code)))
+        down = rows.column("_down").to_numpy()
+        last = np.repeat(down[np.minimum(starts + k, starts + sizes) - 1] if len(starts) else down[:0], sizes)
+        rows = rows.filter(pa.array(down <= last + 2)).select(columns)
+        limit[0] = max(200_000, 2 * rows.num_rows)
+        return rows
+
+    return scores.mapInArrow(run, scores.schema)
+
+
 def scale_by_max(scores: DataFrame) -> DataFrame:
     """Score over the job's largest; all 0 where that isn't positive."""
     top = scores.groupBy("job_id").agg(F.max("score").alias("top"))  # combined before it moves; a window would bring all of a job to one task
@@ -134,63 +175,100 @@ class Bm25Ranker:
         return scale_by_max(materialize(kept, "bm25-first")) if self.scale else kept
 
 
-def _counted(rows: DataFrame, ranker: TfidfRanker) -> DataFrame:
-    """Rows (keys, text) as (keys, terms, tf): a text's different terms and 1 + ln(count) of each, counted inside the row."""
+def _counted(rows: DataFrame, ranker: TfidfRanker, wanted: frozenset[str] | None = None) -> DataFrame:
+    """Rows (keys, text) as (keys, terms, tf, squares): a text's different terms and 1 + ln(count) of each, counted inside the row, and the sum of all
+    squares of these. With ``wanted`` only these terms are listed; the squares are those of all."""
     small_batches(rows.sparkSession)
     kinds = dict(rows.dtypes)
     keys = [c for c in rows.columns if c != "text"]
-    terms = ranker.counter()
+    terms, known = ranker.counter(), rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = known.value
         for batch in batches:
             counts = [terms(x) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            squares = [sum(v * _LOG[n] for n, v in Counter(c.values()).items()) if not c or max(c.values()) < len(_LOG) else sum((1 + math.log(n)) ** 2 for n in c.values()) for c in counts]
+            if listed is not None:
+                counts = [{t: n for t, n in c.items() if t in listed} for c in counts]
             ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
             every = pa.array([t for c in counts for t in c], pa.string())
             tf = 1 + np.log(np.fromiter((n for c in counts for n in c.values()), float, len(every)))
-            made = [pa.ListArray.from_arrays(ends, every), pa.ListArray.from_arrays(ends, pa.array(tf))]
-            yield pa.record_batch([*[batch.column(batch.schema.get_field_index(k)) for k in keys], *made], names=[*keys, "terms", "tf"])
+            made = [pa.ListArray.from_arrays(ends, every), pa.ListArray.from_arrays(ends, pa.array(tf)), pa.array(squares, pa.float64())]
+            yield pa.record_batch([*[batch.column(batch.schema.get_field_index(k)) for k in keys], *made], names=[*keys, "terms", "tf", "squares"])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "terms array<string>", "tf array<double>", "squares double"]))
+
 
-    return rows.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "terms array<string>", "tf array<double>"]))
+_LOG = [0.0, *[(1 + math.log(n)) ** 2 for n in range(1, 256)]]
 
 
-def _with_norms(docs: DataFrame, df: DataFrame, n: int, blocks: int | None = None) -> DataFrame:
-    """The rows with ``base``, the sum of squared weights tf * idf over their terms.
+def norms(texts: DataFrame, ranker: TfidfRanker, n: int) -> DataFrame:
+    """(row, more) of written texts (row, text), rows numbered by ``monotonically_increasing_id``: what the terms of two documents or more add to
+    the sum of squared weights tf * idf, taken with the idf of a term of one document. Rows to which they add nothing may be missing.
 
-    A term of one document weighs the same wherever it stands, so only terms of two documents or more are looked up: the
-    vocabulary's blocks are broadcast one at a time and rows stay where they are. A vocabulary of over ``MAX_BLOCKS`` blocks is joined by term instead.
+    Terms are the 64 bits of their XXH64 and are dealt by its first bits, packed: what moves of an occurrence is its term's 64 bits, the place of
+    its row and its count, and then, for each range of terms, a sum a row. No task holds more than a range of terms or a partition's rows.
+    Two terms of equal bits would count as one (expected below 0.03 pairs in a thousand million terms).
     """
-    idf = lambda count: F.log(F.lit(1.0 + n) / (1 + count)) + 1
-    once = math.log((1.0 + n) / 2) + 1
-    common = df.where("df > 1").select("term", (F.pow(idf(F.col("df")), 2.0) - F.lit(once * once)).alias("more"))
-    blocks = blocks if blocks is not None else -(-common.count() // MAX_TERMS)
-    squares = F.aggregate("tf", F.lit(0.0), lambda total, t: total + t * t) * F.lit(once * once)
-    if blocks > MAX_BLOCKS:
-        numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "tfidf-rows")  # written, so that a row keeps its number
-        each = numbered.select("row", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("row", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
-        more = each.join(common, "term").groupBy("row").agg(F.sum(F.col("tf") * F.col("tf") * F.col("more")).alias("more"))
-        return numbered.join(more, "row", "left").withColumn("base", squares + F.coalesce("more", F.lit(0.0))).drop("more", "row")
-    spark, out = docs.sparkSession, docs.withColumn("base", squares)
-    schema = out.schema
-    for i in range(blocks):
-        block = common.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).toArrow()
-        known = spark.sparkContext.broadcast((block.column("term").combine_chunks(), block.column("more").to_numpy()))
-        small_batches(spark)
-
-        def add(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            words, more = known.value
-            worth = dict(zip(words.to_pylist(), more.tolist(), strict=True))
-            for batch in batches:
-                terms, tf = (batch.column(batch.schema.get_field_index(c)) for c in ("terms", "tf"))
-                extra = np.fromiter((worth.get(t, 0.0) for t in terms.flatten().to_pylist()), float, len(terms.flatten()))
-                value = tf.flatten().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
-                at = batch.schema.get_field_index("base")
-                base = batch.column(at).to_numpy(zero_copy_only=False) + np.bincount(row, value * value * extra, batch.num_rows)
-                yield batch.set_column(at, "base", pa.array(base))
-
-        out = out.mapInArrow(add, schema)
-        out = materialize(out, "tfidf-norms") if blocks > 1 else out
-    return out
+    spark = texts.sparkSession
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = max(MAX_BLOCKS, spark.sparkContext.defaultParallelism, chars // CHARS).bit_length()
+    ranges = 1 << bits
+    terms, once = ranker.counter(), math.log((1.0 + n) / 2) + 1
+    small_batches(spark)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, counts, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = np.fromiter((xxhash.xxh64_intdigest(t) for c in counts for t in c), np.uint64, held)
+            tf = np.fromiter((v for c in counts for v in c.values()), np.int32, held)
+            at = np.repeat(np.array(rows, np.int64), [len(c) for c in counts])
+            part = at >> _ROW_BITS
+            for p in np.unique(part):
+                mine = np.flatnonzero(part == p)
+                mine = mine[np.argsort(names[mine] >> np.uint64(64 - bits), kind="stable")]
+                cuts = np.searchsorted(names[mine] >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64))
+                full = np.flatnonzero(cuts[1:] > cuts[:-1])
+                ends = pa.array([0, *cuts[full + 1].tolist()], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (names[mine].view(np.int64), (at[mine] & (1 << _ROW_BITS) - 1).astype(np.int32), tf[mine])]
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(len(full), p), pa.int64()), *lists], names=["range", "part", "term", "place", "n"])
+
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append(row)
+                counts.append(found := terms(text))
+                held += len(found)
+            if held >= _HELD:
+                yield from out()
+                rows, counts, held = [], [], 0
+        if held:
+            yield from out()
+
+    def weigh(key: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = lambda c: np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in batches])
+        term, place, count = flat(2), flat(3), flat(4)
+        row = np.repeat(np.concatenate([b.column(1).to_numpy() for b in batches]), np.concatenate([pc.list_value_length(b.column(2)).to_numpy() for b in batches])) << _ROW_BITS | place
+        _, which, df = np.unique(term, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(df[which] > 1)
+        if not len(common):
+            return
+        row, idf = row[common], np.log((1.0 + n) / (1 + df[which[common]])) + 1
+        more = (1 + np.log(count[common])) ** 2 * (idf * idf - once * once)
+        rows, back = np.unique(row, return_inverse=True)
+        sums, part = np.bincount(back, more, len(rows)), rows >> _ROW_BITS
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        ends = pa.array([*first.tolist(), len(rows)], pa.int32())
+        yield pa.record_batch([pa.array(part[first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array((rows & (1 << _ROW_BITS) - 1).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(sums))], names=["part", "place", "more"])
+
+    def add(key: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, more = (np.concatenate([b.column(c).flatten().to_numpy(zero_copy_only=False) for b in batches]) for c in (1, 2))
+        total = np.bincount(place, more)
+        yield pa.record_batch([pa.array(key << _ROW_BITS | np.arange(len(total), dtype=np.int64)), pa.array(total)], names=["row", "more"])
+
+    spelled = texts.select("row", "text").mapInArrow(spell, "range int, part long, term array<long>, place array<int>, n array<int>")
+    weighed = packed_groups(spelled, ["range"], ranges, weigh, "part long, place array<int>, more array<double>")
+    return packed_groups(weighed, ["part"], ranges, add, "row long, more double")
 
 
 @dataclass(frozen=True)
@@ -217,27 +295,47 @@ class TfidfRanker:
 
         return terms
 
-    def prepared(self, docs: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Counted documents (a written table) with ``base``, the square of their norm; jobs' terms (job_id, term, wq, idf0, idf1)."""
-        asked = _counted(jobs.select("job_id", "text"), self)
-        query = asked.select("job_id", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("job_id", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf"))
-        n = docs.count() + 1  # the job is in its own corpus
-        # What moves of the corpus: one partial count a term and task.
+    def asked(self, jobs: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
+        """Jobs' terms (job_id, term, tf), written; and these terms alone, None where they are more than ``MAX_TERMS``."""
+        counted = _counted(jobs.select("job_id", "text"), self)
+        query = materialize(counted.select("job_id", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("job_id", F.col("t.terms").alias("term"), F.col("t.tf").alias("tf")), "tfidf-asked")
+        different = query.select("term").distinct()
+        return query, frozenset(r[0] for r in different.collect()) if different.limit(MAX_TERMS + 1).count() <= MAX_TERMS else None
+
+    def weights(self, query: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+        """Jobs' terms (job_id, term, wq, idf0, idf1), written. ``docs`` lists the jobs' terms that each document has."""
+        # What moves of the corpus: one partial count of a job's term and task.
         df = materialize(docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "tfidf-vocabulary")
         # idf of a term for a job: its documents, and one more if the job has it.
         idf = lambda has: F.log(F.lit(1.0 + n) / (1 + F.coalesce(F.col("df"), F.lit(0)) + has)) + 1
-        held = df.join(few(query.select("term").distinct()), "term")  # the vocabulary is scanned, not moved
-        query = query.join(held, "term", "left").select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
-        return _with_norms(docs, df, n), materialize(query, "tfidf-jobs")
+        held = df.join(few(query.select("term").distinct()), "term")
+        weighed = query.join(held, "term", "left").select("job_id", "term", (F.col("tf") * idf(1)).alias("wq"), idf(0).alias("idf0"), idf(1).alias("idf1"))
+        return materialize(weighed, "tfidf-jobs")
+
+    def with_norms(self, docs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+        """``docs`` (row, squares) with ``base``, the square of their norm; ``texts`` (row, text) are the same rows' texts, written."""
+        once = math.log((1.0 + n) / 2) + 1
+        more = materialize(norms(texts, self, n), "tfidf-norms")
+        return docs.join(few(more, BROADCAST_ROWS), "row", "left").withColumn("base", F.col("squares") * (once * once) + F.coalesce("more", F.lit(0.0))).drop("more")
+
+    def prepared(self, texts: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Documents (keys, terms, tf, base): the jobs' terms that each has, and the square of its norm; jobs' terms (job_id, term, wq, idf0, idf1)."""
+        query, wanted = self.asked(jobs)
+        texts = numbered_rows(texts, "tfidf-texts")
+        docs = materialize(_counted(texts, self, wanted), "tfidf-terms")
+        n = docs.count() + 1  # the job is in its own corpus
+        return self.with_norms(docs, texts, n).drop("row", "squares"), self.weights(query, docs, n)
 
-    def score_all(self, texts: DataFrame, jobs: DataFrame) -> DataFrame:
-        docs, query = self.prepared(materialize(_counted(texts.select("candidate_id", "text"), self), "tfidf-terms"), jobs)
+    def score_all(self, texts: DataFrame, jobs: DataFrame, first: int | None = None) -> DataFrame:
+        """``first``: only so many of each job and task, the highest rounded to nine places, ids ascending among equals."""
+        docs, query = self.prepared(texts.select("candidate_id", "text"), jobs)
         job_norm = query.groupBy("job_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("job_norm"))
         # A common term weighs less with the job in the corpus; the norm is corrected for those terms alone.
         weighed = query.select("job_id", "term", (F.col("wq") * F.col("idf1")).alias("dot"), (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0")).alias("change"))
         sums = sparse_products(docs, ["candidate_id", "base"], "terms", weighed, ["dot", "change"], "tf", powers=(1, 2)).withColumnsRenamed({"s0": "dot", "s1": "change"})
         full = sums.join(few(job_norm), "job_id")
-        return full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))
+        scores = full.select("job_id", "candidate_id", F.coalesce(F.try_divide("dot", F.sqrt(F.greatest(F.col("base") + F.col("change"), F.lit(0.0))) * F.col("job_norm")), F.lit(0.0)).alias("score"))
+        return scores if first is None else first_of_tasks(scores, first)
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.operators import integrity, metrics, rankers, ranks
+from rankweave.runtime import materialize
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +103,29 @@ def test_tfidf_norms_in_blocks_and_past_them(spark, monkeypatch, terms, blocks):
     assert {(r.job_id, r.candidate_id): r.score for r in found.collect()} == pytest.approx(slow_tfidf(TEXTS, JOBS))
 
 
+def test_tfidf_moves_a_term_of_a_row_once(spark, monkeypatch):
+    """Whatever the vocabulary, documents are written with jobs' terms alone; the others meet packed."""
+    seen = {}
+    monkeypatch.setattr(rankers, "materialize", lambda frame, name, *a: seen.setdefault(name, materialize(frame, name, *a)))
+    monkeypatch.setattr(rankers, "_HELD", 3)
+    texts = spark.createDataFrame([*enumerate(TEXTS)], "candidate_id long, text string")
+    jobs = spark.createDataFrame([*enumerate(JOBS)], "job_id long, text string")
+    found = rankers.TfidfRanker().score_all(texts, jobs, first=2)
+    want = slow_tfidf(TEXTS, JOBS)
+    assert {t for r in seen["tfidf-terms"].collect() for t in r.terms} == {"red", "fox", "red fox", "zebra", "c++", "zebra c++", "hen"}
+    kept = {(r.job_id, r.candidate_id): r.score for r in found.collect()}
+    first = {(j, i) for j in range(len(JOBS)) for i in sorted((i for i in range(len(TEXTS)) if (j, i) in want), key=lambda i: (-round(want[j, i], 9), i))[:2]}
+    assert first <= kept.keys() and kept == pytest.approx({k: want[k] for k in kept})
+
+
+def test_tasks_keep_the_first_of_each_job(spark):
+    rows = [(j, c, round((c * 37 % 101) / 101, 2)) for j in (1, 2, 3) for c in range(300)] + [(1, 1000, None)]
+    frame = spark.createDataFrame(rows, "job_id long, candidate_id long, score double").repartition(3)
+    kept = rankers.first_of_tasks(frame, 4)
+    key = lambda r: (r.job_id, r.candidate_id, r["rank"])
+    assert kept.count() < 100 and sorted(map(key, rankers.top_k(kept, 4).collect())) == sorted(map(key, rankers.top_k(frame, 4).collect()))
+
+
 def test_top_terms_are_counted_in_the_row(spark):
     rows = [(1, "beta alpha beta alpha gamma"), (2, None), (3, "of the a"), (1, "alpha"), (4, "word " * 50_000)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "id long, text string, n int")
