@@ -147,3 +147,91 @@ def precision(lists: Lists, least: int, first: int) -> tuple[DataFrame, DataFram
     each_ = parts.groupBy("system", "job_id").agg(zero(F.try_divide(F.sum("total"), F.sum("hits"))).alias("average_precision"), zero(F.lit(1.0) / F.min("first")).alias("reciprocal_rank"))
     top = placed.where(F.col("before") < first).select("system", "job_id", "before", F.posexplode("top").alias("i", "rel")).select("system", "job_id", (F.col("before") + F.col("i") + 1).alias("rank"), "rel")
     return each_, top.where(F.col("rank") <= first)
+
+
+def _by_list(rows: list, column: str) -> dict[tuple, np.ndarray]:
+    return {(r.system, r.job_id): np.unique(np.array(r[column], np.int64)) for r in rows}
+
+
+def _scan(lists: Lists, each: Callable[[tuple, np.ndarray], np.ndarray | None], merge: Callable[[list[np.ndarray]], np.ndarray]) -> list:
+    """(system, job_id, found) of ``each`` over the keys of every row, merged within a task and then by list: a few numbers a list."""
+    schema = f"system string, job_id {lists.rows.schema['job_id'].dataType.simpleString()}, found array<long>"
+    small_batches(lists.rows.sparkSession, 64)
+
+    def joined(key: tuple, found: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([key[0]]), pa.array([key[1]], kind), pa.array([merge(found)], pa.list_(pa.int64()))], names=["system", "job_id", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, np.ndarray] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = each(key, batch.column(2)[i].values.to_numpy(zero_copy_only=False))
+                if found is not None:
+                    known[key] = merge([known[key], found]) if key in known else found
+        for key, found in known.items():
+            yield joined(key, [found], kind)
+
+    def whole(key: tuple, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield joined(key, [x.values.to_numpy(zero_copy_only=False) for b in batches for x in b.column(2)], batches[0].schema.field(1).type)
+
+    partly = lists.rows.select("system", "job_id", "keys").mapInArrow(run, schema)
+    return packed_groups(partly, ["system", "job_id"], lists.rows.sparkSession.sparkContext.defaultParallelism, whole, schema).collect()
+
+
+def first(lists: Lists, k: int) -> dict[tuple, np.ndarray]:
+    """The first k keys of each list, sorted. Lists are a stated query set; their first rows come to the driver."""
+    least = lambda found: np.sort(np.concatenate(found))[:k]
+    return _by_list(_scan(lists, lambda key, keys: np.sort(keys)[:k], least), "found")
+
+
+def first_hits(lists: Lists, least: int) -> dict[tuple, int]:
+    """{(system, job_id): rank} of the first row whose kind is ``least`` or more, of the lists that have one."""
+    found = _scan(lists, lambda key, keys: np.sort(keys[keys & KIND >= least])[:1], lambda found: np.sort(np.concatenate(found))[:1])
+    return {key: ranks[0][1] for key, ranks in _ranks(lists, _by_list(found, "found")).items()}
+
+
+def lookup(lists: Lists, numbers: dict) -> dict[tuple, list[tuple[int, int]]]:
+    """{(system, job_id): [(key, rank), ...]} of the ``numbers`` of each job, in every list that has them: their keys are found, and then the rows before them counted."""
+    known = lists.rows.sparkSession.sparkContext.broadcast(numbers)
+
+    def find(key: tuple, keys: np.ndarray) -> np.ndarray | None:
+        wanted = known.value.get(key[1])
+        return None if wanted is None else keys[np.isin(numbers_of(keys), wanted)]
+
+    return _ranks(lists, _by_list(_scan(lists, find, np.concatenate), "found"))
+
+
+def _ranks(lists: Lists, held: dict[tuple, np.ndarray]) -> dict[tuple, list[tuple[int, int]]]:
+    """The ranks of keys that lists have: each task counts its rows between them."""
+    targets = lists.rows.sparkSession.sparkContext.broadcast(held)
+
+    def ahead(key: tuple, keys: np.ndarray) -> np.ndarray | None:
+        mine = targets.value.get(key)
+        return None if mine is None else np.cumsum(np.bincount(np.searchsorted(mine, keys, side="right"), minlength=len(mine) + 1)[:-1])
+
+    before = {(r.system, r.job_id): r.found for r in _scan(lists, ahead, lambda found: np.sum(found, axis=0))}
+    # Rows up to and with a target's place: the keys below it, those that sort right of it are the next's.
+    return {key: [(int(t), int(b) + 1) for t, b in zip(mine, before[key], strict=True)] for key, mine in held.items() if len(mine)}
+
+
+def fused(lists: Lists, k: int, constant: int = 60, places_: int = 9) -> dict:
+    """{job_id: [(score, number, kind), ...]}: the first k of each job by the sum of 1 / (constant + rank) over its lists, rounded, numbers ascending among equals.
+
+    A row of the first k has at least 1 / (constant + k) if some list has k rows, so for s lists one of its ranks is below s * (constant + k): only
+    rows that stand that high in some list are looked up in the others. Where every list is shorter, all rows are.
+    """
+    systems = lists.rows.select("system").distinct().count()
+    high = first(lists, max(1, systems) * (constant + k) + k)
+    numbers: dict = {}
+    for (_, job), keys in high.items():
+        numbers.setdefault(job, []).append(numbers_of(keys))
+    ranks = lookup(lists, {job: np.unique(np.concatenate(n)) for job, n in numbers.items()})
+    score: dict = {}
+    for (_, job), found in sorted(ranks.items(), key=repr):
+        mine = score.setdefault(job, {})
+        for key, rank in found:
+            number = int(numbers_of(key))
+            mine[number] = (mine.get(number, (0.0,))[0] + 1.0 / (constant + rank), key & KIND)
+    return {job: sorted(((round(s, places_), n, kind) for n, (s, kind) in mine.items()), key=lambda x: (-x[0], x[1]))[:k] for job, mine in score.items()}

@@ -52,3 +52,22 @@ def test_no_documents_or_jobs_give_no_lists(spark):
     jobs = spark.createDataFrame(JOBS[:2], "job_id int, text string")
     for some, asked in ((docs.limit(0), jobs), (docs, jobs.limit(0))):
         assert packed.sums(attacks.packed_lists(some, asked, ("bm25",), lambda f: attacks.guarded(f)[:1]), (packed.CONTROL,)).count() == 0
+
+
+@pytest.mark.parametrize("k", [2, 100])
+def test_fused_ranks_are_those_of_whole_lists(spark, monkeypatch, k):
+    monkeypatch.setattr(packed, "HELD", 50)
+    docs = spark.createDataFrame(DOCS, "candidate_id long, text string, attacked boolean, grade int")
+    jobs = spark.createDataFrame(JOBS, "job_id int, text string").where("text IS NOT NULL")
+    lists = attacks.packed_lists(docs, jobs, ("bm25", "tfidf"), lambda f: [(f["met"], f["bm25"]), (f["shared"], f["tfidf"])], rankers.TfidfRanker(), copies=False, ranked_copies=False, echo=False)
+    scores = {"bm25": rankers.Bm25Ranker().score_all(docs, jobs), "tfidf": rankers.TfidfRanker().score_all(docs, jobs)}
+    ranked = rankers.rank_systems({n: s.withColumn("score", F.round("score", 9)) for n, s in scores.items()})
+    grade = {r.candidate_id: r.grade for r in docs.collect()}
+    hits, sums = {}, {}
+    for r in ranked.collect():
+        sums.setdefault(r.job_id, {}).setdefault(r.candidate_id, []).append(1 / (1 + r["rank"]))
+        if grade[r.candidate_id] >= 2:
+            hits[r.system, r.job_id] = min(r["rank"], hits.get((r.system, r.job_id), 99))
+    want = {job: sorted(((round(sum(v), 9), c, grade[c]) for c, v in mine.items()), key=lambda x: (-x[0], x[1]))[:k] for job, mine in sums.items()}
+    assert packed.fused(lists, k, constant=1) == want
+    assert packed.first_hits(lists, 2) == hits
