@@ -10,11 +10,13 @@ one among their first n - ceil(0.8 n) + 1. The order is by hash, shingles that m
 lines seldom bring unlike texts together; they are counted in a pass over all texts. Nodes that share a prefix
 shingle are a group; the group of a shingle that more than ``BLOCK`` texts have is dealt out as pairs of its
 chunks, so no task gets more than two chunks of one: frequent shingles as they are counted, any other one whose group is
-over three times that large, by the nodes of one in ``COUNTED`` (an estimate that decides how work is dealt, and no result). (3) A node carries parity bits, 256 in the search and two a shingle after
+over three times that large, by the nodes of one in ``COUNTED`` (an estimate that decides how work is dealt, and no result). (3) A node carries parity bits, 512 in the search and two a shingle after
 it, each that of the shingles hashed to it. Sets that differ in d shingles differ in d parity bits at most, and 0.8 allows (n1 + n2) / 9:
 pairs beyond that budget are dropped, which loses none. (4) First each node of a group goes with the nearest
 earlier one alone, at most one pair a row, and these and the trie's links are compared: dense groups become
-components. (5) Then pairs in different components that the budget allows are compared. (6) Components by
+components. (5) Then pairs in different components that the budget allows are compared. Unlike variants of one text share
+most of their prefixes, so a group leaves a pair to an earlier one where it can tell that both are there: rows carry
+the ``PRIOR`` group keys before theirs. The first group of a pair can't, so none is lost. (6) Components by
 ``simhash.connected``.
 
 Nothing that grows with the corpus comes to the driver but shingles that a share ``OFTEN`` of texts have: by
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm import simhash
@@ -47,8 +49,11 @@ BLOCK = 4096
 COUNTED = 64
 #: Nodes or shingles whose ids are broadcast at most.
 BROADCAST = 200_000
-_WORDS = 4  # of 64 parity bits
+#: Keys of a node's earlier groups that its row in a group carries.
+PRIOR = 4
+_WORDS = 8  # of 64 parity bits
 _BITS = tuple(f"b{i}" for i in range(_WORDS))
+_BEFORE = tuple(f"p{i}" for i in range(PRIOR))
 _PAIRS = 1 << 18
 _LOW = np.uint64(1 << 63)
 
@@ -74,7 +79,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """256 bits or the next power of 2 from two a shingle: how often, odd or even, the set's shingles fall on each.
+    """512 bits or the next power of 2 from two a shingle: how often, odd or even, the set's shingles fall on each.
 
     Halves put together by exclusive or are the bits of half the size.
     """
@@ -143,7 +148,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, key (the text's hash), node and, where a task sees the node for the first time, its size, fingerprint, parity bits, 256 of them, and prefix."""
+    """doc_id, key (the text's hash), node and, where a task sees the node for the first time, its size, fingerprint, parity bits, 512 of them, and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
     new = ("n", "fp", *_BITS)
 
@@ -226,7 +231,7 @@ def _allowed(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
 
     Rows are sorted by group, then size; step after step each row meets the one ``step`` behind it, so the work is the pairs alone.
     """
-    s, n, _, root, *bits = columns
+    s, n, _, root, *bits = columns[: 4 + _WORDS]
     bits = np.ascontiguousarray(np.stack(bits, axis=1).view(np.uint64))
     left, step = np.arange(s.size), 0
     while left.size:
@@ -257,9 +262,17 @@ def _nearest(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """All allowed pairs of a group whose roots differ."""
+    """Allowed pairs of a group whose roots differ, but those of which an earlier group is known to hold both."""
+    s, before = columns[0], columns[4 + _WORDS :]
     out, held = [], 0
     for i, j, _ in _allowed(columns):
+        told = np.zeros(i.size, bool)
+        for p in before:
+            for q in before:
+                told |= (p[i] == q[j]) & (p[i] != s[i])  # a row without so many earlier ones has its own key there
+        i, j = i[~told], j[~told]
+        if not i.size:
+            continue
         out.append((i, j))
         held += i.size
         if held >= _PAIRS:
@@ -328,6 +341,8 @@ def _named(docs: DataFrame) -> DataFrame:
     rows = marked.filter("head IS NOT NULL").select(F.explode("head").alias("s"), "node")
     small_batches(spark, 65536)
     shared = _grouped(_dealt(rows), _shared, "s long, node long", "node")
+    earlier = Window.partitionBy("node").orderBy("s")
+    shared = shared.withColumns({c: F.coalesce(F.lag("s", k + 1).over(earlier), "s") for k, c in enumerate(_BEFORE)})
     placed = materialize(shared.join(nodes.select("node", "n", *_BITS), "node"), "shared")
     wide = lambda root: (F.col("s"), F.col("n"), F.col("node"), root.alias("root"), *map(F.col, _BITS))
     pair, order = "a long, b long", ("n", "node")
@@ -335,7 +350,7 @@ def _named(docs: DataFrame) -> DataFrame:
     dense = _links(materialize(nearest.unionByName(_fingerprint_pairs(nodes)).distinct(), "nearest"), docs, nodes)
     roots = materialize(connected(dense), "dense")
     small_batches(spark, 65536)
-    crossing = _grouped(placed.join(roots, "node", "left").select(*wide(F.coalesce("root", "node"))), _crossing, pair, *order)
+    crossing = _grouped(placed.join(roots, "node", "left").select(*wide(F.coalesce("root", "node")), *_BEFORE), _crossing, pair, *order)
     links = _links(materialize(crossing.distinct(), "pairs"), docs, nodes).unionByName(dense)
     joined = materialize(connected(links), "roots")
     return marked.select("doc_id", "key", "node").join(joined, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("root"))

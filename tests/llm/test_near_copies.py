@@ -128,3 +128,25 @@ def test_dealt_groups_lose_no_link(spark, monkeypatch, often):
     want, links = smallest(rows)
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert links > 30 and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_a_pair_is_made_about_once(spark, monkeypatch):
+    """Variants of one text that are no near copies share most of their prefixes: their pairs come from the first group, not from each."""
+    raw, whole = [], near_copies._grouped
+
+    def counted(rows, each, schema, *order):
+        out = whole(rows, each, schema, *order)
+        if each is near_copies._crossing:
+            out = near_copies.materialize(out, "counted")
+            raw.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_grouped", counted)
+    rng = random.Random(4)
+    base = " ".join(f"w{rng.randrange(90000)}" for _ in range(1500))
+    rows = list(enumerate([edited(rng, base, 36) for _ in range(40)]))
+    want, links = smallest(rows)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want and len(want) > 30
+    ((made, different),) = raw
+    assert different > 500 and made < 2 * different
