@@ -1,23 +1,30 @@
-"""Documents from files: TXT, MD, DOCX, and PDF where a PDF library is installed."""
+"""Documents from files, alone or in ZIP archives: TXT, MD, DOCX, and PDF where a PDF library is installed."""
 
 from __future__ import annotations
 
 import io
 import re
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.runtime import ship
+from rankweave.runtime import ARROW_BYTES, ARROW_ROWS, ship
 from rankweave.schemas import WHITE
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _BLACK, _SIZE, _PAGE_SHARE = 0, 11.0, 0.9
 _MIN_CHARS = 120
+#: Files of one archive, and bytes of their contents past which a new one is begun.
+ARCHIVE_FILES = 5_000
+ARCHIVE_BYTES = 32 << 20
 _PARSED = "path string, text string, source_format string, spans array<struct<text:string,page:int,font:string,size:double,color:int,flags:int,bbox:array<double>>>, page_count int, page_backgrounds array<int>, error string"
 
 
@@ -121,6 +128,73 @@ def parse_frame(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, _PARSED)
 
 
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"^[a-z][a-z0-9+.-]*:/", uri):
+        return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return pafs.LocalFileSystem(), uri
+
+
+def write_archives(files: DataFrame, folder: str, most: int = ARCHIVE_FILES) -> int:
+    """(path, content) as members of ZIP archives in ``folder``, which every executor reaches; says how many were written.
+
+    Many small files are few large ones this way: a file system and its listing bear thousands of them, not millions. An archive is named by
+    its partition and moved into place when it is whole, so a task that runs again writes the same ones over.
+    """
+    ship(files.sparkSession)
+    fs, root = _file_system(folder)
+    fs.create_dir(root, recursive=True)  # no task runs over no rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
+        part, n, done, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple[str, bytes]] = []
+
+        def flush() -> None:
+            name = f"{root}/_{uuid.uuid4().hex}"
+            with fs.open_output_stream(name, compression=None) as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive:
+                for path, content in held:
+                    archive.writestr(zipfile.ZipInfo(path), content, zipfile.ZIP_DEFLATED)
+            fs.move(name, f"{root}/part-{part:05d}-{n:05d}.zip")
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((path, content or b""))
+                done, size = done + 1, size + len(held[-1][1])
+                if len(held) >= most or size >= ARCHIVE_BYTES:
+                    flush()
+                    held, n, size = [], n + 1, 0
+        if held:
+            flush()
+        yield pa.record_batch({"n": pa.array([done], pa.int64())})
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of every member of the ZIP archives in ``folder``."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                held, size = [], 0
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.infolist():
+                        if member.is_dir():
+                            continue
+                        held.append((member.filename, archive.read(member)))
+                        size += len(held[-1][1])
+                        if len(held) >= ARROW_ROWS or size >= ARROW_BYTES:
+                            yield pa.record_batch([pa.array(c) for c in zip(*held, strict=True)], ["path", "content"])
+                            held, size = [], 0
+                if held:
+                    yield pa.record_batch([pa.array(c) for c in zip(*held, strict=True)], ["path", "content"])
+
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
+    return read.select("content").mapInArrow(run, "path string, content binary")
+
+
 def _split(parsed: DataFrame, skip_errors: bool) -> tuple[DataFrame, DataFrame]:
     failures = parsed.filter("error IS NOT NULL").select("path", "error")
     if not skip_errors and (first := failures.first()):

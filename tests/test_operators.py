@@ -283,6 +283,17 @@ def test_files(spark, tmp_path):
     assert files.page_background([(50, 1), (95, 2)], 100) == 2 and files.page_background([], 100) == 0xFFFFFF
 
 
+def test_archives(spark, tmp_path):
+    """Members keep their bytes, whatever the number of archives; the same rows again write the same archives over; none of none."""
+    rows = [(f"{i}/a.txt", bytes([i % 256]) * (i % 7)) for i in range(1300)]
+    frame = spark.createDataFrame(rows, "path string, content binary").repartition(3)
+    for _ in range(2):
+        assert files.write_archives(frame, str(tmp_path / "z"), most=100) == 1300
+    assert 13 <= len(list((tmp_path / "z").glob("*.zip"))) <= 16 and not list((tmp_path / "z").glob("_*"))
+    assert sorted((r.path, bytes(r.content)) for r in files.archived(spark, str(tmp_path / "z")).collect()) == sorted(rows)
+    assert files.write_archives(frame.limit(0), str(tmp_path / "none")) == 0 and files.archived(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_sinks(spark, tmp_path):
     frame = spark.createDataFrame([("a", 0.25), ("b", None)], "k string, v double")
     sinks.write_csv(frame, str(tmp_path / "c"), single=True)

@@ -63,6 +63,16 @@ def test_every_supplier_is_loaded(spark, tmp_path):
     assert sorted((r.path, r.text, r.source_format, r.n_spans) for r in out) == [(f"{n}.txt", f"{n}\nbalance {b}", "txt", 2) for _, n, b in rows]
 
 
+def test_suppliers_are_few_files(spark, tmp_path):
+    """3,000 suppliers, two of one name: archives, not a folder each; all are read back."""
+    rows = [(i, f"Supplier#{i % 2999:09d}", i + 0.25) for i in range(3000)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = QUERIES["load_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.text) for r in out) == sorted((f"{n}.txt", f"{n}\nbalance {b}") for _, n, b in rows)
+    folder = next(p for p in reversed(spark.sparkContext._rankweave_paths) if "/suppliers-" in p)
+    assert sum(p.is_file() for p in Path(folder.removeprefix("file:")).rglob("*")) < 50
+
+
 def test_the_pipeline_ranks_every_supplier_for_every_region(spark, base):
     """Hidden text, which every fifth resume has, is found in these, and each region's list is whole."""
     rows = QUERIES["screened_corpus"](spark, DIR).select("job_id", "candidate_id", "rank", "flagged").collect()
