@@ -94,7 +94,8 @@ class HybridRanker:
         said = resumes.select("candidate_id", F.posexplode(tx.sentences(tx.narrative(F.col("sections"), F.col("text")))).alias("pos", "sentence")).withColumn("vector", self.embedder(F.col("sentence")))
         claims = resumes.select("candidate_id", F.explode("skills_expanded").alias("skill"))
         head, _, tail = self.grounding.query_template.partition("{skill}")
-        claims = claims.withColumn("vector", self.embedder(F.concat(F.lit(head), F.replace("skill", F.lit("-"), F.lit(" ")), F.lit(tail))))
+        asked = claims.select("skill").distinct().withColumn("vector", self.embedder(F.concat(F.lit(head), F.replace("skill", F.lit("-"), F.lit(" ")), F.lit(tail))))
+        claims = claims.join(F.broadcast(materialize(asked, "asked")), "skill")  # an ontology's names: each is encoded once, not once a candidate
         return grounding.ground_skills(claims, said, grounding.forms_table(self.ontology, resumes.sparkSession), self.grounding), said
 
     def _signals(self, pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:

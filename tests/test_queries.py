@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
@@ -81,3 +82,24 @@ def test_the_pipeline_ranks_every_supplier_for_every_region(spark, base):
     assert sorted((r.job_id, r.candidate_id) for r in rows) == sorted((j, f"s{k}") for j in regions for k in keys)
     assert all(sorted(r.rank for r in rows if r.job_id == j) == list(range(1, len(keys) + 1)) for j in regions)
     assert {r.candidate_id for r in rows if r.flagged} == {f"s{k}" for k in keys if k % 5 == 0}
+
+
+def test_a_skill_is_encoded_once_for_all_candidates(spark):
+    """40 candidates claim the same three skills: the encoder gets three questions, and every candidate its evidence."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from rankweave.plans import pipeline
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def encoder(texts: pd.Series) -> pd.Series:
+        asked.add(int(texts.str.contains("experience using", regex=False).sum()))
+        return texts.map(lambda t: [float(len(t)), 1.0])
+
+    ranker = pipeline.HybridRanker(skill_queries.ONTOLOGY, embedder=encoder, grounding=replace(pipeline.DEFAULT_GROUNDING, query_template="experience using {skill}"))
+    rows = [(f"c{i}", "EXPERIENCE\nwe wrote many other things here", ["python", "sql", "docker"]) for i in range(40)]
+    resumes = spark.createDataFrame(rows, "candidate_id string, text string, skills_expanded array<string>").withColumn("sections", pipeline.tx.segment_sections(F.col("text")))
+    found = ranker.evidence(resumes)[0].select("candidate_id", "skill").collect()
+    assert len(set(found)) == len(found) == 120 and 0 < asked.value <= 12
