@@ -153,6 +153,37 @@ def test_ten_thousand_spellings(spark):
         assert all(texts[r.id][h.start : h.start + len(h.surface)] == h.surface for h in r.hits)
 
 
+def test_spellings_inside_words_are_never_met():
+    automaton = dictionary._automaton(["a", "ab", "b", "bc", "abc", "+c", "c+", "abc abc"])
+    walked = []
+
+    class Counted:
+        def __len__(self):
+            return len(automaton)
+
+        def iter(self, text):
+            for hit in automaton.iter(text):
+                walked.append(hit)
+                yield hit
+
+    texts = ["xabc abcx", "abc  \t abc", "", "abab+c", " abc+", "abc+c"]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    a, b = dictionary.raw_matches(Counted(), "\n".join(texts), starts)
+    hits = sorted((int(np.searchsorted(starts, x, "right")) - 1, "\n".join(texts)[x:y]) for x, y in zip(a, b, strict=True))
+    assert hits == [(1, "abc"), (1, "abc"), (1, "abc  \t abc"), (4, "abc"), (5, "abc")]
+    assert len(walked) == len(hits) + 2  # "+c" twice, whose plus touches a word
+
+
+def test_texts_pass_python_once_and_stay_there(spark):
+    texts = [None, "", "Go  go", "x" * 700_000 + " sql", "no\ngo " * 300_000, "é İ SQL"]
+    frame = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "id long, text string, more string").coalesce(1)
+    found = dictionary.add_matches(frame, "text", ["go", "sql", "go go"], "hits", keep=["more", "id"])
+    assert found.columns == ["more", "id", "hits"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r.id: [(h.surface, h.start) for h in r.hits] for r in found.collect()}
+    assert got == {0: [], 1: [], 2: [("go  go", 0)], 3: [("sql", 700_001)], 4: [("go", 6 * i + 3) for i in range(300_000)], 5: [("sql", 5)]}
+
+
 def test_skills_by_automaton_are_those_by_pattern(spark, monkeypatch):
     ontology = SkillOntology.load()
     texts = ["Skills\npython, docker, c, go\nExperience\nmachine learning with PyTorch, React.js and node.js; went to go home", "R, SQL | AWS", None]

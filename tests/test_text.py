@@ -110,3 +110,21 @@ def test_scans_are_cut_by_rows(spark, tmp_path):
 
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
     assert spread(spark.read.parquet(f"{tmp_path}/t"), 2).rdd.getNumPartitions() == 50
+
+
+def test_scans_whose_rows_lie_in_few_row_groups_are_dealt_out(spark, tmp_path):
+    from rankweave.runtime import spread
+
+    texts = spark.range(40_000).selectExpr("id", "repeat(sha2(string(id), 512), 8) AS text").coalesce(1)
+    texts.write.option("parquet.block.size", 1 << 30).option("compression", "none").parquet(f"{tmp_path}/one")
+    scan = spark.read.parquet(f"{tmp_path}/one")
+    per_task = lambda f: [r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect()]
+    assert scan.rdd.getNumPartitions() >= 4 and per_task(scan) == [40_000]  # many pieces of the file, all rows in one
+    assert max(per_task(spread(scan))) < 10_000
+    even = spark.range(1000).repartition(8)
+    even.write.parquet(f"{tmp_path}/even")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a file a task
+    try:
+        assert "Exchange" not in spread(spark.read.parquet(f"{tmp_path}/even"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
