@@ -410,7 +410,8 @@ def _gap_held(spark: SparkSession, d: str) -> DataFrame:
 
 def _gap_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """(members, pairs, requirements, held, gaps). A gap depends on what is held alone, so candidates of equal skills are a kind: all but ``members`` (candidate_id, kind)
-    have a kind in candidate_id. Sets of the ontology's names repeat, so kinds are far fewer than candidates."""
+    have a kind in candidate_id. Sets of the ontology's names repeat, so kinds are far fewer than candidates. Nor does it depend on the job: ``gaps`` has a row for
+    each kind and asked skill, which ``_of_jobs`` gives to the jobs that ask."""
     each = _gap_held(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
     members, kinds = _kinds(each, "candidate_id", ["skills"], "gap-candidates")
     held = kinds.select(F.col("kind").alias("candidate_id"), F.explode("skills").alias("skill"))
@@ -419,14 +420,21 @@ def _gap_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     name = _brand_skill(F.col("p_partkey"))
     jobs = materialize(parts.agg(F.collect_set(F.when(F.col("p_size") > 46, name)).alias("required"), F.collect_set(F.when(F.col("p_size") <= 46, name)).alias("preferred")), "gap-jobs")
     pairs = kinds.select(F.col("kind").alias("candidate_id")).crossJoin(F.broadcast(jobs.select("job_id")) if _small(jobs) else jobs.select("job_id"))
-    wanted = gap.requirements(jobs)
-    return members.select("candidate_id", "kind"), pairs, wanted, held, gap.analyse(pairs, wanted, held, wide, ONTOLOGY.path_table(spark))
+    wanted = materialize(gap.requirements(jobs), "gap-wanted")
+    asked = wanted.select(F.lit(0).alias("job_id"), "skill", F.lit(True).alias("required")).distinct()
+    gaps = gap.analyse(kinds.select(F.col("kind").alias("candidate_id"), F.lit(0).alias("job_id")), asked, held, wide, ONTOLOGY.path_table(spark))
+    return members.select("candidate_id", "kind"), pairs, wanted, held, gaps.drop("job_id", "required")
+
+
+def _of_jobs(gaps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The gaps of asked skills for each job that asks."""
+    return gaps.join(rankers.few(wanted), "skill").select("job_id", "candidate_id", "skill", "required", "status", "via", "path")
 
 
 def _of_members(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of each kind for each of its candidates."""
+    """The rows of each kind for each of its candidates. Written, these rows are small, as names repeat, but not in memory: merged, or Spark would take them to the driver to broadcast them."""
     written = materialize(rows.withColumnRenamed("candidate_id", "kind"), "gap-kinds")
-    return members.join(written, "kind").drop("kind")
+    return members.join(written.hint("merge"), "kind").drop("kind")
 
 
 @query(f"WITH {_NODE}, {_EDGES}, {_CLOSURE}, {_GAP_HELD}, {_GAP_WIDE} SELECT candidate_id, count(*) AS n_skills, string_agg(skill, ',' ORDER BY skill) AS skills FROM wide GROUP BY 1")
@@ -472,8 +480,8 @@ def nearest_held(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_GAP} SELECT job_id, candidate_id, skill, required, status, via, path FROM gap")
 def skill_gap(spark: SparkSession, d: str) -> DataFrame:
-    members, *_, gaps = _gap_tables(spark, d)
-    return _of_members(gaps.withColumn("path", F.array_join("path", ">")), members)
+    members, _, wanted, _, gaps = _gap_tables(spark, d)
+    return _of_jobs(_of_members(gaps.withColumn("path", F.array_join("path", ">")), members), wanted)
 
 
 @query(f"""{_GAP}, more AS (SELECT job.job_id, h.candidate_id, count(*) AS n FROM h0 h CROSS JOIN job WHERE NOT EXISTS (SELECT 1 FROM ask a WHERE a.job_id = job.job_id AND a.skill = h.skill) GROUP BY ALL)
@@ -482,23 +490,23 @@ SELECT job_id, candidate_id, count(*) FILTER (status = 'matched') AS matched, co
 FROM gap LEFT JOIN more USING (job_id, candidate_id) GROUP BY ALL""")
 def gap_counts(spark: SparkSession, d: str) -> DataFrame:
     members, pairs, wanted, held, gaps = _gap_tables(spark, d)
-    return _of_members(gap.counts(gaps, gap.surplus(pairs, wanted, held)).withColumn("coverage", r6("coverage")), members)
+    return _of_members(gap.counts(_of_jobs(gaps, wanted), gap.surplus(pairs, wanted, held)).withColumn("coverage", r6("coverage")), members)
 
 
 @query(f"""{_GAP}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY required DESC, status = 'transferable' DESC, CASE WHEN path IS NULL THEN 0 ELSE len(string_split(path, '>')) END, skill) AS priority FROM gap WHERE status <> 'matched')
 SELECT job_id, candidate_id, CAST(priority AS INT) AS priority, skill, required, status FROM o WHERE priority <= 5""")
 def upskill_priorities(spark: SparkSession, d: str) -> DataFrame:
-    members, *_, gaps = _gap_tables(spark, d)
-    return _of_members(gap.upskill_priorities(gaps).select("job_id", "candidate_id", "priority", "skill", "required", "status"), members)
+    members, _, wanted, _, gaps = _gap_tables(spark, d)
+    return _of_members(gap.upskill_priorities(_of_jobs(gaps, wanted)).select("job_id", "candidate_id", "priority", "skill", "required", "status"), members)
 
 
 @query(f"""{_GAP} SELECT status, required, count(*) AS n, min(CASE WHEN status = 'matched' THEN skill || ': held' WHEN status = 'transferable' THEN skill || ': transferable via ' || via || ' (' || replace(path, '>', ' -> ') || ')'
   ELSE skill || CASE WHEN required THEN ': missing (required)' ELSE ': missing (preferred)' END END) AS first_text FROM gap GROUP BY ALL""")
 def gap_texts(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    members, *_, gaps = _gap_tables(spark, d)
+    members, _, wanted, _, gaps = _gap_tables(spark, d)
     sizes = members.groupBy(F.col("kind").alias("candidate_id")).agg(F.count("*").alias("size"))
-    rows = gaps.join(sizes, "candidate_id").withColumn("line", gap.describe(c("skill"), c("status"), c("required"), c("via"), c("path")))
+    rows = _of_jobs(gaps, wanted).join(sizes, "candidate_id").withColumn("line", gap.describe(c("skill"), c("status"), c("required"), c("via"), c("path")))
     return rows.groupBy("status", "required").agg(F.sum("size").alias("n"), F.min("line").alias("first_text"))
 
 

@@ -414,6 +414,17 @@ def test_hosted_calls(monkeypatch):
     assert explain.HostedExplainer(endpoint="http://x.test/v1", model="m", form="messages").complete("facts", "k") == "so it is" and "system" in asked[-1]
 
 
+def test_gaps_of_kinds_are_not_broadcast(spark):
+    """Gaps of kinds take little room written and much in memory: they are merged with the candidates, a row for each kind and asked skill, not for each job too."""
+    from rankweave.plans import skill_queries
+
+    d = "/root/testdata/sf0.001"
+    plan = skill_queries.query.queries["skill_gap"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [kind" in plan
+    *_, gaps = skill_queries._gap_tables(spark, d)
+    assert gaps.count() == gaps.select("candidate_id", "skill").distinct().count()
+
+
 def test_gaps_of_equal_skills_are_found_once(spark, tmp_path):
     from rankweave.plans import skill_queries
 
