@@ -200,14 +200,37 @@ def skill_dice(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_SCORED} SELECT job_id, round(avg(0.4 * semantic), 6) AS semantic, round(avg(0.3 * skill), 6) AS skill, round(avg(0.2 * experience), 6) AS experience, round(avg(0.1 * education), 6) AS education FROM total GROUP BY 1")
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    """Means over all customers; kinds meet once, and the mean counts each as often as it occurs."""
-    candidates, own, jobs, asks, counts = _education(spark, d)
-    who = materialize(candidates.groupBy(*own).agg(F.count("*").alias("n")), "candidate-kinds")
-    jobs, wanted = _kinds(jobs, "job_id", asks, "jobs")
-    c = scoring.contributions(_scores(counts), DEFAULT_WEIGHTS)
-    each = _crossed(spark, who, wanted.drop("n"), asks).select("kind", "n", c.alias("c")).groupBy("kind")
-    means = each.agg(*[r6(F.sum(F.col(f"c.{n}") * F.col("n")) / F.sum("n")).alias(n) for n in scoring.COMPONENTS])
-    return jobs.select("job_id", "kind").join(means, "kind").drop("kind")
+    """Means over all customers, without pairs: a job's sums are sums over its skills. A holder of a skill adds to coverage by the job's sizes alone, and to Dice by
+    these and its own number of skills, so each skill counts its holders by that number. Experience and education depend on few values of either side."""
+    c, w = F.col, DEFAULT_WEIGHTS
+    held = _bought(spark, d).select("candidate_id", c("p_name").alias("skill")).distinct()
+    held = materialize(held.join(customer_years(spark, d), "candidate_id"), "held")
+    who = held.groupBy("candidate_id", "years").agg(F.count("skill").alias("size"))
+    who = materialize(who.withColumn("degree", (c("candidate_id") % 5).cast("int")), "holders")
+    holders = materialize(held.filter("skill IS NOT NULL").join(who.select("candidate_id", "size"), "candidate_id").groupBy("skill", "size").agg(F.count("*").alias("n")), "skill-holders")
+    lines = _named_lines(spark, d).filter("l_quantity >= 40 AND p_name IS NOT NULL").groupBy(c("l_suppkey").alias("job_id"), c("p_name").alias("skill"))
+    asked = materialize(lines.agg((F.max("l_quantity") >= 45).alias("required")), "asked")
+    jobs = asked.groupBy("job_id").agg(F.count_if("required").alias("n_req"), F.count_if(~c("required")).alias("n_pref")).filter("n_req > 0")
+    jobs = materialize(jobs.withColumns({"min_years": (c("job_id") % 6).cast("double"), "min_degree": (c("job_id") % 4).cast("int")}), "jobs")
+    asked = asked.join(jobs.select("job_id", "n_req"), "job_id")
+    # What a required skill's holders add to a job's Dice scores, for each number of required skills.
+    dice = asked.filter("required").select("skill", "n_req").distinct().join(holders, "skill")
+    dice = dice.groupBy("skill", "n_req").agg(F.sum(c("n") * scoring.dice_of(F.lit(1), c("size"), c("n_req"))).alias("dice"))
+    met = asked.join(holders.groupBy("skill").agg(F.sum("n").alias("n")), "skill", "left").join(dice, ["skill", "n_req"], "left").groupBy("job_id")
+    met = met.agg(F.sum(F.when(c("required"), c("dice"))).alias("dice"), *[F.sum(F.when(is_, c("n"))).alias(n) for n, is_ in (("both", c("required")), ("wished", ~c("required")))])
+    few = _values_of(who, jobs, "years", "min_years", scoring.experience_score), _values_of(who, jobs, "degree", "min_degree", scoring.education_score)
+    rows = jobs.join(met, "job_id").join(few[0], c("min_years").eqNullSafe(c("_min_years"))).join(few[1], c("min_degree").eqNullSafe(c("_min_degree")))
+    everyone = F.lit(who.count())
+    none = lambda n: F.coalesce(c(n), F.lit(0))
+    # No pair's coverage passes 1, so the sum's share of the whole is the mean.
+    sums = {"semantic": none("dice"), "skill": everyone * scoring.coverage_of(none("both") / everyone, none("wished") / everyone, c("n_req"), c("n_pref")), "experience": c("_years"), "education": c("_degree")}
+    return rows.select("job_id", *[r6(F.lit(getattr(w, n)) * sums[n] / everyone).alias(n) for n in scoring.COMPONENTS])
+
+
+def _values_of(who: DataFrame, jobs: DataFrame, own: str, least: str, score) -> DataFrame:
+    """(_least, _own): the sum over all candidates of their score for each of the jobs' least values; either side has few different ones."""
+    each = who.groupBy(own).agg(F.count("*").alias("n")).crossJoin(F.broadcast(jobs.select(least).distinct()))  # six of years, four of degrees at most, whatever the input
+    return F.broadcast(each.groupBy(F.col(least).alias(f"_{least}")).agg(F.sum(F.col("n") * score(F.col(own), F.col(least))).alias(f"_{own}")))
 
 
 _STRENGTH = "strength AS (SELECT o_custkey AS candidate_id, p_name AS skill, max(l_quantity) / 50.0::DOUBLE AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"

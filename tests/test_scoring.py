@@ -175,6 +175,36 @@ def test_equal_rows_meet_once(spark, tmp_path):
     assert [r[0] for r in best[:7]] == [15 * i for i in range(7)] and len(best) == 10
 
 
+def test_contributions_need_no_pairs(spark, tmp_path, monkeypatch):
+    """Means over all pairs are what each pair by itself gives, and no pair is made."""
+    from rankweave.plans import skill_queries
+
+    lines = [(i % 40, (i * 7 + i // 40) % 9, i * 5 % 13, 36 + i * 11 % 15) for i in range(300)]
+    orders = [(o, o * 3 % 11, f"{1999 + o % 4}-{1 + o % 12:02}-01") for o in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").selectExpr("o_orderkey", "o_custkey", "CAST(o_orderdate AS DATE) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, f"part {i}", "x", 1) for i in range(9)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    held, req, pref, months = ({} for _ in range(4))
+    for o, c, day in orders:
+        first = int(day[:4]) * 12 + int(day[5:7])
+        months.setdefault(c, set()).update(range(first, first + 4))
+    for o, p, j, q in lines:
+        held.setdefault(o * 3 % 11, set()).add(p)
+        (req if q >= 45 else pref if q >= 40 else {}).setdefault(j, set()).add(p)
+    want = {}
+    for j in req:
+        wish, each = pref.get(j, set()) - req[j], []
+        for c, skills in held.items():
+            years, n = round(len(months[c]) / 12, 2), len(skills & req[j])
+            experience = 1.0 if j % 6 == 0 else min(1.0, years / (j % 6))
+            education = 1.0 if j % 4 == 0 else min(1.0, c % 5 / (j % 4))
+            each.append((0.4 * 2 * n / (len(skills) + len(req[j])), 0.3 * (n + len(skills & wish) / 2) / (len(req[j]) + len(wish) / 2), 0.2 * experience, 0.1 * education))
+        want[j] = pytest.approx([sum(x) / len(each) for x in zip(*each, strict=True)], abs=1e-6)
+    monkeypatch.setattr(skill_queries, "_crossed", None)
+    got = {r.job_id: [r.semantic, r.skill, r.experience, r.education] for r in skill_queries.query.queries["contributions"](spark, str(tmp_path)).collect()}
+    assert len(want) > 5 and got == want
+
+
 def test_grounded_sums_need_no_pairs(spark, tmp_path):
     """A row a job, with the sums of its pairs, customers without any asked skill left out; strengths over 1 are cut pair by pair."""
     from rankweave.plans import skill_queries
