@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankweave.config import DEFAULT_GATE, DEFAULT_WEIGHTS
 from rankweave.functions import text as tx
-from rankweave.operators import audit, bitsets, gap, ontology, rankers, scoring
+from rankweave.operators import audit, best_pairs, bitsets, gap, ontology, rankers, scoring
 from rankweave.operators.blocks import sparse_products
 from rankweave.operators.ontology import SkillNode, SkillOntology
 from rankweave.operators.rankers import _small
@@ -174,9 +174,13 @@ def rank_by_coverage(spark: SparkSession, d: str) -> DataFrame:
     candidates, own, jobs, asks, counts = _education(spark, d)
     candidates, who = _kinds(candidates, "candidate_id", own, "candidates")
     jobs, wanted = _kinds(jobs, "job_id", asks, "jobs")
-    every = _crossed(spark, who.withColumnRenamed("kind", "candidate_id").drop("n"), wanted.withColumnRenamed("kind", "job_id").drop("n"), asks)
-    s = F.col("scores")
-    rows = every.select("job_id", "candidate_id", _scores(counts).alias("scores")).select("job_id", "candidate_id", r6(s.total).alias("total"), r6(s.skill).alias("skill"), r6(s.required_coverage).alias("coverage"), r6(s.gate).alias("gate"))
+    who, wanted = who.withColumnRenamed("kind", "candidate_id").drop("n"), wanted.withColumnRenamed("kind", "job_id").drop("n")
+    if "held" in own:  # arrays: each task keeps ten a job as they come, or the window would sort all pairs
+        every, s = _crossed(spark, who, wanted, asks), F.col("scores")
+        rows = every.select("job_id", "candidate_id", _scores(counts).alias("scores")).select("job_id", "candidate_id", r6(s.total).alias("total"), r6(s.skill).alias("skill"), r6(s.required_coverage).alias("coverage"), r6(s.gate).alias("gate"))
+        rows = rankers.first_of_tasks(rows, 10, "total")
+    else:
+        rows = best_pairs.best(who, wanted, 10, len([n for n in own if n.startswith("held")]))
     first = materialize(rankers.top_k(rows, 10, "total").drop("rank").withColumnRenamed("candidate_id", "kind"), "best-kinds")
     members = candidates.join(first.select("kind").distinct(), "kind", "left_semi").select("kind", "candidate_id")
     place = F.row_number().over(Window.partitionBy("kind").orderBy("candidate_id"))

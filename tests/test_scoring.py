@@ -175,6 +175,31 @@ def test_equal_rows_meet_once(spark, tmp_path):
     assert [r[0] for r in best[:7]] == [15 * i for i in range(7)] and len(best) == 10
 
 
+def test_best_pairs_are_found_in_blocks(spark, monkeypatch):
+    """Sets of three words against the scores of every pair; the registered query makes no pair a row."""
+    from rankweave.operators import best_pairs, bitsets, rankers
+    from rankweave.plans import skill_queries
+
+    draw = np.random.default_rng(7)
+    word = lambda n: [int(x) for x in draw.integers(-(1 << 63), (1 << 63) - 1, n)]
+    who = list(zip(range(80), [float(x) for x in draw.integers(0, 60, 80) / 12], [int(x) for x in draw.integers(0, 5, 80)], *[word(80) for _ in range(3)], strict=True))
+    who += [(100 + i, *row[1:]) for i, row in enumerate(who[:40])]  # equals: the smaller id comes first
+    asked = [word(30) for _ in range(3)]
+    wished = [[a & ~r for a, r in zip(word(30), x, strict=True)] for x in asked]
+    jobs = list(zip(range(30), [float(i % 6) for i in range(30)], [i % 4 for i in range(30)], *asked, *wished, strict=True))
+    candidates = spark.createDataFrame(who, "candidate_id long, years double, degree int, held0 long, held1 long, held2 long")
+    jobs = spark.createDataFrame(jobs, "job_id long, min_years double, min_degree int, req0 long, req1 long, req2 long, pref0 long, pref1 long, pref2 long")
+    counts = {"both": bitsets.common("held", "req", 3), "wished": bitsets.common("held", "pref", 3), "n_req": bitsets.size("req", 3), "n_pref": bitsets.size("pref", 3), "n_held": bitsets.size("held", 3)}
+    s = F.col("scores")
+    every = candidates.crossJoin(jobs).select("job_id", "candidate_id", skill_queries._scores(counts).alias("scores"))
+    every = every.select("job_id", "candidate_id", *[F.round(x, 6).alias(n) for n, x in (("total", s.total), ("skill", s.skill), ("coverage", s.required_coverage), ("gate", s.gate))])
+    rows = lambda frame: sorted(map(tuple, rankers.top_k(frame, 10, "total").collect()))
+    got = best_pairs.best(candidates, jobs, 10, 3)
+    assert rows(got) == rows(every) and len(rows(got)) == 300
+    monkeypatch.setattr(skill_queries, "_crossed", None)
+    assert skill_queries.query.queries["rank_by_coverage"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_contributions_need_no_pairs(spark, tmp_path, monkeypatch):
     """Means over all pairs are what each pair by itself gives, and no pair is made."""
     from rankweave.plans import skill_queries
